@@ -41,11 +41,13 @@ def words(text: bytes) -> set[str]:
     return set(_WORD.findall(text.decode().lower()))
 
 
-def features(word: str) -> list[int]:
-    """64-bit hashes of a word and of its beginnings."""
-    import xxhash
+def beginning(word: str, n: int) -> str | None:
+    """The feature of a word for length n: its beginning, the whole word for 0, none if shorter."""
+    return f"={word}" if not n else word[:n] if len(word) >= n else None
 
-    return [xxhash.xxh64_intdigest(f"={word}")] + [xxhash.xxh64_intdigest(word[:n]) for n in PREFIXES if len(word) >= n]
+
+def features(word: str) -> list[str]:
+    return [f for n in (0, *PREFIXES) if (f := beginning(word, n))]
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -73,11 +75,11 @@ def _apply(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Chain:
-    """Fitted chain: ``columns`` maps a feature's hash to its column, ``models`` holds for each
+    """Fitted chain: ``columns`` maps a feature to its column, ``models`` holds for each
     category its weights by column, its weights of earlier probabilities, and its intercept."""
 
     categories: tuple[str, ...]
-    columns: dict[int, int]
+    columns: dict[str, int]
     models: list[tuple[np.ndarray, np.ndarray, float]]
     thresholds: list[float]
 
@@ -89,38 +91,39 @@ class Chain:
         return before
 
 
-def fit_chain(rows: list[list[str]], labels: np.ndarray, categories: tuple[str, ...], folds: int = FOLDS) -> Chain:
-    """Fit on documents given as their distinct words and on a 0/1 matrix, a column a category.
+def fit_chain(n: int, doc: np.ndarray, word: np.ndarray, vocabulary: list[str], labels: np.ndarray, categories: tuple[str, ...], folds: int = FOLDS) -> Chain:
+    """Fit on n documents' distinct words (pairs of a document and a place in the vocabulary) and
+    a 0/1 matrix of labels, a column a category. A category of one class has a constant model.
 
-    A category of one class only has a constant model.
+    The features of one length are looked at together, then the best of all lengths are taken.
     """
-    ids: dict[str, int] = {}
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    word = np.fromiter((ids.setdefault(w, len(ids)) for r in rows for w in r), np.int64, len(doc))
-    own = [features(w) for w in ids]
-    count = np.array([len(f) for f in own], np.int64)
-    hashes, feature = np.unique(np.array([h for f in own for h in f], np.uint64), return_inverse=True)
-    start = np.concatenate(([0], np.cumsum(count)))[word] if len(ids) else word
-    reps = count[word] if len(ids) else word
-    at = np.repeat(start - np.concatenate(([0], np.cumsum(reps)[:-1])) if len(reps) else start, reps) + np.arange(int(reps.sum()))
-    pair = np.unique(np.repeat(doc, reps) * max(len(hashes), 1) + (feature[at] if len(at) else at))
-    doc, feature = pair // max(len(hashes), 1), pair % max(len(hashes), 1)
-
-    n, chosen = len(rows), []
-    for j in range(len(categories)):
-        y = labels[:, j]
-        chosen.append(_informative(doc, feature, len(hashes), y))
-    used = np.unique(np.concatenate(chosen)) if chosen else np.empty(0, np.int64)
-    column = np.full(len(hashes) + 1, -1)
-    column[used] = np.arange(len(used))
-    keep = column[feature] >= 0 if len(feature) else np.empty(0, bool)
+    groups, found = [], [[] for _ in categories]
+    for length in (0, *PREFIXES):
+        ids: dict[str, int] = {}
+        of_word = np.fromiter((-1 if (f := beginning(w, length)) is None else ids.setdefault(f, len(ids)) for w in vocabulary), np.int64, len(vocabulary))
+        pairs = of_word[word]
+        pairs = np.unique(doc[pairs >= 0] * max(len(ids), 1) + pairs[pairs >= 0])
+        at, feature = pairs // max(len(ids), 1), pairs % max(len(ids), 1)
+        names = list(ids)
+        for j in range(len(categories)):
+            g, best = _informative(at, feature, len(ids), labels[:, j])
+            found[j] += [(-score, names[f]) for score, f in zip(g, best)]
+        wanted = {name for x in found for _, name in x} & ids.keys()
+        keep = np.isin(feature, np.fromiter((ids[w] for w in wanted), np.int64, len(wanted)))
+        groups.append((names, at[keep], feature[keep]))
+    chosen = [sorted(x)[:FEATURES] for x in found]
+    used = sorted({name for x in chosen for _, name in x})
+    columns = {name: i for i, name in enumerate(used)}
+    chosen = [np.array(sorted(columns[name] for _, name in x), np.int64) for x in chosen]
     x = np.zeros((n, len(used)), np.float32)
-    x[doc[keep], column[feature[keep]]] = 1
+    for names, at, feature in groups:
+        column = np.array([columns.get(names[f], -1) for f in feature], np.int64)
+        x[at[column >= 0], column[column >= 0]] = 1
 
     fold = np.arange(n) % folds
     before, models, thresholds = np.zeros((n, 0)), [], []
     for j in range(len(categories)):
-        y, cols = labels[:, j].astype(float), column[chosen[j]]
+        y, cols = labels[:, j].astype(float), chosen[j]
         full, chained = np.zeros(len(used)), np.zeros(j)
         prior = (y.sum() + 0.5) / (n + 1)
         if len(np.unique(y)) < 2 or min(y.sum(), n - y.sum()) < folds:
@@ -137,7 +140,7 @@ def fit_chain(rows: list[list[str]], labels: np.ndarray, categories: tuple[str,
         models.append((full, chained, float(w[-1])))
         before = np.hstack([before, out[:, None]])
         thresholds.append(best_threshold(out, y))
-    return Chain(tuple(categories), {int(hashes[f]): i for i, f in enumerate(used)}, models, thresholds)
+    return Chain(tuple(categories), columns, models, thresholds)
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -151,10 +154,8 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((p[order][k] + after) / 2, *THRESHOLDS))
 
 
-def _informative(doc: np.ndarray, feature: np.ndarray, n_features: int, y: np.ndarray) -> np.ndarray:
-    """The features whose presence says most about y (G squared of the 2 x 2 table)."""
-    if not len(feature):
-        return np.empty(0, np.int64)
+def _informative(doc: np.ndarray, feature: np.ndarray, n_features: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The features whose presence says most about y, and their G squared (of the 2 x 2 table)."""
     n, pos = float(len(y)), float(y.sum())
     total = np.bincount(feature, minlength=n_features).astype(float)
     a = np.bincount(feature, weights=y[doc], minlength=n_features)
@@ -162,8 +163,10 @@ def _informative(doc: np.ndarray, feature: np.ndarray, n_features: int, y: np.nd
     for got, of, all_ in ((a, total, pos), (total - a, total, n - pos), (pos - a, n - total, pos), (n - pos - total + a, n - total, n - pos)):
         with np.errstate(divide="ignore", invalid="ignore"):
             g += np.where(got > 0, 2 * got * np.log(got * n / np.maximum(of * all_, 1e-9)), 0)
+    g[total < 3] = 0
     order = np.lexsort((np.arange(n_features), -g))[:FEATURES]
-    return np.sort(order[(g[order] >= EVIDENCE) & (total[order] >= 3)])
+    order = order[g[order] >= EVIDENCE]
+    return g[order], order
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -194,7 +197,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     rows = training_rows(docs, labels, sample).toArrow().sort_by("doc_id")
     quality, toxic = (rows[c].to_numpy() for c in ("quality", "toxic"))
     y = np.stack([np.asarray(f(quality, toxic), int) for f in CATEGORIES.values()], axis=1) if rows.num_rows else np.zeros((0, len(CATEGORIES)), int)
-    return fit_chain(rows["words"].to_pylist(), y, tuple(CATEGORIES))
+    lists = rows["words"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    return fit_chain(len(lists), doc, coded.indices.to_numpy(), coded.dictionary.to_pylist(), y, tuple(CATEGORIES))
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
