@@ -62,7 +62,7 @@ class Memo(dict):
     the old one, from which entries come back as they are asked for.
     """
 
-    def __init__(self, compute: Callable, limit: int = 250_000):
+    def __init__(self, compute: Callable, limit: int = 150_000):
         super().__init__()
         self.compute, self.limit, self.old = compute, limit, {}
 

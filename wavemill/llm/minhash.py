@@ -31,9 +31,9 @@ from .common import Memo, Scratch, documents, map_rows
 SHINGLE_WORDS = 5
 BANDS = 40
 BAND_ROWS = 4
-#: A pair is confirmed if its estimate reaches this; at similarity 0.75 the estimate of 160
-#: values stays below it with a probability under 1e-10.
-ESTIMATE = 0.5
+#: A pair is confirmed if its estimate reaches the similarity less this; at a similarity of 0.75
+#: the estimate of 160 values stays below that with a probability of about 1e-5, above it less.
+MARGIN = 0.15
 #: Members of a bucket that are compared in one piece.
 BLOCK = 2048
 #: A representative's text goes to up to so many tasks, each with part of its candidates.
@@ -109,7 +109,8 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, n_shingles, sid (null without words), keys (band keys), sig (a byte of each value)."""
+    """doc_id, n_shingles, sid (null without words), keys (band keys), sig (a byte of each value,
+    then four of each band key)."""
 
     def make():
         memo = word_memo()
@@ -119,7 +120,8 @@ def signatures(docs: DataFrame, words: int = SHINGLE_WORDS, bands: int = BANDS,
             if not len(s):
                 return doc_id, 0, None, [], b""
             v = signature(s, bands, rows)
-            return doc_id, len(s), signed(s), band_keys(v, bands, rows), (_mix(v) & _U(255)).astype(np.uint8).tobytes()
+            keys = band_keys(v, bands, rows)
+            return doc_id, len(s), signed(s), keys, (_mix(v) & _U(255)).astype(np.uint8).tobytes() + keys.astype(np.uint32).tobytes()
 
         return one
 
@@ -148,14 +150,20 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return labels
 
 
-def _similar(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def _values(sigs: list[bytes], values: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the signatures' values, and their short band keys."""
+    whole = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
+    return whole[:, :values], np.ascontiguousarray(whole[:, values:]).view(np.uint32)
+
+
+def _similar(pairs: DataFrame, sigs: DataFrame, values: int, least: float) -> DataFrame:
     """The pairs (a, b) whose signatures agree well enough to be confirmed."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             if t.num_rows:
-                x, y = (np.frombuffer(b"".join(t[c].to_pylist()), np.uint8).reshape(t.num_rows, -1) for c in ("sig_a", "sig_b"))
-                t = t.filter(pa.array(estimate(x, y) >= ESTIMATE))
+                x, y = (_values(t[c].to_pylist(), values)[0] for c in ("sig_a", "sig_b"))
+                t = t.filter(pa.array(estimate(x, y) >= least))
             yield t.select(["a", "b"])
 
     of = lambda c: sigs.select(F.col("sid").alias(c), F.col("sig").alias(f"sig_{c}"))
@@ -192,29 +200,32 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, numerator: int, d
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, most: int) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket whose signatures agree.
+def _across(members: DataFrame, most: int, values: int, least: float, ratio: float) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket whose sizes and signatures agree.
 
-    members: key, sid, label, sig, blocks (of the bucket). Each member proposes, for every other
-    component of its bucket, its ``most`` best partners there. Blocks of a large bucket meet
-    pairwise, each pair of blocks in a task of its own.
+    members: key, band, sid, label, n_shingles, sig, blocks (of the bucket). Each member proposes,
+    for every other component of its bucket, its ``most`` best partners there. Of the buckets
+    that a pair shares only the first band's proposes it. Blocks of a large bucket meet pairwise,
+    each pair of blocks in a task of its own.
     """
     block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("sid"), F.col("blocks"))).otherwise(F.lit(0))
     dealt = (
         members.withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "label", "sig")
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "band", "label", "n_shingles", "sig")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
     )
 
-    def pairs(sid: np.ndarray, label: np.ndarray, sig: np.ndarray) -> set:
-        found = set()
+    def pairs(sid: np.ndarray, band: int, label: np.ndarray, n: np.ndarray, sigs: list[bytes]) -> set:
+        found, (sig, keys) = set(), _values(sigs, values)
         for x in range(len(sid)):
-            est = estimate(sig[x], sig)
-            near = np.flatnonzero((est >= ESTIMATE) & (label != label[x]))
+            near = np.flatnonzero((label != label[x]) & (np.minimum(n, n[x]) >= ratio * np.maximum(n, n[x])))
+            near = near[(keys[near] == keys[x]).argmax(axis=1) == band] if len(near) else near
+            est = estimate(sig[x], sig[near])
+            near, est = near[est >= least], est[est >= least]
             seen: dict[int, int] = {}
-            for y in near[np.lexsort((sid[near], -est[near]))]:
+            for y in near[np.lexsort((sid[near], -est))]:
                 seen[label[y]] = seen.get(label[y], 0) + 1
                 if seen[label[y]] <= most:
                     found.add((min(sid[x], sid[y]), max(sid[x], sid[y])))
@@ -224,18 +235,19 @@ def _across(members: DataFrame, most: int) -> DataFrame:
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def done(rows: list) -> pa.RecordBatch:
-            got = list(pairs(np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.frombuffer(b"".join(r[2] for r in rows), np.uint8).reshape(len(rows), -1))) if len(rows) > 1 else []
+            sid, band, label, n, sigs = zip(*rows)
+            got = list(pairs(np.array(sid), band[0], np.array(label), np.array(n), list(sigs))) if len(set(label)) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([int(g[k]) for g in got], pa.int64()) for k in (0, 1)], schema=schema)
 
         now, rows = None, []
         for t in batches:
-            cols = [t[c].to_pylist() for c in ("key", "i", "j", "sid", "label", "sig")]
-            for key, i, j, sid, label, sig in zip(*cols):
+            cols = [t[c].to_pylist() for c in ("key", "i", "j", "sid", "band", "label", "n_shingles", "sig")]
+            for key, i, j, *row in zip(*cols):
                 if (key, i, j) != now:
                     if rows:
                         yield done(rows)
                     now, rows = (key, i, j), []
-                rows.append((sid, label, sig))
+                rows.append(row)
         if rows:
             yield done(rows)
 
@@ -254,31 +266,32 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: tup
     scratch = Scratch(docs.sparkSession)
     sig = scratch.save(signatures(docs, words, bands, rows), "sig")
     classes = scratch.save(
-        sig.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "classes"
+        sig.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes"
     )
-    in_band = classes.select("sid", F.explode("keys").alias("key"))
+    values, least = bands * rows, similarity[0] / similarity[1] - MARGIN
+    in_band = classes.select("sid", F.posexplode("keys").alias("band", "key"))
     shared = scratch.save(in_band.groupBy("key").agg(F.min("sid").alias("least"), F.count("*").alias("n")).filter("n > 1"), "shared")
-    members = scratch.save(in_band.join(shared, "key").select("key", "sid", "least", "n"), "members")
-    sigs = classes.select("sid", "sig")
+    members = scratch.save(in_band.join(shared, "key").select("key", "band", "sid", "least", "n"), "members")
+    sigs = classes.select("sid", "sig", "n_shingles")
 
     of = members.select("sid").distinct().join(classes.select("sid", "rep"), "sid")
     texts = documents(docs).join(of, F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "text")
     texts = scratch.save(_own(texts, words), "texts")
 
     pairs = members.filter("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b")).distinct()
-    tested = scratch.save(_similar(pairs, sigs), "tested-0")
+    tested = scratch.save(_similar(pairs, sigs, values, least), "tested-0")
     edges = scratch.save(_confirmed(tested, texts, words, *similarity), "edges-0")
-    labels, most = components(edges, scratch, "labels-0"), 1
+    labels, most = components(edges, scratch, "labels-0"), 4
     for k in range(1, 20):
-        labelled = scratch.save(members.join(labels, "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"), "n"), "labelled")
+        labelled = scratch.save(members.join(labels, "sid", "left").select("key", "band", "sid", F.coalesce("label", "sid").alias("label"), "n"), "labelled")
         mixed = scratch.save(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"), "mixed")
         again = labelled.join(mixed, "key").join(sigs, "sid").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-        new = _across(again, most).join(tested, ["a", "b"], "left_anti")
+        new = _across(again, most, values, least, similarity[0] / similarity[1]).join(tested, ["a", "b"], "left_anti")
         new = scratch.save(new, f"tested-{k}")
         if not new.limit(1).count():
             break
         found = scratch.save(_confirmed(new, texts, words, *similarity), f"edges-{k}")
-        tested, most = tested.union(new), most * 8
+        tested, most = tested.union(new), most * 16
         edges = edges.union(found)
         if found.limit(1).count():
             labels = components(edges, scratch, f"labels-{k}")

@@ -32,7 +32,7 @@ def sketch(text: Column) -> Column:
 
     def of_hashes(h: Column) -> Column:
         n = F.size(h)
-        small = F.zip_with(F.slice(h, F.lit(1), n - 1), F.slice(h, F.lit(2), n - 1), F.xxhash64)
+        small = F.zip_with(F.slice(h, F.lit(1), n - 1), F.slice(h, F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))
         return _let(small, lambda m: of_windows(h, m, n))
 
     def of_windows(h: Column, m: Column, n: Column) -> Column:

@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 from .common import Memo, map_rows
 
 #: Labelled rows that train the chain, at most.
-SAMPLE = 8000
+SAMPLE = 6000
 #: Lengths of the word beginnings that are features.
 PREFIXES = (3, 4, 5, 6, 7)
 #: Features of a category, at most, and the least evidence (G squared) for one.
-FEATURES = 300
+FEATURES = 200
 EVIDENCE = 15.0
 FOLDS = 5
 PENALTY = 0.5
@@ -54,17 +54,17 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_linear(x: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 25) -> np.ndarray:
+def fit_linear(x: np.ndarray, y: np.ndarray, start: np.ndarray | None = None, penalty: float = PENALTY, steps: int = 25) -> np.ndarray:
     """Weights (the last is the intercept) of an L2-penalised logistic regression, by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
+    w = np.zeros(x.shape[1]) if start is None else start.copy()
     ridge = np.full(x.shape[1], penalty)
     ridge[-1] = 1e-3
     for _ in range(steps):
         p = _sigmoid(x @ w)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - y) + ridge * w)
         w -= step * min(1.0, 4 / max(np.abs(step).max(), 1e-12))
-        if np.abs(step).max() < 1e-5:
+        if np.abs(step).max() < 1e-3:
             break
     return w
 
@@ -100,17 +100,23 @@ def fit_chain(n: int, doc: np.ndarray, word: np.ndarray, vocabulary: list[str],
     groups, found = [], [[] for _ in categories]
     for length in (0, *PREFIXES):
         ids: dict[str, int] = {}
-        of_word = np.fromiter((-1 if (f := beginning(w, length)) is None else ids.setdefault(f, len(ids)) for w in vocabulary), np.int64, len(vocabulary))
-        pairs = of_word[word]
-        pairs = np.unique(doc[pairs >= 0] * max(len(ids), 1) + pairs[pairs >= 0])
-        at, feature = pairs // max(len(ids), 1), pairs % max(len(ids), 1)
+        chosen: list[np.ndarray] = []
+        of_word = np.fromiter((-1 if (f := beginning(w, length)) is None else ids.setdefault(f, len(ids)) for w in vocabulary), np.int32, len(vocabulary))
         names = list(ids)
+        del ids
+        often = np.bincount(of_word[word] + 1, minlength=len(names) + 1) >= 3  # rarer ones tell nothing
+        often[0] = False
+        pairs = of_word[word]
+        used = often[pairs + 1]
+        pairs = np.unique(doc[used].astype(np.int64) * max(len(names), 1) + pairs[used])
+        at, feature = pairs // max(len(names), 1), pairs % max(len(names), 1)
         for j in range(len(categories)):
-            g, best = _informative(at, feature, len(ids), labels[:, j])
+            g, best = _informative(at, feature, len(names), labels[:, j])
             found[j] += [(-score, names[f]) for score, f in zip(g, best)]
-        wanted = {name for x in found for _, name in x} & ids.keys()
-        keep = np.isin(feature, np.fromiter((ids[w] for w in wanted), np.int64, len(wanted)))
-        groups.append((names, at[keep], feature[keep]))
+            chosen.append(best)
+        wanted = np.unique(np.concatenate(chosen))
+        keep = np.isin(feature, wanted)
+        groups.append(({int(f): names[f] for f in wanted}, at[keep], feature[keep]))
     chosen = [sorted(x)[:FEATURES] for x in found]
     used = sorted({name for x in chosen for _, name in x})
     columns = {name: i for i, name in enumerate(used)}
@@ -132,10 +138,9 @@ def fit_chain(n: int, doc: np.ndarray, word: np.ndarray, vocabulary: list[str],
             thresholds.append(THRESHOLDS[1])
             continue
         z = np.hstack([x[:, cols], before]).astype(np.float64)
-        out = np.empty(n)
+        out, w = np.empty(n), fit_linear(z, y)
         for k in range(folds):
-            out[fold == k] = _apply(z[fold == k], fit_linear(z[fold != k], y[fold != k]))
-        w = fit_linear(z, y)
+            out[fold == k] = _apply(z[fold == k], fit_linear(z[fold != k], y[fold != k], w))
         full[cols], chained = w[: len(cols)], w[len(cols) : -1]
         models.append((full, chained, float(w[-1])))
         before = np.hstack([before, out[:, None]])
@@ -194,13 +199,15 @@ CATEGORIES = {
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    rows = training_rows(docs, labels, sample).toArrow().sort_by("doc_id")
+    rows = training_rows(docs, labels, sample).orderBy("doc_id").toArrow()
     quality, toxic = (rows[c].to_numpy() for c in ("quality", "toxic"))
     y = np.stack([np.asarray(f(quality, toxic), int) for f in CATEGORIES.values()], axis=1) if rows.num_rows else np.zeros((0, len(CATEGORIES)), int)
     lists = rows["words"].combine_chunks()
     coded = lists.flatten().dictionary_encode()
-    doc = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-    return fit_chain(len(lists), doc, coded.indices.to_numpy(), coded.dictionary.to_pylist(), y, tuple(CATEGORIES))
+    n, doc = len(lists), np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
+    word, vocabulary = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    del rows, lists
+    return fit_chain(n, doc, word, vocabulary, y, tuple(CATEGORIES))
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
