@@ -3,9 +3,13 @@
 The model reads subword ids of the lower-cased words. Ids are grouped into units (each frequent
 id is one, the others share a few), and units into classes. A causal self-attention layer with
 relative positions predicts the next class; it is trained here, in numpy, on a bounded sample of
-training documents. The probability of an id is that of its class, of its unit in the class and
-of itself in the unit, mixed with what a unit follows its predecessor by; all these counts come
-from all training documents. So the sum over all ids and the end is a probability of the text.
+training documents. The probability of a unit is that of its class times its share of the class,
+mixed with how often it follows its predecessor.
+
+A word's first unit is predicted in its context, among the units that can begin a word. Given
+that unit, the word is either one that was counted (its discounted share of the words with that
+unit), or it is spelled, unit by unit and to its end. All counts come from all training
+documents. The sum over the words and the end is a log probability of the text.
 
 Texts are scored in windows that overlap by half: each position of a window's second half is
 scored once and attends to at least half a window before it.
@@ -36,6 +40,8 @@ STEPS, BATCH, RATE = 500, 96, 0.01
 PART_BYTES = 16_000_000
 #: Prior observations of a unit after each other one.
 PRIOR = 20.0
+#: What a counted word gives up for words that were never counted.
+DISCOUNT = 0.75
 END = 0
 
 
@@ -176,28 +182,46 @@ def spread(places: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> tuple[np
 
 @dataclass
 class Grouping:
-    """unit of each id and class of each unit, named on the sample."""
+    """unit of each id, class of each unit, and which ids begin a word."""
 
     unit: np.ndarray
     klass: np.ndarray
+    begins: np.ndarray
 
 
-def grouping(counts: np.ndarray) -> Grouping:
-    """Frequent ids are units, and frequent units classes; the others share, by frequency. Unit and
-    class 0 are the end alone."""
-
-    def dealt(n: int, order: np.ndarray, own: int, shared: int) -> np.ndarray:
-        out = np.zeros(n, np.int64)
-        out[order[:own]] = np.arange(1, own + 1)
-        rest = order[own:]
-        out[rest] = own + 1 + np.minimum(np.arange(len(rest)) * shared // max(1, len(rest)), shared - 1)
-        return out
-
+def by_frequency(counts: np.ndarray) -> np.ndarray:
+    """Frequent ids are units, the others share some, by frequency. Unit 0 is the end alone."""
     own = UNITS - 1 - SHARED_UNITS
-    unit = dealt(len(counts), np.lexsort((np.arange(len(counts)), -counts)), own, SHARED_UNITS)
-    weight = np.bincount(unit, counts, UNITS)[1:]
-    klass = np.concatenate(([0], dealt(UNITS - 1, np.lexsort((np.arange(UNITS - 1), -weight)), CLASSES - 1 - SHARED_CLASSES, SHARED_CLASSES)))
-    return Grouping(unit.astype(np.int32), klass.astype(np.int32))
+    order = np.lexsort((np.arange(len(counts)), -counts))
+    unit = np.zeros(len(counts), np.int32)
+    unit[order[:own]] = np.arange(1, own + 1)
+    rest = order[own:]
+    unit[rest] = own + 1 + np.arange(len(rest)) * SHARED_UNITS // max(1, len(rest))
+    return unit
+
+
+def by_company(units: np.ndarray, seed: int = 3, rounds: int = 15) -> np.ndarray:
+    """Class of each unit: the frequent ones have their own, the others share classes with units
+    that stand near the same frequent ones (k-means). Class 0 is the end alone."""
+    weight = np.bincount(units, minlength=UNITS).astype(float)
+    weight[END] = -1
+    order = np.lexsort((np.arange(UNITS), -weight))[: UNITS - 1]
+    own = CLASSES - 1 - SHARED_CLASSES
+    klass = np.zeros(UNITS, np.int32)
+    klass[order[:own]] = np.arange(1, own + 1)
+    near = np.zeros((UNITS, CLASSES))
+    for gap in range(1, 9):
+        one, other = units[:-gap], units[gap:]
+        np.add.at(near, (one, klass[other]), 1)
+        np.add.at(near, (other, klass[one]), 1)
+    rest, near = order[own:], near[:, 1 : own + 1] + 0.05
+    x = np.sqrt(near[rest] / near[rest].sum(axis=1, keepdims=True))
+    centre = x[np.random.default_rng(seed).permutation(len(x))[:SHARED_CLASSES]]
+    for _ in range(rounds):
+        place = (x @ centre.T - (centre * centre).sum(axis=1) / 2).argmax(axis=1)
+        centre = np.stack([x[place == k].mean(axis=0) if (place == k).any() else centre[k] for k in range(len(centre))])
+    klass[rest] = own + 1 + place
+    return klass
 
 
 @dataclass
@@ -207,11 +231,17 @@ class Model:
     in_unit: np.ndarray  # log10 of an id in its unit
     in_class: np.ndarray  # of a unit in its class
     follows: np.ndarray  # of a unit after another one
-    mix: float
-
-    def score(self, units: np.ndarray, lengths: np.ndarray, chunk: int = 2048) -> np.ndarray:
-        """log10 probability of each document's units; its last one is the end."""
-        total = np.zeros(len(units), np.float64)
+    starts: np.ndarray  # share of a unit that begins words
+    words: np.ndarray  # training words by their first unit
+    kinds: np.ndarray  # and distinct ones
+    mix: float = 0.5
+
+    def score(self, units: np.ndarray, lengths: np.ndarray, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each unit, given those before it in its document, and that of any
+        unit that begins a word (or of the end) at its place."""
+        total, begun = np.zeros(len(units)), np.zeros(len(units))
+        start_class = np.bincount(self.groups.klass, self.in_class * self.starts, CLASSES).astype(np.float32)
+        start_after = self.follows @ self.starts.astype(np.float32)
         x, place = windowed(units, lengths, -1)
         before = x[:, WINDOW - STRIDE :]
         x = np.where(x < 0, CLASSES, self.groups.klass[np.maximum(x, 0)])
@@ -221,11 +251,30 @@ class Model:
             u = units[np.maximum(p, 0)]
             top = np.exp(np.take_along_axis(logits, self.groups.klass[u][..., None], 2)[..., 0])
             np.exp(logits, out=logits)
-            now = (1 - self.mix) * top / logits.sum(axis=2) * self.in_class[u] + self.mix * self.follows[np.maximum(before[at : at + chunk], 0), u]
-            total[p[own]] = np.log10(now[own])
-        ends = np.cumsum(lengths)
-        sums = np.concatenate(([0.0], np.cumsum(total)))
-        return sums[ends] - sums[ends - lengths]
+            norm, b = logits.sum(axis=2), np.maximum(before[at : at + chunk], 0)
+            now = (1 - self.mix) * top / norm * self.in_class[u] + self.mix * self.follows[b, u]
+            any_ = (1 - self.mix) * (logits @ start_class) / norm + self.mix * start_after[b]
+            total[p[own]], begun[p[own]] = np.log10(now[own]), np.log10(any_[own])
+        return total, begun
+
+    def text_scores(self, ids: np.ndarray, per_word: np.ndarray, words: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """log10 probability of documents: their words' ids in a row, how many ids each word and
+        how many words each document has, and each word's count in training."""
+        units, lengths = with_end(ids, words, per_word, self.groups)
+        single, begun = self.score(units, lengths)
+        doc = np.repeat(np.arange(len(words)), words)
+        close = np.cumsum(lengths) - 1
+        first = np.concatenate(([0], np.cumsum(per_word)))[:-1]
+        at, after = first + doc, first + doc + per_word  # places among the units, an end after each document
+        run = np.concatenate(([0.0], np.cumsum(single)))
+        inner = np.concatenate(([0.0], np.cumsum(self.in_unit[ids])))
+        spelled = run[after] - run[at + 1] + inner[first + per_word] - inner[first] + begun[after]
+        u = units[at]
+        kept = np.maximum(count - DISCOUNT, 0) / np.maximum(self.words[u], 1)
+        left = np.where(self.words[u] > 0, DISCOUNT * self.kinds[u] / np.maximum(self.words[u], 1), 1.0)
+        with np.errstate(divide="ignore"):
+            word = np.logaddexp(np.log(kept), np.log(np.minimum(left, 1.0)) + spelled * np.log(10)) / np.log(10)
+        return np.bincount(doc, single[at] - begun[at] + word, len(words)) + single[close] - begun[close]
 
 
 def with_end(ids: np.ndarray, words: np.ndarray, per_word: np.ndarray, groups: Grouping) -> tuple[np.ndarray, np.ndarray]:
@@ -247,13 +296,26 @@ def fit(texts: list[bytes], tokenizer: str) -> tuple[Grouping, dict[str, np.ndar
     flat, starts = part.ids()
     words = np.array([len(p) for p in places], np.int64)
     ids, per_word = spread(np.concatenate(places) if places else np.zeros(0, np.int32), flat, starts)
-    groups = grouping(np.bincount(ids, minlength=part.encoder.get_piece_size()))
+    size = part.encoder.get_piece_size()
+    begins = np.array([part.encoder.id_to_piece(i).startswith("▁") for i in range(size)])
+    groups = Grouping(by_frequency(np.bincount(ids, minlength=size)), np.zeros(UNITS, np.int32), begins)
     units, lengths = with_end(ids, words, per_word, groups)
+    groups.klass = by_company(units)
     x, place = windowed(units, lengths, -1)
     y = np.where(place >= 0, groups.klass[units[np.maximum(place, 0)]], -1)
     return groups, train(np.where(x < 0, CLASSES, groups.klass[np.maximum(x, 0)]), y)
 
 
+def counted_model(groups: Grouping, layer: dict[str, np.ndarray], of_id: np.ndarray, pairs: np.ndarray, words: np.ndarray, kinds: np.ndarray) -> Model:
+    """The model of the sample's layer and the corpus' counts (of ids, units after units, words)."""
+    of_unit = pairs.sum(axis=0) + 0.5
+    total = np.maximum(np.bincount(groups.unit, of_id, UNITS), 1e-9)
+    starts = np.bincount(groups.unit, of_id * groups.begins, UNITS) / total
+    starts[END] = 1.0
+    in_class = (of_unit / np.bincount(groups.klass, of_unit, CLASSES)[groups.klass]).astype(np.float32)
+    return Model(groups, layer, np.log10(of_id / total[groups.unit]), in_class, follow_table(pairs), starts, words, kinds)
+
+
 # --- the corpus ----------------------------------------------------------------------------------
 
 
@@ -271,8 +333,8 @@ _WORD, _PAIR, _ID, _END = range(4)
 
 
 def part_counts(rows: DataFrame, tokenizer: str, groups) -> DataFrame:
-    """part, kind, key, n: what each part counts in its training documents; n is 0 for words that
-    only others have."""
+    """part, kind, key, unit, n: what each part counts in its training documents. n is 0 for words
+    that only others have; unit is a word's first one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = groups.value
@@ -301,11 +363,13 @@ def part_counts(rows: DataFrame, tokenizer: str, groups) -> DataFrame:
                 (_ID, np.flatnonzero(ids_seen), ids_seen[ids_seen > 0]),
                 (_END, np.zeros(1, np.int64), np.array([len(trained)])),
             ):
+                first = g.unit[flat[starts[:-1]]] if kind == _WORD else np.zeros(len(key), np.int32)
                 for at in range(0, len(key), 50_000):
                     k = key[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), part, np.int32)), pa.array(np.full(len(k), kind, np.int32)), pa.array(k.astype(np.int64)), pa.array(count[at : at + 50_000].astype(np.int64))], names=["part", "kind", "key", "n"])
+                    cols = np.full(len(k), part, np.int32), np.full(len(k), kind, np.int32), k.astype(np.int64), first[at : at + 50_000], count[at : at + 50_000].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["part", "kind", "key", "unit", "n"])
 
-    return rows.mapInArrow(run, "part int, kind int, key long, n long")
+    return rows.mapInArrow(run, "part int, kind int, key long, unit int, n long")
 
 
 def score(docs: DataFrame, tokenizer: str, sample: int = SAMPLE, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -327,7 +391,7 @@ def score(docs: DataFrame, tokenizer: str, sample: int = SAMPLE, part_bytes: int
 
     counted = part_counts(rows, tokenizer, shared)
     same = Window.partitionBy("kind", "key")
-    summed = counted.select("part", "kind", "key", "n", F.sum("n").over(same).alias("total"), F.row_number().over(same.orderBy("part")).alias("nth"))
+    summed = counted.select("part", "kind", "key", "unit", F.sum("n").over(same).alias("total"), F.row_number().over(same.orderBy("part")).alias("nth"))
     summed = scratch.save(summed, "counts")
     first = summed.filter("nth = 1 and total > 0")
     totals = {r["kind"]: (r["v"], r["n"]) for r in first.groupBy("kind").agg(F.count("*").alias("v"), F.sum("total").alias("n")).collect()}
@@ -342,10 +406,10 @@ def score(docs: DataFrame, tokenizer: str, sample: int = SAMPLE, part_bytes: int
     one = small[small["kind"] == _ID]
     of_id[one["key"].to_numpy()] += one["total"].to_numpy()
     pairs = pairs.reshape(UNITS, UNITS)
-    of_unit = np.maximum(pairs.sum(axis=0), 0) + 0.5
-    model = spark.sparkContext.broadcast(
-        Model(groups, layer, np.log10(of_id / np.bincount(groups.unit, of_id, UNITS)[groups.unit]), (of_unit / np.bincount(groups.klass, of_unit, CLASSES)[groups.klass]).astype(np.float32), follow_table(pairs), 0.5)
-    )
+    firsts = first.filter(F.col("kind") == _WORD).groupBy("unit").agg(F.sum("total").alias("n"), F.count("*").alias("v")).toPandas()
+    words_by, kinds_by = np.zeros(UNITS), np.zeros(UNITS)
+    words_by[firsts["unit"].to_numpy()], kinds_by[firsts["unit"].to_numpy()] = firsts["n"].to_numpy(), firsts["v"].to_numpy()
+    model = spark.sparkContext.broadcast(counted_model(groups, layer, of_id, pairs, words_by, kinds_by))
 
     def scored(docs_: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         m, words = model.value, PartWords(tokenizer)
@@ -358,16 +422,13 @@ def score(docs: DataFrame, tokenizer: str, sample: int = SAMPLE, part_bytes: int
         bottom = np.log10(n_train + 0.1 * (vocabulary + 1))
         logs, end_log = np.log10(c + 0.1) - bottom, np.log10(ends + 0.1) - bottom
         flat, starts = words.ids()
-        spelled = np.concatenate(([0.0], np.cumsum(m.in_unit[flat])))
-        spelled = spelled[starts[1:]] - spelled[starts[:-1]]
         for begin in range(0, len(places), 64):
             some = places[begin : begin + 64]
             n = np.array([len(p) for p in some], np.int64)
             row = np.concatenate(some)
             doc = np.repeat(np.arange(len(some)), n)
             ids, per_word = spread(row, flat, starts)
-            units, lengths = with_end(ids, n, per_word, m.groups)
-            sums = m.score(units, lengths) + np.bincount(doc, spelled[row], len(some))
+            sums = m.text_scores(ids, per_word, n, c[row])
             base = np.bincount(doc, logs[row], len(some)) + end_log
             out.append(np.stack([n + 1, np.bincount(doc, c[row] > 0, len(some)) + (ends > 0), base, sums], axis=1))
         got = np.concatenate(out) if out else np.zeros((0, 4))

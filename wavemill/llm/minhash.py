@@ -10,9 +10,9 @@ Links are confirmed on whole shingle sets (64-bit shingle hashes), so no false l
 A pair of similarity 0.75 misses all 40 bands with probability (1 - 0.75**4)**40 = 2.5e-7, and
 one of higher similarity still more rarely.
 
-No group is ever expanded into its pairs. Equal sets are one class from the start. Each band
-bucket first links its members to its smallest member (linear); after components are known,
-only buckets that still hold several components are looked at again: their members' signatures
+No group is ever expanded into its pairs. Equal sets are one class from the start. Then a set is
+tested against the smallest members of its buckets, two at most (linear); after components are
+known, only buckets that still hold several components are looked at again: their members' signatures
 are compared block by block, and just members that look similar to another component are
 confirmed, best first, until nothing is left to test.
 """
@@ -34,6 +34,8 @@ BAND_ROWS = 4
 #: A pair is confirmed if its estimate reaches the similarity less this; at a similarity of 0.75
 #: the estimate of 160 values stays below that with a probability of about 1e-5, above it less.
 MARGIN = 0.15
+#: Of the smallest members of its buckets, a set is first tested against those it meets most often.
+STARS = 2
 #: Members of a bucket that are compared in one piece.
 BLOCK = 2048
 #: A representative's text goes to up to so many tasks, each with part of its candidates.
@@ -278,7 +280,9 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: tup
     texts = documents(docs).join(of, F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "text")
     texts = scratch.save(_own(texts, words), "texts")
 
-    pairs = members.filter("sid <> least").select(F.col("least").alias("a"), F.col("sid").alias("b")).distinct()
+    often = members.filter("sid <> least").groupBy("sid", "least").agg(F.count("*").alias("times")).groupBy("sid").agg(F.collect_list(F.struct("times", "least")).alias("stars"))
+    stars = F.explode(F.slice(F.sort_array("stars", asc=False), 1, STARS))
+    pairs = often.select(F.col("sid").alias("b"), stars.alias("star")).select(F.col("star.least").alias("a"), "b")
     tested = scratch.save(_similar(pairs, sigs, values, least), "tested-0")
     edges = scratch.save(_confirmed(tested, texts, words, *similarity), "edges-0")
     labels, most = components(edges, scratch, "labels-0"), 4
