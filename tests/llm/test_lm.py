@@ -1,0 +1,120 @@
+"""The language model: exact base line, gradients, proper probabilities, held-out gain."""
+
+import math
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from wavemill.llm import attention_lm as L
+
+
+@pytest.fixture(scope="module")
+def model_file(tok):
+    return tok("piece_bpe_32k.model")
+
+
+def base_line(rows):
+    held = [i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows]
+    tokens = [[w for w in (t or "").encode().lower().split()] + [None] for _, t in rows]
+    c = Counter(w for h, t in zip(held, tokens) if not h for w in t)
+    n, v = sum(c.values()), len(c)
+    return n, [(i, h, len(t), sum(w in c for w in t), sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t)) for (i, _), h, t in zip(rows, held, tokens)]
+
+
+def test_base_line(spark, docs, corpus, model_file, monkeypatch):
+    monkeypatch.setattr(L, "STEPS", 20)
+    got = {r.doc_id: r for r in L.score(docs, model_file, part_bytes=5000).collect()}
+    n, want = base_line(corpus)
+    assert len(got) == len(want)
+    for i, held, tokens, known, base in want:
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, tokens, known, n)
+        assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and r.score < 0
+
+
+def test_gradient_lowers_the_loss():
+    rng = np.random.default_rng(0)
+    units = rng.integers(1, 6, 4000)
+    units[1::2] = units[::2]  # every second one repeats the one before
+    x, place = L.windowed(units, np.array([4000]), -1)
+    y = np.where(place >= 0, units[np.maximum(place, 0)], -1)
+    x = np.where(x < 0, 6, x)
+
+    def loss(m):
+        logits = L.forward(m, x)[2]
+        p = np.exp(logits) / np.exp(logits).sum(axis=2, keepdims=True)
+        return -np.log(np.take_along_axis(p, np.maximum(y, 0)[..., None], 2)[..., 0][y >= 0]).mean()
+
+    assert loss(L.train(x, y, classes=6, steps=200)) < 0.9 * loss(L.initial(6))
+
+
+def test_windows_score_each_position_once():
+    lengths = np.array([1, 40, 16, 17, 33])
+    units = np.arange(lengths.sum()) + 1000
+    inputs, place = L.windowed(units, lengths, -1)
+    assert sorted(place[place >= 0].tolist()) == list(range(lengths.sum()))
+    starts = np.cumsum(lengths) - lengths
+    for row, where in zip(inputs, place):
+        for at, p in zip(row[L.WINDOW - L.STRIDE :], where):
+            if p >= 0:
+                assert at == (L.END if p in starts else units[p - 1])  # what comes before it
+
+
+def test_later_words_change_nothing_before(model_file):
+    m, part = small_model(model_file)
+    a, b = (scored(m, part, t) for t in (b"one two three four", b"one two three five six"))
+    assert np.allclose(a[0][: a[1]], b[0][: a[1]])
+
+
+def small_model(model_file):
+    texts = [b"one two three four five six seven eight nine ten " * 30] * 8
+    groups, layer = L.fit(texts, model_file)
+    part = L.PartWords(model_file)
+    places = [part.add(t) for t in texts]
+    flat, starts = part.ids()
+    ids, per_word = L.spread(np.concatenate(places), flat, starts)
+    units, lengths = L.with_end(ids, np.array([len(p) for p in places]), per_word, groups)
+    before = np.roll(units, 1)
+    before[np.cumsum(lengths) - lengths] = L.END
+    pairs = np.bincount(before * L.UNITS + units, minlength=L.UNITS**2).reshape(L.UNITS, L.UNITS).astype(float)
+    of_id = np.bincount(ids, minlength=len(groups.unit)) + 0.5
+    first = groups.unit[flat[starts[:-1]]]
+    words, kinds = np.bincount(first[np.concatenate(places)], minlength=L.UNITS), np.bincount(first, minlength=L.UNITS)
+    return L.counted_model(groups, layer, of_id, pairs, words.astype(float), kinds.astype(float)), part
+
+
+def scored(m, part, text):
+    places = part.add(text)
+    flat, starts = part.ids()
+    ids, per_word = L.spread(places, flat, starts)
+    units, lengths = L.with_end(ids, np.array([len(places)]), per_word, m.groups)
+    return m.score(units, lengths)[0], int(per_word[:3].sum())
+
+
+def test_units_sum_to_one(model_file):
+    """Given a beginning, all ids and the end share a probability of one."""
+    m, part = small_model(model_file)
+    flat, starts = part.ids()
+    ids = flat[starts[0] : starts[3]]
+    total = 0.0
+    for u in range(L.UNITS):
+        units = np.concatenate((m.groups.unit[ids], [u])).astype(np.int32)
+        total += 10 ** m.score(units, np.array([len(units)]))[0][-1]
+    in_unit = np.bincount(m.groups.unit, 10**m.in_unit, L.UNITS)
+    assert abs(total - 1) < 1e-3 and np.allclose(in_unit[in_unit > 0], 1)
+
+
+def test_beats_the_base_line_on_held_out(spark, model_file, data):
+    got = L.score(spark.read.parquet(f"{data}/documents.parquet"), model_file).toPandas()
+    held = got[got["held_out"]]
+    assert len(got) == 200 and held["score"].sum() > held["base_score"].sum()
+
+
+def test_empty_and_single(spark, nothing, model_file, monkeypatch):
+    monkeypatch.setattr(L, "STEPS", 5)
+    assert L.score(nothing, model_file).collect() == []
+    df = spark.createDataFrame([(None, None), (None, "A a"), (None, "A a")], "doc_id long, text string")
+    got = sorted(tuple(r)[1:5] for r in L.score(df, model_file).collect())
+    assert got == [(False, 1, 1, 7), (False, 3, 3, 7), (False, 3, 3, 7)]

@@ -133,25 +133,45 @@ def signatures(docs: DataFrame, words: int = SHINGLE_WORDS, bands: int = BANDS,
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """(sid, label): the smallest node that the edges (a, b) reach, for every node with an edge.
 
-    Labels travel along edges and then jump to their label's label, so the rounds grow with the
-    logarithm of the longest chain. Every round is a pair of joins and a partial aggregation.
+    Every node points at its smallest neighbour, or itself; pointers jump to their pointers until
+    all point at roots; edges between different roots remain and are treated likewise. Edges only
+    get fewer, and the rounds grow with the logarithm of the longest chain.
     """
-    both = scratch.save(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-both")
-    labels = scratch.save(both.groupBy(F.col("a").alias("sid")).agg(F.least(F.min("b"), F.col("a")).alias("label")), f"{name}-0")
+    edges = scratch.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-edges-0")
+    labels = None
     for k in range(1, 100):
-        near = both.join(labels, both.b == labels.sid).groupBy(F.col("a").alias("sid")).agg(F.min("label").alias("label"))
-        near = scratch.save(near.union(labels).groupBy("sid").agg(F.min("label").alias("label")), f"{name}-near")
-        jump = near.select(F.col("sid").alias("to"), F.col("label").alias("next"))
-        new = scratch.save(near.join(jump, F.col("label") == F.col("to")).select("sid", F.least("label", "next").alias("label")), f"{name}-{k}")
-        changed = new.alias("n").join(labels.alias("o"), "sid").filter("n.label <> o.label").limit(1).count()
-        scratch.drop(f"{name}-{k - 1}")
-        labels = new
-        if not changed:
+        both = edges.select(F.col("a").alias("sid"), F.col("b").alias("to")).union(edges.select("b", "a"))
+        roots = scratch.save(both.groupBy("sid").agg(F.min("to").alias("to")).select("sid", F.least("sid", "to").alias("label")), f"{name}-roots-{k}-0")
+        for j in range(1, 100):
+            over = roots.select(F.col("sid").alias("at"), F.col("label").alias("next"))
+            jumped = scratch.save(roots.join(over, F.col("label") == F.col("at")).select("sid", F.col("next").alias("label"), (F.col("next") < F.col("label")).alias("moved")), f"{name}-roots-{k}-{j}")
+            scratch.drop(f"{name}-roots-{k}-{j - 1}")
+            roots = jumped.select("sid", "label")
+            if not jumped.filter("moved").limit(1).count():
+                break
+        labels = roots if labels is None else scratch.save(relabelled(labels, roots), f"{name}-labels-{k}")
+        of = lambda c: roots.select(F.col("sid").alias(c), F.col("label").alias(f"root_{c}"))
+        left = edges.join(of("a"), "a").join(of("b"), "b").filter("root_a <> root_b").select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b"))
+        edges = scratch.save(left.distinct(), f"{name}-edges-{k}")
+        scratch.drop(f"{name}-edges-{k - 1}")
+        if not edges.limit(1).count():
             break
-    scratch.drop(f"{name}-both", f"{name}-near")
     return labels
 
 
+def relabelled(labels: DataFrame, roots: DataFrame) -> DataFrame:
+    """Labels that ``roots`` knows as nodes become their roots."""
+    new = roots.select(F.col("sid").alias("at"), F.col("label").alias("root"))
+    return labels.join(new, F.col("label") == F.col("at"), "left").select("sid", F.coalesce("root", "label").alias("label"))
+
+
+def merged(labels: DataFrame, found: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """Labels of all nodes after new edges, which join whole components."""
+    of = lambda c: labels.select(F.col("sid").alias(c), F.col("label").alias(f"label_{c}"))
+    across = found.join(of("a"), "a").join(of("b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
+    return scratch.save(relabelled(labels, components(across, scratch, name)), name)
+
+
 def _values(sigs: list[bytes], values: int) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of the signatures' values, and their short band keys."""
     whole = np.frombuffer(b"".join(sigs), np.uint8).reshape(len(sigs), -1)
@@ -285,9 +305,10 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: tup
     pairs = often.select(F.col("sid").alias("b"), stars.alias("star")).select(F.col("star.least").alias("a"), "b")
     tested = scratch.save(_similar(pairs, sigs, values, least), "tested-0")
     edges = scratch.save(_confirmed(tested, texts, words, *similarity), "edges-0")
-    labels, most = components(edges, scratch, "labels-0"), 4
+    labels = merged(classes.select("sid", F.col("sid").alias("label")), edges, scratch, "labels-0")
+    most = 4
     for k in range(1, 20):
-        labelled = scratch.save(members.join(labels, "sid", "left").select("key", "band", "sid", F.coalesce("label", "sid").alias("label"), "n"), "labelled")
+        labelled = scratch.save(members.join(labels, "sid").select("key", "band", "sid", "label", "n"), "labelled")
         mixed = scratch.save(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"), "mixed")
         again = labelled.join(mixed, "key").join(sigs, "sid").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
         new = _across(again, most, values, least, similarity[0] / similarity[1]).join(tested, ["a", "b"], "left_anti")
@@ -296,12 +317,11 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: tup
             break
         found = scratch.save(_confirmed(new, texts, words, *similarity), f"edges-{k}")
         tested, most = tested.union(new), most * 16
-        edges = edges.union(found)
         if found.limit(1).count():
-            labels = components(edges, scratch, f"labels-{k}")
+            labels = merged(labels, found, scratch, f"labels-{k}")
     scratch.drop("texts", "members", "shared", "labelled", "mixed")
 
-    linked = classes.select("sid", "rep", "n").join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    linked = classes.select("sid", "rep", "n").join(labels, "sid")
     least = linked.groupBy("label").agg(F.min("rep").alias("component"), F.sum("n").alias("n")).filter("n > 1")
     of_class = scratch.save(linked.select("sid", "label").join(least, "label").select(F.col("sid").alias("class"), "component"), "of-class")
     out = sig.select("doc_id", "n_shingles", "sid").join(of_class, F.col("sid") == F.col("class"), "left")
