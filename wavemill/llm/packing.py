@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Scratch, documents
+from .common import Scratch, documents
 
 CAPACITY = 2048
 #: Pieces of a shard, about.
@@ -71,8 +71,9 @@ def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     return bins, offsets
 
 
-#: Letters that the tokenizer's normaliser only lower-cases, then ASCII signs but the apostrophe.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: A lower-cased word of letters that the tokenizer's normaliser leaves alone, then ASCII signs but
+#: the apostrophe; a line of its own each. Other lines give two empty strings.
+_PLAIN = re.compile(r"^(?:([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)|.*)$", re.M)
 
 
 def _byte_letters() -> dict[int, int]:
@@ -81,8 +82,26 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
 
 
-class WordIds(Memo):
-    """Bytes of the little-endian 32-bit ids of a text without ASCII white space.
+class Recent(dict):
+    """Values by key, the latest two generations of at most ``limit`` (and one call's) entries."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def lacking(self, keys: set) -> list:
+        """The keys without a value, after those of the older generation came back."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        away = keys - self.keys()
+        back = away & self.old.keys()
+        self.update(zip(back, map(self.old.__getitem__, back)))
+        return list(away - back)
+
+
+class WordIds:
+    """Bytes of the little-endian 32-bit ids of texts without ASCII white space.
 
     The tokenizer drops white space and never joins text across it, so a document's ids are its
     words' ids in a row. Most words are letters and then signs, which the tokenizer parts; their
@@ -90,43 +109,50 @@ class WordIds(Memo):
     All other words go through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 250_000):
         import json
 
         from tokenizers import Tokenizer
 
-        super().__init__(lambda w: self.parts.compute(w.decode()))
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None}))
-        self.letters = _byte_letters()
-        self.mark = chr(self.letters[1])
-        self.mark_id = self.merges.encode(self.mark).ids[0]
-        self.parts = Memo(lambda w: np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes())
+        self.letters = _byte_letters() | {32: 32}
+        self.mark_id = self.merges.encode(chr(self.letters[1])).ids[0]
+        self.words, self.parts, self.signs = Recent(limit), Recent(limit), {"": b""}
 
-    def learn(self, words: set[bytes]) -> None:
-        found = [(w, m) for w in self.lacks(words) if (m := _PLAIN.fullmatch(w.decode()))]
-        self._learn_letters(self.parts.lacks({m[1].lower() for _, m in found}))
-        parts = self.parts
-        for w, m in found:
-            self.put(w, parts[m[1].lower()] + self.signs(m[2]))
-
-    def signs(self, text: str) -> bytes:
-        return self.parts[text] if text else b""
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_letters(self, words: list[str], most: int = 1000) -> None:
+    def learn(self, words: set[bytes]) -> None:
+        """Make sure of the ids of these words."""
+        todo = self.words.lacking(words)
+        if not todo:
+            return
+        found = _PLAIN.findall(b"\n".join(todo).decode().lower())
+        self._merge(self.parts.lacking({low for low, _ in found if low}))
+        for tail in {tail for _, tail in found} - self.signs.keys():
+            if len(self.signs) > 50_000:
+                self.signs = {"": b""}
+            self.signs[tail] = self.whole(tail)
+        parts, signs = self.parts, self.signs
+        self.words.update(zip(todo, [parts[low] + (signs[tail] if tail in signs else self.whole(tail)) if low else self.whole(w.decode()) for w, (low, tail) in zip(todo, found)]))
+
+    def _merge(self, words: list[str], most: int = 1000) -> None:
         for at in range(0, len(words), most):
             some = words[at : at + most]
-            text = f" {self.mark} ".join(w if w.isascii() else w.encode().decode("latin-1").translate(self.letters) for w in some)
+            text = " \x01 ".join(some).encode().decode("latin-1").translate(self.letters)
             ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            data, start = ids.tobytes(), 0
-            for w, end in zip(some, [*(4 * np.flatnonzero(ids == self.mark_id)).tolist(), 4 * len(ids)]):
-                self.parts.put(w, data[start:end])
-                start = end + 4
+            data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark_id)).tolist()
+            self.parts.update(zip(some, [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)])]))
+
+    def ids(self, words: list[bytes]) -> bytes:
+        """The ids of words that were learnt, in a row."""
+        return b"".join(map(self.words.__getitem__, words))
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, chunk: int = 256) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, chunk: int = 1024) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row (null text: empty)."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -140,7 +166,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 ids.learn(set(itertools.chain.from_iterable(words)))
                 rows = []
                 for doc_id, w in zip(t["doc_id"][begin : begin + chunk].to_pylist(), words):
-                    data = b"".join(map(ids.__getitem__, w)) + end
+                    data = ids.ids(w) + end
                     rows += [(doc_id, at // step, at // 4, min(step, len(data) - at) // 4, zlib.crc32(data[at : at + step])) for at in range(0, len(data), step)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 

@@ -35,10 +35,13 @@ def sketch(text: Column) -> Column:
         small = F.zip_with(F.slice(h, F.lit(1), n - 1), F.slice(h, F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))
         return _let(small, lambda m: of_windows(h, m, n))
 
+    # slice() copies its whole array first, so windows read their elements one by one.
     def of_windows(h: Column, m: Column, n: Column) -> Column:
-        edge = lambda i: F.least(F.get(m, i), F.get(m, i + (inner - 1)))
-        chosen = F.filter(F.sequence(F.lit(0), n - K), lambda i: edge(i) <= F.array_min(F.slice(m, i + 2, F.lit(inner - 2))))
-        return _let(chosen, lambda at: of_anchors(F.transform(at, lambda i: F.xxhash64(F.slice(h, i + 1, F.lit(K))).bitwiseAND(F.lit(0xFFFFFFFF))), at))
+        edges = lambda i: F.least(F.get(m, i), F.get(m, i + (inner - 1)))
+        within = lambda i: F.least(*(F.get(m, i + k) for k in range(1, inner - 1)))
+        chosen = F.filter(F.sequence(F.lit(0), n - K), lambda i: edges(i) <= within(i))
+        anchor = lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(K))).bitwiseAND(F.lit(0xFFFFFFFF))
+        return _let(chosen, lambda at: _let(F.transform(at, anchor), lambda a: of_anchors(a, at)))
 
     def of_anchors(a: Column, at: Column) -> Column:
         least = F.slice(F.sort_array(F.array_distinct(a)), 1, SIZE)
