@@ -21,7 +21,7 @@ def instants(samples: Column, channels: int) -> Column:
     """The samples as an array of instants, as BIGINT; null for a block that is no whole number of them."""
     size = F.size(samples)
     at = F.sequence(F.lit(0), F.floor(size / channels).cast("int") - 1)
-    rows = F.transform(at, lambda t: F.transform(F.slice(samples, t * channels + 1, channels), lambda v: v.cast("long")))
+    rows = F.transform(at, lambda t: F.array(*(F.get(samples, t * channels + c).cast("long") for c in range(channels))))
     return F.when((size > 0) & (size % channels == 0), rows)
 
 

@@ -30,4 +30,6 @@ def epochs(df: DataFrame, window: int, hop: int, x: str = "x", channels: int = 1
     names = [c for c in df.columns if c != x]
     out = df.select(*names, x, index.alias("epoch_index"))
     start = F.col("epoch_index") * hop
-    return out.select(*names, "epoch_index", start.alias("start_t"), F.lit(window).alias("len_t"), F.slice(x, (start * channels + 1).cast("int"), window * channels).alias(x))
+    # slice() would copy the whole array for each window.
+    samples = F.transform(F.sequence(start * channels, (start + window) * channels - 1), lambda i: F.get(x, i))
+    return out.select(*names, "epoch_index", start.alias("start_t"), F.lit(window).alias("len_t"), samples.alias(x))
