@@ -1,6 +1,7 @@
 """The language model: exact base line, gradients, proper probabilities, held-out gain."""
 
 import math
+import os
 import zlib
 from collections import Counter
 
@@ -106,10 +107,16 @@ def test_units_sum_to_one(model_file):
     assert abs(total - 1) < 1e-3 and np.allclose(in_unit[in_unit > 0], 1)
 
 
-def test_beats_the_base_line_on_held_out(spark, model_file, data):
-    got = L.score(spark.read.parquet(f"{data}/documents.parquet"), model_file).toPandas()
+def test_beats_the_base_line_on_held_out(spark, model_file):
+    """The base line gives every unknown word the same share, whatever their number, so a proper
+    model needs some text to pass it."""
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    got = L.score(spark.read.parquet(path), model_file).toPandas()
     held = got[got["held_out"]]
-    assert len(got) == 200 and held["score"].sum() > held["base_score"].sum()
+    assert len(got) == 10_000 and held["score"].sum() > held["base_score"].sum() + 0.05 * held["n_tokens"].sum()
+    assert got["score"].sum() > got["base_score"].sum()
 
 
 def test_empty_and_single(spark, nothing, model_file, monkeypatch):

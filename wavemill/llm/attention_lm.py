@@ -234,7 +234,7 @@ class Model:
     starts: np.ndarray  # share of a unit that begins words
     words: np.ndarray  # training words by their first unit
     kinds: np.ndarray  # and distinct ones
-    mix: float = 0.5
+    mix: float = 0.3  # of what follows a unit by count, against the layer
 
     def score(self, units: np.ndarray, lengths: np.ndarray, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each unit, given those before it in its document, and that of any
