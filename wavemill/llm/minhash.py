@@ -225,10 +225,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, numerator: int, d
 def _across(members: DataFrame, most: int, values: int, least: float, ratio: float) -> DataFrame:
     """Pairs (a, b) of different components in one bucket whose sizes and signatures agree.
 
-    members: key, band, sid, label, n_shingles, sig, blocks (of the bucket). Each member proposes,
-    for every other component of its bucket, its ``most`` best partners there. Of the buckets
-    that a pair shares only the first band's proposes it. Blocks of a large bucket meet pairwise,
-    each pair of blocks in a task of its own.
+    members: key, band, sid, label, n_shingles, sig, blocks (of the bucket). Of two components in
+    a bucket, each member of the smaller one proposes its ``most`` best partners in the other. Of
+    the buckets that a pair shares only the first band's proposes it. Blocks of a large bucket
+    meet pairwise, each pair of blocks in a task of its own.
     """
     block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("sid"), F.col("blocks"))).otherwise(F.lit(0))
     dealt = (
@@ -241,8 +241,10 @@ def _across(members: DataFrame, most: int, values: int, least: float, ratio: flo
 
     def pairs(sid: np.ndarray, band: int, label: np.ndarray, n: np.ndarray, sigs: list[bytes]) -> set:
         found, (sig, keys) = set(), _values(sigs, values)
-        for x in range(len(sid)):
-            near = np.flatnonzero((label != label[x]) & (np.minimum(n, n[x]) >= ratio * np.maximum(n, n[x])))
+        _, of, count = np.unique(label, return_inverse=True, return_counts=True)
+        rank = np.lexsort((np.arange(len(count)), count)).argsort()[of]  # of a component, by its members here
+        for x in np.flatnonzero(rank < rank.max()):
+            near = np.flatnonzero((rank > rank[x]) & (np.minimum(n, n[x]) >= ratio * np.maximum(n, n[x])))
             near = near[(keys[near] == keys[x]).argmax(axis=1) == band] if len(near) else near
             est = estimate(sig[x], sig[near])
             near, est = near[est >= least], est[est >= least]
