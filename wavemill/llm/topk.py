@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 #: Rows of a shard, about, and queries of a block; a task holds one shard and one block.
 SHARD, BLOCK = 16_384, 256
 #: Levels of impact of a dimension's positive and of its negative components.
-LEVELS = 4
+LEVELS = 2
 #: Segments between two tries to stop, and the share of rows that may remain possible.
-STEP, ENOUGH = 16, 0.02
+STEP, ENOUGH = 16, 0.25
 SCALE = 256
 
 
