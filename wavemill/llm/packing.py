@@ -11,6 +11,7 @@ fewer shards, until one is left or nothing is gained.
 
 from __future__ import annotations
 
+import gc
 import itertools
 import os
 import re
@@ -158,6 +159,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        gc.disable()  # words in large lists, none of them in cycles
         ids, end, step = WordIds(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for t in batches:
             text = t["text"].cast(pa.binary())
@@ -169,6 +171,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     data = ids.ids(w) + end
                     rows += [(doc_id, at // step, at // 4, min(step, len(data) - at) // 4, zlib.crc32(data[at : at + step])) for at in range(0, len(data), step)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+        gc.enable()
 
     return documents(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
