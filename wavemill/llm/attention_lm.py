@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, Shipped
 
 #: Training documents that fit the attention layer and name the units, at most.
 SAMPLE = 1500
@@ -387,7 +387,7 @@ def score(docs: DataFrame, tokenizer: str, sample: int = SAMPLE, part_bytes: int
     texts = [r[0].encode() for r in trained.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id")).limit(sample).select("text").toLocalIterator()]
     groups, layer = fit(texts, tokenizer)
     del texts
-    shared = spark.sparkContext.broadcast(groups)
+    shared = Shipped(spark, groups)
 
     counted = part_counts(rows, tokenizer, shared)
     same = Window.partitionBy("kind", "key")
@@ -409,7 +409,7 @@ def score(docs: DataFrame, tokenizer: str, sample: int = SAMPLE, part_bytes: int
     firsts = first.filter(F.col("kind") == _WORD).groupBy("unit").agg(F.sum("total").alias("n"), F.count("*").alias("v")).toPandas()
     words_by, kinds_by = np.zeros(UNITS), np.zeros(UNITS)
     words_by[firsts["unit"].to_numpy()], kinds_by[firsts["unit"].to_numpy()] = firsts["n"].to_numpy(), firsts["v"].to_numpy()
-    model = spark.sparkContext.broadcast(counted_model(groups, layer, of_id, pairs, words_by, kinds_by))
+    model = Shipped(spark, counted_model(groups, layer, of_id, pairs, words_by, kinds_by))
 
     def scored(docs_: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         m, words = model.value, PartWords(tokenizer)

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -55,6 +56,17 @@ class Scratch:
             return
 
 
+class Shipped:
+    """A broadcast object that executors can load without this package: it is pickled by value."""
+
+    def __init__(self, spark: SparkSession, thing):
+        self.broadcast = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+
+    @property
+    def value(self):
+        return cloudpickle.loads(self.broadcast.value)
+
+
 class Memo(dict):
     """A dict that computes what it lacks and remembers what was asked for lately.
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, map_rows
+from .common import Memo, Shipped, map_rows
 
 #: Labelled rows that train the chain, at most.
 SAMPLE = 6000
@@ -31,7 +31,7 @@ EVIDENCE = 15.0
 FOLDS = 5
 PENALTY = 0.5
 #: The threshold is the one of best F1 on out-of-fold predictions, within these bounds.
-THRESHOLDS = (0.2, 0.6)
+THRESHOLDS = (0.35, 0.6)
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -215,7 +215,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
 
     Null, empty and wordless texts get the chain's probabilities for no features.
     """
-    model = docs.sparkSession.sparkContext.broadcast(chain)  # some hundred features a category
+    model = Shipped(docs.sparkSession, chain)  # some hundred features a category
 
     def make():
         chain = model.value
@@ -252,7 +252,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
     chain = fit(docs, labels, sample)
     if not any(np.any(w) for w, _, _ in chain.models):
         return docs
-    model = docs.sparkSession.sparkContext.broadcast(chain)
+    model = Shipped(docs.sparkSession, chain)
     at = chain.categories.index("toxic")
     threshold = threshold or chain.thresholds[at]
 
