@@ -84,6 +84,11 @@ def test_valid_kinds_stay_valid(spark):
     assert re.fullmatch(r"\d\d\.\d\d\.\d{4}", date) and re.fullmatch(r"\+49 \d\d \d{4} \d{4}", phone) and re.fullmatch("[0-9a-f]{40}", secret)
 
 
+def test_date_of_a_time(spark):
+    r = one(spark, "2024-02-29T10:11:12Z")
+    assert r.n_values == 1 and re.fullmatch(r"\d{4}-\d\d-\d\dT10:11:12Z", r.text) and not r.text.startswith("2024-02-29")
+
+
 def test_equal_values_stay_linked_and_keys_differ(spark):
     a, b = one(spark, "x 4111111111111111 y"), one(spark, "(4111111111111111)### z")
     assert a.text[2:18] == b.text[1:17] and one(spark, "x 4111111111111111 y", "other").text != a.text

@@ -33,8 +33,8 @@ PATTERNS = {
     "phone": r"(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-][0-9]{2,4}){2,3}|\+[0-9]{8,15}|\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})",
     "secret": r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})",
 }
-#: A secret or number may follow signs; only a sign that would make it part of a longer one is barred.
-_ANY = _BEFORE + "(?:" + "|".join(PATTERNS.values()) + ")" + _AFTER
+#: A value may follow signs, but none that would make it part of a longer one; a date may have a time.
+_ANY = _BEFORE + "(?:(?:" + "|".join(PATTERNS.values()) + ")" + _AFTER + r"|[0-9]{4}-[0-9]{2}-[0-9]{2}(?=T[0-9]{2}))"
 #: Texts without it hold no value.
 _HINT = r"[0-9]{2}|@|[0-9]\.[0-9]"
 #: The range of dates: 270 * 271 days from this one, to 2100-05-02.

@@ -18,8 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a shard, about, and queries of a block; a task holds one shard and one block.
-SHARD, BLOCK = 16_384, 256
+#: Rows of a shard, about, and queries of a block; a task holds one shard and one block, and both
+#: tables are repeated as often as the other has pieces.
+SHARD, BLOCK = 8192, 4096
 #: Levels of impact of a dimension's positive and of its negative components.
 LEVELS = 2
 #: Segments between two tries to stop, and the share of rows that may remain possible.
