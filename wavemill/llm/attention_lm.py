@@ -37,7 +37,7 @@ UNITS, SHARED_UNITS, CLASSES, SHARED_CLASSES = 512, 8, 64, 16
 WINDOW, STRIDE, WIDTH = 32, 16, 16
 STEPS, BATCH, RATE = 500, 96, 0.01
 #: Bytes of text of a part, about.
-PART_BYTES = 16_000_000
+PART_BYTES = 32_000_000
 #: Prior observations of a unit after each other one.
 PRIOR = 20.0
 #: What a counted word gives up for words that were never counted.
@@ -70,16 +70,20 @@ def forward(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
     vectors plus a weight of their distance.
     """
     pad = m["bias"].shape[0]
-    meet = m["query"] @ m["key"].T / np.float32(np.sqrt(WIDTH))
-    s = meet[x[:, WINDOW - STRIDE :, None], x[:, None, :]] + np.where(_AT >= 0, m["near"][np.maximum(_AT, 0)], np.float32(-1e9))
-    s[np.broadcast_to((x == pad)[:, None, :], s.shape) & (_AT > 0)] = -1e9
-    s -= s.max(axis=2, keepdims=True)
+    meet = np.clip(m["query"] @ m["key"].T / np.float32(np.sqrt(WIDTH)), -30, 30)
+    meet[:, pad] = -1e9  # padding is no key
+    ask = x[:, WINDOW - STRIDE :]
+    s = meet.ravel()[ask[:, :, None] * np.int32(pad + 1) + x[:, None, :]]
+    s += np.where(_AT >= 0, m["near"][np.maximum(_AT, 0)], np.float32(-1e9))
     np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True)
-    h = np.tanh(m["own"][x[:, WINDOW - STRIDE :]] + s @ m["value"][x])
-    logits = (h.reshape(-1, WIDTH) @ m["out"] + m["bias"]).reshape(*h.shape[:2], pad)
-    logits -= logits.max(axis=2, keepdims=True)
-    return s, h, logits
+    s /= s.sum(axis=2, keepdims=True) + np.float32(1e-30)
+    h = m["own"][ask]
+    h += s @ m["value"][x]
+    np.tanh(h, out=h)
+    logits = h.reshape(-1, WIDTH) @ m["out"]
+    logits += m["bias"]
+    np.clip(logits, -60, 60, out=logits)
+    return s, h, logits.reshape(*h.shape[:2], pad)
 
 
 def train(windows: np.ndarray, targets: np.ndarray, classes: int = CLASSES, steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
@@ -90,7 +94,7 @@ def train(windows: np.ndarray, targets: np.ndarray, classes: int = CLASSES, step
         pick = r.integers(0, len(windows), BATCH)
         x, y = windows[pick], targets[pick]
         a, h, logits = forward(m, x)
-        p = np.exp(logits)
+        p = np.exp(logits - logits.max(axis=2, keepdims=True))
         p /= p.sum(axis=2, keepdims=True)
         scored = y >= 0
         np.put_along_axis(p, np.maximum(y, 0)[..., None], np.take_along_axis(p, np.maximum(y, 0)[..., None], 2) - 1, 2)
@@ -131,7 +135,8 @@ def windowed(units: np.ndarray, lengths: np.ndarray, pad: int) -> tuple[np.ndarr
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
     at = (nth * STRIDE)[:, None] + np.arange(STRIDE - WINDOW, STRIDE)[None, :]  # input positions
     inputs = units[np.clip(starts[doc][:, None] + at - 1, 0, max(len(units) - 1, 0))]
-    inputs = np.where(at == 0, END, np.where((at < 0) | (at >= lengths[doc][:, None]), pad, inputs))
+    inputs[(at < 0) | (at >= lengths[doc][:, None])] = pad
+    inputs[at == 0] = END
     scored = at[:, WINDOW - STRIDE :]
     return inputs, np.where(scored < lengths[doc][:, None], starts[doc][:, None] + scored, -1)
 
@@ -139,6 +144,14 @@ def windowed(units: np.ndarray, lengths: np.ndarray, pad: int) -> tuple[np.ndarr
 # --- words, ids and units ------------------------------------------------------------------------
 
 
+class Places(dict):
+    """Numbers its keys as they are first asked for."""
+
+    def __missing__(self, key: bytes) -> int:
+        self[key] = place = len(self)
+        return place
+
+
 class PartWords:
     """The distinct words of a part of the corpus, with their hashes and subword ids."""
 
@@ -146,26 +159,26 @@ class PartWords:
         from sentencepiece import SentencePieceProcessor
 
         self.encoder = SentencePieceProcessor(model_file=tokenizer)
-        self.places: dict[bytes, int] = {}
-        self.words: list[bytes] = []
+        self.places = Places()
+
+    @property
+    def words(self) -> list[bytes]:
+        return list(self.places)
 
     def add(self, data: bytes) -> np.ndarray:
-        words, places = lowered(data), self.places
-        for w in set(words) - places.keys():
-            places[w] = len(places)
-            self.words.append(w)
-        return np.fromiter(map(places.__getitem__, words), np.int32, len(words))
+        words = lowered(data)
+        return np.fromiter(map(self.places.__getitem__, words), np.int32, len(words))
 
     def hashes(self) -> np.ndarray:
         import xxhash
 
-        return np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words)).view(np.int64)
+        return np.fromiter(map(xxhash.xxh64_intdigest, self.places), np.uint64, len(self.places)).view(np.int64)
 
     def ids(self) -> tuple[np.ndarray, np.ndarray]:
         """All words' ids in a row, and where each word's begin."""
-        flat, counts = [], []
-        for at in range(0, len(self.words), 10_000):
-            some = self.encoder.encode([w.decode() for w in self.words[at : at + 10_000]], num_threads=1)
+        flat, counts, words = [], [], self.words
+        for at in range(0, len(words), 10_000):
+            some = self.encoder.encode([w.decode() for w in words[at : at + 10_000]], num_threads=1)
             counts.append(np.fromiter(map(len, some), np.int64, len(some)))
             flat.append(np.fromiter((i for x in some for i in x), np.int32, int(counts[-1].sum())))
         counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
@@ -236,22 +249,22 @@ class Model:
     kinds: np.ndarray  # and distinct ones
     mix: float = 0.3  # of what follows a unit by count, against the layer
 
-    def score(self, units: np.ndarray, lengths: np.ndarray, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, units: np.ndarray, lengths: np.ndarray, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each unit, given those before it in its document, and that of any
         unit that begins a word (or of the end) at its place."""
         total, begun = np.zeros(len(units)), np.zeros(len(units))
         start_class = np.bincount(self.groups.klass, self.in_class * self.starts, CLASSES).astype(np.float32)
         start_after = self.follows @ self.starts.astype(np.float32)
         x, place = windowed(units, lengths, -1)
-        before = x[:, WINDOW - STRIDE :]
-        x = np.where(x < 0, CLASSES, self.groups.klass[np.maximum(x, 0)])
+        before = np.maximum(x[:, WINDOW - STRIDE :], 0)
+        x = np.append(self.groups.klass, np.int32(CLASSES))[x]  # the padding, -1, is the last one
         for at in range(0, len(x), chunk):
             _, _, logits = forward(self.layer, x[at : at + chunk])
             p, own = place[at : at + chunk], place[at : at + chunk] >= 0
             u = units[np.maximum(p, 0)]
             top = np.exp(np.take_along_axis(logits, self.groups.klass[u][..., None], 2)[..., 0])
             np.exp(logits, out=logits)
-            norm, b = logits.sum(axis=2), np.maximum(before[at : at + chunk], 0)
+            norm, b = logits.sum(axis=2), before[at : at + chunk]
             now = (1 - self.mix) * top / norm * self.in_class[u] + self.mix * self.follows[b, u]
             any_ = (1 - self.mix) * (logits @ start_class) / norm + self.mix * start_after[b]
             total[p[own]], begun[p[own]] = np.log10(now[own]), np.log10(any_[own])
@@ -322,7 +335,8 @@ def counted_model(groups: Grouping, layer: dict[str, np.ndarray], of_id: np.ndar
 def parts(docs: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
     """The documents dealt by a hash of their id into parts of about so many bytes."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = max(1, -(-(rows.select(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
+    size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // part_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, size // (part_bytes // 8)))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
     place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(n)).cast("int")
     return rows.select(place.alias("part"), "doc_id", held.alias("held_out"), "text").repartition(n, "part"), n
@@ -345,7 +359,7 @@ def part_counts(rows: DataFrame, tokenizer: str, groups) -> DataFrame:
                 words, seen = state.setdefault(part, (PartWords(tokenizer), []))
                 seen.append((held, words.add(x.as_py())))
         for part, (words, seen) in state.items():
-            n, trained = len(words.words), [p for held, p in seen if not held]
+            n, trained = len(words.places), [p for held, p in seen if not held]
             places = np.concatenate(trained) if trained else np.zeros(0, np.int32)
             flat, starts = words.ids()
             pairs, ids_seen = np.zeros(UNITS * UNITS, np.int64), np.zeros(words.encoder.get_piece_size(), np.int64)

@@ -91,7 +91,7 @@ class Memo(dict):
 
     def lacks(self, keys: set) -> list:
         """Those of the keys that would have to be computed."""
-        return [k for k in keys - self.keys() if k not in self.old]
+        return [k for k in keys if k not in self and k not in self.old]
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str, chunk: int = 256) -> DataFrame:

@@ -83,22 +83,20 @@ def _byte_letters() -> dict[int, int]:
     return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
 
 
-class Recent(dict):
+class Recent:
     """Values by key, the latest two generations of at most ``limit`` (and one call's) entries."""
 
     def __init__(self, limit: int):
-        super().__init__()
-        self.limit, self.old = limit, {}
+        self.limit, self.now, self.old = limit, {}, {}
 
     def lacking(self, keys: set) -> list:
         """The keys without a value, after those of the older generation came back."""
-        if len(self) > self.limit:
-            self.old = dict(self)
-            self.clear()
-        away = keys - self.keys()
-        back = away & self.old.keys()
-        self.update(zip(back, map(self.old.__getitem__, back)))
-        return list(away - back)
+        if len(self.now) > self.limit:
+            self.now, self.old = {}, self.now
+        away = keys.difference(self.now)
+        back = {k: self.old[k] for k in away if k in self.old}
+        self.now.update(back)
+        return list(away.difference(back))
 
 
 class WordIds:
@@ -137,8 +135,8 @@ class WordIds:
             if len(self.signs) > 50_000:
                 self.signs = {"": b""}
             self.signs[tail] = self.whole(tail)
-        parts, signs = self.parts, self.signs
-        self.words.update(zip(todo, [parts[low] + (signs[tail] if tail in signs else self.whole(tail)) if low else self.whole(w.decode()) for w, (low, tail) in zip(todo, found)]))
+        parts, signs = self.parts.now, self.signs
+        self.words.now.update(zip(todo, [parts[low] + (signs[tail] if tail in signs else self.whole(tail)) if low else self.whole(w.decode()) for w, (low, tail) in zip(todo, found)]))
 
     def _merge(self, words: list[str], most: int = 1000) -> None:
         for at in range(0, len(words), most):
@@ -146,11 +144,11 @@ class WordIds:
             text = " \x01 ".join(some).encode().decode("latin-1").translate(self.letters)
             ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark_id)).tolist()
-            self.parts.update(zip(some, [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)])]))
+            self.parts.now.update(zip(some, [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)])]))
 
     def ids(self, words: list[bytes]) -> bytes:
         """The ids of words that were learnt, in a row."""
-        return b"".join(map(self.words.__getitem__, words))
+        return b"".join(map(self.words.now.__getitem__, words))
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, chunk: int = 1024) -> DataFrame:
