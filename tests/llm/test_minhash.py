@@ -83,7 +83,7 @@ def test_repeats_nulls_and_empty(spark, nothing):
     df = spark.createDataFrame([(None, text), (7, text), (7, text), (9, text.upper()), (None, "else"), (3, None), (None, None)], "doc_id long, text string")
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
     assert got == sorted([("None", 3, 7, False), ("7", 3, 7, True), ("7", 3, 7, True), ("9", 3, 7, False), ("None", 1, None, True), ("3", 0, 3, True), ("None", 0, None, True)])
-    assert sorted(str(r.doc_id) for r in minhash.keep_first(df).collect()) == ["3", "7", "None"] or minhash.keep_first(df).count() >= 3
+    assert sorted(str(r.doc_id) for r in minhash.keep_first(df).collect()) == ["3", "7", "None", "None", "None"]
     assert minhash.near_duplicates(nothing).collect() == []
 
 

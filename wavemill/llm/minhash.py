@@ -345,7 +345,10 @@ def _own(texts: DataFrame, words: int) -> DataFrame:
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The documents, all their columns, without those whose component has a smaller doc_id.
 
-    Of rows that repeat a kept doc_id one stays.
+    Rows that repeat a doc_id and its text become one. Rows without a doc_id can't be told apart
+    by a decision and all stay, and so do other texts under a doc_id that is kept.
     """
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    kept = near_duplicates(docs, **options).filter("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    known = docs.filter(docs["doc_id"].isNotNull())
+    first = known.join(kept, known["doc_id"] == kept["kept_id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return first.union(docs.filter(docs["doc_id"].isNull()))
