@@ -34,8 +34,9 @@ BAND_ROWS = 4
 #: A pair is confirmed if its estimate reaches the similarity less this; at a similarity of 0.75
 #: the estimate of 160 values stays below that with a probability of about 1e-5, above it less.
 MARGIN = 0.15
-#: Of the smallest members of its buckets, a set is first tested against those it meets most often.
-STARS = 2
+#: Of the smallest members of its buckets, a set is first tested against those it meets most often,
+#: and at least so often.
+STARS, MEETINGS = 2, 4
 #: Members of a bucket that are compared in one piece.
 BLOCK = 2048
 #: A representative's text goes to up to so many tasks, each with part of its candidates.
@@ -178,20 +179,6 @@ def _values(sigs: list[bytes], values: int) -> tuple[np.ndarray, np.ndarray]:
     return whole[:, :values], np.ascontiguousarray(whole[:, values:]).view(np.uint32)
 
 
-def _similar(pairs: DataFrame, sigs: DataFrame, values: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose signatures agree well enough to be confirmed."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            if t.num_rows:
-                x, y = (_values(t[c].to_pylist(), values)[0] for c in ("sig_a", "sig_b"))
-                t = t.filter(pa.array(estimate(x, y) >= least))
-            yield t.select(["a", "b"])
-
-    of = lambda c: sigs.select(F.col("sid").alias(c), F.col("sig").alias(f"sig_{c}"))
-    return pairs.join(of("b"), "b").join(of("a"), "a").select("a", "b", "sig_a", "sig_b").mapInArrow(keep, "a long, b long")
-
-
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets are similar enough.
 
@@ -304,8 +291,8 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: tup
 
     often = members.filter("sid <> least").groupBy("sid", "least").agg(F.count("*").alias("times")).groupBy("sid").agg(F.collect_list(F.struct("times", "least")).alias("stars"))
     stars = F.explode(F.slice(F.sort_array("stars", asc=False), 1, STARS))
-    pairs = often.select(F.col("sid").alias("b"), stars.alias("star")).select(F.col("star.least").alias("a"), "b")
-    tested = scratch.save(_similar(pairs, sigs, values, least), "tested-0")
+    often = often.select("sid", F.filter("stars", lambda s: s["times"] >= MEETINGS).alias("stars"))
+    tested = scratch.save(often.select(F.col("sid").alias("b"), stars.alias("star")).select(F.col("star.least").alias("a"), "b"), "tested-0")
     edges = scratch.save(_confirmed(tested, texts, words, *similarity), "edges-0")
     labels = merged(classes.select("sid", F.col("sid").alias("label")), edges, scratch, "labels-0")
     most = 4
