@@ -25,15 +25,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Memo, Scratch, documents, map_rows
 
 SHINGLE_WORDS = 5
 BANDS = 40
 BAND_ROWS = 4
-#: A pair is confirmed if its estimate reaches the similarity less this; at a similarity of 0.75
-#: the estimate of 160 values stays below that with a probability of about 1e-5, above it less.
+#: A pair is confirmed if its estimates reach the similarity less these: first that of the 160
+#: values, then that of so many more permutations. At a similarity of 0.75 either stays below with
+#: a probability of about 1e-5, above it less.
 MARGIN = 0.15
+FINE, FINE_MARGIN = 384, 0.07
 #: Of the smallest members of its buckets, a set is first tested against those it meets most often,
 #: and at least so often.
 STARS, MEETINGS = 2, 4
@@ -82,13 +85,14 @@ def word_memo() -> Memo:
     return Memo(xxhash.xxh64_intdigest)
 
 
-def signature(shingles: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+def signature(shingles: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS, seed: int = 21) -> np.ndarray:
     """Minima, then maxima, under ``bands * rows / 2`` permutations of the 64-bit hashes."""
     n = bands * rows // 2
-    a, b = _odd(n, 21)[:, None], _odd(n, 22)[:, None]
+    a, b = _odd(n, seed)[:, None], _odd(n, seed + 1)[:, None]
     low, high = np.full(n, 2**64 - 1, np.uint64), np.zeros(n, np.uint64)
-    for at in range(0, len(shingles), 1024):
-        x = a * shingles[at : at + 1024] + b
+    step = 80_000 // n
+    for at in range(0, len(shingles), step):
+        x = a * shingles[at : at + step] + b
         np.minimum(low, x.min(axis=1), out=low)
         np.maximum(high, x.max(axis=1), out=high)
     return np.concatenate((low, high))
@@ -111,6 +115,11 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=-1)
 
 
+def _short(sig: np.ndarray) -> bytes:
+    """A byte of each value."""
+    return (_mix(sig) & _U(255)).astype(np.uint8).tobytes()
+
+
 def signatures(docs: DataFrame, words: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, n_shingles, sid (null without words), keys (band keys), sig (a byte of each value,
     then four of each band key)."""
@@ -124,7 +133,7 @@ def signatures(docs: DataFrame, words: int = SHINGLE_WORDS, bands: int = BANDS,
                 return doc_id, 0, None, [], b""
             v = signature(s, bands, rows)
             keys = band_keys(v, bands, rows)
-            return doc_id, len(s), signed(s), keys, (_mix(v) & _U(255)).astype(np.uint8).tobytes() + keys.astype(np.uint32).tobytes()
+            return doc_id, len(s), signed(s), keys, _short(v) + keys.astype(np.uint32).tobytes()
 
         return one
 
@@ -209,10 +218,10 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, numerator: int, d
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, most: int, values: int, least: float, ratio: float) -> DataFrame:
+def _across(members: DataFrame, most: int, values: int, ratio: float) -> DataFrame:
     """Pairs (a, b) of different components in one bucket whose sizes and signatures agree.
 
-    members: key, band, sid, label, n_shingles, sig, blocks (of the bucket). Of two components in
+    members: key, band, sid, label, n_shingles, sig, fine, blocks (of the bucket). Of two components in
     a bucket, each member of the smaller one proposes its ``most`` best partners in the other. Of
     the buckets that a pair shares only the first band's proposes it. Blocks of a large bucket
     meet pairwise, each pair of blocks in a task of its own.
@@ -221,20 +230,22 @@ def _across(members: DataFrame, most: int, values: int, least: float, ratio: flo
     dealt = (
         members.withColumn("block", block)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "band", "label", "n_shingles", "sig")
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "band", "label", "n_shingles", "sig", "fine")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
     )
 
-    def pairs(sid: np.ndarray, band: int, label: np.ndarray, n: np.ndarray, sigs: list[bytes]) -> set:
+    def pairs(sid: np.ndarray, band: int, label: np.ndarray, n: np.ndarray, sigs: list[bytes], fines: list[bytes]) -> set:
         found, (sig, keys) = set(), _values(sigs, values)
+        fine = np.frombuffer(b"".join(fines), np.uint8).reshape(len(fines), -1)
         _, of, count = np.unique(label, return_inverse=True, return_counts=True)
         rank = np.lexsort((np.arange(len(count)), count)).argsort()[of]  # of a component, by its members here
         for x in np.flatnonzero(rank < rank.max()):
             near = np.flatnonzero((rank > rank[x]) & (np.minimum(n, n[x]) >= ratio * np.maximum(n, n[x])))
             near = near[(keys[near] == keys[x]).argmax(axis=1) == band] if len(near) else near
-            est = estimate(sig[x], sig[near])
-            near, est = near[est >= least], est[est >= least]
+            near = near[estimate(sig[x], sig[near]) >= ratio - MARGIN]
+            est = estimate(fine[x], fine[near])
+            near, est = near[est >= ratio - FINE_MARGIN], est[est >= ratio - FINE_MARGIN]
             seen: dict[int, int] = {}
             for y in near[np.lexsort((sid[near], -est))]:
                 seen[label[y]] = seen.get(label[y], 0) + 1
@@ -246,13 +257,13 @@ def _across(members: DataFrame, most: int, values: int, least: float, ratio: flo
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def done(rows: list) -> pa.RecordBatch:
-            sid, band, label, n, sigs = zip(*rows)
-            got = list(pairs(np.array(sid), band[0], np.array(label), np.array(n), list(sigs))) if len(set(label)) > 1 else []
+            sid, band, label, n, sigs, fines = zip(*rows)
+            got = list(pairs(np.array(sid), band[0], np.array(label), np.array(n), list(sigs), list(fines))) if len(set(label)) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([int(g[k]) for g in got], pa.int64()) for k in (0, 1)], schema=schema)
 
         now, rows = None, []
         for t in batches:
-            cols = [t[c].to_pylist() for c in ("key", "i", "j", "sid", "band", "label", "n_shingles", "sig")]
+            cols = [t[c].to_pylist() for c in ("key", "i", "j", "sid", "band", "label", "n_shingles", "sig", "fine")]
             for key, i, j, *row in zip(*cols):
                 if (key, i, j) != now:
                     if rows:
@@ -279,15 +290,14 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: tup
     classes = scratch.save(
         sig.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes"
     )
-    values, least = bands * rows, similarity[0] / similarity[1] - MARGIN
     in_band = classes.select("sid", F.posexplode("keys").alias("band", "key"))
     shared = scratch.save(in_band.groupBy("key").agg(F.min("sid").alias("least"), F.count("*").alias("n")).filter("n > 1"), "shared")
     members = scratch.save(in_band.join(shared, "key").select("key", "band", "sid", "least", "n"), "members")
-    sigs = classes.select("sid", "sig", "n_shingles")
 
-    of = members.select("sid").distinct().join(classes.select("sid", "rep"), "sid")
-    texts = documents(docs).join(of, F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "text")
-    texts = scratch.save(_own(texts, words), "texts")
+    of = members.select("sid").distinct().join(classes.select("sid", "rep", "sig", "n_shingles"), "sid")
+    own = documents(docs).join(of, F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "text", "sig", "n_shingles")
+    own = scratch.save(_own(own, words).dropDuplicates(["sid"]), "texts")
+    texts, sigs = own.select("sid", "text"), own.drop("text")
 
     often = members.filter("sid <> least").groupBy("sid", "least").agg(F.count("*").alias("times")).groupBy("sid").agg(F.collect_list(F.struct("times", "least")).alias("stars"))
     stars = F.explode(F.slice(F.sort_array("stars", asc=False), 1, STARS))
@@ -300,7 +310,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: tup
         labelled = scratch.save(members.join(labels, "sid").select("key", "band", "sid", "label", "n"), "labelled")
         mixed = scratch.save(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"), "mixed")
         again = labelled.join(mixed, "key").join(sigs, "sid").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-        new = _across(again, most, values, least, similarity[0] / similarity[1]).join(tested, ["a", "b"], "left_anti")
+        new = _across(again, most, bands * rows, similarity[0] / similarity[1]).join(tested, ["a", "b"], "left_anti")
         new = scratch.save(new, f"tested-{k}")
         if not new.limit(1).count():
             break
@@ -319,14 +329,19 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: tup
 
 
 def _own(texts: DataFrame, words: int) -> DataFrame:
-    """The rows whose text has the class they came with: a doc_id may repeat with another text."""
+    """The rows whose text has the class they came with (a doc_id may repeat with another text), and
+    their fine signatures."""
+    schema = T.StructType([*texts.schema.fields, T.StructField("fine", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo()
         for t in batches:
-            yield t.filter(pa.array([signed(shingle_set(x.as_py().encode(), memo, words)) == s for s, x in zip(t["sid"].to_pylist(), t["text"])], pa.bool_()))
+            sets = [shingle_set(x.as_py().encode(), memo, words) for x in t["text"]]
+            right = [signed(x) == s for s, x in zip(t["sid"].to_pylist(), sets)]
+            fine = [_short(signature(x, 2 * FINE, 1, seed=41)) if ok else None for x, ok in zip(sets, right)]
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(fine, pa.binary())], names=[*t.schema.names, "fine"]).filter(pa.array(right, pa.bool_()))
 
-    return texts.mapInArrow(run, "sid long, text string")
+    return texts.mapInArrow(run, schema)
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
