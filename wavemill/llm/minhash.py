@@ -14,7 +14,7 @@ No group is ever expanded into its pairs. Equal sets are one class from the star
 tested against the smallest members of its buckets, two at most (linear); after components are
 known, only buckets that still hold several components are looked at again: their members' signatures
 are compared block by block, and just members that look similar to another component are
-confirmed, best first, until nothing is left to test.
+confirmed: the best few pairs first, then whatever pairs are left between components.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ FINE, FINE_MARGIN = 384, 0.07
 #: Of the smallest members of its buckets, a set is first tested against those it meets most often,
 #: and at least so often.
 STARS, MEETINGS = 2, 4
+#: The partners in another component that a set is first tested against.
+FIRST = 4
 #: Members of a bucket that are compared in one piece.
 BLOCK = 2048
 #: A representative's text goes to up to so many tasks, each with part of its candidates.
@@ -218,11 +220,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, numerator: int, d
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def _across(members: DataFrame, most: int, values: int, ratio: float) -> DataFrame:
+def _across(members: DataFrame, most: int | None, values: int, ratio: float) -> DataFrame:
     """Pairs (a, b) of different components in one bucket whose sizes and signatures agree.
 
     members: key, band, sid, label, n_shingles, sig, fine, blocks (of the bucket). Of two components in
-    a bucket, each member of the smaller one proposes its ``most`` best partners in the other. Of
+    a bucket, each member of the smaller one proposes its ``most`` best partners in the other (None: all). Of
     the buckets that a pair shares only the first band's proposes it. Blocks of a large bucket
     meet pairwise, each pair of blocks in a task of its own.
     """
@@ -249,7 +251,7 @@ def _across(members: DataFrame, most: int, values: int, ratio: float) -> DataFra
             seen: dict[int, int] = {}
             for y in near[np.lexsort((sid[near], -est))]:
                 seen[label[y]] = seen.get(label[y], 0) + 1
-                if seen[label[y]] <= most:
+                if most is None or seen[label[y]] <= most:
                     found.add((min(sid[x], sid[y]), max(sid[x], sid[y])))
         return found
 
@@ -305,17 +307,15 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: tup
     tested = scratch.save(often.select(F.col("sid").alias("b"), stars.alias("star")).select(F.col("star.least").alias("a"), "b"), "tested-0")
     edges = scratch.save(_confirmed(tested, texts, words, *similarity), "edges-0")
     labels = merged(classes.select("sid", F.col("sid").alias("label")), edges, scratch, "labels-0")
-    most = 4
-    for k in range(1, 20):
+    # The best few partners first; then, where components still meet in a bucket, all the rest.
+    for k, most in enumerate((FIRST, None), 1):
         labelled = scratch.save(members.join(labels, "sid").select("key", "band", "sid", "label", "n"), "labelled")
         mixed = scratch.save(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"), "mixed")
         again = labelled.join(mixed, "key").join(sigs, "sid").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
         new = _across(again, most, bands * rows, similarity[0] / similarity[1]).join(tested, ["a", "b"], "left_anti")
         new = scratch.save(new, f"tested-{k}")
-        if not new.limit(1).count():
-            break
         found = scratch.save(_confirmed(new, texts, words, *similarity), f"edges-{k}")
-        tested, most = tested.union(new), most * 16
+        tested = tested.union(new)
         if found.limit(1).count():
             labels = merged(labels, found, scratch, f"labels-{k}")
     scratch.drop("texts", "members", "shared", "labelled", "mixed")
