@@ -356,7 +356,9 @@ def part_counts(rows: DataFrame, tokenizer: str, groups) -> DataFrame:
         for t in batches:
             text = t["text"].cast(pa.binary())
             for part, held, x in zip(t["part"].to_pylist(), t["held_out"].to_pylist(), text):
-                words, seen = state.setdefault(part, (PartWords(tokenizer), []))
+                if part not in state:
+                    state[part] = PartWords(tokenizer), []
+                words, seen = state[part]
                 seen.append((held, words.add(x.as_py())))
         for part, (words, seen) in state.items():
             n, trained = len(words.places), [p for held, p in seen if not held]
