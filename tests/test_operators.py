@@ -122,7 +122,7 @@ def test_frames(spark):
     assert [(r.col, r.channel, r.x) for r in frames.to_series(good, ["k"]).orderBy("col").collect()] == [(0, 0, [1, 3]), (1, 2, [2, 4])]
     assert [(r.t, r.col, r.x) for r in frames.to_long(good, ["k"]).orderBy("t", "col").collect()] == [(0, 0, 1), (0, 1, 2), (1, 0, 3), (1, 1, 4)]
     with pytest.raises(Exception, match="EmptyChannelMask"):
-        frames.validate_frames(df, strict=True).collect()
+        frames.validate_frames(df.filter("channel_mask = 0"), strict=True).collect()  # of several, any may come first
 
 
 def test_covariance_errors(spark):
