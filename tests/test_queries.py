@@ -1,5 +1,6 @@
 """Every signal query against its SQL on the small tables, and its schema."""
 
+import math
 import os
 
 import duckdb
@@ -35,3 +36,28 @@ def test_entry_imports_without_corpus_operators(spark):
 
     assert set(QUERIES) <= set(__spark_entry__.queries())
     assert __spark_entry__.entry(spark).columns == ["user_id", "epoch_index", "kind", "class", "confidence_permille"]
+
+
+def log2_q16(v):
+    msb = v.bit_length() - 1
+    m, out = (v << (32 - msb) if msb <= 32 else v >> (msb - 32)), msb << 16
+    for bit in range(15, -1, -1):
+        m = (m * m) >> 32
+        if m >= 1 << 33:
+            m, out = m >> 1, out + (1 << bit)
+    return out
+
+
+def test_isqrt_log2_of_every_lineitem(spark, db):
+    want = {int(v) for (v,) in db.execute("SELECT CAST(floor(l_extendedprice * 100) AS HUGEINT) * (1 + l_orderkey) * (1 + l_partkey) FROM lineitem").fetchall()}
+    got = QUERIES["isqrt_log2_all"](spark, DATA).collect()
+    assert len(got) == len(want) > 5 * QUERIES["isqrt_log2"](spark, DATA).count()
+    assert {(int(r.v), r.root, r.log2_q16) for r in got} == {(v, math.isqrt(v), log2_q16(v)) for v in want}
+
+
+def test_isqrt_log2_of_products_beyond_64_bits(spark, tmp_path):
+    rows = [(1e8, 3_000_000_000, 200_000_000), (90000.0, 2_000_000, 600_000), (0.01, 0, 0)]
+    spark.createDataFrame(rows, "l_extendedprice double, l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(int(r.v), r.root, r.log2_q16) for r in QUERIES["isqrt_log2_all"](spark, str(tmp_path)).collect()}
+    want = {min(round(p * 100) * (1 + o) * (1 + k), 2**64 - 1) for p, o, k in rows}
+    assert got == {(v, math.isqrt(v), log2_q16(v)) for v in want}

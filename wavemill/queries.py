@@ -365,6 +365,17 @@ def isqrt_log2(spark, sf_dir):
     return n.select("v", fixed.isqrt(fixed.dec(F.col("v"))).cast("long").alias("root"), fixed.log2_q16(fixed.dec(F.col("v"))).alias("log2_q16"))
 
 
+@register()
+def isqrt_log2_all(spark, sf_dir):
+    """``isqrt_log2``, whose SQL reads one row in seven, over all rows of lineitem.
+
+    The product is DECIMAL, as it nears 2**63 on larger tables; from 2**64 on it saturates.
+    """
+    v = fixed.dec(F.floor(F.col("l_extendedprice") * 100)) * fixed.dec(1 + F.col("l_orderkey")) * fixed.dec(1 + F.col("l_partkey"))
+    n = table(spark, sf_dir, "lineitem").select(F.least(fixed.dec(v), fixed.num(2**64 - 1)).alias("v")).distinct()
+    return n.select("v", fixed.isqrt(F.col("v")).cast("long").alias("root"), fixed.log2_q16(F.col("v")).alias("log2_q16"))
+
+
 # --- narrowband power ----------------------------------------------------------------------------
 
 _BINS = [spectral.goertzel_coeff_q14(f * 1000, 250) for f in (8, 10, 13, 31)]
