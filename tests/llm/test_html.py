@@ -38,6 +38,35 @@ def test_pages(inner):
     assert H.main_text(page(inner)) == WANT
 
 
+@pytest.mark.parametrize(
+    "inner",
+    [
+        f"<div class='content-sidebar-wrap'><main>{PARAGRAPHS}</main></div>",
+        f"<div class='has-sidebar'><article>{PARAGRAPHS}</article><div class='sidebar'><article class='card'><p>Teaser, here.</p></article></div></div>",
+        f"<div id='page-header-wrap'>{PARAGRAPHS}</div>",
+        f"<div id='page-header-wrap'><div class='site-nav'><p>Go, on.</p></div><div class='text'>{PARAGRAPHS}</div></div>",
+        f"<div class='sidebar'>{PARAGRAPHS}</div>",
+        f"<div>{PARAGRAPHS}</div><article class='card'><a href=x>A teaser, one.</a></article>",
+        f"<article>{PARAGRAPHS}</article><section class='comment-list'>{'<p>Long, I say, is what I have to say here.</p>' * 20}</section>",
+        f"<article>{PARAGRAPHS}</article><div class='related'><article class='card'><p>Other, things.</p></article></div>",
+    ],
+)
+def test_wrappers_and_teasers(inner):
+    assert H.main_text(page(inner)) == WANT
+
+
+@pytest.mark.parametrize("head", ["<div class='entry-header'>{}</div>", "<header class='entry-header'>{}</header>"])
+def test_headers_of_the_article(head):
+    title = head.format("<h1>A Title</h1>")
+    for inner in (f"<div class='entry-content'>{title}{PARAGRAPHS}</div>", f"<div class='hentry'>{title}<div class='entry-content'>{PARAGRAPHS}</div></div>"):
+        assert H.main_text(page(inner)) == "A Title " + WANT
+
+
+def test_text_beside_a_teaser_stays():
+    got = H.main_text(page(f"<div>{PARAGRAPHS}</div><article class='card'><p>A teaser, one.</p></article>"))
+    assert WANT in got
+
+
 def test_headings_references_and_inline():
     got = H.main_text(page("<article><h1>Fish &amp; Chips</h1><p>caf&eacute; &lt;b&gt; &#39;x&#x27; a<i>b</i>c, &nbsp; d.</p><p><b>open <br><p>next &am</p></article>"))
     assert got == "Fish & Chips café <b> 'x' abc, d. open next &am"

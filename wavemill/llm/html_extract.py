@@ -4,8 +4,11 @@ A page is read once into its text leaves, each with the path of block tags from
 leaves of a path are weighed together: how much text and how much punctuation its nodes hold on
 average, less what is link text. The two ratios are fused by their geometric mean, smoothed along
 the page, and averaged by path again; paths that reach a share of the mean, weighted by text, are
-content. What pages mark as something else (navigation, adverts, comments and so on) never is,
-and where a page marks its article, only that is looked at.
+content. What pages mark as something else by tag or role (navigation, adverts and so on) never
+is. Names of classes and ids say less: a named element that holds the page's main article or most
+of its text is a wrapper, whose name counts for nothing, and where names would leave no text at
+all, none counts. Where what a page marks as its article holds most of the text, only that is
+looked at.
 """
 
 from __future__ import annotations
@@ -43,40 +46,56 @@ _NAMED = re.compile(
     re.I,
 )
 _ARTICLE = re.compile(r"(?:^|[\s_-])(?:article-?body|article-?content|entry-?content|post-?body|post-?content|main-?content|story-?body)(?:$|[\s_-])", re.I)
+_OWN_HEADER = re.compile(r"(?:^|\s)(?:article|entry|post|story)[_-]?header(?:$|\s)", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
 class _Leaf:
-    __slots__ = ("path", "parent", "text", "linked", "aside", "article", "heading")
+    __slots__ = ("path", "parent", "text", "linked", "aside", "article", "heading", "marks")
 
-    def __init__(self, path, parent, aside, article, heading):
-        self.path, self.parent, self.aside, self.article, self.heading = path, parent, aside, article, heading
+    def __init__(self, path, parent, aside, marks, heading):
+        self.path, self.parent, self.aside, self.marks, self.heading = path, parent, aside, marks, heading
+        self.article = any(k in (_ARTICLE_MARK, _MAIN_MARK) for k, _ in marks)
         self.text, self.linked = [], 0
 
 
-def _role(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is never content, and whether it is marked as the article."""
-    aside, article = tag in _ASIDE or tag == "header" and not in_article, tag in ("article", "main")
+#: What elements are marked as: something else by the whole or by a part of a name, or the article.
+_NAME_MARK, _PART_MARK, _ARTICLE_MARK, _MAIN_MARK = range(1, 5)
+
+
+def _named(value: str) -> int:
+    """Whether a name, or only a part of one, says that an element is something else."""
+    if not _NAMED.search(value):
+        return 0
+    return _NAME_MARK if any(all(_NAMED.search(part) for part in re.split("[_-]", name)) for name in value.split()) else _PART_MARK
+
+
+def _role(tag: str, attributes: str, in_article: bool) -> tuple[bool, int]:
+    """Whether an element is never content, and what it is marked as (0 for nothing)."""
+    aside, article, main, named = tag in _ASIDE, tag in ("article", "main"), tag == "main", 0
+    header = tag == "header" and not in_article
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             name, value = (m[1] or m[5]).lower(), m[2] or m[3] or m[4] or ""
             if name in ("class", "id"):
-                article |= bool(_ARTICLE.search(value))
-                aside |= tag not in ("html", "body", "article", "main") and bool(_NAMED.search(value)) and not article
+                article |= bool(_ARTICLE.search(value) or _OWN_HEADER.search(value))
+                if tag not in ("html", "body", "article", "main") and not article and (mark := _named(value)):
+                    named = min(named or mark, mark)
             elif name == "role":
                 aside |= value.lower() in _ROLES
                 article |= value.lower() in ("main", "article")
+                main |= value.lower() == "main"
             elif name == "itemprop":
                 article |= value.lower() == "articlebody"
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
                 aside = True
-    return aside, article
+    return aside or header and not article, _MAIN_MARK if main else _ARTICLE_MARK if article else named
 
 
 def leaves(page: str) -> list[_Leaf]:
     """The text blocks of a page, in its order; unclosed and stray tags are mended."""
     out: list[_Leaf] = []
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # tag, path, aside, article
+    stack: list[tuple[str, str, bool, tuple]] = [("", "", False, ())]  # tag, path, aside, marks with their places
     now: _Leaf | None = None
     links, raw, pos = 0, None, 0
     while pos < len(page):
@@ -92,8 +111,8 @@ def leaves(page: str) -> list[_Leaf]:
             if now is None:
                 if m[4].isspace():
                     continue
-                tag, path, aside, article = stack[-1]
-                now = _Leaf(path, stack[-2][1] if len(stack) > 1 else "", aside, article, tag in _HEADINGS)
+                tag, path, aside, marks = stack[-1]
+                now = _Leaf(path, stack[-2][1] if len(stack) > 1 else "", aside, marks, tag in _HEADINGS)
                 out.append(now)
             now.text.append(m[4])
             if links:
@@ -105,8 +124,9 @@ def leaves(page: str) -> list[_Leaf]:
         if tag in _INLINE:
             if tag == "a":
                 links = 0 if closing else 1
-            if not closing and m[3] and _role(tag, m[3], False)[0]:
-                stack.append((tag, f"{stack[-1][1]}/{tag}", True, stack[-1][3]))
+            aside, mark = _role(tag, m[3], False) if not closing and m[3] else (False, 0)
+            if aside or mark in (_NAME_MARK, _PART_MARK):
+                stack.append((tag, f"{stack[-1][1]}/{tag}", stack[-1][2] or aside, stack[-1][3] + ((mark, pos),)))
                 now = None
             elif closing and stack[-1][0] == tag:
                 stack.pop()
@@ -140,12 +160,44 @@ def leaves(page: str) -> list[_Leaf]:
                     break
         if tag == "body":
             del stack[1:]
-        aside, article = _role(tag, m[3], stack[-1][3])
+        marks = stack[-1][3]
+        aside, kind = _role(tag, m[3], any(k in (_ARTICLE_MARK, _MAIN_MARK) for k, _ in marks))
         mark = re.search(r"class\s*=\s*[\"']?([\w-]+)", m[3]) if m[3] else None
-        stack.append((tag, f"{stack[-1][1]}/{tag}" + (f".{mark[1]}" if mark else ""), stack[-1][2] or aside, stack[-1][3] or article))
+        stack.append((tag, f"{stack[-1][1]}/{tag}" + (f".{mark[1]}" if mark else ""), stack[-1][2] or aside, marks + ((kind, pos),) if kind else marks))
     return out
 
 
+def named_aside(found: list[_Leaf], size: list[int]) -> list[bool]:
+    """Whether each leaf stands in an element that is something else by name.
+
+    The name counts for nothing where the element holds a main element; or the page's largest
+    marked article, if that has as much text as all that stands in no named element; or, where
+    just a part of the name tells, most of the page's text, with no marked article elsewhere.
+    """
+    within: dict[tuple, int] = {}
+    inner: dict[tuple, set] = {}
+    free = marked = total = 0
+    marked_in: dict[tuple, int] = {}
+    for leaf, n in zip(found, size):
+        total += n
+        marked += n * leaf.article
+        free += n * all(k in (_ARTICLE_MARK, _MAIN_MARK) for k, _ in leaf.marks)
+        for i, mark in enumerate(leaf.marks):
+            within[mark] = within.get(mark, 0) + n
+            if mark[0] in (_NAME_MARK, _PART_MARK):
+                marked_in[mark] = marked_in.get(mark, 0) + n * leaf.article
+                inner.setdefault(mark, set()).update(leaf.marks[i + 1 :])
+    articles = [m for m in within if m[0] == _ARTICLE_MARK]
+    largest = max(articles, key=lambda m: (within[m], -m[1]), default=None)
+    wrappers = set()
+    for e, held in inner.items():
+        if any(k == _MAIN_MARK for k, _ in held) or largest in held and within[largest] >= free:
+            wrappers.add(e)
+        elif e[0] == _PART_MARK and 2 * within[e] > total and marked == marked_in[e]:
+            wrappers.add(e)
+    return [any(m in inner and m not in wrappers for m in leaf.marks) for leaf in found]
+
+
 def smoothed(x: np.ndarray, sigma: float = SMOOTH) -> np.ndarray:
     """Gaussian smoothing along the page."""
     r = max(1, round(3 * sigma))
@@ -161,7 +213,10 @@ def main_text(page: str) -> str:
             text = " ".join(html.unescape("".join(leaf.text)).split())
             if text:
                 blocks.append((leaf, text))
-    in_article = any(leaf.article for leaf, _ in blocks)
+    named = named_aside([leaf for leaf, _ in blocks], [max(0, len(text) - leaf.linked) for leaf, text in blocks])
+    blocks = [b for b, other in zip(blocks, named) if not other] or blocks
+    own = [(max(0, len(text) - leaf.linked), leaf.article) for leaf, text in blocks]
+    in_article = any(a for _, a in own) and 2 * sum(n for n, a in own if a) >= sum(n for n, _ in own)
     if in_article:
         blocks = [b for b in blocks if b[0].article]
     if not blocks:
