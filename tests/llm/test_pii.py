@@ -84,6 +84,44 @@ def test_valid_kinds_stay_valid(spark):
     assert re.fullmatch(r"\d\d\.\d\d\.\d{4}", date) and re.fullmatch(r"\+49 \d\d \d{4} \d{4}", phone) and re.fullmatch("[0-9a-f]{40}", secret)
 
 
+@pytest.mark.parametrize("phone", ["+33 1 23 45 67 89", "+33123456789", "+33 (0)1 23 45 67 89", "+49 30 1234567", "+49 (30) 12 34 56 78", "+34 912 34 56 78", "+44 20 7946 0958", "+49-171-123-45-67"])
+@pytest.mark.parametrize("after", ["", " 2024-02-30", " 300.2.3.4", ", 5 times"])
+def test_phones_of_all_groups(spark, phone, after):
+    r = one(spark, f"call {phone}{after}")
+    assert r.n_values == 1 and r.text.startswith("call " + phone[:3]) and r.text.endswith(after)
+    got = r.text[5 : len(r.text) - len(after)]
+    assert re.sub("[0-9]", "0", got) == re.sub("[0-9]", "0", phone)
+    groups = zip(re.findall("[0-9]+", got)[1:], re.findall("[0-9]+", phone)[1:])
+    assert all(a != b for a, b in groups if len(a) > 3) and got[3:] == string(phone[3:], "k|phone")
+
+
+def test_phones_of_one_length_end(spark):
+    assert one(spark, "+33 1 23 45 67 89 12 francs").text.endswith(" 12 francs")
+
+
+@pytest.mark.parametrize("iban", ["ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "FR1420041010050500013M02606", "NO9386011117947"])
+@pytest.mark.parametrize("after", [" EUR", " 2024", " IBAN 12", " 4111 1111 1111 1112", ""])
+def test_account_numbers_before_words(spark, iban, after):
+    r = one(spark, iban + after)
+    got = r.text[: len(iban)]
+    flat = got.replace(" ", "")
+    assert r.n_values == 1 and r.text == got + after and got != iban and got[:2] == iban[:2]
+    assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+
+def test_slashed_dates(spark):
+    import datetime
+
+    days = [datetime.date(1999, 1, 1) + datetime.timedelta(k) for k in range(365)]
+    texts = sorted({t for d in days for t in (d.strftime("%d/%m/%Y"), d.strftime("%m/%d/%Y"))})
+    got = {r.t: r.r for r in spark.createDataFrame([(t,) for t in texts], "t string").select("t", pii.replaced(F.col("t"), "k").alias("r")).collect()}
+    assert len({r.text for r in got.values()}) == len(texts) and all(r.n_values == (r.text != t) for t, r in got.items()) and sum(r.n_values for r in got.values()) >= len(texts) - 3
+    for t, r in got.items():
+        datetime.datetime.strptime(r.text, "%m/%d/%Y" if int(t[3:5]) > 12 else "%d/%m/%Y")
+        assert (int(r.text[3:5]) > 12) == (int(t[3:5]) > 12)
+    assert got["12/31/1999"].text != "12/31/1999"
+
+
 def test_date_of_a_time(spark):
     r = one(spark, "2024-02-29T10:11:12Z")
     assert r.n_values == 1 and re.fullmatch(r"\d{4}-\d\d-\d\dT10:11:12Z", r.text) and not r.text.startswith("2024-02-29")

@@ -23,14 +23,39 @@ KEY = "wavemill-demonstration-key"
 
 #: Fixed formats: what stands around a value, and the values, in the order in which they are tried.
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_.+-])", r"(?![\p{L}\p{N}_])"
+#: Lengths of account numbers, so that none takes in the word or number after it.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    rest = lambda n: f"(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    of = [f"(?:{names.replace(' ', '|')})[0-9]{{2}}{rest(n - 4)}" for n, names in _IBAN_LENGTHS.items()]
+    return "(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(of) + r"|[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)"
+
+
+#: Numbers of countries of one length, then up to 15 digits in any groups, but not the head of a dotted or dashed value.
+_PHONES = (
+    r"\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}",
+    r"\+33[ .-]?(?:\(0\)[ .-]?)?[1-9](?:[ .-]?[0-9]){8}(?![.-][0-9])",
+    r"\+34(?:[ .-]?[0-9]){9}(?![.-][0-9])",
+    r"\+[0-9](?:[ .-]?[0-9]){7,14}(?![.-][0-9])",
+    r"\+[0-9]{1,3}[ .-]?\([0-9]{1,5}\)(?:[ .-]?[0-9]){4,11}(?![.-][0-9])",
+    r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-][0-9]{2,4}){2,3}",
+    r"\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}",
+    r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
+)
 PATTERNS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?(?:\.[A-Za-z0-9-]{1,62})*\.[A-Za-z]{2,24}",
-    "iban": r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?",
+    "iban": _iban_pattern(),
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})",
     "ipv4": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])",
     "card": r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "phone": r"(?:\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}|\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-][0-9]{2,4}){2,3}|\+[0-9]{8,15}|\([0-9]{3}\) ?[0-9]{3}[.-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})",
+    "phone": "(?:" + "|".join(_PHONES) + ")",
     "secret": r"(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})",
 }
 #: A value may follow signs, but none that would make it part of a longer one; a date may have a time.
@@ -149,16 +174,28 @@ def _ipv4(x: Column, key: str) -> Column:
 
 
 def _date(x: Column, key: str) -> Column:
+    """Slashed dates are day/month; those that can't be are month/day, and go to such ones."""
     sign = F.substr(x, F.lit(3), F.lit(1))
     iso = F.substr(x, F.lit(5), F.lit(1)) == "-"
-    year_last = F.concat_ws("-", F.substr(x, F.lit(7), F.lit(4)), F.substr(x, F.lit(4), F.lit(2)), F.substr(x, F.lit(1), F.lit(2)))
-    day = F.datediff(F.try_to_date(F.when(iso, x).otherwise(year_last), "yyyy-MM-dd"), F.lit(_FIRST_DAY).cast("date")).cast("long")
+    first, second, year = (F.substr(x, F.lit(a), F.lit(n)) for a, n in ((1, 2), (4, 2), (7, 4)))
+    start = F.lit(_FIRST_DAY).cast("date")
+    day_of = lambda text: F.datediff(F.try_to_date(text, "yyyy-MM-dd"), start).cast("long")
+    day = day_of(F.when(iso, x).otherwise(F.concat_ws("-", year, second, first)))
+    month_first = day_of(F.when(sign == "/", F.concat_ws("-", year, first, second)))
+    mapped = lambda d: feistel_number(d, *_DAYS, key + "|date")
+    known = lambda d: d.between(0, _DAYS[0] * _DAYS[1] - 1)
 
     def written(d: Column) -> Column:
-        date = F.date_add(F.lit(_FIRST_DAY).cast("date"), d.cast("int"))
+        date = F.date_add(start, d.cast("int"))
         return F.when(iso, F.date_format(date, "yyyy-MM-dd")).otherwise(F.concat_ws("", F.date_format(date, "dd"), sign, F.date_format(date, "MM"), sign, F.date_format(date, "yyyy")))
 
-    ok = lambda d: F.when(d.between(0, _DAYS[0] * _DAYS[1] - 1), _let(feistel_number(d, *_DAYS, key + "|date"), written)).otherwise(x)
+    def written_month_first(d: Column) -> Column:
+        # Mapped on until the day is no month again: a permutation of such dates. 64 steps miss with 1e-26.
+        again = lambda v, _: F.when(F.dayofmonth(F.date_add(start, v.cast("int"))) > 12, v).otherwise(mapped(v))
+        return _let(F.aggregate(F.sequence(F.lit(1), F.lit(64)), mapped(d), again), lambda v: F.date_format(F.date_add(start, v.cast("int")), "MM/dd/yyyy"))
+
+    other = _let(month_first, lambda d: F.when(known(d), written_month_first(d)).otherwise(x))
+    ok = lambda d: F.when(known(d), _let(mapped(d), written)).when(d.isNull(), other).otherwise(x)
     return _let(day, ok)
 
 
