@@ -119,6 +119,31 @@ def test_beats_the_base_line_on_held_out(spark, model_file):
     assert got["score"].sum() > got["base_score"].sum()
 
 
+def test_units_come_from_all_documents(spark, model_file, monkeypatch):
+    """A piece that only documents beyond the start have is a unit and a class of its own."""
+    seen = {}
+    made = L.counted_model
+    monkeypatch.setattr(L, "counted_model", lambda groups, layer, *counts: made(seen.setdefault("groups", groups), seen.setdefault("layer", layer), *counts))
+    rows = [(i, "alpha beta gamma delta " * 20 if i % 2 else "velocity umbrella " * 20) for i in range(1, 200)]
+    L.score(spark.createDataFrame(rows, "doc_id long, text string"), model_file, sample=1).count()
+    part = L.PartWords(model_file)
+    part.add(b"alpha beta gamma delta velocity umbrella")
+    ids = part.ids()[0]
+    units = seen["groups"].unit[ids]
+    assert len(set(units)) == len(set(ids)) and units.max() < L.UNITS - L.SHARED_UNITS and len(set(seen["groups"].klass[units])) == len(set(ids))
+
+
+def test_training_covers_each_position_once(model_file, monkeypatch):
+    groups, layer = L.fit([b"one two three four five six seven eight nine ten " * 30] * 4, model_file)
+    scored = []
+    step = L.Fit.step
+    monkeypatch.setattr(L.Fit, "step", lambda self, x, y, rate: (scored.append(int((y >= 0).sum())), step(self, x, y, rate)))
+    monkeypatch.setattr(L, "PIECE", 300)
+    docs = [np.arange(n, dtype=np.int32) % 500 for n in (0, 1, 16, 700, 33)]
+    _, windows = L.train_on_all(docs, groups, layer)
+    assert sum(scored) == sum(len(d) + 1 for d in docs) and windows == sum(-(-(len(d) + 1) // L.STRIDE) for d in docs)
+
+
 def test_empty_and_single(spark, nothing, model_file, monkeypatch):
     monkeypatch.setattr(L, "STEPS", 5)
     assert L.score(nothing, model_file).collect() == []

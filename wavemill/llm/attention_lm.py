@@ -1,9 +1,10 @@
 """Language-model scores of whole documents, and a counted base line.
 
 The model reads subword ids of the lower-cased words. Ids are grouped into units (each frequent
-id is one, the others share a few), and units into classes. A causal self-attention layer with
-relative positions predicts the next class; it is trained here, in numpy, on a bounded sample of
-training documents. The probability of a unit is that of its class times its share of the class,
+id is one, the others share a few), and units into classes, by counts over all training
+documents. A causal self-attention layer with relative positions predicts the next class; it is
+trained here, in numpy: it starts on a few documents, then each part goes on over all its training
+documents, each position once, and the parts' layers are averaged. The probability of a unit is that of its class times its share of the class,
 mixed with how often it follows its predecessor.
 
 A word's first unit is predicted in its context, among the units that can begin a word. Given
@@ -31,11 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, Shipped
 
-#: Training documents that fit the attention layer and name the units, at most.
+#: Training documents on which the attention layer starts, before it sees all of them.
 SAMPLE = 1500
 UNITS, SHARED_UNITS, CLASSES, SHARED_CLASSES = 512, 8, 64, 16
 WINDOW, STRIDE, WIDTH = 32, 16, 16
 STEPS, BATCH, RATE = 500, 96, 0.01
+#: The rate over all documents, and about the positions that are looked at in one piece.
+LATER_RATE, PIECE = 0.003, 400_000
 #: Bytes of text of a part, about.
 PART_BYTES = 32_000_000
 #: Prior observations of a unit after each other one.
@@ -86,13 +89,15 @@ def forward(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
     return s, h, logits.reshape(*h.shape[:2], pad)
 
 
-def train(windows: np.ndarray, targets: np.ndarray, classes: int = CLASSES, steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
-    """Fit by Adam on random batches of windows; targets of -1 are not scored."""
-    m, r = initial(classes, seed), np.random.default_rng(seed)
-    first, second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
-    for step in range(1, steps + 1 if len(windows) else 1):
-        pick = r.integers(0, len(windows), BATCH)
-        x, y = windows[pick], targets[pick]
+class Fit:
+    """A layer's parameters and the state of Adam."""
+
+    def __init__(self, m: dict[str, np.ndarray]):
+        self.m, self.steps = dict(m), 0
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
+
+    def step(self, x: np.ndarray, y: np.ndarray, rate: float) -> None:
+        m, classes = self.m, len(self.m["bias"])
         a, h, logits = forward(m, x)
         p = np.exp(logits - logits.max(axis=2, keepdims=True))
         p /= p.sum(axis=2, keepdims=True)
@@ -112,12 +117,43 @@ def train(windows: np.ndarray, targets: np.ndarray, classes: int = CLASSES, step
         g["query"] = _scatter(xq, ds @ m["key"][x] * scale, classes + 1)
         g["key"] = _scatter(x, ds.transpose(0, 2, 1) @ m["query"][xq] * scale, classes + 1)
         g["near"] = np.bincount(np.maximum(_AT, 0).ravel(), (ds.sum(axis=0) * (_AT >= 0)).ravel(), WINDOW).astype(np.float32)
-        rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
+        self.steps += 1
         for k in m:
-            first[k] = 0.9 * first[k] + 0.1 * g[k]
-            second[k] = 0.99 * second[k] + 0.01 * g[k] ** 2
-            m[k] = (m[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return m
+            self.first[k] = 0.9 * self.first[k] + 0.1 * g[k]
+            self.second[k] = 0.99 * self.second[k] + 0.01 * g[k] ** 2
+            m[k] = (m[k] - rate * (self.first[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[k] / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
+
+
+def train(windows: np.ndarray, targets: np.ndarray, classes: int = CLASSES, steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
+    """Fit by Adam on random batches of windows; targets of -1 are not scored."""
+    fit_, r = Fit(initial(classes, seed)), np.random.default_rng(seed)
+    for step in range(1, steps + 1 if len(windows) else 1):
+        pick = r.integers(0, len(windows), BATCH)
+        fit_.step(windows[pick], targets[pick], RATE * min(1.0, 2 * (1 - step / (steps + 1))))
+    return fit_.m
+
+
+def train_on_all(docs: list[np.ndarray], groups: Grouping, start: dict[str, np.ndarray], seed: int = 7) -> tuple[dict[str, np.ndarray], int]:
+    """Go on from ``start`` over all documents (their ids), each position scored once; and the
+    number of windows."""
+    fit_, r = Fit(start), np.random.default_rng(seed)
+    sizes = np.array([len(d) + 1 for d in docs], np.int64)
+    windows, done = int((-(-sizes // STRIDE)).sum()), 0
+    pieces = np.cumsum(sizes) // PIECE
+    for piece in np.unique(pieces):
+        x, y = examples([docs[i] for i in np.flatnonzero(pieces == piece)], groups)
+        order = r.permutation(len(x))
+        for at in range(0, len(x), BATCH):
+            pick = order[at : at + BATCH]
+            fit_.step(x[pick], y[pick], LATER_RATE * (1 - done / windows))
+            done += len(pick)
+    return fit_.m, windows
+
+
+def averaged(layers: list[tuple[dict[str, np.ndarray], int]], start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The layers' mean by their numbers of windows; ``start`` where there are none."""
+    n = sum(w for _, w in layers)
+    return {k: (sum(m[k].astype(float) * w for m, w in layers) / n).astype(np.float32) for k in start} if n else start
 
 
 def _scatter(index: np.ndarray, grad: np.ndarray, n: int) -> np.ndarray:
@@ -213,20 +249,29 @@ def by_frequency(counts: np.ndarray) -> np.ndarray:
     return unit
 
 
-def by_company(units: np.ndarray, seed: int = 3, rounds: int = 15) -> np.ndarray:
+def neighbours(docs: list[np.ndarray], unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often units follow units in documents (an end before and after each), and how often
+    they stand up to 8 places after them."""
+    far, pad = 8, UNITS
+    row = [np.full(far, pad, np.int32)]
+    for d in docs:
+        row += [unit[d], np.array([END] + [pad] * far, np.int32)]
+    row = np.concatenate(row).astype(np.int64)
+    counts = lambda a, b: np.bincount(a * (UNITS + 1) + b, minlength=(UNITS + 1) ** 2).reshape(UNITS + 1, UNITS + 1)[:UNITS, :UNITS]
+    before = np.where(row[:-1] == pad, END, row[:-1])
+    return counts(before, row[1:]), sum(counts(row[:-gap], row[gap:]) for gap in range(1, far + 1))
+
+
+def by_company(weight: np.ndarray, company: np.ndarray, seed: int = 3, rounds: int = 15) -> np.ndarray:
     """Class of each unit: the frequent ones have their own, the others share classes with units
     that stand near the same frequent ones (k-means). Class 0 is the end alone."""
-    weight = np.bincount(units, minlength=UNITS).astype(float)
+    weight = weight.astype(float)
     weight[END] = -1
     order = np.lexsort((np.arange(UNITS), -weight))[: UNITS - 1]
     own = CLASSES - 1 - SHARED_CLASSES
     klass = np.zeros(UNITS, np.int32)
     klass[order[:own]] = np.arange(1, own + 1)
-    near = np.zeros((UNITS, CLASSES))
-    for gap in range(1, 9):
-        one, other = units[:-gap], units[gap:]
-        np.add.at(near, (one, klass[other]), 1)
-        np.add.at(near, (other, klass[one]), 1)
+    near = (company + company.T) @ np.eye(CLASSES)[klass]
     rest, near = order[own:], near[:, 1 : own + 1] + 0.05
     x = np.sqrt(near[rest] / near[rest].sum(axis=1, keepdims=True))
     centre = x[np.random.default_rng(seed).permutation(len(x))[:SHARED_CLASSES]]
@@ -302,25 +347,36 @@ def follow_table(pairs: np.ndarray) -> np.ndarray:
     return ((pairs + PRIOR * single) / (pairs.sum(axis=1, keepdims=True) + PRIOR)).astype(np.float32)
 
 
+def examples(docs: list[np.ndarray], groups: Grouping) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of documents' windows and of what is scored in them."""
+    lengths = np.array([len(d) + 1 for d in docs], np.int64)
+    ends = np.cumsum(lengths - 1)
+    units = np.insert(groups.unit[np.concatenate(docs) if docs else np.zeros(0, np.int32)], ends, END)
+    x, place = windowed(units, lengths, -1)
+    y = np.where(place >= 0, groups.klass[units[np.maximum(place, 0)]], -1) if len(units) else place
+    return np.where(x < 0, CLASSES, groups.klass[np.maximum(x, 0)]), y
+
+
+def beginnings(tokenizer: str) -> np.ndarray:
+    """Which ids begin a word."""
+    encoder = PartWords(tokenizer).encoder
+    return np.array([encoder.id_to_piece(i).startswith("▁") for i in range(encoder.get_piece_size())])
+
+
 def fit(texts: list[bytes], tokenizer: str) -> tuple[Grouping, dict[str, np.ndarray]]:
-    """Units and the attention layer from the sample."""
-    part = PartWords(tokenizer)
+    """Units, classes and the attention layer of a few texts."""
+    part, begins = PartWords(tokenizer), beginnings(tokenizer)
     places = [part.add(t) for t in texts]
     flat, starts = part.ids()
-    words = np.array([len(p) for p in places], np.int64)
-    ids, per_word = spread(np.concatenate(places) if places else np.zeros(0, np.int32), flat, starts)
-    size = part.encoder.get_piece_size()
-    begins = np.array([part.encoder.id_to_piece(i).startswith("▁") for i in range(size)])
-    groups = Grouping(by_frequency(np.bincount(ids, minlength=size)), np.zeros(UNITS, np.int32), begins)
-    units, lengths = with_end(ids, words, per_word, groups)
-    groups.klass = by_company(units)
-    x, place = windowed(units, lengths, -1)
-    y = np.where(place >= 0, groups.klass[units[np.maximum(place, 0)]], -1)
-    return groups, train(np.where(x < 0, CLASSES, groups.klass[np.maximum(x, 0)]), y)
+    docs = [spread(p, flat, starts)[0] for p in places]
+    unit = by_frequency(np.bincount(np.concatenate(docs), minlength=len(begins)) if docs else np.zeros(len(begins)))
+    pairs, company = neighbours(docs, unit)
+    groups = Grouping(unit, by_company(pairs.sum(axis=0), company), begins)
+    return groups, train(*examples(docs, groups))
 
 
 def counted_model(groups: Grouping, layer: dict[str, np.ndarray], of_id: np.ndarray, pairs: np.ndarray, words: np.ndarray, kinds: np.ndarray) -> Model:
-    """The model of the sample's layer and the corpus' counts (of ids, units after units, words)."""
+    """The model of the layer and the corpus' counts (of ids, units after units, words)."""
     of_unit = pairs.sum(axis=0) + 0.5
     total = np.maximum(np.bincount(groups.unit, of_id, UNITS), 1e-9)
     starts = np.bincount(groups.unit, of_id * groups.begins, UNITS) / total
@@ -342,50 +398,94 @@ def parts(docs: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int
     return rows.select(place.alias("part"), "doc_id", held.alias("held_out"), "text").repartition(n, "part"), n
 
 
-#: Kinds of counts: words by hash, units after units, ids, and ends.
-_WORD, _PAIR, _ID, _END = range(4)
+#: Kinds of counts: words by hash, ids, and ends; and the ids of a document.
+_WORD, _ID, _END, _DOC = range(4)
 
 
-def part_counts(rows: DataFrame, tokenizer: str, groups) -> DataFrame:
-    """part, kind, key, unit, n: what each part counts in its training documents. n is 0 for words
-    that only others have; unit is a word's first one."""
+def part_counts(rows: DataFrame, tokenizer: str) -> DataFrame:
+    """part, kind, key, first, n, ids: what each part counts in its training documents, and their
+    ids. n is 0 for words that only others have; first is a word's first id."""
+    names = ["part", "kind", "key", "first", "n", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = groups.value
         state: dict[int, tuple] = {}
         for t in batches:
             text = t["text"].cast(pa.binary())
-            for part, held, x in zip(t["part"].to_pylist(), t["held_out"].to_pylist(), text):
+            for part, doc_id, held, x in zip(t["part"].to_pylist(), t["doc_id"].to_pylist(), t["held_out"].to_pylist(), text):
                 if part not in state:
                     state[part] = PartWords(tokenizer), []
                 words, seen = state[part]
-                seen.append((held, words.add(x.as_py())))
+                seen.append((held, doc_id, words.add(x.as_py())))
         for part, (words, seen) in state.items():
-            n, trained = len(words.places), [p for held, p in seen if not held]
-            places = np.concatenate(trained) if trained else np.zeros(0, np.int32)
+            n, trained = len(words.places), [(i, p) for held, i, p in seen if not held]
+            places = np.concatenate([p for _, p in trained]) if trained else np.zeros(0, np.int32)
             flat, starts = words.ids()
-            pairs, ids_seen = np.zeros(UNITS * UNITS, np.int64), np.zeros(words.encoder.get_piece_size(), np.int64)
-            for at in range(0, len(trained), 256):
-                some = trained[at : at + 256]
-                ids, per_word = spread(np.concatenate(some), flat, starts)
-                units, lengths = with_end(ids, np.array([len(p) for p in some], np.int64), per_word, g)
-                before = np.roll(units, 1)
-                before[np.cumsum(lengths) - lengths] = END
-                pairs += np.bincount(before.astype(np.int64) * UNITS + units, minlength=UNITS * UNITS)
+            ids_seen = np.zeros(words.encoder.get_piece_size(), np.int64)
+            for at in range(0, len(trained), 64):
+                some = trained[at : at + 64]
+                ids, per_word = spread(np.concatenate([p for _, p in some]), flat, starts)
                 ids_seen += np.bincount(ids, minlength=len(ids_seen))
+                ends = np.concatenate(([0], np.cumsum(per_word)))[np.cumsum([len(p) for _, p in some])]
+                data = [d.astype("<u2" if len(ids_seen) < 65536 else "<u4").tobytes() for d in np.split(ids, ends[:-1])]
+                k = len(some)
+                cols = pa.array([part] * k, pa.int32()), pa.array([_DOC] * k, pa.int32()), pa.array([i for i, _ in some], pa.int64()), pa.array([0] * k, pa.int32()), pa.array([1] * k, pa.int64()), pa.array(data, pa.binary())
+                yield pa.RecordBatch.from_arrays(list(cols), names=names)
             for kind, key, count in (
                 (_WORD, words.hashes(), np.bincount(places, minlength=n)[:n]),
-                (_PAIR, np.flatnonzero(pairs), pairs[pairs > 0]),
                 (_ID, np.flatnonzero(ids_seen), ids_seen[ids_seen > 0]),
                 (_END, np.zeros(1, np.int64), np.array([len(trained)])),
             ):
-                first = g.unit[flat[starts[:-1]]] if kind == _WORD else np.zeros(len(key), np.int32)
+                first = flat[starts[:-1]] if kind == _WORD else np.zeros(len(key), np.int32)
                 for at in range(0, len(key), 50_000):
                     k = key[at : at + 50_000]
-                    cols = np.full(len(k), part, np.int32), np.full(len(k), kind, np.int32), k.astype(np.int64), first[at : at + 50_000], count[at : at + 50_000].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["part", "kind", "key", "unit", "n"])
+                    cols = np.full(len(k), part, np.int32), np.full(len(k), kind, np.int32), k.astype(np.int64), first[at : at + 50_000].astype(np.int32), count[at : at + 50_000].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(k), pa.binary())], names=names)
+
+    return rows.mapInArrow(run, "part int, kind int, key long, first int, n long, ids binary")
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    """A document's ids."""
+    return np.frombuffer(data, "<u2" if size < 65536 else "<u4").astype(np.int32)
+
+
+def neighbour_counts(texts: DataFrame, unit) -> tuple[np.ndarray, np.ndarray]:
+    """``neighbours`` of all documents; at most twice UNITS squared counts, whatever the corpus."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, sums = unit.value, np.zeros((2, UNITS, UNITS), np.int64)
+        for t in batches:
+            for at in range(0, t.num_rows, 64):
+                sums += np.stack(neighbours([unpacked(x, len(u)) for x in t["ids"][at : at + 64].to_pylist()], u))
+        key = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sums.ravel()[key])], names=["key", "n"])
+
+    got = texts.select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
+    sums = np.zeros(2 * UNITS * UNITS)
+    sums[got["key"].to_numpy()] = got["n"].to_numpy()
+    return tuple(sums.reshape(2, UNITS, UNITS))
+
+
+def fit_on_all(texts: DataFrame, groups: Grouping, sample: int) -> dict[str, np.ndarray]:
+    """The attention layer: a start on the first documents by hash, then all documents of each
+    part, and the mean of the parts. The order is that of hashes, so runs agree."""
+    spark, size = texts.sparkSession, len(groups.unit)
+    few = texts.select(F.xxhash64("key").alias("h"), "key", "ids").orderBy("h", "key", "ids").limit(sample).select("ids").toLocalIterator()
+    start = train(*examples([unpacked(bytes(r[0]), size) for r in few], groups))
+    shared = Shipped(spark, (groups, start))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        import pickle
+
+        g, begin = shared.value
+        pdf = pdf.sort_values(["h", "ids"])
+        m, n = train_on_all([unpacked(x, len(g.unit)) for x in pdf["ids"]], g, begin)
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "n": [n], "layer": [pickle.dumps(m)]})
+
+    import pickle
 
-    return rows.mapInArrow(run, "part int, kind int, key long, unit int, n long")
+    got = texts.select("part", F.xxhash64("key").alias("h"), "ids").groupBy("part").applyInPandas(run, "part int, n long, layer binary").toPandas().sort_values("part")
+    return averaged([(pickle.loads(bytes(x)), int(n)) for x, n in zip(got["layer"], got["n"])], start)
 
 
 def score(docs: DataFrame, tokenizer: str, sample: int = SAMPLE, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -398,34 +498,28 @@ def score(docs: DataFrame, tokenizer: str, sample: int = SAMPLE, part_bytes: int
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     rows, n_parts = parts(docs, part_bytes)
-    trained = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").filter(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0, F.lit(True)))
-    chosen = trained.select(F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample).select("doc_id").distinct()
-    texts = [r[0].encode() for r in trained.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id")).limit(sample).select("text").toLocalIterator()]
-    groups, layer = fit(texts, tokenizer)
-    del texts
-    shared = Shipped(spark, groups)
-
-    counted = part_counts(rows, tokenizer, shared)
+    counted = scratch.save(part_counts(rows, tokenizer), "parts")
     same = Window.partitionBy("kind", "key")
-    summed = counted.select("part", "kind", "key", "unit", F.sum("n").over(same).alias("total"), F.row_number().over(same.orderBy("part")).alias("nth"))
+    summed = counted.filter(F.col("kind") != _DOC).select("part", "kind", "key", "first", F.sum("n").over(same).alias("total"), F.row_number().over(same.orderBy("part")).alias("nth"))
     summed = scratch.save(summed, "counts")
     first = summed.filter("nth = 1 and total > 0")
     totals = {r["kind"]: (r["v"], r["n"]) for r in first.groupBy("kind").agg(F.count("*").alias("v"), F.sum("total").alias("n")).collect()}
     ends = totals.get(_END, (0, 0))[1]
     n_train, vocabulary = totals.get(_WORD, (0, 0))[1] + ends, totals.get(_WORD, (0, 0))[0] + (ends > 0)
 
-    # At most UNITS squared pairs and the vocabulary's ids: bounded whatever the corpus.
-    small = first.filter(F.col("kind").isin(_PAIR, _ID)).select("kind", "key", "total").toPandas()
-    pairs, of_id = np.zeros(UNITS * UNITS), np.full(len(groups.unit), 0.5)
-    one = small[small["kind"] == _PAIR]
-    pairs[one["key"].to_numpy()] = one["total"].to_numpy()
-    one = small[small["kind"] == _ID]
-    of_id[one["key"].to_numpy()] += one["total"].to_numpy()
-    pairs = pairs.reshape(UNITS, UNITS)
-    firsts = first.filter(F.col("kind") == _WORD).groupBy("unit").agg(F.sum("total").alias("n"), F.count("*").alias("v")).toPandas()
-    words_by, kinds_by = np.zeros(UNITS), np.zeros(UNITS)
-    words_by[firsts["unit"].to_numpy()], kinds_by[firsts["unit"].to_numpy()] = firsts["n"].to_numpy(), firsts["v"].to_numpy()
-    model = Shipped(spark, counted_model(groups, layer, of_id, pairs, words_by, kinds_by))
+    # At most as many rows as the tokenizer has ids: bounded whatever the corpus.
+    begins = beginnings(tokenizer)
+    one, of_id = first.filter(F.col("kind") == _ID).select("key", "total").toPandas(), np.zeros(len(begins))
+    of_id[one["key"].to_numpy()] = one["total"].to_numpy()
+    unit = by_frequency(of_id)
+    texts = counted.filter(F.col("kind") == _DOC).select("part", "key", "ids")
+    pairs, company = neighbour_counts(texts, Shipped(spark, unit))
+    groups = Grouping(unit, by_company(pairs.sum(axis=0), company), begins)
+    layer = fit_on_all(texts, groups, sample)
+    scratch.drop("parts")
+    firsts = first.filter(F.col("kind") == _WORD).groupBy("first").agg(F.sum("total").alias("n"), F.count("*").alias("v")).toPandas()
+    words_by, kinds_by = (np.bincount(unit[firsts["first"].to_numpy(np.int64)], firsts[c].to_numpy(float), UNITS) for c in ("n", "v"))
+    model = Shipped(spark, counted_model(groups, layer, of_id + 0.5, pairs, words_by, kinds_by))
 
     def scored(docs_: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         m, words = model.value, PartWords(tokenizer)
