@@ -83,6 +83,15 @@ def test_shards_are_packed_again(spark):
     assert out["sequence_id"].nunique() <= -(-int(sizes.sum()) // 2048) * 1.02 + 2
 
 
+def test_what_cannot_be_filled_stays_in_bounded_shards(spark):
+    """Pieces of over half a sequence never meet, so no later level gains anything."""
+    sizes = np.random.default_rng(4).integers(1100, 1900, 1200)
+    df = spark.createDataFrame([(int(k), int(s)) for k, s in enumerate(sizes)], "k long, length long")
+    out = packing.pack(df, Scratch(spark), 2048, shard=60).toPandas()
+    assert sorted(out["k"]) == list(range(1200)) and out["sequence_id"].nunique() == 1200
+    assert out.groupby(out["sequence_id"].to_numpy() >> 24).size().max() <= 120
+
+
 @pytest.mark.parametrize("text", ["l'été d’Été it's İstanbul ΣΑΣ ǅ", "x\x01y a\x1cb \u0085z \xa0é", "é <|endoftext|> 12,5 don't!'s K", "日本語 テスト ☃!!", ""])
 def test_words_are_texts(tok, text):
     from tokenizers import Tokenizer

@@ -190,19 +190,24 @@ def pack(table: DataFrame, scratch: Scratch, capacity: int = CAPACITY, shard: in
 
         return packed
 
-    done, rest = None, scratch.save(table, "pieces-0")
+    done, rest, loose, before = None, scratch.save(table, "pieces-0"), None, 0
     shards = max(1, -(-rest.count() // shard))
     for level in range(64):
         dealt = rest.withColumn("shard", F.pmod(F.xxhash64(*table.columns, F.lit(level)), F.lit(shards)))
         out = scratch.save(dealt.groupBy("shard").applyInPandas(run(level), schema), f"packed-{level}")
+        if loose is not None and out.select("sequence_id").distinct().count() >= before:
+            done = done.union(loose)  # nothing was gained: what can't be filled stays as it was
+            break
         loose = out.filter(F.col("filled") < capacity - LOOSE)
         n = loose.count() if shards > 1 else 0
-        fewer = max(1, min(-(-n // shard), shards // 4))
         keep = out.filter(F.col("filled") >= capacity - LOOSE) if n else out
         done = keep if done is None else done.union(keep)
         if not n:
             break
-        rest, shards = loose.select(table.columns), fewer
+        before = loose.select("sequence_id").distinct().count()
+        rest, shards = loose.select(table.columns), -(-n // shard)
+    else:
+        done = done.union(loose)
     return done.drop("filled")
 
 
