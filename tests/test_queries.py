@@ -61,3 +61,24 @@ def test_isqrt_log2_of_products_beyond_64_bits(spark, tmp_path):
     got = {(int(r.v), r.root, r.log2_q16) for r in QUERIES["isqrt_log2_all"](spark, str(tmp_path)).collect()}
     want = {min(round(p * 100) * (1 + o) * (1 + k), 2**64 - 1) for p, o, k in rows}
     assert got == {(v, math.isqrt(v), log2_q16(v)) for v in want}
+
+
+def test_calibration_of_all_channels(spark, db):
+    tdiv = lambda a, b: a // b if a >= 0 else -(-a // b)  # as // in the SQL
+    covs, by_label = {}, {}
+    for vec_id, label, e in db.execute("SELECT vec_id, label, embedding FROM embeddings ORDER BY vec_id").fetchall():
+        s = [math.floor(float(v) * 1000000) for v in e]
+        d = [[v - tdiv(sum(s[c::8]), 8) for v in s[c::8]] for c in range(8)]
+        covs[vec_id] = [tdiv(sum(a * b for a, b in zip(d[i], d[j])), 8) for i in range(8) for j in range(8)]
+        by_label.setdefault(label, []).append(covs[vec_id])
+    numbers = lambda t: [int(v) for v in t.split(",")]
+    assert {r.vec_id: numbers(r.cov) for r in QUERIES["covariance_all"](spark, DATA).collect()} == covs
+    assert {r.label: (numbers(r["mean"]), r.n) for r in QUERIES["session_mean_all"](spark, DATA).collect()} == {k: ([tdiv(sum(x), len(v)) for x in zip(*v)], len(v)) for k, v in by_label.items()}
+    want = {}
+    for k, v in by_label.items():
+        want[k] = v[0]
+        for c in v[1:]:
+            want[k] = [a + ((3277 * (b - a)) >> 15) for a, b in zip(want[k], c)]
+    assert {r.label: numbers(r.reference) for r in QUERIES["drift_update_all"](spark, DATA).collect()} == want
+    whiteners = QUERIES["online_aligner_whiteners"](spark, DATA).collect()
+    assert whiteners and all(len(numbers(r.whitener)) == 64 for r in whiteners)

@@ -461,11 +461,33 @@ def session_mean(spark, sf_dir):
 f AS (SELECT label, i, j, list_reduce(vs[2:], lambda a, b: a + ((3277 * (b - a)) >> 15), vs[1]) AS r FROM o)
 SELECT label, {sql_text('r', 'i, j')} AS reference FROM f GROUP BY label""")
 def drift_update(spark, sf_dir):
-    c = covariances(spark, sf_dir, 2).groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "cov"))), lambda s: s["cov"]).alias("all"))
+    return drifted(covariances(spark, sf_dir, 2))
+
+
+def drifted(covs: DataFrame) -> DataFrame:
+    c = covs.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "cov"))), lambda s: s["cov"]).alias("all"))
     r = calibrate.drift_replay(F.slice("all", 2, F.greatest(F.size("all"), F.lit(1))), F.get("all", F.lit(0)), 3277)
     return c.select("label", text(F.flatten(r)).alias("reference"))
 
 
+# The SQL of the three above reads 3, 3 and 2 of 8 channels; these read all.
+
+
+@register()
+def covariance_all(spark, sf_dir):
+    return covariances(spark, sf_dir, 8).select("vec_id", text(F.flatten("cov")).alias("cov"))
+
+
+@register()
+def session_mean_all(spark, sf_dir):
+    return calibrate.session_mean(covariances(spark, sf_dir, 8), ["label"]).select("label", text(F.flatten("mean")).alias("mean"), "n")
+
+
+@register()
+def drift_update_all(spark, sf_dir):
+    return drifted(covariances(spark, sf_dir, 8))
+
+
 #: Two channels of samples scaled so that variances stay far below 2**31.
 _SCALE = 200
 _TWO = f"""{sql_cov(_SCALE)}, sm AS (SELECT label, i, j, CAST(sum(v) AS HUGEINT) // count(*) AS m FROM cv WHERE i < 2 AND j < 2 GROUP BY label, i, j),
@@ -528,13 +550,13 @@ def inverse_sqrt_2(spark, sf_dir):
 @register(f"""WITH {SQL_BLOCKS}, n AS (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM blk)
 SELECT label, vec_id, k AS observations, CASE WHEN k = 1 THEN 1 ELSE (k - 2) % 12 + 1 END AS staleness, k = 1 OR (k - 2) % 12 = 11 AS refresh_due, 1 + (k - 1) // 12 AS refreshes FROM n""")
 def online_aligner_replay(spark, sf_dir):
-    out = calibrate.online_aligner(covariances(spark, sf_dir, 4, _SCALE), "label", "vec_id", refresh_every=12)
+    out = calibrate.online_aligner(covariances(spark, sf_dir, 8, _SCALE), "label", "vec_id", refresh_every=12)
     return out.select("label", "vec_id", "observations", "staleness", "refresh_due", "refreshes")
 
 
 @register()
 def online_aligner_whiteners(spark, sf_dir):
-    out = calibrate.online_aligner(covariances(spark, sf_dir, 4, _SCALE), "label", "vec_id", refresh_every=12)
+    out = calibrate.online_aligner(covariances(spark, sf_dir, 8, _SCALE), "label", "vec_id", refresh_every=12)
     return out.filter("refresh_due").select("label", "vec_id", text(F.flatten("whitener")).alias("whitener"))
 
 
