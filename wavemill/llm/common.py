@@ -7,7 +7,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -115,6 +117,40 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: st
     return df.mapInArrow(run, schema)
 
 
+def text_chunks(text: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of rows with at most so many bytes of text (or one row)."""
+    sizes = np.nan_to_num(pc.binary_length(text).to_numpy(zero_copy_only=False)).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right")))
+        yield at, to
+        at = to
+
+
+def split_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """How many words each text has, the words of all in a row as places in the distinct ones, and those.
+
+    Words part at ASCII white space. The work is done column by column, no word is an object.
+    """
+    lists = pc.ascii_split_whitespace(text)
+    coded = lists.flatten().dictionary_encode()
+    places, counts = coded.indices.to_numpy(), np.diff(lists.offsets.to_numpy())
+    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()  # before and after white space
+    if empty >= 0:
+        told = np.concatenate(([0], np.cumsum(places != empty)))
+        ends = np.cumsum(counts)
+        counts, places = told[ends] - told[ends - counts], places[places != empty]
+    return counts.astype(np.int64), places, coded.dictionary
+
+
+def in_row(which: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a row of things, thing k being flat[starts[k]:starts[k + 1]], and how many each has."""
+    counts = np.diff(starts)[which]
+    ends = np.cumsum(counts)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[which] - (ends - counts), counts)
+    return flat[at], counts
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` alone (null text: empty): other columns can't clash."""
     from pyspark.sql import functions as F

@@ -4,27 +4,26 @@ A document is its ids and one end id; only documents longer than a sequence are
 pieces and a rest. A piece goes into the open sequence (or a new one) that makes the sum over all
 residual gaps g of (open sequences with gap g) squared smallest, so that no gap piles up.
 
-Pieces are dealt to shards by a hash, so that a shard is a bounded task at any input size. What a
-shard leaves half full is then taken out and packed again with that of other shards, in ever
-fewer shards, until one is left or nothing is gained.
+Pieces are dealt to shards by a hash, so that a shard is a bounded task at any input size. Open
+sequences that fit into others' gaps then move there as they are. What a shard leaves half full is
+taken out and packed again with that of other shards, in ever fewer shards, until one is left or
+nothing is gained.
 """
 
 from __future__ import annotations
 
-import gc
-import itertools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents
+from .common import Scratch, documents, in_row, split_words, text_chunks
 
 CAPACITY = 2048
 #: Pieces of a shard, about.
@@ -52,9 +51,9 @@ def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
         gap = capacity
         if s < capacity:
             # A bin of gap g adds 2 (N(g - s) - N(g)) + 2 to the sum, a new one 2 N(capacity - s) + 1;
-            # full bins do not count, so one that becomes full takes N(g) away.
+            # full bins do not count, so one that becomes full adds 1 - 2 N(s): it comes first of equal ones.
             cost = count[: capacity - s] - count[s:capacity]
-            cost[0] = -count[s] - 1
+            cost[0] = -count[s]
             cost[count[s:capacity] == 0] = none
             best = int(cost.argmin())
             if cost[best] < count[capacity - s]:
@@ -72,9 +71,32 @@ def sum_of_squares(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndar
     return bins, offsets
 
 
-#: A lower-cased word of letters that the tokenizer's normaliser leaves alone, then ASCII signs but
-#: the apostrophe; a line of its own each. Other lines give two empty strings.
-_PLAIN = re.compile(r"^(?:([a-zß-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)|.*)$", re.M)
+def closed_up(sizes: np.ndarray, bins: np.ndarray, offsets: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
+    """The same, after open bins moved as they are into the smallest gap of another one that holds them.
+
+    The rule of squares keeps open bins of every gap for what may come; nothing more comes.
+    """
+    fill = np.bincount(bins, weights=sizes).astype(np.int64) if len(bins) else np.zeros(0, np.int64)
+    to, shift = np.arange(len(fill)), np.zeros(len(fill), np.int64)
+    by_gap: list[list[int]] = [[] for _ in range(capacity + 1)]
+    some = np.zeros(capacity + 1, bool)
+    for b in np.argsort(-fill, kind="stable"):
+        f = int(fill[b])
+        gap = f + int(some[f:].argmax())
+        if some[gap]:
+            to[b] = by_gap[gap].pop()
+            shift[b], left = capacity - gap, gap - f
+            some[gap] = bool(by_gap[gap])
+        else:
+            left = capacity - f
+        by_gap[left].append(int(to[b]))
+        some[left] = left > 0
+    return np.unique(to, return_inverse=True)[1][bins], offsets + shift[bins]
+
+
+#: A word of Latin letters whose lower case the tokenizer's normaliser leaves alone, then ASCII signs
+#: but the apostrophe.
+_PLAIN = r"^(?P<letters>[A-Za-zÀ-ÖØ-Þß-öø-ÿ]+)(?P<signs>[!-&(-/:-@\[-`{-~]*)$"
 
 
 def _byte_letters() -> dict[int, int]:
@@ -89,18 +111,24 @@ class Recent:
     def __init__(self, limit: int):
         self.limit, self.now, self.old = limit, {}, {}
 
-    def lacking(self, keys: set) -> list:
-        """The keys without a value, after those of the older generation came back."""
+    def values(self, keys: list, compute) -> list:
+        """The values of distinct keys; ``compute`` gives those of a list of unknown ones."""
         if len(self.now) > self.limit:
             self.now, self.old = {}, self.now
-        away = keys.difference(self.now)
-        back = {k: self.old[k] for k in away if k in self.old}
-        self.now.update(back)
-        return list(away.difference(back))
+        got = list(map(self.now.get, keys))
+        away = [i for i, v in enumerate(got) if v is None]
+        if away and self.old:
+            for i in away:
+                got[i] = self.old.get(keys[i])
+        lacking = [i for i in away if got[i] is None]
+        for i, v in zip(lacking, compute([keys[i] for i in lacking]) if lacking else ()):
+            got[i] = v
+        self.now.update((keys[i], got[i]) for i in away)
+        return got
 
 
 class WordIds:
-    """Bytes of the little-endian 32-bit ids of texts without ASCII white space.
+    """Ids of words without ASCII white space, as little-endian 32-bit integers.
 
     The tokenizer drops white space and never joins text across it, so a document's ids are its
     words' ids in a row. Most words are letters and then signs, which the tokenizer parts; their
@@ -108,7 +136,7 @@ class WordIds:
     All other words go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 150_000):
         import json
 
         from tokenizers import Tokenizer
@@ -119,63 +147,79 @@ class WordIds:
         self.merges = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": [], "post_processor": None}))
         self.letters = _byte_letters() | {32: 32}
         self.mark_id = self.merges.encode(chr(self.letters[1])).ids[0]
-        self.words, self.parts, self.signs = Recent(limit), Recent(limit), {"": b""}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: set[bytes]) -> None:
-        """Make sure of the ids of these words."""
-        todo = self.words.lacking(words)
-        if not todo:
-            return
-        found = _PLAIN.findall(b"\n".join(todo).decode().lower())
-        self._merge(self.parts.lacking({low for low, _ in found if low}))
-        for tail in {tail for _, tail in found} - self.signs.keys():
-            if len(self.signs) > 50_000:
-                self.signs = {"": b""}
-            self.signs[tail] = self.whole(tail)
-        parts, signs = self.parts.now, self.signs
-        self.words.now.update(zip(todo, [parts[low] + (signs[tail] if tail in signs else self.whole(tail)) if low else self.whole(w.decode()) for w, (low, tail) in zip(todo, found)]))
-
-    def _merge(self, words: list[str], most: int = 1000) -> None:
+        self.letter_runs, self.others = Recent(limit), Recent(limit)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+    def _merged(self, words: list[str], most: int = 1000) -> list[bytes]:
+        out = []
         for at in range(0, len(words), most):
-            some = words[at : at + most]
-            text = " \x01 ".join(some).encode().decode("latin-1").translate(self.letters)
+            text = " \x01 ".join(words[at : at + most]).encode().decode("latin-1").translate(self.letters)
             ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             data, ends = ids.tobytes(), (4 * np.flatnonzero(ids == self.mark_id)).tolist()
-            self.parts.now.update(zip(some, [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)])]))
-
-    def ids(self, words: list[bytes]) -> bytes:
-        """The ids of words that were learnt, in a row."""
-        return b"".join(map(self.words.now.__getitem__, words))
-
-
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, chunk: int = 1024) -> DataFrame:
+            out += [data[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(data)])]
+        return out
+
+    def of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and where each word's begin (and the last one's end)."""
+        plain = pc.extract_regex(words, _PLAIN)
+        told = pc.is_valid(plain)
+        letters = pc.utf8_lower(pc.struct_field(plain, "letters")).filter(told).dictionary_encode()
+        signs = pc.struct_field(plain, "signs").filter(told).dictionary_encode()
+        odd = words.filter(pc.invert(told))
+        parts = [
+            *self.letter_runs.values(letters.dictionary.to_pylist(), self._merged),
+            *self.others.values(signs.dictionary.to_pylist(), self._whole),
+            *self.others.values(odd.to_pylist(), self._whole),
+        ]
+        n_letters, n_signs = len(letters.dictionary), len(signs.dictionary)
+        is_plain = told.to_numpy(zero_copy_only=False)
+        row = np.full((len(words), 2), len(parts), np.int64)  # the last part has no ids
+        row[is_plain, 0] = letters.indices.to_numpy()
+        row[is_plain, 1] = n_letters + signs.indices.to_numpy()
+        row[~is_plain, 0] = n_letters + n_signs + np.arange(len(odd))
+        ids, counts = in_row(row.ravel(), np.frombuffer(b"".join(parts), "<u4"), _starts([*map(len, parts), 0], 4))
+        return ids, _starts(counts.reshape(-1, 2).sum(axis=1))
+
+
+def _starts(counts, unit: int = 1) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(np.asarray(counts, np.int64) // unit)))
+
+
+def document_ids(text: pa.Array, ids: WordIds, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts in a row, each with the end id after it, and where each one's begin."""
+    counts, places, words = split_words(text)
+    flat, starts = ids.of(words)
+    row = np.insert(places.astype(np.int64), np.cumsum(counts), len(words))  # an end after each text's words
+    got, per_word = in_row(row, np.append(flat, np.uint32(end_id)).astype("<u4"), np.append(starts, starts[-1] + 1))
+    run = _starts(per_word)
+    return got, run[np.concatenate(([0], np.cumsum(counts + 1)))]
+
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every row (null text: empty)."""
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        gc.disable()  # words in large lists, none of them in cycles
-        ids, end, step = WordIds(tokenizer), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        ids, step = WordIds(tokenizer), 4 * capacity
         for t in batches:
-            text = t["text"].cast(pa.binary())
-            for begin in range(0, t.num_rows, chunk):
-                words = [x.as_py().split() for x in text[begin : begin + chunk]]
-                ids.learn(set(itertools.chain.from_iterable(words)))
-                rows = []
-                for doc_id, w in zip(t["doc_id"][begin : begin + chunk].to_pylist(), words):
-                    data = ids.ids(w) + end
-                    rows += [(doc_id, at // step, at // 4, min(step, len(data) - at) // 4, zlib.crc32(data[at : at + step])) for at in range(0, len(data), step)]
+            for begin, end in text_chunks(t["text"]):
+                got, starts = document_ids(t["text"][begin:end], ids, end_id)
+                data, rows = got.tobytes(), []
+                for doc_id, a, b in zip(t["doc_id"][begin:end].to_pylist(), (4 * starts[:-1]).tolist(), (4 * starts[1:]).tolist()):
+                    rows += [(doc_id, (at - a) // step, (at - a) // 4, (min(b, at + step) - at) // 4, zlib.crc32(data[at : min(b, at + step)])) for at in range(a, b, step)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
-        gc.enable()
 
     return documents(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(table: DataFrame, scratch: Scratch, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:
-    """The rows of ``table`` (with a ``length``) and their sequence_id and offset."""
+    """The rows of ``table`` (with a ``length``) and their sequence_id and offset.
+
+    ``shard``, ``filled``, ``sequence_id`` and ``offset`` are names of this function's own.
+    """
     schema = f"{', '.join(f'{n} {t}' for n, t in table.dtypes)}, sequence_id long, offset long, filled long"
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -183,7 +227,7 @@ def pack(table: DataFrame, scratch: Scratch, capacity: int = CAPACITY, shard: in
         def packed(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(list(pdf.columns), ignore_index=True)
             sizes = pdf["length"].to_numpy(np.int64)
-            bins, pdf["offset"] = sum_of_squares(sizes, capacity)
+            bins, pdf["offset"] = closed_up(sizes, *sum_of_squares(sizes, capacity), capacity)
             pdf["filled"] = np.bincount(bins, weights=sizes).astype(np.int64)[bins] if len(bins) else bins
             pdf["sequence_id"] = (level << 56) + (pdf["shard"].to_numpy(np.int64) << 24) + bins
             return pdf[names]
@@ -193,7 +237,8 @@ def pack(table: DataFrame, scratch: Scratch, capacity: int = CAPACITY, shard: in
     done, rest, loose, before = None, scratch.save(table, "pieces-0"), None, 0
     shards = max(1, -(-rest.count() // shard))
     for level in range(64):
-        dealt = rest.withColumn("shard", F.pmod(F.xxhash64(*table.columns, F.lit(level)), F.lit(shards)))
+        # Rows that repeat go to different shards by their place in the written table.
+        dealt = rest.withColumn("shard", F.pmod(F.xxhash64(*table.columns, F.monotonically_increasing_id(), F.lit(level)), F.lit(shards)))
         out = scratch.save(dealt.groupBy("shard").applyInPandas(run(level), schema), f"packed-{level}")
         if loose is not None and out.select("sequence_id").distinct().count() >= before:
             done = done.union(loose)  # nothing was gained: what can't be filled stays as it was
