@@ -23,6 +23,12 @@ NODES = 400_000
 class CountTrie:
     def __init__(self, pieces: P.Pieces):
         self.pieces = pieces
+        # Every ending of a piece, with the score of those that are pieces themselves: looking back
+        # from a character ends where no piece can end there.
+        self.endings: dict[str, float | None] = {}
+        for piece in pieces.scores:
+            for at in range(len(piece)):
+                self.endings[piece[at:]] = pieces.scores.get(piece[at:])
         self.clear()
 
     def clear(self) -> None:
@@ -34,24 +40,29 @@ class CountTrie:
         if len(self.best) > NODES:
             self.clear()
         text = part.replace(P.SIGN, "\0").replace(" ", P.SIGN)
-        scores, longest, unknown = self.pieces.scores, self.pieces.longest, self.pieces.unknown
+        endings, longest, unknown, lost = self.endings, self.pieces.longest, self.pieces.unknown, -float("inf")
         children, best, count, path = self.children, self.best, self.count, [0]
+        at = 0
         for end, c in enumerate(text, 1):
-            key = path[-1] << 21 | ord(c)
+            key = at << 21 | ord(c)
             node = children.get(key)
             if node is None:
                 node = children[key] = len(best)
-                top = tokens = None
-                for start in range(max(0, end - longest), end):
-                    score = scores.get(text[start:end])
-                    if score is not None and (top is None or best[path[start]] + score > top):
-                        top, tokens = best[path[start]] + score, count[path[start]] + 1
-                if top is None or best[path[-1]] + unknown > top:
-                    top, tokens = best[path[-1]] + unknown, count[path[-1]] + len(part[end - 1].encode())
+                top, tokens = best[at] + unknown, 0
+                for start in range(end - 1, max(-1, end - 1 - longest), -1):
+                    score = endings.get(text[start:end], lost)
+                    if score is None:
+                        continue
+                    if score == lost:
+                        break
+                    before = path[start]
+                    if best[before] + score >= top:
+                        top, tokens = best[before] + score, count[before] + 1
                 best.append(top)
-                count.append(tokens)
+                count.append(tokens or count[at] + len(part[end - 1].encode()))
             path.append(node)
-        return count[path[-1]]
+            at = node
+        return count[at]
 
 
 def token_counts(docs: DataFrame, model: str, chunk: int = 256) -> DataFrame:
