@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wavemill.llm import attention_lm as L
@@ -44,7 +45,7 @@ def test_gradient_lowers_the_loss():
     x = np.where(x < 0, 6, x)
 
     def loss(m):
-        logits = L.forward(m, x)[2]
+        logits = L.forward(m, x)[-1].reshape(*y.shape, 6)
         p = np.exp(logits) / np.exp(logits).sum(axis=2, keepdims=True)
         return -np.log(np.take_along_axis(p, np.maximum(y, 0)[..., None], 2)[..., 0][y >= 0]).mean()
 
@@ -69,36 +70,46 @@ def test_later_words_change_nothing_before(model_file):
     assert np.allclose(a[0][: a[1]], b[0][: a[1]])
 
 
+def encoder(model_file):
+    from sentencepiece import SentencePieceProcessor
+
+    return SentencePieceProcessor(model_file=model_file)
+
+
+def made(texts, model_file):
+    n = len(texts)
+    return L.Part.read(L.made_part(0, pa.array(range(n)), pa.array([False] * n), pa.array([t.decode() for t in texts]), encoder(model_file)))
+
+
+def fitted(texts, model_file, steps=200):
+    """Units, classes, a layer and counts of a few texts."""
+    part, begins = made(texts, model_file), L.beginnings(model_file)
+    docs = [d for run in part.training_ids() for d in run]
+    unit = L.by_frequency(np.bincount(np.concatenate(docs), minlength=len(begins)))
+    pairs, company = L.neighbours(docs, unit)
+    groups = L.Grouping(unit, L.by_company(pairs.sum(axis=0), company), begins)
+    return groups, L.train(*L.examples(docs, groups), steps=steps), part, pairs
+
+
 def small_model(model_file):
-    texts = [b"one two three four five six seven eight nine ten " * 30] * 8
-    groups, layer = L.fit(texts, model_file)
-    part = L.PartWords(model_file)
-    places = [part.add(t) for t in texts]
-    flat, starts = part.ids()
-    ids, per_word = L.spread(np.concatenate(places), flat, starts)
-    units, lengths = L.with_end(ids, np.array([len(p) for p in places]), per_word, groups)
-    before = np.roll(units, 1)
-    before[np.cumsum(lengths) - lengths] = L.END
-    pairs = np.bincount(before * L.UNITS + units, minlength=L.UNITS**2).reshape(L.UNITS, L.UNITS).astype(float)
-    of_id = np.bincount(ids, minlength=len(groups.unit)) + 0.5
-    first = groups.unit[flat[starts[:-1]]]
-    words, kinds = np.bincount(first[np.concatenate(places)], minlength=L.UNITS), np.bincount(first, minlength=L.UNITS)
-    return L.counted_model(groups, layer, of_id, pairs, words.astype(float), kinds.astype(float)), part
-
-
-def scored(m, part, text):
-    places = part.add(text)
-    flat, starts = part.ids()
-    ids, per_word = L.spread(places, flat, starts)
-    units, lengths = L.with_end(ids, np.array([len(places)]), per_word, m.groups)
+    groups, layer, part, pairs = fitted([b"one two three four five six seven eight nine ten " * 30] * 8, model_file)
+    of_id = np.bincount(part.flat, np.repeat(np.bincount(part.places), np.diff(part.starts)), len(groups.unit)) + 0.5
+    first = groups.unit[part.flat[part.starts[:-1]]]
+    words, kinds = np.bincount(first[part.places], minlength=L.UNITS), np.bincount(first, minlength=L.UNITS)
+    return L.counted_model(groups, layer, of_id, pairs.astype(float), words.astype(float), kinds.astype(float)), model_file
+
+
+def scored(m, model_file, text):
+    part = made([text], model_file)
+    _, n, ids, per_word = next(part.documents())
+    units, lengths = L.with_end(ids, n, per_word, m.groups)
     return m.score(units, lengths)[0], int(per_word[:3].sum())
 
 
 def test_units_sum_to_one(model_file):
     """Given a beginning, all ids and the end share a probability of one."""
-    m, part = small_model(model_file)
-    flat, starts = part.ids()
-    ids = flat[starts[0] : starts[3]]
+    m, _ = small_model(model_file)
+    _, _, ids, _ = next(made([b"one two three"], model_file).documents())
     total = 0.0
     for u in range(L.UNITS):
         units = np.concatenate((m.groups.unit[ids], [u])).astype(np.int32)
@@ -122,19 +133,17 @@ def test_beats_the_base_line_on_held_out(spark, model_file):
 def test_units_come_from_all_documents(spark, model_file, monkeypatch):
     """A piece that only documents beyond the start have is a unit and a class of its own."""
     seen = {}
-    made = L.counted_model
-    monkeypatch.setattr(L, "counted_model", lambda groups, layer, *counts: made(seen.setdefault("groups", groups), seen.setdefault("layer", layer), *counts))
+    counted = L.counted_model
+    monkeypatch.setattr(L, "counted_model", lambda groups, layer, *counts: counted(seen.setdefault("groups", groups), seen.setdefault("layer", layer), *counts))
     rows = [(i, "alpha beta gamma delta " * 20 if i % 2 else "velocity umbrella " * 20) for i in range(1, 200)]
-    L.score(spark.createDataFrame(rows, "doc_id long, text string"), model_file, sample=1).count()
-    part = L.PartWords(model_file)
-    part.add(b"alpha beta gamma delta velocity umbrella")
-    ids = part.ids()[0]
+    L.score(spark.createDataFrame(rows, "doc_id long, text string"), model_file, first=1).count()
+    ids = made([b"alpha beta gamma delta velocity umbrella"], model_file).flat
     units = seen["groups"].unit[ids]
     assert len(set(units)) == len(set(ids)) and units.max() < L.UNITS - L.SHARED_UNITS and len(set(seen["groups"].klass[units])) == len(set(ids))
 
 
 def test_training_covers_each_position_once(model_file, monkeypatch):
-    groups, layer = L.fit([b"one two three four five six seven eight nine ten " * 30] * 4, model_file)
+    groups, layer, *_ = fitted([b"one two three four five six seven eight nine ten " * 30] * 4, model_file)
     scored = []
     step = L.Fit.step
     monkeypatch.setattr(L.Fit, "step", lambda self, x, y, rate: (scored.append(int((y >= 0).sum())), step(self, x, y, rate)))
@@ -144,6 +153,100 @@ def test_training_covers_each_position_once(model_file, monkeypatch):
     assert sum(scored) == sum(len(d) + 1 for d in docs) and windows == sum(-(-(len(d) + 1) // L.STRIDE) for d in docs)
 
 
+def test_every_part_trains(spark, model_file, monkeypatch):
+    """The layer is the mean of what the parts make of the start, by their windows."""
+    monkeypatch.setattr(L, "STEPS", 5)
+    rows = [(i, f"alpha beta gamma {i} " * (5 + i % 7)) for i in range(1, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    table = df.sparkSession.createDataFrame(L.parts(df, model_file, 400).toPandas(), L._PART).cache()
+    begins = L.beginnings(model_file)
+    unit = L.by_frequency(L.id_counts(table, len(begins)))
+    pairs, company = L.neighbour_counts(table, L.Shipped(spark, unit))
+    groups = L.Grouping(unit, L.by_company(pairs.sum(axis=0), company), begins)
+    total = table.selectExpr("sum(windows) AS n").first().n
+    got = L.fit_on_all(table, groups, total)
+    parts = [[d for run in L.Part.read(r.asDict()).training_ids() for d in run] for r in table.collect()]
+    assert len(parts) > 3 and total == sum(-(-(len(d) + 1) // L.STRIDE) for p in parts for d in p)
+    whole = [d for p in parts for d in p]
+    assert np.array_equal(L.id_counts(table, len(begins)), np.bincount(np.concatenate(whole), minlength=len(begins)))
+    assert all(np.array_equal(a, b) for a, b in zip(L.neighbours(whole, unit), (pairs, company)))
+    start = L.train(*L.first_windows(table, L.Shipped(spark, groups), total, L.FIRST_WINDOWS))
+    layers = [L.train_on_all(p, groups, start) for p in parts]
+    for k in got:
+        assert np.allclose(got[k], sum(m[k].astype(float) * n for m, n in layers) / total, atol=1e-5)
+
+
+def dense(m, x):
+    """The layer written out position by position, with a full masked softmax."""
+    classes, out = len(m["bias"]), []
+    for row in x:
+        for at in range(L.WINDOW - L.STRIDE, L.WINDOW):
+            keys = [j for j in range(at + 1) if row[j] != classes]
+            s = np.array([np.clip(m["query"][row[at]] @ m["key"][row[j]] / np.sqrt(L.WIDTH), -30, 30) + m["near"][at - j] for j in keys])
+            a = np.exp(s - s.max()) if keys else s
+            mixed = sum(w * m["value"][row[j]] for w, j in zip(a / a.sum(), keys)) if keys else 0
+            out.append(np.tanh(m["own"][row[at]] + mixed) @ m["out"] + m["bias"])
+    return np.array(out)
+
+
+def random_layer(classes, seed=4):
+    rng = np.random.default_rng(seed)
+    return {k: (v + 0.2 * rng.standard_normal(v.shape)).astype(np.float32) for k, v in L.initial(classes).items()}
+
+
+def test_attention_is_dense_attention():
+    rng, classes = np.random.default_rng(1), 9
+    x = rng.integers(0, classes, (5, L.WINDOW))
+    x[0, : L.WINDOW - L.STRIDE] = classes  # padding before a document
+    m = random_layer(classes)
+    assert np.allclose(L.forward(m, x)[-1], dense(m, x), atol=1e-4)
+
+
+def test_gradient_by_finite_differences():
+    rng, classes = np.random.default_rng(2), 7
+    x, y = rng.integers(0, classes, (4, L.WINDOW)), rng.integers(0, classes, (4, L.STRIDE))
+    x[1, :20], y[2, 5:] = classes, -1
+    m = random_layer(classes)
+
+    def loss(m):
+        logits = dense({k: v.astype(float) for k, v in m.items()}, x)
+        log_p = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        at = np.flatnonzero(y.ravel() >= 0)
+        return -log_p[at, y.ravel()[at]].mean()
+
+    g = L.gradient(m, x, y)
+    for k, v in m.items():
+        for _ in range(6):
+            i = tuple(rng.integers(0, n) for n in v.shape)
+            up, down = ({**m, k: v.astype(float).copy()} for _ in range(2))
+            up[k][i] += 1e-4
+            down[k][i] -= 1e-4
+            assert abs((loss(up) - loss(down)) / 2e-4 - g[k][i]) < 1e-4 + 0.01 * abs(g[k][i]), (k, i)
+
+
+def test_score_is_the_model_on_every_document(spark, docs, corpus, model_file, monkeypatch):
+    """The parts' scores equal those of one model fed with each text alone, its words counted plainly."""
+    monkeypatch.setattr(L, "STEPS", 20)
+    seen = {}
+    counted = L.counted_model
+    monkeypatch.setattr(L, "counted_model", lambda *a: seen.setdefault("model", counted(*a)))
+    got = {r.doc_id: r.score for r in L.score(docs, model_file, part_bytes=5000).collect()}
+    train = Counter(w for i, t in corpus if zlib.crc32(str(i).encode()) % 10 for w in (t or "").encode().lower().split())
+    enc = encoder(model_file)
+    for i, text in corpus:
+        words = (text or "").encode().lower().split()
+        ids = [enc.encode(w.decode()) for w in words]
+        want = seen["model"].text_scores(np.array([x for w in ids for x in w], np.int64), np.array([len(w) for w in ids], np.int64), np.array([len(words)]), np.array([train[w] for w in words], np.int64))
+        assert abs(got[i] - want[0]) < 1e-4 * max(1, abs(want[0]))
+
+
+def test_a_very_long_text_and_one_id_for_all(spark, model_file, monkeypatch):
+    monkeypatch.setattr(L, "STEPS", 5)
+    df = spark.createDataFrame([(7, "tick tock " * 60_000)] + [(7, "tick")] * 50, "doc_id long, text string")
+    got = L.score(df, model_file, part_bytes=2000).toPandas()
+    assert len(got) == 51 and got.n_tokens.max() == 120_001 and np.isfinite(got.score).all()
+
+
 def test_empty_and_single(spark, nothing, model_file, monkeypatch):
     monkeypatch.setattr(L, "STEPS", 5)
     assert L.score(nothing, model_file).collect() == []

@@ -3,9 +3,10 @@
 The model reads subword ids of the lower-cased words. Ids are grouped into units (each frequent
 id is one, the others share a few), and units into classes, by counts over all training
 documents. A causal self-attention layer with relative positions predicts the next class; it is
-trained here, in numpy: it starts on a few documents, then each part goes on over all its training
-documents, each position once, and the parts' layers are averaged. The probability of a unit is that of its class times its share of the class,
-mixed with how often it follows its predecessor.
+trained here, in numpy: it starts on windows drawn from all parts, then each part goes on over all
+its training documents, each position once, and the parts' layers are averaged. The probability
+of a unit is that of its class times its share of the class, mixed with how often it follows its
+predecessor.
 
 A word's first unit is predicted in its context, among the units that can begin a word. Given
 that unit, the word is either one that was counted (its discounted share of the words with that
@@ -15,32 +16,39 @@ documents. The sum over the words and the end is a log probability of the text.
 Texts are scored in windows that overlap by half: each position of a window's second half is
 scored once and attends to at least half a window before it.
 
-Documents are dealt into parts of bounded size. A part's distinct words are counted once, summed
-over parts by word, and the sums go back to just the parts that hold the word.
+Documents are cut into parts of bounded size where they lie, and coded once: a part's row has its
+distinct words, their ids and counts, and its documents as places among them. Each later pass
+reads these rows. Words are summed over parts, and the sums of words that several parts have go
+back to those parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import Scratch, Shipped
+from .common import Scratch, Shipped, in_row, runs, split_words, text_chunks
 
-#: Training documents on which the attention layer starts, before it sees all of them.
-SAMPLE = 1500
 UNITS, SHARED_UNITS, CLASSES, SHARED_CLASSES = 512, 8, 64, 16
 WINDOW, STRIDE, WIDTH = 32, 16, 16
 STEPS, BATCH, RATE = 500, 96, 0.01
-#: The rate over all documents, and about the positions that are looked at in one piece.
-LATER_RATE, PIECE = 0.003, 400_000
+#: Windows on which the layer starts, before it sees all documents: as many as its steps look at.
+FIRST_WINDOWS = STEPS * BATCH
+#: The rate and batch over all documents, and about the positions that are looked at in one piece.
+LATER_RATE, LATER_BATCH, PIECE = 0.004, 256, 400_000
+#: Parameters are averaged as whole multiples of one over this.
+FINE = 1 << 20
 #: Bytes of text of a part, about.
-PART_BYTES = 32_000_000
+PART_BYTES = 16_000_000
 #: Prior observations of a unit after each other one.
 PRIOR = 20.0
 #: What a counted word gives up for words that were never counted.
@@ -48,11 +56,6 @@ DISCOUNT = 0.75
 END = 0
 
 
-def lowered(data: bytes) -> list[bytes]:
-    """Words part at ASCII white space; A-Z are lower-cased."""
-    return data.lower().split()
-
-
 # --- the attention layer -----------------------------------------------------------------------
 
 
@@ -62,31 +65,76 @@ def initial(classes: int = CLASSES, seed: int = 7) -> dict[str, np.ndarray]:
     return {"query": small(classes + 1, WIDTH), "key": small(classes + 1, WIDTH), "value": small(classes + 1, WIDTH), "own": small(classes + 1, WIDTH), "near": np.zeros(WINDOW, np.float32), "out": small(WIDTH, classes), "bias": np.zeros(classes, np.float32)}
 
 
-#: Distance of each of a window's inputs from each scored position, and which are later than it.
+#: Distance of each of a window's inputs from each scored position; below 0 are later ones.
 _AT = np.arange(WINDOW - STRIDE, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+_SCALE = np.float32(1 / np.sqrt(WIDTH))
+#: The type of a class in windows.
+_CLASS = np.uint8
 
 
-def forward(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """x: classes of windows, the last class for padding. Gives hidden states and log-probabilities.
+def _tables(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of a key's class for a query's one (none for padding), and of their distance (none for later ones).
 
-    An input has no position of its own, so a query meets a key as the product of two classes'
-    vectors plus a weight of their distance.
+    An input has no position of its own, so all attention before its norm is a product of the two.
     """
-    pad = m["bias"].shape[0]
-    meet = np.clip(m["query"] @ m["key"].T / np.float32(np.sqrt(WIDTH)), -30, 30)
-    meet[:, pad] = -1e9  # padding is no key
+    meet = np.exp(np.clip(m["query"] @ m["key"].T * _SCALE, -30, 30))
+    meet[:, -1] = 0
+    near = np.where(_AT >= 0, np.exp(np.clip(m["near"], -30, 30))[np.maximum(_AT, 0)], 0)
+    return meet.astype(np.float32).ravel(), near.astype(np.float32)
+
+
+def forward(m: dict[str, np.ndarray], x: np.ndarray, tables: tuple | None = None) -> tuple[np.ndarray, ...]:
+    """x: classes of windows, the last class for padding. Gives the places of pairs of classes, the
+    attention, the values, hidden states and, a row for each scored position, log-weights of classes."""
+    pad = len(m["bias"])
+    meet, near = tables or _tables(m)
     ask = x[:, WINDOW - STRIDE :]
-    s = meet.ravel()[ask[:, :, None] * np.int32(pad + 1) + x[:, None, :]]
-    s += np.where(_AT >= 0, m["near"][np.maximum(_AT, 0)], np.float32(-1e9))
-    np.exp(s, out=s)
-    s /= s.sum(axis=2, keepdims=True) + np.float32(1e-30)
-    h = m["own"][ask]
-    h += s @ m["value"][x]
+    pair = (ask.astype(np.int32) * np.int32(pad + 1))[:, :, None] + x[:, None, :]
+    a = meet.take(pair, mode="clip")
+    a *= near
+    a *= (1 / (np.einsum("bqk->bq", a) + np.float32(1e-30)))[..., None]
+    v = m["value"].take(x, axis=0)
+    h = np.matmul(a, v)
+    h += m["own"].take(ask, axis=0)
     np.tanh(h, out=h)
     logits = h.reshape(-1, WIDTH) @ m["out"]
     logits += m["bias"]
     np.clip(logits, -60, 60, out=logits)
-    return s, h, logits.reshape(*h.shape[:2], pad)
+    return pair, a, v, h, logits
+
+
+def gradient(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean of -log p over the scored positions, those whose target in y isn't -1."""
+    pair, a, v, h, logits = forward(m, x)
+    n, target = len(m["bias"]) + 1, y.ravel()
+    at = np.flatnonzero(target >= 0)
+    share = np.float32(1 / max(1, len(at)))
+    p = np.exp(logits, out=logits)
+    norm = share / np.einsum("ij->i", p)
+    norm[target < 0] = 0
+    p *= norm[:, None]
+    p[at, target[at]] -= share
+    g = {"out": h.reshape(-1, WIDTH).T @ p, "bias": p.sum(axis=0)}
+    dz = (p @ m["out"].T).reshape(h.shape)
+    dz *= 1 - h * h
+    ds = np.matmul(dz, v.transpose(0, 2, 1))
+    ds -= np.einsum("bqk,bqk->bq", a, ds)[..., None]
+    ds *= a
+    meet = np.bincount(pair.ravel(), ds.ravel(), n * n).reshape(n, n).astype(np.float32) * _SCALE
+    g["query"], g["key"] = meet @ m["key"], meet.T @ m["query"]
+    g["own"] = _scatter(x[:, WINDOW - STRIDE :].ravel(), dz.reshape(-1, WIDTH), n)
+    g["value"] = _scatter(x.ravel(), np.matmul(a.transpose(0, 2, 1), dz).reshape(-1, WIDTH), n)
+    g["near"] = np.bincount(np.maximum(_AT, 0).ravel(), (ds.sum(axis=0) * (_AT >= 0)).ravel(), WINDOW).astype(np.float32)
+    return g
+
+
+def _scatter(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by index."""
+    order, counts = np.argsort(index, kind="stable"), np.bincount(index, minlength=n)
+    out, some = np.zeros((n, rows.shape[1]), np.float32), counts > 0
+    if len(index):
+        out[some] = np.add.reduceat(rows.take(order, axis=0), (np.cumsum(counts) - counts)[some], axis=0)
+    return out
 
 
 class Fit:
@@ -97,26 +145,7 @@ class Fit:
         self.first, self.second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
 
     def step(self, x: np.ndarray, y: np.ndarray, rate: float) -> None:
-        m, classes = self.m, len(self.m["bias"])
-        a, h, logits = forward(m, x)
-        p = np.exp(logits - logits.max(axis=2, keepdims=True))
-        p /= p.sum(axis=2, keepdims=True)
-        scored = y >= 0
-        np.put_along_axis(p, np.maximum(y, 0)[..., None], np.take_along_axis(p, np.maximum(y, 0)[..., None], 2) - 1, 2)
-        p *= scored[..., None] / np.float32(max(1, scored.sum()))
-        flat = p.reshape(-1, classes)
-        g = {"out": h.reshape(-1, WIDTH).T @ flat, "bias": flat.sum(axis=0)}
-        dz = (flat @ m["out"].T).reshape(h.shape) * (1 - h * h)
-        xq = x[:, WINDOW - STRIDE :]
-        v = m["value"][x]
-        da = dz @ v.transpose(0, 2, 1)
-        ds = a * (da - (a * da).sum(axis=2, keepdims=True))
-        for name, index, grad in (("own", xq, dz), ("value", x, a.transpose(0, 2, 1) @ dz)):
-            g[name] = _scatter(index, grad, classes + 1)
-        scale = np.float32(1 / np.sqrt(WIDTH))
-        g["query"] = _scatter(xq, ds @ m["key"][x] * scale, classes + 1)
-        g["key"] = _scatter(x, ds.transpose(0, 2, 1) @ m["query"][xq] * scale, classes + 1)
-        g["near"] = np.bincount(np.maximum(_AT, 0).ravel(), (ds.sum(axis=0) * (_AT >= 0)).ravel(), WINDOW).astype(np.float32)
+        m, g = self.m, gradient(self.m, x, y)
         self.steps += 1
         for k in m:
             self.first[k] = 0.9 * self.first[k] + 0.1 * g[k]
@@ -143,25 +172,13 @@ def train_on_all(docs: list[np.ndarray], groups: Grouping, start: dict[str, np.n
     for piece in np.unique(pieces):
         x, y = examples([docs[i] for i in np.flatnonzero(pieces == piece)], groups)
         order = r.permutation(len(x))
-        for at in range(0, len(x), BATCH):
-            pick = order[at : at + BATCH]
+        for at in range(0, len(x), LATER_BATCH):
+            pick = order[at : at + LATER_BATCH]
             fit_.step(x[pick], y[pick], LATER_RATE * (1 - done / windows))
             done += len(pick)
     return fit_.m, windows
 
 
-def averaged(layers: list[tuple[dict[str, np.ndarray], int]], start: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """The layers' mean by their numbers of windows; ``start`` where there are none."""
-    n = sum(w for _, w in layers)
-    return {k: (sum(m[k].astype(float) * w for m, w in layers) / n).astype(np.float32) for k in start} if n else start
-
-
-def _scatter(index: np.ndarray, grad: np.ndarray, n: int) -> np.ndarray:
-    one = np.zeros((index.size, n), np.float32)
-    one[np.arange(index.size), index.ravel()] = 1
-    return one.T @ grad.reshape(-1, grad.shape[-1])
-
-
 def windowed(units: np.ndarray, lengths: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
     """Windows over each document's inputs (the end, then all but the last) and the place in
     ``units`` of each scored position, -1 beyond a document."""
@@ -180,55 +197,6 @@ def windowed(units: np.ndarray, lengths: np.ndarray, pad: int) -> tuple[np.ndarr
 # --- words, ids and units ------------------------------------------------------------------------
 
 
-class Places(dict):
-    """Numbers its keys as they are first asked for."""
-
-    def __missing__(self, key: bytes) -> int:
-        self[key] = place = len(self)
-        return place
-
-
-class PartWords:
-    """The distinct words of a part of the corpus, with their hashes and subword ids."""
-
-    def __init__(self, tokenizer: str):
-        from sentencepiece import SentencePieceProcessor
-
-        self.encoder = SentencePieceProcessor(model_file=tokenizer)
-        self.places = Places()
-
-    @property
-    def words(self) -> list[bytes]:
-        return list(self.places)
-
-    def add(self, data: bytes) -> np.ndarray:
-        words = lowered(data)
-        return np.fromiter(map(self.places.__getitem__, words), np.int32, len(words))
-
-    def hashes(self) -> np.ndarray:
-        import xxhash
-
-        return np.fromiter(map(xxhash.xxh64_intdigest, self.places), np.uint64, len(self.places)).view(np.int64)
-
-    def ids(self) -> tuple[np.ndarray, np.ndarray]:
-        """All words' ids in a row, and where each word's begin."""
-        flat, counts, words = [], [], self.words
-        for at in range(0, len(words), 10_000):
-            some = self.encoder.encode([w.decode() for w in words[at : at + 10_000]], num_threads=1)
-            counts.append(np.fromiter(map(len, some), np.int64, len(some)))
-            flat.append(np.fromiter((i for x in some for i in x), np.int32, int(counts[-1].sum())))
-        counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        return np.concatenate(flat) if flat else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum(counts)))
-
-
-def spread(places: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of a row of words, and how many each word has."""
-    counts = (starts[1:] - starts[:-1])[places]
-    ends = np.cumsum(counts)
-    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[:-1][places] - (ends - counts), counts)
-    return flat[at], counts
-
-
 @dataclass
 class Grouping:
     """unit of each id, class of each unit, and which ids begin a word."""
@@ -301,17 +269,16 @@ class Model:
         start_class = np.bincount(self.groups.klass, self.in_class * self.starts, CLASSES).astype(np.float32)
         start_after = self.follows @ self.starts.astype(np.float32)
         x, place = windowed(units, lengths, -1)
-        before = np.maximum(x[:, WINDOW - STRIDE :], 0)
-        x = np.append(self.groups.klass, np.int32(CLASSES))[x]  # the padding, -1, is the last one
+        klass, tables = np.append(self.groups.klass, CLASSES).astype(_CLASS), _tables(self.layer)  # the padding, -1, is the last one
         for at in range(0, len(x), chunk):
-            _, _, logits = forward(self.layer, x[at : at + chunk])
-            p, own = place[at : at + chunk], place[at : at + chunk] >= 0
-            u = units[np.maximum(p, 0)]
-            top = np.exp(np.take_along_axis(logits, self.groups.klass[u][..., None], 2)[..., 0])
-            np.exp(logits, out=logits)
-            norm, b = logits.sum(axis=2), before[at : at + chunk]
-            now = (1 - self.mix) * top / norm * self.in_class[u] + self.mix * self.follows[b, u]
-            any_ = (1 - self.mix) * (logits @ start_class) / norm + self.mix * start_after[b]
+            inputs, p = x[at : at + chunk], place[at : at + chunk].ravel()
+            weights = forward(self.layer, klass[inputs], tables)[-1]
+            np.exp(weights, out=weights)
+            u, b = units[np.maximum(p, 0)], np.maximum(inputs[:, WINDOW - STRIDE :].ravel(), 0)
+            share = (1 - self.mix) / np.einsum("ij->i", weights)
+            now = weights[np.arange(len(u)), self.groups.klass[u]] * share * self.in_class[u] + self.mix * self.follows[b, u]
+            any_ = (weights @ start_class) * share + self.mix * start_after[b]
+            own = p >= 0
             total[p[own]], begun[p[own]] = np.log10(now[own]), np.log10(any_[own])
         return total, begun
 
@@ -353,26 +320,17 @@ def examples(docs: list[np.ndarray], groups: Grouping) -> tuple[np.ndarray, np.n
     ends = np.cumsum(lengths - 1)
     units = np.insert(groups.unit[np.concatenate(docs) if docs else np.zeros(0, np.int32)], ends, END)
     x, place = windowed(units, lengths, -1)
-    y = np.where(place >= 0, groups.klass[units[np.maximum(place, 0)]], -1) if len(units) else place
-    return np.where(x < 0, CLASSES, groups.klass[np.maximum(x, 0)]), y
+    klass = np.append(groups.klass, CLASSES).astype(_CLASS)  # the padding, -1, is the last one
+    y = np.where(place >= 0, klass[units[np.maximum(place, 0)]].astype(np.int16), np.int16(-1)) if len(units) else place.astype(np.int16)
+    return klass[x], y
 
 
 def beginnings(tokenizer: str) -> np.ndarray:
     """Which ids begin a word."""
-    encoder = PartWords(tokenizer).encoder
-    return np.array([encoder.id_to_piece(i).startswith("▁") for i in range(encoder.get_piece_size())])
+    from sentencepiece import SentencePieceProcessor
 
-
-def fit(texts: list[bytes], tokenizer: str) -> tuple[Grouping, dict[str, np.ndarray]]:
-    """Units, classes and the attention layer of a few texts."""
-    part, begins = PartWords(tokenizer), beginnings(tokenizer)
-    places = [part.add(t) for t in texts]
-    flat, starts = part.ids()
-    docs = [spread(p, flat, starts)[0] for p in places]
-    unit = by_frequency(np.bincount(np.concatenate(docs), minlength=len(begins)) if docs else np.zeros(len(begins)))
-    pairs, company = neighbours(docs, unit)
-    groups = Grouping(unit, by_company(pairs.sum(axis=0), company), begins)
-    return groups, train(*examples(docs, groups))
+    encoder = SentencePieceProcessor(model_file=tokenizer)
+    return np.array([encoder.id_to_piece(i).startswith("▁") for i in range(encoder.get_piece_size())])
 
 
 def counted_model(groups: Grouping, layer: dict[str, np.ndarray], of_id: np.ndarray, pairs: np.ndarray, words: np.ndarray, kinds: np.ndarray) -> Model:
@@ -388,162 +346,257 @@ def counted_model(groups: Grouping, layer: dict[str, np.ndarray], of_id: np.ndar
 # --- the corpus ----------------------------------------------------------------------------------
 
 
-def parts(docs: DataFrame, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
-    """The documents dealt by a hash of their id into parts of about so many bytes."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-size // part_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, size // (part_bytes // 8)))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
-    place = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(n)).cast("int")
-    return rows.select(place.alias("part"), "doc_id", held.alias("held_out"), "text").repartition(n, "part"), n
+_PART = "part long, doc_id array<long>, held binary, n_words binary, places binary, ids binary, n_ids binary, keys binary, counts binary, ends long, windows long"
 
 
-#: Kinds of counts: words by hash, ids, and ends; and the ids of a document.
-_WORD, _ID, _END, _DOC = range(4)
+def _planes(x: np.ndarray) -> bytes:
+    """Non-negative numbers below 2**32 as four planes of bytes, the upper ones of which compress to little."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def part_counts(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """part, kind, key, first, n, ids: what each part counts in its training documents, and their
-    ids. n is 0 for words that only others have; first is a word's first id."""
-    names = ["part", "kind", "key", "first", "n", "ids"]
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+@dataclass
+class Part:
+    """A stretch of the corpus: its documents as places in its distinct words, and those words' ids."""
+
+    held: np.ndarray
+    n_words: np.ndarray  # of each document
+    places: np.ndarray  # of all documents' words, in a row
+    flat: np.ndarray  # ids of all distinct words in a row
+    starts: np.ndarray  # where each word's begin
+
+    @staticmethod
+    def read(row: dict) -> Part:
+        flat, counts = _from_planes(row["ids"]), _from_planes(row["n_ids"])
+        held = np.frombuffer(row["held"], np.uint8).astype(bool)
+        return Part(held, _from_planes(row["n_words"]), _from_planes(row["places"]), flat, np.concatenate(([0], np.cumsum(counts))))
+
+    def documents(self, most: int = 100_000, training: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs of documents (of at most so many words, or one): their words' places, how many words
+        each has, all their ids, and how many ids each word has."""
+        ends = np.cumsum(self.n_words)
+        which = np.flatnonzero(~self.held) if training else np.arange(len(ends))
+        for a, b in runs(self.n_words[which], most):
+            some = which[a:b]
+            n = self.n_words[some]
+            places = np.concatenate([self.places[e - k : e] for e, k in zip(ends[some], n)])
+            yield places, n, *in_row(places, self.flat, self.starts)
+
+    def training_ids(self, most: int = 100_000) -> Iterator[list[np.ndarray]]:
+        """Runs of training documents' ids."""
+        for _, n, ids, per_word in self.documents(most):
+            yield np.split(ids, np.concatenate(([0], np.cumsum(per_word)))[np.cumsum(n)][:-1])
+
+
+def made_part(part: int, doc_id: pa.Array, held: pa.Array, text: pa.Array, encoder) -> dict:
+    """A row of ``_PART``: counts are of training documents only."""
+    import xxhash
+
+    n_words, places, words = split_words(pc.ascii_lower(text))
+    flat, n_ids = [], []
+    for at in range(0, len(words), 10_000):
+        some = [ids or [encoder.unk_id()] for ids in encoder.encode(words[at : at + 10_000].to_pylist(), num_threads=1)]
+        n_ids.append(np.fromiter(map(len, some), np.int64, len(some)))
+        flat.append(np.fromiter(chain.from_iterable(some), np.int64, int(n_ids[-1].sum())))
+    n_ids, flat = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (n_ids, flat))
+    out = held.to_numpy(zero_copy_only=False).astype(bool)
+    counts = np.bincount(places[np.repeat(~out, n_words)], minlength=len(words))
+    run = np.concatenate(([0], np.cumsum(n_ids[places])))
+    ends = np.cumsum(n_words)
+    lengths = run[ends] - run[ends - n_words] + 1
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+    return {
+        "part": part, "doc_id": doc_id.to_pylist(), "held": out.astype(np.uint8).tobytes(), "n_words": _planes(n_words), "places": _planes(places), "ids": _planes(flat), "n_ids": _planes(n_ids),
+        "keys": keys.tobytes(), "counts": _planes(counts), "ends": int((~out).sum()), "windows": int((-(-lengths[~out] // STRIDE)).sum()),
+    }
+
+
+def parts(docs: DataFrame, tokenizer: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The documents in parts of about so many bytes, as they lie: no shuffle, so no key is hot."""
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", held.alias("held"), "text")
+    schema = to_arrow_schema(StructType.fromDDL(_PART))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[int, tuple] = {}
+        from pyspark import TaskContext
+        from sentencepiece import SentencePieceProcessor
+
+        encoder, place = SentencePieceProcessor(model_file=tokenizer), TaskContext.get().partitionId() << 24
+        waiting, size = [], 0
+
+        def done() -> pa.RecordBatch:
+            columns = [pa.concat_arrays([b.column(c) for b in waiting]) for c in ("doc_id", "held", "text")]
+            return pa.RecordBatch.from_pylist([made_part(place, *columns, encoder)], schema=schema)
+
         for t in batches:
-            text = t["text"].cast(pa.binary())
-            for part, doc_id, held, x in zip(t["part"].to_pylist(), t["doc_id"].to_pylist(), t["held_out"].to_pylist(), text):
-                if part not in state:
-                    state[part] = PartWords(tokenizer), []
-                words, seen = state[part]
-                seen.append((held, doc_id, words.add(x.as_py())))
-        for part, (words, seen) in state.items():
-            n, trained = len(words.places), [(i, p) for held, i, p in seen if not held]
-            places = np.concatenate([p for _, p in trained]) if trained else np.zeros(0, np.int32)
-            flat, starts = words.ids()
-            ids_seen = np.zeros(words.encoder.get_piece_size(), np.int64)
-            for at in range(0, len(trained), 64):
-                some = trained[at : at + 64]
-                ids, per_word = spread(np.concatenate([p for _, p in some]), flat, starts)
-                ids_seen += np.bincount(ids, minlength=len(ids_seen))
-                ends = np.concatenate(([0], np.cumsum(per_word)))[np.cumsum([len(p) for _, p in some])]
-                data = [d.astype("<u2" if len(ids_seen) < 65536 else "<u4").tobytes() for d in np.split(ids, ends[:-1])]
-                k = len(some)
-                cols = pa.array([part] * k, pa.int32()), pa.array([_DOC] * k, pa.int32()), pa.array([i for i, _ in some], pa.int64()), pa.array([0] * k, pa.int32()), pa.array([1] * k, pa.int64()), pa.array(data, pa.binary())
-                yield pa.RecordBatch.from_arrays(list(cols), names=names)
-            for kind, key, count in (
-                (_WORD, words.hashes(), np.bincount(places, minlength=n)[:n]),
-                (_ID, np.flatnonzero(ids_seen), ids_seen[ids_seen > 0]),
-                (_END, np.zeros(1, np.int64), np.array([len(trained)])),
-            ):
-                first = flat[starts[:-1]] if kind == _WORD else np.zeros(len(key), np.int32)
-                for at in range(0, len(key), 50_000):
-                    k = key[at : at + 50_000]
-                    cols = np.full(len(k), part, np.int32), np.full(len(k), kind, np.int32), k.astype(np.int64), first[at : at + 50_000].astype(np.int32), count[at : at + 50_000].astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.nulls(len(k), pa.binary())], names=names)
-
-    return rows.mapInArrow(run, "part int, kind int, key long, first int, n long, ids binary")
-
-
-def unpacked(data: bytes, size: int) -> np.ndarray:
-    """A document's ids."""
-    return np.frombuffer(data, "<u2" if size < 65536 else "<u4").astype(np.int32)
-
-
-def neighbour_counts(texts: DataFrame, unit) -> tuple[np.ndarray, np.ndarray]:
-    """``neighbours`` of all documents; at most twice UNITS squared counts, whatever the corpus."""
+            for a, b in text_chunks(t["text"], part_bytes):
+                waiting.append(t.slice(a, b - a))
+                size += pc.sum(pc.binary_length(t["text"][a:b])).as_py() or 0
+                if size >= part_bytes // 2:
+                    yield done()
+                    waiting, size, place = [], 0, place + 1
+        if waiting:
+            yield done()
+
+    return rows.mapInArrow(run, _PART)
+
+
+def each_part(table: DataFrame, schema: str, f: Callable[[Iterator[dict]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``f`` over a task's parts, one in memory at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        u, sums = unit.value, np.zeros((2, UNITS, UNITS), np.int64)
-        for t in batches:
-            for at in range(0, t.num_rows, 64):
-                sums += np.stack(neighbours([unpacked(x, len(u)) for x in t["ids"][at : at + 64].to_pylist()], u))
+        yield from f(t.slice(i, 1).to_pylist()[0] for t in batches for i in range(t.num_rows))
+
+    return table.mapInArrow(run, schema)
+
+
+def word_rows(table: DataFrame) -> DataFrame:
+    """part, place, key, first, n: the distinct words of each part, their first ids and training counts."""
+
+    def run(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        for r in rows:
+            keys, counts, starts = np.frombuffer(r["keys"], np.int64), _from_planes(r["counts"]), np.cumsum(_from_planes(r["n_ids"]))
+            first = _from_planes(r["ids"])[np.concatenate(([0], starts[:-1]))] if len(keys) else counts
+            for at in range(0, len(keys), 50_000):
+                k = slice(at, min(at + 50_000, len(keys)))
+                n = k.stop - at
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["part"])), pa.array(np.arange(at, k.stop, dtype=np.int32)), pa.array(keys[k]), pa.array(first[k].astype(np.int32)), pa.array(counts[k])], names=["part", "place", "key", "first", "n"])
+
+    return each_part(table.select("part", "ids", "n_ids", "keys", "counts"), "part long, place int, key long, first int, n long", run)
+
+
+def summed(table: DataFrame, size: int, columns: list[str], add: Callable[[np.ndarray, dict], None]) -> np.ndarray:
+    """Whole numbers that ``add`` sums up over all parts: tasks send only what is not zero, at most
+    ``size`` numbers, whatever the corpus."""
+
+    def run(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size, np.int64)
+        for r in rows:
+            add(sums, r)
         key = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sums.ravel()[key])], names=["key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sums[key])], names=["key", "n"])
+
+    got = each_part(table.select(*columns), "key long, n long", run).groupBy("key").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
+    got = got.select("key", F.col("n").cast("string")).toPandas()  # whole numbers of any size
+    sums = np.zeros(size)
+    sums[got["key"].to_numpy(np.int64)] = [float(n) for n in got["n"]]
+    return sums
+
+
+_TEXTS = ["part", "held", "n_words", "places", "ids", "n_ids"]
+
+
+def id_counts(table: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in training documents."""
+
+    def add(sums: np.ndarray, r: dict) -> None:
+        weights = np.repeat(_from_planes(r["counts"]), _from_planes(r["n_ids"]))
+        sums += np.bincount(_from_planes(r["ids"]), weights, size).astype(np.int64)  # exact below 2**53
+
+    return summed(table, size, ["counts", "ids", "n_ids"], add)
 
-    got = texts.select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    sums = np.zeros(2 * UNITS * UNITS)
-    sums[got["key"].to_numpy()] = got["n"].to_numpy()
-    return tuple(sums.reshape(2, UNITS, UNITS))
 
+def neighbour_counts(table: DataFrame, unit: Shipped) -> tuple[np.ndarray, np.ndarray]:
+    """``neighbours`` of all training documents."""
 
-def fit_on_all(texts: DataFrame, groups: Grouping, sample: int) -> dict[str, np.ndarray]:
-    """The attention layer: a start on the first documents by hash, then all documents of each
-    part, and the mean of the parts. The order is that of hashes, so runs agree."""
-    spark, size = texts.sparkSession, len(groups.unit)
-    few = texts.select(F.xxhash64("key").alias("h"), "key", "ids").orderBy("h", "key", "ids").limit(sample).select("ids").toLocalIterator()
-    start = train(*examples([unpacked(bytes(r[0]), size) for r in few], groups))
-    shared = Shipped(spark, (groups, start))
+    def add(sums: np.ndarray, r: dict) -> None:
+        u = unit.value
+        for docs in Part.read(r).training_ids():
+            sums += np.stack(neighbours(docs, u)).ravel()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        import pickle
+    return tuple(summed(table, 2 * UNITS * UNITS, _TEXTS, add).reshape(2, UNITS, UNITS))
 
-        g, begin = shared.value
-        pdf = pdf.sort_values(["h", "ids"])
-        m, n = train_on_all([unpacked(x, len(g.unit)) for x in pdf["ids"]], g, begin)
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "n": [n], "layer": [pickle.dumps(m)]})
 
-    import pickle
+def first_windows(table: DataFrame, groups: Shipped, total: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+    """About ``wanted`` windows and targets drawn evenly from all parts, at most so many."""
+    share = min(1.0, 3 * wanted / max(1, total))
 
-    got = texts.select("part", F.xxhash64("key").alias("h"), "ids").groupBy("part").applyInPandas(run, "part int, n long, layer binary").toPandas().sort_values("part")
-    return averaged([(pickle.loads(bytes(x)), int(n)) for x, n in zip(got["layer"], got["n"])], start)
+    def run(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        g = groups.value
+        for r in rows:
+            draw = np.random.default_rng(r["part"])
+            for docs in Part.read(r).training_ids():
+                x, y = examples(docs, g)
+                chance = draw.random(len(x))
+                take = np.flatnonzero(chance < share)
+                yield pa.RecordBatch.from_arrays([pa.array(chance[take]), pa.array([v.tobytes() for v in x[take].astype(np.int16)], pa.binary()), pa.array([v.tobytes() for v in y[take].astype(np.int16)], pa.binary())], names=["chance", "x", "y"])
 
+    got = each_part(table.select(*_TEXTS), "chance double, x binary, y binary", run).orderBy("chance", "x", "y").limit(wanted).toPandas()
+    read = lambda c, width: np.frombuffer(b"".join(got[c]), np.int16).reshape(-1, width)
+    return read("x", WINDOW).astype(_CLASS), read("y", STRIDE).astype(np.int16)
 
-def score(docs: DataFrame, tokenizer: str, sample: int = SAMPLE, part_bytes: int = PART_BYTES) -> DataFrame:
+
+def fit_on_all(table: DataFrame, groups: Grouping, total: int, first: int = FIRST_WINDOWS) -> dict[str, np.ndarray]:
+    """The attention layer: a start on windows from all parts, then all training documents of each
+    part, and the mean of the parts' layers by their windows, summed as whole numbers."""
+    spark, shared = table.sparkSession, Shipped(table.sparkSession, groups)
+    start = train(*first_windows(table, shared, total, first))
+    begin, names = Shipped(spark, start), list(start)
+    size = sum(v.size for v in start.values())
+
+    def add(sums: np.ndarray, r: dict) -> None:
+        m, n = train_on_all(list(chain.from_iterable(Part.read(r).training_ids())), shared.value, begin.value)
+        sums[:size] += np.rint(np.concatenate([m[k].ravel() for k in names]).astype(float) * FINE).astype(np.int64) * n
+        sums[size] += n
+
+    sums = summed(table, size + 1, _TEXTS, add)
+    if not sums[size]:
+        return start
+    mean, at = sums[:size] / sums[size] / FINE, np.cumsum([0, *(v.size for v in start.values())])
+    return {k: mean[a : a + start[k].size].reshape(start[k].shape).astype(np.float32) for k, a in zip(names, at)}
+
+
+def score(docs: DataFrame, tokenizer: str, part_bytes: int = PART_BYTES, first: int = FIRST_WINDOWS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: a row for each input row.
 
     Documents whose crc32 of the id (as text) is divisible by 10 are held out; a null id never
     is. Null texts are empty: the end is their only token. Rows that repeat count and are scored
     each. An empty table gives an empty result; with no training document nothing is known, and
-    the base score is that of an unseen token alone. Other columns are not read.
+    the base score is that of an unseen token alone. Other columns are not read. Words are told
+    apart by a 64-bit hash.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    rows, n_parts = parts(docs, part_bytes)
-    counted = scratch.save(part_counts(rows, tokenizer), "parts")
-    same = Window.partitionBy("kind", "key")
-    summed = counted.filter(F.col("kind") != _DOC).select("part", "kind", "key", "first", F.sum("n").over(same).alias("total"), F.row_number().over(same.orderBy("part")).alias("nth"))
-    summed = scratch.save(summed, "counts")
-    first = summed.filter("nth = 1 and total > 0")
-    totals = {r["kind"]: (r["v"], r["n"]) for r in first.groupBy("kind").agg(F.count("*").alias("v"), F.sum("total").alias("n")).collect()}
-    ends = totals.get(_END, (0, 0))[1]
-    n_train, vocabulary = totals.get(_WORD, (0, 0))[1] + ends, totals.get(_WORD, (0, 0))[0] + (ends > 0)
+    table = scratch.save(parts(docs, tokenizer, part_bytes), "parts")
+    n_parts, ends, windows = (int(v or 0) for v in table.select(F.count("*"), F.sum("ends"), F.sum("windows")).first())
+    words = word_rows(table)
+    totals = scratch.save(words.groupBy("key").agg(F.sum("n").alias("total"), F.min("first").alias("first"), F.count("*").alias("parts")), "totals")
+    known = totals.filter("total > 0")
+    kinds, tokens = (int(v or 0) for v in known.select(F.count("*"), F.sum("total")).first())
+    n_train, vocabulary = tokens + ends, kinds + (ends > 0)
 
-    # At most as many rows as the tokenizer has ids: bounded whatever the corpus.
     begins = beginnings(tokenizer)
-    one, of_id = first.filter(F.col("kind") == _ID).select("key", "total").toPandas(), np.zeros(len(begins))
-    of_id[one["key"].to_numpy()] = one["total"].to_numpy()
+    of_id = id_counts(table, len(begins))
     unit = by_frequency(of_id)
-    texts = counted.filter(F.col("kind") == _DOC).select("part", "key", "ids")
-    pairs, company = neighbour_counts(texts, Shipped(spark, unit))
+    pairs, company = neighbour_counts(table, Shipped(spark, unit))
     groups = Grouping(unit, by_company(pairs.sum(axis=0), company), begins)
-    layer = fit_on_all(texts, groups, sample)
-    scratch.drop("parts")
-    firsts = first.filter(F.col("kind") == _WORD).groupBy("first").agg(F.sum("total").alias("n"), F.count("*").alias("v")).toPandas()
+    layer = fit_on_all(table, groups, windows, first)
+    # At most as many rows as the tokenizer has ids: bounded whatever the corpus.
+    firsts = known.groupBy("first").agg(F.sum("total").alias("n"), F.count("*").alias("v")).toPandas()
     words_by, kinds_by = (np.bincount(unit[firsts["first"].to_numpy(np.int64)], firsts[c].to_numpy(float), UNITS) for c in ("n", "v"))
     model = Shipped(spark, counted_model(groups, layer, of_id + 0.5, pairs, words_by, kinds_by))
+    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def scored(docs_: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        m, words = model.value, PartWords(tokenizer)
+    def scored(texts: pa.Table, others: pa.Table) -> pa.Table:
         out = []
-        places = [words.add(t.encode()) for t in docs_["text"]]
-        key, total = known["key"].to_numpy(), known["total"].to_numpy()
-        order = np.argsort(key)
-        at = np.searchsorted(key, words.hashes(), sorter=order)
-        c = total[order[at]] if len(at) else np.zeros(0, np.int64)
-        bottom = np.log10(n_train + 0.1 * (vocabulary + 1))
-        logs, end_log = np.log10(c + 0.1) - bottom, np.log10(ends + 0.1) - bottom
-        flat, starts = words.ids()
-        for begin in range(0, len(places), 64):
-            some = places[begin : begin + 64]
-            n = np.array([len(p) for p in some], np.int64)
-            row = np.concatenate(some)
-            doc = np.repeat(np.arange(len(some)), n)
-            ids, per_word = spread(row, flat, starts)
-            sums = m.text_scores(ids, per_word, n, c[row])
-            base = np.bincount(doc, logs[row], len(some)) + end_log
-            out.append(np.stack([n + 1, np.bincount(doc, c[row] > 0, len(some)) + (ends > 0), base, sums], axis=1))
-        got = np.concatenate(out) if out else np.zeros((0, 4))
-        return pd.DataFrame({"doc_id": docs_["doc_id"], "held_out": docs_["held_out"], "n_tokens": got[:, 0].astype(np.int64), "n_known": got[:, 1].astype(np.int64), "train_tokens": n_train, "base_score": got[:, 2], "score": got[:, 3]})
-
-    words_only = summed.filter(F.col("kind") == _WORD).select("part", "key", "total")
-    back = words_only.repartition(n_parts, "part")
-    return rows.groupBy("part").cogroup(back.groupBy("part")).applyInPandas(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for r in texts.drop_columns(["doc_id"]).to_pylist():
+            m, part, c = model.value, Part.read(r), _from_planes(r["counts"])
+            c[others["place"].to_numpy()] = others["total"].to_numpy()  # words of this part alone have its own counts
+            bottom = np.log10(n_train + 0.1 * (vocabulary + 1))
+            logs, end_log = np.log10(c + 0.1) - bottom, np.log10(ends + 0.1) - bottom
+            for places, n, ids, per_word in part.documents(training=False):
+                doc = np.repeat(np.arange(len(n)), n)
+                base = np.bincount(doc, logs[places], len(n)) + end_log
+                out.append(np.stack([n + 1, np.bincount(doc, c[places] > 0, len(n)) + (ends > 0), base, m.text_scores(ids, per_word, n, c[places])]))
+        got = np.concatenate([np.zeros((4, 0)), *out], axis=1)
+        doc_ids = pa.chunked_array([c.flatten() for c in texts["doc_id"].chunks], pa.int64())
+        held = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(h, np.uint8) for h in texts["held"].to_pylist())]).astype(bool)
+        whole = [pa.array(got[k].astype(np.int64)) for k in (0, 1)]
+        return pa.table([doc_ids, pa.array(held), *whole, pa.array(np.full(len(held), n_train)), pa.array(got[2]), pa.array(got[3])], schema=schema)
+
+    # A word goes back to the parts that hold it, unless it is in one alone.
+    back = words.select("part", "place", "key").join(known.filter("parts > 1").select("key", "total"), "key").select("part", "place", "total")
+    dealt = table.select(*_TEXTS, "doc_id", "counts").repartition(max(1, n_parts), "part")
+    return dealt.groupBy("part").cogroup(back.repartition(max(1, n_parts), "part").groupBy("part")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

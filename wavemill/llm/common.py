@@ -117,9 +117,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: st
     return df.mapInArrow(run, schema)
 
 
-def text_chunks(text: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
-    """Begin and end of runs of rows with at most so many bytes of text (or one row)."""
-    sizes = np.nan_to_num(pc.binary_length(text).to_numpy(zero_copy_only=False)).astype(np.int64)
+def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of runs of things whose sizes sum up to at most so much (or one thing)."""
     ends, at = np.cumsum(sizes), 0
     while at < len(sizes):
         to = max(at + 1, int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right")))
@@ -127,6 +126,11 @@ def text_chunks(text: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, in
         at = to
 
 
+def text_chunks(text: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+    """Runs of rows with at most so many bytes of text (or one row)."""
+    return runs(np.nan_to_num(pc.binary_length(text).to_numpy(zero_copy_only=False)).astype(np.int64), most)
+
+
 def split_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """How many words each text has, the words of all in a row as places in the distinct ones, and those.
 
@@ -134,13 +138,13 @@ def split_words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """
     lists = pc.ascii_split_whitespace(text)
     coded = lists.flatten().dictionary_encode()
-    places, counts = coded.indices.to_numpy(), np.diff(lists.offsets.to_numpy())
-    empty = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()  # before and after white space
+    words, places, counts = coded.dictionary, coded.indices.to_numpy(), np.diff(lists.offsets.to_numpy())
+    empty = pc.index(words, pa.scalar("", words.type)).as_py()  # what stands before and after white space
     if empty >= 0:
-        told = np.concatenate(([0], np.cumsum(places != empty)))
-        ends = np.cumsum(counts)
+        told, ends = np.concatenate(([0], np.cumsum(places != empty))), np.cumsum(counts)
         counts, places = told[ends] - told[ends - counts], places[places != empty]
-    return counts.astype(np.int64), places, coded.dictionary
+        places, words = places - (places > empty), pa.concat_arrays([words[:empty], words[empty + 1 :]])
+    return counts.astype(np.int64), places, words
 
 
 def in_row(which: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
