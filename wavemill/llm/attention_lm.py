@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import Scratch, Shipped, in_row, runs, split_words, text_chunks
+from .common import Scratch, Shipped, in_row, runs, split_words, text_chunks, tidy
 
 UNITS, SHARED_UNITS, CLASSES, SHARED_CLASSES = 512, 8, 64, 16
 WINDOW, STRIDE, WIDTH = 32, 16, 16
@@ -48,7 +48,7 @@ LATER_RATE, LATER_BATCH, PIECE = 0.004, 256, 400_000
 #: Parameters are averaged as whole multiples of one over this.
 FINE = 1 << 20
 #: Bytes of text of a part, about.
-PART_BYTES = 16_000_000
+PART_BYTES = 8_000_000
 #: Prior observations of a unit after each other one.
 PRIOR = 20.0
 #: What a counted word gives up for words that were never counted.
@@ -441,7 +441,7 @@ def parts(docs: DataFrame, tokenizer: str, part_bytes: int = PART_BYTES) -> Data
         if waiting:
             yield done()
 
-    return rows.mapInArrow(run, _PART)
+    return rows.mapInArrow(tidy(run), _PART)
 
 
 def each_part(table: DataFrame, schema: str, f: Callable[[Iterator[dict]], Iterator[pa.RecordBatch]]) -> DataFrame:
@@ -450,7 +450,7 @@ def each_part(table: DataFrame, schema: str, f: Callable[[Iterator[dict]], Itera
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from f(t.slice(i, 1).to_pylist()[0] for t in batches for i in range(t.num_rows))
 
-    return table.mapInArrow(run, schema)
+    return table.mapInArrow(tidy(run), schema)
 
 
 def word_rows(table: DataFrame) -> DataFrame:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -96,6 +98,20 @@ class Memo(dict):
         return [k for k in keys if k not in self and k not in self.old]
 
 
+def tidy(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The kernel; what its worker no longer needs goes back to the system after each task."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from kernel(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return run
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str, chunk: int = 256) -> DataFrame:
     """Run one function over the rows of ``df``, Arrow batch by Arrow batch.
 
@@ -114,7 +130,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: st
                 rows = list(map(f, *parts))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), arrow)], schema=arrow) if rows else pa.RecordBatch.from_pylist([], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
@@ -126,7 +142,7 @@ def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def text_chunks(text: pa.Array, most: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def text_chunks(text: pa.Array, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Runs of rows with at most so many bytes of text (or one row)."""
     return runs(np.nan_to_num(pc.binary_length(text).to_numpy(zero_copy_only=False)).astype(np.int64), most)
 

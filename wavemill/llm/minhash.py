@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, Scratch, documents, map_rows
+from .common import Memo, Scratch, documents, map_rows, tidy
 
 SHINGLE_WORDS = 5
 BANDS = 40
@@ -217,7 +217,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, numerator: int, d
                         out.append((key[0], other))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=schema)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def _across(members: DataFrame, most: int | None, values: int, ratio: float) -> DataFrame:
@@ -275,7 +275,7 @@ def _across(members: DataFrame, most: int | None, values: int, ratio: float) ->
         if rows:
             yield done(rows)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: tuple[int, int] = (75, 100), bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
@@ -341,7 +341,7 @@ def _own(texts: DataFrame, words: int) -> DataFrame:
             fine = [_short(signature(x, 2 * FINE, 1, seed=41)) if ok else None for x, ok in zip(sets, right)]
             yield pa.RecordBatch.from_arrays([*t.columns, pa.array(fine, pa.binary())], names=[*t.schema.names, "fine"]).filter(pa.array(right, pa.bool_()))
 
-    return texts.mapInArrow(run, schema)
+    return texts.mapInArrow(tidy(run), schema)
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, documents, in_row, split_words, text_chunks
+from .common import Scratch, documents, in_row, split_words, text_chunks, tidy
 
 CAPACITY = 2048
 #: Pieces of a shard, about.
@@ -212,7 +212,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     rows += [(doc_id, (at - a) // step, (at - a) // 4, (min(b, at + step) - at) // 4, zlib.crc32(data[at : min(b, at + step)])) for at in range(a, b, step)]
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
-    return documents(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return documents(docs).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(table: DataFrame, scratch: Scratch, capacity: int = CAPACITY, shard: int = SHARD) -> DataFrame:

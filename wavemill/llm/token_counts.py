@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import pieces as P
-from .common import Memo, documents
+from .common import Memo, documents, tidy
 
 #: Nodes after which a task starts a new trie.
 NODES = 400_000
@@ -83,4 +83,4 @@ def token_counts(docs: DataFrame, model: str, chunk: int = 256) -> DataFrame:
                 counts = [sum(map(memo.__getitem__, p)) for p in parts]
                 yield pa.RecordBatch.from_arrays([t["doc_id"][at : at + chunk], pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
-    return documents(docs).mapInArrow(run, "doc_id long, n_tokens long")
+    return documents(docs).mapInArrow(tidy(run), "doc_id long, n_tokens long")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Shipped, map_rows
+from .common import Memo, Shipped, map_rows, tidy
 
 #: Labelled rows that train the chain, at most.
 SAMPLE = 6000
@@ -271,4 +271,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, thre
                 keep.append(chain.predict(sorted(hits))[at] < threshold)
             yield t.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
