@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import Scratch, Shipped, in_row, runs, split_words, text_chunks, tidy
+from .common import Scratch, Shipped, in_row, release, runs, split_words, text_chunks, tidy
 
 UNITS, SHARED_UNITS, CLASSES, SHARED_CLASSES = 512, 8, 64, 16
 WINDOW, STRIDE, WIDTH = 32, 16, 16
@@ -559,7 +559,7 @@ def score(docs: DataFrame, tokenizer: str, part_bytes: int = PART_BYTES, first:
     apart by a 64-bit hash.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    table = scratch.save(parts(docs, tokenizer, part_bytes), "parts")
+    table = scratch.save(parts(docs, tokenizer, part_bytes), "parts", "zstd")  # whose buffers stay small for long values
     n_parts, ends, windows = (int(v or 0) for v in table.select(F.count("*"), F.sum("ends"), F.sum("windows")).first())
     words = word_rows(table)
     totals = scratch.save(words.groupBy("key").agg(F.sum("n").alias("total"), F.min("first").alias("first"), F.count("*").alias("parts")), "totals")
@@ -593,6 +593,7 @@ def score(docs: DataFrame, tokenizer: str, part_bytes: int = PART_BYTES, first:
         got = np.concatenate([np.zeros((4, 0)), *out], axis=1)
         doc_ids = pa.chunked_array([c.flatten() for c in texts["doc_id"].chunks], pa.int64())
         held = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(h, np.uint8) for h in texts["held"].to_pylist())]).astype(bool)
+        release()
         whole = [pa.array(got[k].astype(np.int64)) for k in (0, 1)]
         return pa.table([doc_ids, pa.array(held), *whole, pa.array(np.full(len(held), n_train)), pa.array(got[2]), pa.array(got[3])], schema=schema)
 

@@ -40,9 +40,9 @@ class Scratch:
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/wavemill-{uuid.uuid4().hex}"
         atexit.register(self._delete, self.root)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -105,13 +105,18 @@ def tidy(kernel: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
         try:
             yield from kernel(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            release()
 
     return run
 
 
+def release() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., tuple]], schema: str, chunk: int = 256) -> DataFrame:
     """Run one function over the rows of ``df``, Arrow batch by Arrow batch.
 
