@@ -51,14 +51,20 @@ def one(spark, text, key="k"):
     return spark.createDataFrame([(text,)], "text string").select(pii.replaced(F.col("text"), key).alias("r")).first().r
 
 
+def many(spark, texts):
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").coalesce(1).select("k", pii.replaced(F.col("text"), "k").alias("r")).collect()
+    return [r.r.text for r in sorted(rows)]
+
+
 def test_values_against_plain_feistel(spark):
     r = one(spark, "call +1 (974) 555-3436 or ann.b7@mail9.example.com, 10.2.3.4; 4111 1111 1111 1111!! born 1984-02-29")
     phone, mail, ip, card, day = re.fullmatch(r"call \+1 (.*) or (.*)@mail9.example.com, (.*); (.*)!! born (.*)", r.text).groups()
     assert r.n_values == 5
-    assert phone == string(" (974) 555-3436", "k|phone")[1:] and mail == string("ann.b7", "k|email")
+    assert re.sub("[^0-9]", "", phone) == string("9745553436", "k|phone") and re.sub("[0-9]", "0", phone) == "(000) 000-0000" and mail == string("ann.b7", "k|email")
     v = number(int.from_bytes(bytes([10, 2, 3, 4]), "big"), 65536, 65536, "k|ipv4")
     assert ip == ".".join(map(str, v.to_bytes(4, "big")))
-    assert card[:-1] == "4" + string("111 1111 1111 111", "k|card") and luhn(card.replace(" ", "")) and card != "4111 1111 1111 1111"
+    bare = card.replace(" ", "")
+    assert bare[:-1] == "4" + string("11111111111111", "k|card") and luhn(bare) and card == " ".join(bare[k : k + 4] for k in (0, 4, 8, 12)) and bare != "4111111111111111"
     import datetime
 
     first = datetime.date(1900, 1, 1)
@@ -91,8 +97,51 @@ def test_phones_of_all_groups(spark, phone, after):
     assert r.n_values == 1 and r.text.startswith("call " + phone[:3]) and r.text.endswith(after)
     got = r.text[5 : len(r.text) - len(after)]
     assert re.sub("[0-9]", "0", got) == re.sub("[0-9]", "0", phone)
-    groups = zip(re.findall("[0-9]+", got)[1:], re.findall("[0-9]+", phone)[1:])
-    assert all(a != b for a, b in groups if len(a) > 3) and got[3:] == string(phone[3:], "k|phone")
+    bare = lambda t: re.sub("[^0-9]", "", t.replace("(0)", ""))[2:]
+    assert bare(got) == string(bare(phone), "k|phone") and bare(got) != bare(phone) and ("(0)" in got) == ("(0)" in phone)
+
+
+@pytest.mark.parametrize(
+    "forms",
+    [
+        ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"],
+        ["378282246310005", "3782 822463 10005", "3782-822463-10005"],
+        ["+1 974 555 3436", "+1-974-555-3436", "+19745553436", "+1 (974) 555-3436", "(974) 555-3436", "974.555.3436"],
+        ["+49 30 1234567", "+49301234567", "+49 (30) 1234567"],
+        ["+33 1 23 45 67 89", "+33 (0)1 23 45 67 89", "+33123456789"],
+        ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"],
+        ["1999-05-31", "31.05.1999", "31/05/1999"],
+    ],
+)
+def test_values_are_linked_across_formats(spark, forms):
+    got = [t[2:-2] for t in many(spark, [f"x {f} y" for f in forms])]
+    if "-05-" in forms[0]:
+        y, m, d = got[0].split("-")
+        assert got == [f"{y}-{m}-{d}", f"{d}.{m}.{y}", f"{d}/{m}/{y}"] and got != forms
+        return
+    bare = [re.sub("[^0-9A-Z]", "", g.replace("(0)", "")) for g in got]
+    assert len({b[-9:] for b in bare}) == 1 and all(g != f for g, f in zip(got, forms))
+    assert [re.sub("[0-9]", "", g) for g in got] == [re.sub("[0-9]", "", f) for f in forms]
+
+
+def test_zeros_before_octets_are_kept_apart(spark):
+    a, b = many(spark, ["01.2.3.4", "1.2.3.4"])
+    assert a == "0" + b and b != "1.2.3.4"
+
+
+def test_mails_of_all_kinds(spark):
+    mails = ["_x.y@host.org", "a" * 80 + "@host.org", "jörg@münchen.de", "用户@例子.公司", "ann%b+c@mail-1.example.co.uk"]
+    texts = many(spark, [f"to {m}, now" for m in mails] + [f"<{m}>" for m in mails])
+    for mail, text, again in zip(mails, texts, texts[len(mails) :]):
+        got = text[3:-5]
+        name, host = mail.split("@")
+        assert got.split("@")[1] == host and len(got.split("@")[0]) == len(name) and got.split("@")[0] != name and again == f"<{got}>"
+
+
+def test_names_of_other_letters_are_permuted(spark):
+    names = [a + b for a in "éèàüöñ用户日本" for b in "éèàüöñ用户日本"]
+    got = [r.text for r in spark.createDataFrame([(f"{n}@host.org",) for n in names], "t string").select(pii.replaced(F.col("t"), "k")["text"].alias("text")).collect()]
+    assert len(set(got)) == len(names)
 
 
 def test_phones_of_one_length_end(spark):

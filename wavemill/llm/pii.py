@@ -3,14 +3,16 @@
 Values that a pattern finds and a rule validates (check digits, octets, calendar, area numbers)
 are permuted by a keyed Feistel network within their own format, so the same value becomes the
 same pseudonym in every document, a pseudonym is valid where its value was, and different values
-never meet. Everything is built from SQL functions on the JVM: the text is parted at its matches,
+written alike never meet. Spaces, dashes, points and brackets in cards, phones and account numbers
+stay where they are while the bare digits are permuted, so a value keeps its pseudonym however it
+is written (a phone with or without its country's code, too). Everything is built from SQL functions on the JVM: the text is parted at its matches,
 the matches are mapped, and the parts are joined again.
 
 * numbers of known range (IPv4, dates, social security numbers) use a Feistel network over the
   product of two residues, which is a permutation of exactly that range;
 * strings (card and phone digits, hexadecimal secrets, account numbers, mail names) use one over
-  the string's halves that shifts each letter within its kind and leaves signs in place; check
-  digits are computed anew.
+  the string's halves that shifts each letter within its kind (of other alphabets within its 64
+  code points) and leaves signs in place; check digits are computed anew.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ _PHONES = (
     r"[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}",
 )
 PATTERNS = {
-    "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}[A-Za-z0-9])?(?:\.[A-Za-z0-9-]{1,62})*\.[A-Za-z]{2,24}",
+    "email": r"[\p{L}\p{N}_][\p{L}\p{N}._%+-]{0,253}@[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62}[\p{L}\p{N}])?(?:\.[\p{L}\p{N}-]{1,62})*\.\p{L}{2,24}",
     "iban": _iban_pattern(),
     "date": r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})",
     "ipv4": r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.[0-9])",
@@ -89,7 +91,11 @@ def _shift(text: Column, by: Column) -> Column:
     def move(c: Column, i: Column) -> Column:
         k = F.conv(F.substr(by, (i % 21) * 3 + 1, F.lit(3)), 16, 10).cast("int")
         turn = lambda first, n: F.char(F.lit(first) + (F.ascii(c) - first + k) % n)
-        return F.when(c.between("0", "9"), turn(48, 10)).when(c.between("a", "z"), turn(97, 26)).when(c.between("A", "Z"), turn(65, 26)).otherwise(c)
+        other = F.ascii(c)  # the code point
+        moved = other - other % 64 + (other % 64 + k) % 64
+        written = F.decode(F.unhex(F.lpad(F.hex(moved), 4, "0")), "UTF-16BE")
+        letter = c.rlike(r"^\p{L}$") & ~c.between("A", "z") & other.between(0xC0, 0xD7FF)
+        return F.when(c.between("0", "9"), turn(48, 10)).when(c.between("a", "z"), turn(97, 26)).when(c.between("A", "Z"), turn(65, 26)).when(letter, written).otherwise(c)
 
     return F.array_join(F.transform(F.split(text, ""), move), "")
 
@@ -140,12 +146,22 @@ def _mod97(text: Column) -> Column:
     )
 
 
+def _refilled(x: Column, bare: Column, letters: bool = False) -> Column:
+    """x with its digits (and capitals) replaced by those of ``bare``, in order; signs stay."""
+    counts = lambda c: c.between("0", "9") | c.between("A", "Z") if letters else c.between("0", "9")
+    step = lambda acc, c: F.when(counts(c), F.struct(F.concat(acc["out"], F.substr(bare, acc["i"], F.lit(1))).alias("out"), (acc["i"] + 1).alias("i"))).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["i"].alias("i")))
+    return F.aggregate(F.split(x, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("i")), step, lambda acc: acc["out"])
+
+
 def _card(x: Column, key: str) -> Column:
     """The first digit, which names the issuer's kind, stays; the check digit is computed."""
-    n = F.char_length(x)
-    body = F.concat(F.substr(x, F.lit(1), F.lit(1)), feistel_text(F.substr(x, F.lit(2), n - 2), key + "|card"))
-    check = lambda b: F.concat(b, ((10 - _luhn_sum(_digits(b), 1) % 10) % 10).cast("string"))
-    return F.when(_luhn_sum(_digits(x), 0) % 10 == 0, _let(body, check)).otherwise(x)
+
+    def of(digits: Column) -> Column:
+        body = F.concat(F.substr(digits, F.lit(1), F.lit(1)), feistel_text(F.substr(digits, F.lit(2), F.char_length(digits) - 2), key + "|card"))
+        check = lambda b: F.concat(b, ((10 - _luhn_sum(b, 1) % 10) % 10).cast("string"))
+        return F.when(_luhn_sum(digits, 0) % 10 == 0, _let(_let(body, check), lambda new: _refilled(x, new))).otherwise(x)
+
+    return _let(_digits(x), of)
 
 
 def _let(value: Column, f) -> Column:
@@ -154,20 +170,24 @@ def _let(value: Column, f) -> Column:
 
 
 def _iban(x: Column, key: str) -> Column:
-    def valid(a: Column) -> Column:
-        return _mod97(F.concat(F.substr(a, F.lit(5)), F.substr(a, F.lit(1), F.lit(4)))) == 1
-
-    def again(rest: Column) -> Column:
-        check = 98 - _mod97(F.concat(F.regexp_replace(rest, " ", ""), F.substr(x, F.lit(1), F.lit(2)), F.lit("00")))
-        return F.concat(F.substr(x, F.lit(1), F.lit(2)), F.lpad(check.cast("string"), 2, "0"), rest)
+    def of(bare: Column) -> Column:
+        country = F.substr(bare, F.lit(1), F.lit(2))
+        valid = _mod97(F.concat(F.substr(bare, F.lit(5)), F.substr(bare, F.lit(1), F.lit(4)))) == 1
+        check = lambda rest: F.lpad((98 - _mod97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0")
+        again = lambda rest: _let(F.concat(country, check(rest), rest), lambda new: _refilled(x, new, True))
+        return F.when(valid, _let(feistel_text(F.substr(bare, F.lit(5)), key + "|iban"), again)).otherwise(x)
 
-    return F.when(valid(F.regexp_replace(x, " ", "")), _let(feistel_text(F.substr(x, F.lit(5)), key + "|iban"), again)).otherwise(x)
+    return _let(F.regexp_replace(x, " ", ""), of)
 
 
 def _ipv4(x: Column, key: str) -> Column:
+    """Zeros before a number stay before the new one, as 01.2.3.4 isn't how 1.2.3.4 is written."""
+    zeros = F.transform(F.split(x, r"\."), lambda o: F.regexp_extract(o, "^(0*)[0-9]", 1))
+
     def permuted(o: Column) -> Column:
         value = ((F.get(o, F.lit(0)) * 256 + F.get(o, F.lit(1))) * 256 + F.get(o, F.lit(2))) * 256 + F.get(o, F.lit(3))
-        dotted = lambda v: F.concat_ws(".", *(F.shiftright(v, s).bitwiseAND(F.lit(255)).cast("string") for s in (24, 16, 8, 0)))
+        octet = lambda v, s: F.shiftright(v, s).bitwiseAND(F.lit(255)).cast("string")
+        dotted = lambda v: F.concat_ws(".", *(F.concat(F.get(zeros, F.lit(i)), octet(v, s)) for i, s in enumerate((24, 16, 8, 0))))
         return F.when(F.array_max(o) <= 255, _let(feistel_number(value, 65536, 65536, key + "|ipv4"), dotted)).otherwise(x)
 
     return _let(F.split(x, r"\.").cast("array<long>"), permuted)
@@ -211,10 +231,20 @@ def _ssn(x: Column, key: str) -> Column:
     return F.when(valid, _let(feistel_number(value, 898, 99 * 9999, key + "|ssn"), written)).otherwise(x)
 
 
+#: The country codes of one and of two digits; all others have three.
+_CODES = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
 def _phone(x: Column, key: str) -> Column:
-    """The country code stays."""
-    code = F.regexp_extract(x, r"^(\+1(?=[ .(-]|[0-9]{10}$)|\+[0-9]{1,3}(?=[ .-])|\+[0-9]{2})?", 1)
-    return F.concat(code, feistel_text(F.substr(x, F.char_length(code) + 1), key + "|phone"))
+    """7 to 15 digits. The country code stays, and so does a zero in brackets, which isn't dialled."""
+
+    def of(text: Column) -> Column:
+        digits = _digits(text)
+        code = F.when(x.startswith("+"), F.regexp_extract(digits, _CODES, 0)).otherwise("")
+        new = F.concat(code, feistel_text(F.substr(digits, F.char_length(code) + 1), key + "|phone"))
+        return F.when(F.char_length(digits).between(7, 15), F.replace(_let(new, lambda n: _refilled(text, n)), F.lit("(\x01)"), F.lit("(0)"))).otherwise(x)
+
+    return _let(F.replace(x, F.lit("(0)"), F.lit("(\x01)")), of)
 
 
 def _email(x: Column, key: str) -> Column:
