@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wavemill.llm import minhash
@@ -87,6 +88,64 @@ def test_repeats_nulls_and_empty(spark, nothing):
     assert minhash.near_duplicates(nothing).collect() == []
 
 
+def test_sets_of_words(corpus):
+    """Column-wise sets have as many shingles as plain ones, and share as many."""
+    texts = [t or "" for _, t in corpus] + ["a", " a ", "a b c d", "a b c d e", "A B C D E f", "", "x\x0by\x1cz"]
+    got = minhash.shingle_sets(pa.array(texts))
+    plain = [shingles(t) for t in texts]
+    assert [len(g) for g in got] == [len(x) for x in plain]
+    for (a, x), (b, y) in itertools.combinations(list(zip(got, plain))[::3], 2):
+        assert len(np.intersect1d(a, b)) == len(x & y)
+
+
+def test_classes_that_share_a_node_part(spark, docs, corpus, monkeypatch):
+    """With a hash of nodes that collides nearly always, results are the same."""
+    hashed, calls = minhash.F.xxhash64, []
+
+    def poor(*cols):
+        if cols[:1] != ("digest",):
+            return hashed(*cols)
+        calls.append(cols)
+        return minhash.F.pmod(hashed(*cols), minhash.F.lit(3)) if len(calls) < 3 else hashed(*cols)
+
+    monkeypatch.setattr(minhash.F, "xxhash64", poor)
+    rows, key = rows_of(minhash.near_duplicates(docs))
+    assert rows == sorted(brute(corpus), key=key) and len(calls) > 2
+
+
+def test_rows_without_ids_meet_their_own_text_only(spark):
+    rows = [(None, f"{k} " + " ".join(f"w{k % 40}x{j}" for j in range(40))) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got, key = rows_of(minhash.near_duplicates(df))
+    assert got == sorted(brute(rows), key=key)
+
+
+def test_recall_on_the_test_table(spark, data):
+    """Of all links of an exact join none is lost: components are equal on the whole table."""
+    path = f"{data.rsplit('/', 1)[0]}/sf0.01/documents.parquet"
+    df = spark.read.parquet(path)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    sets = {r.doc_id: shingles(r.text) for r in df.collect()}
+    holders, parent = {}, {i: i for i in sets}
+    for i, s in sets.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+
+    def find(i):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    shared = {}
+    for ids in holders.values():
+        for pair in itertools.combinations(sorted(ids), 2):
+            shared[pair] = shared.get(pair, 0) + 1
+    links = [(a, b) for (a, b), n in shared.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)]
+    for a, b in links:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert len(links) > 50 and got == {i: (len(s), find(i)) for i, s in sets.items()}
+
+
 def test_estimate_is_unbiased():
     rng = np.random.default_rng(0)
     errors = []

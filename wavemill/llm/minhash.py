@@ -6,9 +6,11 @@ probability equal to the Jaccard similarity, and as they are (nearly) independen
 both kinds estimates it without bias and with less variance than minima alone. Bands of four
 values propose pairs; minimum and maximum of one permutation never share a band.
 
-Links are confirmed on whole shingle sets (64-bit shingle hashes), so no false link can appear.
-A pair of similarity 0.75 misses all 40 bands with probability (1 - 0.75**4)**40 = 2.5e-7, and
-one of higher similarity still more rarely.
+Links are confirmed on whole shingle sets. A shingle is told by a 64-bit hash, so of n shingles of
+two documents some two pass for one with a probability of n**2 / 2**65; equal sets are told by 128
+bits. A pair of similarity 0.75 misses all 40 bands with probability (1 - 0.75**4)**40 = 2.5e-7,
+and is taken for less similar by the signatures with about 2e-7; one of higher similarity still
+more rarely.
 
 No group is ever expanded into its pairs. Equal sets are one class from the start. Then a set is
 tested against the smallest members of its buckets, two at most (linear); after components are
@@ -19,24 +21,25 @@ confirmed: the best few pairs first, then whatever pairs are left between compon
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, Scratch, documents, map_rows, tidy
+from .common import Scratch, documents, split_words, text_chunks, tidy
 
 SHINGLE_WORDS = 5
 BANDS = 40
 BAND_ROWS = 4
 #: A pair is confirmed if its estimates reach the similarity less these: first that of the 160
-#: values, then that of so many more permutations. At a similarity of 0.75 either stays below with
-#: a probability of about 1e-5, above it less.
-MARGIN = 0.15
-FINE, FINE_MARGIN = 384, 0.07
+#: values, then that of so many more permutations: over five standard deviations of either.
+MARGIN = 0.18
+FINE, FINE_MARGIN = 384, 0.085
 #: Of the smallest members of its buckets, a set is first tested against those it meets most often,
 #: and at least so often.
 STARS, MEETINGS = 2, 4
@@ -61,30 +64,33 @@ def _odd(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * _U(2) + _U(1)
 
 
-def shingle_set(data: bytes, memo: dict, words: int = SHINGLE_WORDS) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles; A-Z lower-cased, words part at ASCII space.
+def shingle_sets(text: pa.Array, words: int = SHINGLE_WORDS) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's word shingles; A-Z lower-cased, words part at ASCII space.
 
     With fewer words than a shingle has, the whole sequence is one; without words, none.
     """
-    tokens = data.lower().split()
-    n = len(tokens)
-    if not n:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(memo.__getitem__, tokens), np.uint64, n)
-    k = min(n, words)
-    c = _odd(words, 11)
-    x = np.full(n - k + 1, k, np.uint64)
-    for j in range(k):
-        x += h[j : n - k + 1 + j] * c[j]
-    x = _mix(x)
-    x.sort()
-    return x[np.concatenate(([True], x[1:] != x[:-1]))]
-
-
-def word_memo() -> Memo:
     import xxhash
 
-    return Memo(xxhash.xxh64_intdigest)
+    counts, places, distinct = split_words(pc.ascii_lower(text))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, distinct.cast(pa.binary()).to_pylist()), np.uint64, len(distinct))[places]
+    c, ends, out = _odd(words, 11), np.cumsum(counts), []
+    whole = np.full(max(0, len(h) - words + 1), words, np.uint64)  # of every run of words, over ends of texts too
+    for j in range(words):
+        whole += h[j : len(whole) + j] * c[j]
+    whole = _mix(whole)
+    for n, end in zip(counts.tolist(), ends.tolist()):
+        if n >= words:
+            x = np.sort(whole[end - n : end - words + 1])
+            out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
+        else:
+            out.append(_mix(np.uint64(n) + (h[end - n : end] * c[:n]).sum(keepdims=True, dtype=np.uint64)) if n else h[:0])
+    return out
+
+
+def sets_of(text: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """``shingle_sets`` of any number of texts, some at a time."""
+    for a, b in text_chunks(text):
+        yield from shingle_sets(text[a:b], words)
 
 
 def signature(shingles: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS, seed: int = 21) -> np.ndarray:
@@ -105,11 +111,11 @@ def band_keys(sig: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.
     return _mix((v * _odd(rows, 31)).sum(axis=1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _odd(1, 32)[0]).view(np.int64)
 
 
-def signed(shingles: np.ndarray) -> int:
-    """The class of equal sets, as a signed 64-bit hash of the set."""
+def digest(shingles: np.ndarray) -> bytes:
+    """The class of equal sets, as 128 bits."""
     import xxhash
 
-    return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).view(np.int64))
+    return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -122,24 +128,47 @@ def _short(sig: np.ndarray) -> bytes:
     return (_mix(sig) & _U(255)).astype(np.uint8).tobytes()
 
 
-def signatures(docs: DataFrame, words: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """doc_id, n_shingles, sid (null without words), keys (band keys), sig (a byte of each value,
-    then four of each band key)."""
-
-    def make():
-        memo = word_memo()
+def told(docs: DataFrame) -> DataFrame:
+    """The documents and a hash of each text, which tells rows of one (or no) doc_id apart."""
+    return documents(docs).withColumn("told", F.xxhash64("text"))
 
-        def one(doc_id, text):
-            s = shingle_set(text, memo, words)
-            if not len(s):
-                return doc_id, 0, None, [], b""
-            v = signature(s, bands, rows)
-            keys = band_keys(v, bands, rows)
-            return doc_id, len(s), signed(s), keys, _short(v) + keys.astype(np.uint32).tobytes()
 
-        return one
+def signatures(docs: DataFrame, words: int = SHINGLE_WORDS, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
+    """doc_id, told, n_shingles, digest (null without words), keys (band keys), sig (a byte of each
+    value, then four of each band key)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("told", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
 
-    return map_rows(documents(docs), make, "doc_id long, n_shingles long, sid long, keys array<long>, sig binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            for a, b in text_chunks(t["text"], 1_000_000):
+                out = []
+                for s in shingle_sets(t["text"][a:b], words):
+                    if not len(s):
+                        out.append((0, None, [], b""))
+                        continue
+                    v = signature(s, bands, rows)
+                    keys = band_keys(v, bands, rows)
+                    out.append((len(s), digest(s), keys, _short(v) + keys.astype(np.uint32).tobytes()))
+                made = [pa.array(x, f.type) for x, f in zip(zip(*out), list(schema)[2:])]
+                yield pa.RecordBatch.from_arrays([t["doc_id"][a:b], t["told"][a:b], *made], schema=schema)
+
+    return told(docs).select("doc_id", "told", "text").mapInArrow(tidy(run), "doc_id long, told long, n_shingles long, digest binary, keys array<long>, sig binary")
+
+
+def classes_of(sig: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The signatures with the node of their class (sid, 64 bits of its digest, null without words),
+    and the classes. Where two classes share a node, all but one get another one."""
+    sig = sig.withColumn("sid", F.xxhash64("digest")).withColumn("sid", F.when(F.col("digest").isNotNull(), F.col("sid")))
+    for k in itertools.count(1):
+        any_ = [F.first(c).alias(c) for c in ("keys", "sig", "n_shingles")]
+        row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "told")).alias("row")
+        found = sig.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), row, F.count("*").alias("n"), F.min("digest").alias("digest"), F.max("digest").alias("other"), *any_)
+        found = scratch.save(found, f"classes-{k}")
+        clash = found.filter("digest <> other").select("sid", F.col("digest").alias("stays"))
+        if not clash.limit(1).count():
+            return sig, found.drop("other")
+        moved = F.when(F.col("stays") != F.col("digest"), F.xxhash64("digest", F.lit(k))).otherwise(F.col("sid"))
+        sig = scratch.save(sig.join(clash, "sid", "left").withColumn("sid", moved).drop("stays"), f"sig-{k}")
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -151,10 +180,10 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """
     edges = scratch.save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), f"{name}-edges-0")
     labels = None
-    for k in range(1, 100):
+    for k in itertools.count(1):
         both = edges.select(F.col("a").alias("sid"), F.col("b").alias("to")).union(edges.select("b", "a"))
         roots = scratch.save(both.groupBy("sid").agg(F.min("to").alias("to")).select("sid", F.least("sid", "to").alias("label")), f"{name}-roots-{k}-0")
-        for j in range(1, 100):
+        for j in itertools.count(1):  # a jump halves what is left of the way
             over = roots.select(F.col("sid").alias("at"), F.col("label").alias("next"))
             jumped = scratch.save(roots.join(over, F.col("label") == F.col("at")).select("sid", F.col("next").alias("label"), (F.col("next") < F.col("label")).alias("moved")), f"{name}-roots-{k}-{j}")
             scratch.drop(f"{name}-roots-{k}-{j - 1}")
@@ -201,14 +230,12 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, numerator: int, d
     dealt = first.union(rest).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, now, held = word_memo(), None, None
+        now, held = None, None
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         for t in batches:
             out = []
-            a, salt, b, text = (t[c] for c in ("a", "salt", "b", "text"))
-            for i in range(t.num_rows):
-                s = shingle_set(text[i].as_py().encode(), memo, words)
-                key, other = (a[i].as_py(), salt[i].as_py()), b[i].as_py()
+            a, salt, b = (t[c].to_pylist() for c in ("a", "salt", "b"))
+            for key, other, s in zip(zip(a, salt), b, sets_of(t["text"], words)):
                 if other is None:
                     now, held = key, s
                 elif key == now:
@@ -288,18 +315,16 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: tup
     Columns besides doc_id and text are not read. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    sig = scratch.save(signatures(docs, words, bands, rows), "sig")
-    classes = scratch.save(
-        sig.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("keys").alias("keys"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n_shingles")), "classes"
-    )
+    sig, classes = classes_of(scratch.save(signatures(docs, words, bands, rows), "sig"), scratch)
     in_band = classes.select("sid", F.posexplode("keys").alias("band", "key"))
     shared = scratch.save(in_band.groupBy("key").agg(F.min("sid").alias("least"), F.count("*").alias("n")).filter("n > 1"), "shared")
     members = scratch.save(in_band.join(shared, "key").select("key", "band", "sid", "least", "n"), "members")
 
-    of = members.select("sid").distinct().join(classes.select("sid", "rep", "sig", "n_shingles"), "sid")
-    own = documents(docs).join(of, F.col("doc_id").eqNullSafe(F.col("rep"))).select("sid", "text", "sig", "n_shingles")
+    of = members.select("sid").distinct().join(classes.select("sid", "row", "digest", "sig", "n_shingles"), "sid")
+    of = of.select("sid", F.col("row.doc_id").alias("row_id"), F.col("row.told").alias("row_told"), "digest", "sig", "n_shingles")
+    own = told(docs).join(of, (F.col("told") == F.col("row_told")) & F.col("doc_id").eqNullSafe(F.col("row_id"))).select("sid", "digest", "text", "sig", "n_shingles")
     own = scratch.save(_own(own, words).dropDuplicates(["sid"]), "texts")
-    texts, sigs = own.select("sid", "text"), own.drop("text")
+    texts, sigs = own.select("sid", "text"), own.drop("text", "digest")
 
     often = members.filter("sid <> least").groupBy("sid", "least").agg(F.count("*").alias("times")).groupBy("sid").agg(F.collect_list(F.struct("times", "least")).alias("stars"))
     stars = F.explode(F.slice(F.sort_array("stars", asc=False), 1, STARS))
@@ -329,17 +354,13 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: tup
 
 
 def _own(texts: DataFrame, words: int) -> DataFrame:
-    """The rows whose text has the class they came with (a doc_id may repeat with another text), and
-    their fine signatures."""
+    """The rows whose text has the class they came with, and their fine signatures."""
     schema = T.StructType([*texts.schema.fields, T.StructField("fine", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = word_memo()
         for t in batches:
-            sets = [shingle_set(x.as_py().encode(), memo, words) for x in t["text"]]
-            right = [signed(x) == s for s, x in zip(t["sid"].to_pylist(), sets)]
-            fine = [_short(signature(x, 2 * FINE, 1, seed=41)) if ok else None for x, ok in zip(sets, right)]
-            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(fine, pa.binary())], names=[*t.schema.names, "fine"]).filter(pa.array(right, pa.bool_()))
+            fine = [_short(signature(x, 2 * FINE, 1, seed=41)) if digest(x) == d else None for d, x in zip(t["digest"].to_pylist(), sets_of(t["text"], words))]
+            yield pa.RecordBatch.from_arrays([*t.columns, pa.array(fine, pa.binary())], names=[*t.schema.names, "fine"]).filter(pa.array([f is not None for f in fine], pa.bool_()))
 
     return texts.mapInArrow(tidy(run), schema)
 
