@@ -34,3 +34,13 @@ def test_aligner_stream_is_the_replay(spark, tmp_path):
     got = run_stream(spark, tmp_path, [rows[:4], rows[4:6], rows[6:]], schema, lambda s: align_stream(s, 3, 2000), "aligned").orderBy("seq").collect()
     want = calibrate.online_aligner(spark.createDataFrame(rows, schema), "session_id", "seq", refresh_every=3).orderBy("seq").collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+def test_reset_in_a_stream(spark, tmp_path):
+    """A reset keeps the coefficients and begins again with a zero state, with that row."""
+    f = filters.DcBlocker()
+    x = np.random.default_rng(3).integers(-100_000, 100_000, 40).tolist()
+    batches = [[("s", 0, 0, x[:10], False)], [("s", 0, 1, x[10:20], None), ("s", 0, 2, x[20:30], True)], [("s", 0, 3, x[30:], False)]]
+    got = run_stream(spark, tmp_path, batches, "session_id string, col int, seq long, x array<int>, reset boolean", lambda s: filter_stream(s, f), "reset").orderBy("seq").collect()
+    want = [r.y for r in spark.createDataFrame([(0, x[:20]), (1, x[20:])], "k int, x array<int>").select("k", filters.filtered(F.col("x"), f).alias("y")).orderBy("k").collect()]
+    assert sum((r.y for r in got), []) == want[0] + want[1]

@@ -79,31 +79,49 @@ def isqrt(x: Column) -> Column:
     return F.when(x <= 0, num(0)).otherwise(let(guess, mended))
 
 
+def _halves(x: Column, f) -> Column:
+    """f of the upper and lower 32 bits of a DECIMAL below 2**64, as BIGINT."""
+    low = lambda v: (v % num(1 << 32)).cast("long")
+    return let(dec(x), lambda v: let(F.struct(dec_fdiv(v, num(1 << 32)).cast("long").alias("hi"), low(v).alias("lo")), lambda h: f(h["hi"], h["lo"])))
+
+
 def log2_q16(x: Column) -> Column:
-    """Base-2 logarithm in Q16 of a DECIMAL below 2**64; 0 for 0."""
-    high = num(2**63)
+    """Base-2 logarithm in Q16 of a DECIMAL below 2**64; 0 for 0.
+
+    The mantissa is 2**32 + f; its square, shifted by 32, is 2**32 + 2 f + (f * f >> 32), and
+    f * f is taken from halves of 16 bits, so that all fits into BIGINT.
+    """
+    left = lambda v, n: F.call_function("shiftleft", v, n.cast("int"))
+    right = lambda v, n: F.call_function("shiftright", v, n.cast("int"))
+
+    def of(hi: Column, lo: Column) -> Column:
+        msb = F.when(hi > 0, F.length(F.bin(hi)) + 31).otherwise(F.length(F.bin(lo)) - 1)
 
-    def of(msb: Column) -> Column:
-        scale = lambda e: dec(F.pow(F.lit(2.0), e.cast("double")))  # exact: a power of two below 2**53
-        m = F.when(msb <= 32, dec(x * scale(F.greatest(F.lit(32) - msb, F.lit(0))))).otherwise(dec_fdiv(x, scale(F.greatest(msb - 32, F.lit(0)))))
+        def started(n: Column) -> Column:
+            m = F.when(n <= 32, left(left(hi, F.lit(32)) + lo, F.greatest(F.lit(32) - n, F.lit(0)))).otherwise(left(hi, F.greatest(F.lit(64) - n, F.lit(0))) + right(lo, F.greatest(n - 32, F.lit(0))))
+            return F.aggregate(F.sequence(F.lit(15), F.lit(0), F.lit(-1)), F.struct(m.alias("m"), (n * 65536).cast("int").alias("r")), step, lambda acc: acc["r"])
 
-        def step(acc: Column, bit: Column) -> Column:
-            def carried(sq: Column) -> Column:
-                up = sq >= num(2**33)
-                return F.struct(F.when(up, dec_fdiv(sq, num(2))).otherwise(sq).alias("m"), (acc["r"] + F.when(up, F.pow(F.lit(2.0), bit).cast("int")).otherwise(F.lit(0))).alias("r"))
+        return let(msb, started)
 
-            return let(dec_fdiv(dec(acc["m"] * acc["m"]), num(2**32)), carried)
+    def step(acc: Column, bit: Column) -> Column:
+        f = acc["m"] - (1 << 32)
+        a, b = F.shiftright(f, 16), f.bitwiseAND(F.lit(0xFFFF).cast("long"))
+        square = a * a + F.shiftright(2 * a * b + F.shiftright(b * b, 16), 16)
 
-        return F.aggregate(F.sequence(F.lit(15), F.lit(0), F.lit(-1)), F.struct(m.alias("m"), (msb * 65536).cast("int").alias("r")), step, lambda acc: acc["r"])
+        def carried(m: Column) -> Column:
+            up = m >= 1 << 33
+            return F.struct(F.when(up, F.shiftright(m, 1)).otherwise(m).alias("m"), (acc["r"] + F.when(up, left(F.lit(1), bit)).otherwise(F.lit(0))).alias("r"))
 
-    msb = F.when(x >= high, F.lit(63)).otherwise(F.length(F.bin(F.when(x < high, x).otherwise(num(1)).cast("long"))) - 1)
-    return F.when(x <= 0, F.lit(0)).otherwise(let(msb, of))
+        return let((1 << 32) + 2 * f + square, carried)
+
+    return F.when(x <= 0, F.lit(0)).otherwise(_halves(x, of))
 
 
 def le_bytes(x: Column, width: int) -> Column:
-    """The little-endian bytes of an integer (two's complement), as an array of BIGINT."""
-    mod = num(1 << (8 * width))
-    return let(F.pmod(dec(x), mod), lambda u: F.array(*(dec_fdiv(u, num(1 << (8 * k))).cast("decimal(38,0)") % num(256) for k in range(width)))).cast("array<long>")
+    """The little-endian bytes of an integer (two's complement) of 4 or 8 bytes, as an array of BIGINT."""
+    if width == 4:
+        return u32_bytes(x)
+    return _halves(F.pmod(dec(x), num(1 << 64)), lambda hi, lo: F.concat(u32_bytes(lo), u32_bytes(hi)))
 
 
 def u32_bytes(x: Column) -> Column:
@@ -112,13 +130,24 @@ def u32_bytes(x: Column) -> Column:
 
 
 def fnv1a64(data: Column, basis: Column | None = None) -> Column:
-    """FNV-1a of an array of byte values, as a DECIMAL; ``basis`` continues an earlier digest."""
+    """FNV-1a of an array of byte values, as a DECIMAL; ``basis`` continues an earlier digest.
 
-    def step(h: Column, b: Column) -> Column:
-        low = (h % num(256)).cast("long")
-        return dec(dec(dec(h - dec(low)) + dec(low.bitwiseXOR(b))) * num(PRIME)) % num(1 << 64)
+    The digest is two halves of 32 bits. The prime is 2**40 + 435, so that a product's upper half
+    is that of the upper half by 435, the carry, and the lower half moved by 8 bits.
+    """
+    low_bits = lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF))
 
-    return F.aggregate(data, num(BASIS) if basis is None else basis, lambda h, b: dec(step(h, b)))
+    def step(h: Column, b: Column) -> Column:
+        mixed = h["lo"].bitwiseXOR(b.cast("long"))
+        product = mixed * (PRIME & 0xFFFF)
+        upper = h["hi"] * (PRIME & 0xFFFF) + F.shiftright(product, 32) + F.shiftleft(mixed, 8)
+        return F.struct(low_bits(upper).alias("hi"), low_bits(product).alias("lo"))
+
+    digest = lambda start: F.aggregate(data, start, step, lambda h: dec(dec(dec(h["hi"]) * num(1 << 32)) + dec(h["lo"])))
+    start = lambda hi, lo: F.struct(hi.alias("hi"), lo.alias("lo"))
+    if basis is None:
+        return digest(start(F.lit(BASIS >> 32).cast("long"), F.lit(BASIS & 0xFFFFFFFF).cast("long")))
+    return _halves(basis, lambda hi, lo: digest(start(hi, lo)))
 
 
 def hex64(x: Column) -> Column:

@@ -8,8 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import refuse
-from ..functions.fixed import longs, tdiv, total
+from ..functions.fixed import let, longs, tdiv, total
 from ..sources.frames import column
+from .spatial import block_error
 
 ADC24_MAX, ADC24_MIN = 8388607, -8388608
 SATURATED, AMPLITUDE, SLEW, FLATLINE, DRIFT = 1, 2, 4, 8, 16
@@ -64,7 +65,13 @@ def artifact_screen_block(samples: Column, channels: int, limits: ScreenLimits =
     refuse(channels == 0, "EmptyChannelMask")
     size = F.size(samples)
     ok = (size > 0) & (size % channels == 0) & (size <= channels * max_frames)
-    return F.when(ok, F.array(*(artifact_screen(column(samples, channels, c), limits) for c in range(channels))))
+    each = [let(column(samples, channels, c), lambda x: artifact_screen(x, limits)) for c in range(channels)]
+    return F.when(ok, F.array(*each))
+
+
+def block_screen_error(samples: Column, channels: int, max_frames: int = MAX_FRAMES) -> Column:
+    """Why ``artifact_screen_block`` gives null: no channels, a misshapen block, or one too long."""
+    return F.coalesce(block_error(samples, channels), F.when(F.size(samples) > channels * max_frames, "WindowTooLarge"))
 
 
 def disqualifying(bits: Column) -> Column:
@@ -73,3 +80,20 @@ def disqualifying(bits: Column) -> Column:
 
 def has(bits: Column, flag: int) -> Column:
     return bits.bitwiseAND(F.lit(flag)) != 0
+
+
+def from_bits(bits: Column) -> Column:
+    """A report of any integer: bits that name no finding are dropped."""
+    return bits.bitwiseAND(F.lit(SATURATED | AMPLITUDE | SLEW | FLATLINE | DRIFT))
+
+
+def with_flag(bits: Column, flag: int) -> Column:
+    return bits.bitwiseOR(F.lit(flag))
+
+
+def clean() -> Column:
+    return F.lit(0)
+
+
+def is_clean(bits: Column) -> Column:
+    return bits == 0

@@ -73,6 +73,31 @@ def drift_replay(matrices: Column, start: Column, alpha_q15: int) -> Column:
     return F.aggregate(matrices, start, lambda r, n: drift_update(r, n, alpha_q15))
 
 
+def drift_stream(df: DataFrame, session: str, order: str, alpha_q15: int, cov: str = "cov") -> DataFrame:
+    """session, reference: each session's first matrix, moved toward all later ones in order.
+
+    A session streams through its task; only its reference is held. Null matrices are skipped.
+    """
+    refuse(not 0 <= alpha_q15 <= 1 << 15, "InvalidCoefficient")
+    rows = df.filter(F.col(cov).isNotNull()).select(session, order, cov).repartition(session).sortWithinPartitions(session, order)
+    kind = pa.list_(pa.list_(pa.int64()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, reference, row = None, None, None
+        for t in batches:
+            for i, (name, m) in enumerate(zip(t[session].to_pylist(), t[cov].to_pylist())):
+                if reference is not None and name == key:
+                    reference = [[a + (alpha_q15 * (b - a) >> 15) for a, b in zip(x, y)] for x, y in zip(reference, m)]
+                    continue
+                if reference is not None:
+                    yield pa.RecordBatch.from_arrays([row, pa.array([reference], kind)], names=[session, "reference"])
+                key, reference, row = name, m, t[session][i : i + 1]
+        if reference is not None:
+            yield pa.RecordBatch.from_arrays([row, pa.array([reference], kind)], names=[session, "reference"])
+
+    return rows.mapInArrow(run, f"{session} {dict(df.dtypes)[session]}, reference {MATRIX}")
+
+
 # --- kernels on C x C integers -------------------------------------------------------------------
 
 
@@ -82,8 +107,11 @@ def _div(a: int, b: int) -> int:
 
 
 def whiten_cholesky(r: Matrix) -> Matrix | None:
-    """Q16 inverse of the lower factor; None if the matrix is not positive definite."""
+    """Q16 inverse of the lower factor; None if the matrix is not positive definite, or if an entry
+    reaches 2**31: it is shifted by 32 bits on the way, which 64 bits don't hold."""
     c = len(r)
+    if any(abs(v) >= 1 << 31 for row in r for v in row):
+        return None
     low = [[0] * c for _ in range(c)]
     for j in range(c):
         pivot = (r[j][j] << SHIFT) - sum(low[j][k] * low[j][k] >> SHIFT for k in range(j))
@@ -133,12 +161,14 @@ def inverse_sqrt_spd(r: Matrix, shrinkage_ppm: int = SHRINKAGE_PPM, iterations:
 
 
 def with_matrix(df: DataFrame, kernel: Callable[..., Matrix | None], inputs: list[str], out: str) -> DataFrame:
-    """Adds ``out``, a kernel's matrix of other matrix columns; null where an input or the result is."""
+    """Adds ``out``, a kernel's matrix of other matrix columns; null where an input or the result is,
+    and where an entry of the result is beyond 64 bits."""
+    fits = lambda m: m if m is not None and all(-(2**63) <= v < 2**63 for row in m for v in row) else None
     schema = df.withColumn(out, F.lit(None).cast(MATRIX)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            made = [None if any(v is None for v in row) else kernel(*row) for row in zip(*(t[c].to_pylist() for c in inputs))]
+            made = [None if any(v is None for v in row) else fits(kernel(*row)) for row in zip(*(t[c].to_pylist() for c in inputs))]
             yield pa.RecordBatch.from_arrays([*t.columns, pa.array(made, pa.list_(pa.list_(pa.int64())))], names=[*t.schema.names, out])
 
     return df.mapInArrow(run, schema)

@@ -11,6 +11,11 @@ from ..functions.fixed import half_up, let, longs, sat32, tdiv, total
 MAX_SHIFT = 31
 
 
+def input_error(x: Column) -> Column:
+    """Why an operator on a series gives null."""
+    return F.when(F.coalesce(F.size(x), F.lit(0)) <= 0, "EmptyInput")
+
+
 def mean(x: Column) -> Column:
     """Truncated mean of an array, as BIGINT; null if it is empty."""
     return F.when(F.size(x) > 0, tdiv(total(longs(x)), F.greatest(F.size(x), F.lit(1))))

@@ -63,7 +63,7 @@ def _design(table: dict, name: str, rate_hz: int) -> tuple[int, ...]:
 @dataclass(frozen=True)
 class Biquad:
     coeffs: tuple[int, ...] = IDENTITY
-    state = ("x1", "x2", "y1", "y2")
+    state, output = ("x1", "x2", "y1", "y2"), "y1"
 
     def next(self, s, x, sat):
         """The new state; its last output is y1. ``s`` maps state names to values."""
@@ -75,7 +75,7 @@ class Biquad:
 @dataclass(frozen=True)
 class DcBlocker:
     r_q15: int = R_Q15_DEFAULT
-    state = ("x1", "y1")
+    state, output = ("x1", "y1"), "y1"
 
     def __post_init__(self):
         refuse(not 0 < self.r_q15 < ONE, "InvalidCoefficient")
@@ -123,7 +123,7 @@ def run(f: Biquad | DcBlocker, xs: np.ndarray, lengths: np.ndarray, state: dict[
         live = t < lengths
         for k, v in (new := f.next(state, xs[:, t], sat)).items():
             state[k] = np.where(live, v, state[k])
-        out[:, t] = new["y1"]
+        out[:, t] = new[f.output]
     return out
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import refuse
+from .spatial import block_error
 
 
 def sample_rate(hz: int) -> int | None:
@@ -13,6 +14,16 @@ def sample_rate(hz: int) -> int | None:
     return hz if hz > 0 else None
 
 
+def valid_rate(hz: Column) -> Column:
+    """The rate of a column; null for zero and below."""
+    return F.when(hz > 0, hz)
+
+
+def decimate_error(samples: Column, channels: int) -> Column:
+    """Why ``decimate_unfiltered`` gives null."""
+    return block_error(samples, channels)
+
+
 def decimated_frames(n: Column, factor: Column) -> Column:
     return F.when(factor <= 0, 0).otherwise(F.ceil(n / F.when(factor > 0, factor)).cast("int"))
 

@@ -84,3 +84,8 @@ def remove_baseline(samples: Column, channels: int, baseline: int) -> Column:
     )
     fits = (size > 0) & (size % channels == 0) & (size >= channels * baseline)
     return F.when(fits, let(sums, lambda base: F.transform(samples, lambda v, i: sat32(v.cast("long") - F.get(base, i % channels)))))
+
+
+def baseline_error(samples: Column, channels: int, baseline: int) -> Column:
+    """Why ``remove_baseline`` gives null: a misshapen block, or fewer instants than the baseline."""
+    return F.coalesce(block_error(samples, channels), F.when(F.size(samples) < channels * baseline, "WindowTooLarge"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +38,29 @@ def goertzel_coeff_q14(freq_milli_hz: int, rate_hz: int) -> int | None:
     return max(-COEFF_MAX, min(COEFF_MAX, 2 * _cos_turns((freq_milli_hz << 16) // (1000 * rate_hz))))
 
 
+@dataclass(frozen=True)
+class Resonator:
+    """The recurrence of one bin, bounded after each step; its state gives the power."""
+
+    coeff: int
+    state, output = ("s1", "s2"), "s1"
+
+    def __post_init__(self):
+        refuse(not -COEFF_MAX <= self.coeff <= COEFF_MAX, "InvalidCoefficient")
+
+    def next(self, s, x, sat):
+        new = x + (self.coeff * s["s1"] >> COEFF_SHIFT) - s["s2"]
+        return {"s1": np.clip(new, -LIMIT, LIMIT) if isinstance(new, np.ndarray) else min(max(new, -LIMIT), LIMIT), "s2": s["s1"]}
+
+
+def power_of(s: Column, c: Column, scale_shift: int) -> Column:
+    """The power of a bin's last state, as a DECIMAL below 2**64."""
+    refuse(not 0 <= scale_shift <= 31, "InvalidShift")
+    a, b = (F.shiftright(s[k], scale_shift) for k in ("s1", "s2"))
+    d = lambda p, q: dec(dec(p) * dec(q))
+    return F.greatest(F.least(dec(dec(d(a, a) + d(b, b)) - d(F.shiftright(c * a, COEFF_SHIFT), b)), num(U64_MAX)), num(0))
+
+
 def goertzel_power(x: Column, coeff: Column | int, scale_shift: int = 0) -> Column:
     """Power of a bin as a DECIMAL below 2**64; null for an empty series.
 
@@ -51,13 +77,8 @@ def goertzel_power(x: Column, coeff: Column | int, scale_shift: int = 0) -> Colu
         new = v.cast("long") + F.shiftright(c * s["s1"], COEFF_SHIFT) - s["s2"]
         return F.struct(clamp(new, -LIMIT, LIMIT).alias("s1"), s["s1"].alias("s2"))
 
-    def power(s: Column) -> Column:
-        a, b = (F.shiftright(s[k], scale_shift) for k in ("s1", "s2"))
-        d = lambda p, q: dec(dec(p) * dec(q))
-        return F.greatest(F.least(dec(dec(d(a, a) + d(b, b)) - d(F.shiftright(c * a, COEFF_SHIFT), b)), num(U64_MAX)), num(0))
-
     zero = F.struct(F.lit(0).cast("long").alias("s1"), F.lit(0).cast("long").alias("s2"))
-    return F.when(F.size(x) > 0, let(F.aggregate(x, zero, step), power))
+    return F.when(F.size(x) > 0, let(F.aggregate(x, zero, step), lambda s: power_of(s, c, scale_shift)))
 
 
 def goertzel_bank(x: Column, coeffs: list[int], scale_shift: int = 0) -> Column:

@@ -1,7 +1,8 @@
 """Registered queries of the signal operators over the driver's tables, with their SQL.
 
-``events`` give one series a user, ``embeddings`` one frame of 8 channels by 8 instants a vector.
-Arrays leave as comma-separated text.
+``events`` give one series a user, read in chunks of 64 samples, ``embeddings`` one frame of 8 channels
+by 8 instants a vector. Arrays leave as comma-separated text, those of a series chunk by chunk. The
+SQL writes coefficients and constants out, so that it shares none with the operators.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import fixed
-from .operators import artifact, calibrate, classify, dsp, features, filters, rate, spatial, spectral, windows
-from .plans.decision import decide
+from .operators import artifact, calibrate, chunks, classify, dsp, features, filters, rate, spatial, spectral, windows
+from .plans.decision import decide_epochs
 from .sources import frames
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,10 +38,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def series(spark: SparkSession, sf_dir: str, offset: int = 50000) -> DataFrame:
-    """user_id, x: a user's values in thousandths, less an offset that gives them signs."""
+def series(spark: SparkSession, sf_dir: str, halo: int = 0, offset: int = 50000) -> DataFrame:
+    """Chunks by user_id of a user's values in thousandths, less an offset that gives them signs."""
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.floor(F.col("value") * 1000).cast("int") - offset).alias("v"))
-    return frames.collect_series(rows, ["user_id"], ["ts", "event_id"], "v")
+    return chunks.chunked(rows, ["user_id"], ["ts", "event_id"], "v", halo)
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,9 @@ SQL_LONG = "lng AS (SELECT vec_id, label, (i - 1) // 8 AS t, (i - 1) % 8 AS c, s
 SQL_ROWS = "pts AS (SELECT user_id, i - 1 AS t, x[i] AS x, len(x) AS n FROM ser, unnest(range(1, len(x) + 1)) AS u(i))"
 
 
+SQL_CHUNK = "CAST(t // 64 AS INTEGER) AS chunk"
+
+
 def sql_sat(e: str) -> str:
     return f"greatest(least({e}, 2147483647), -2147483648)"
 
@@ -107,7 +111,7 @@ def sql_bytes(value: str, width: int) -> str:
 
 
 def sql_fnv(data: str) -> str:
-    return f"list_reduce({data}, lambda h, b: ((h - h % 256 + xor(h % 256, b)) * {fixed.PRIME}::HUGEINT) % 18446744073709551616::HUGEINT, {fixed.BASIS}::HUGEINT)"
+    return f"list_reduce({data}, lambda h, b: ((h - h % 256 + xor(h % 256, b)) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT)"
 
 
 def sql_hex(h: str) -> str:
@@ -152,7 +156,7 @@ SELECT user_id, CAST(k AS INTEGER) AS epoch_index, CAST(k * {hop} AS INTEGER) AS
 
     @register(sql, name)
     def run(spark, sf_dir):
-        e = windows.epochs(series(spark, sf_dir), window, hop)
+        e = chunks.epochs(series(spark, sf_dir, window - 1), ["user_id"], window, hop)
         return e.select("user_id", "epoch_index", "start_t", fixed.total(fixed.longs(F.col("x"))).alias("total"), F.get("x", F.lit(window - 1)).cast("long").alias("last"))
 
 
@@ -161,6 +165,27 @@ _epochs("epochs_sliding", 16, 6)
 _epochs("epochs_gapped", 9, 20)
 
 
+@register("SELECT user_id, CAST(count(*) AS INTEGER) AS n, 'WindowTooLarge' AS error FROM events GROUP BY user_id HAVING count(*) < 65")
+def epochs_refused(spark, sf_dir):
+    return chunks.refused(table(spark, sf_dir, "events"), ["user_id"], 65, 8)
+
+
+@register("""WITH r AS (SELECT event_id, CAST(event_id % 5 * 250 AS BIGINT) AS hz FROM events) SELECT event_id, CASE WHEN hz > 0 THEN hz END AS rate_hz FROM r""")
+def sample_rates(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", rate.valid_rate((F.col("event_id") % 5 * 250).cast("long")).alias("rate_hz"))
+
+
+@register(f"""WITH {SQL_BLOCKS}, e AS (SELECT vec_id, CAST(vec_id % 10 AS INTEGER) AS n, s[1 : CAST(vec_id % 66 AS INTEGER)] AS s FROM blk)
+SELECT vec_id, CASE WHEN len(s) = 0 THEN 'EmptyInput' END AS series_error,
+  CASE WHEN len(s) = 0 OR len(s) % 8 <> 0 THEN 'SampleLengthMismatch' END AS block_error,
+  CASE WHEN len(s) = 0 OR len(s) % 8 <> 0 THEN 'SampleLengthMismatch' WHEN len(s) < 24 THEN 'WindowTooLarge' END AS baseline_error,
+  CASE WHEN len(s) = 0 OR len(s) % 8 <> 0 THEN 'SampleLengthMismatch' WHEN len(s) > 48 THEN 'WindowTooLarge' END AS screen_error FROM e""")
+def refusals(spark, sf_dir):
+    s = F.slice("samples", F.lit(1), (F.col("vec_id") % 66).cast("int"))
+    df = blocks(spark, sf_dir).select("vec_id", s.alias("s"))
+    return df.select("vec_id", dsp.input_error(F.col("s")).alias("series_error"), rate.decimate_error(F.col("s"), 8).alias("block_error"), spatial.baseline_error(F.col("s"), 8, 3).alias("baseline_error"), artifact.block_screen_error(F.col("s"), 8, 6).alias("screen_error"))
+
+
 @register("""WITH w AS (SELECT event_id, event_id % 60 AS n, event_id % 13 AS w, event_id % 7 AS h FROM events)
 SELECT event_id, CASE WHEN w = 0 OR h = 0 THEN 'InvalidWindow' WHEN w > n THEN 'WindowTooLarge' END AS error,
   CASE WHEN w > 0 AND h > 0 AND w <= n THEN CAST((n - w) // h + 1 AS INTEGER) END AS windows FROM w""")
@@ -175,29 +200,30 @@ def decimate(spark, sf_dir):
     return blocks(spark, sf_dir).select("vec_id", text(rate.decimate_unfiltered(F.col("samples"), 8, 3)).alias("kept"), rate.decimated_frames(F.lit(8), F.lit(3)).alias("n_frames"))
 
 
-@register(f"WITH {sql_series()}, {SQL_ROWS} SELECT user_id, {sql_text('x', 't')} AS kept FROM pts WHERE t % 2 = 0 GROUP BY user_id")
+@register(f"WITH {sql_series()}, {SQL_ROWS} SELECT user_id, {SQL_CHUNK}, {sql_text('x', 't')} AS kept FROM pts WHERE t % 3 = 0 GROUP BY user_id, t // 64")
 def decimate_checked(spark, sf_dir):
-    return series(spark, sf_dir).select("user_id", text(rate.decimate_checked(F.col("x"), 1, 2, 250, 40_000)).alias("kept"))
+    kept = chunks.decimate(series(spark, sf_dir), 3, 250, 40_000).filter(F.size("kept") > 0)
+    return kept.select("user_id", "chunk", text(F.col("kept")).alias("kept"))
 
 
 # --- stateless conditioning ----------------------------------------------------------------------
 
 
 @register(f"""WITH {sql_series()}, {SQL_ROWS}, m AS (SELECT *, CAST(sum(x) OVER (PARTITION BY user_id) AS BIGINT) // n AS mean FROM pts)
-SELECT user_id, any_value(mean) AS mean, {sql_text('x - mean', 't')} AS y FROM m GROUP BY user_id""")
+SELECT user_id, {SQL_CHUNK}, any_value(mean) AS mean, {sql_text('x - mean', 't')} AS y FROM m GROUP BY user_id, t // 64""")
 def remove_mean(spark, sf_dir):
-    return series(spark, sf_dir).select("user_id", dsp.mean(F.col("x")).alias("mean"), text(dsp.remove_mean(F.col("x"))).alias("y"))
+    return chunks.remove_mean(series(spark, sf_dir), ["user_id"]).select("user_id", "chunk", "mean", text(F.col("y")).alias("y"))
 
 
 def _fir(name: str, coeffs: list[int], shift: int) -> None:
     acc = " + ".join(f"{c} * coalesce(lag(x, {k}) OVER w, 0)" if k else f"{c} * x" for k, c in enumerate(coeffs))
     value = f"({acc} + {1 << (shift - 1)}) >> {shift}" if shift else acc
     sql = f"""WITH {sql_series()}, {SQL_ROWS}, f AS (SELECT user_id, t, {sql_sat(value)} AS y FROM pts WINDOW w AS (PARTITION BY user_id ORDER BY t))
-SELECT user_id, {sql_text('y', 't')} AS y FROM f GROUP BY user_id"""
+SELECT user_id, {SQL_CHUNK}, {sql_text('y', 't')} AS y FROM f GROUP BY user_id, t // 64"""
 
     @register(sql, name)
     def run(spark, sf_dir):
-        return series(spark, sf_dir).select("user_id", text(dsp.fir(F.col("x"), coeffs, shift)).alias("y"))
+        return chunks.fir(series(spark, sf_dir, len(coeffs) - 1), coeffs, shift).select("user_id", "chunk", text(F.col("y")).alias("y"))
 
 
 _fir("fir_ma4", [1, 1, 1, 1], 2)
@@ -218,18 +244,47 @@ def sql_biquad(c: tuple[int, ...], x: str = "x") -> str:
     return f"list_reduce({items}, lambda a, w: {step}, {zero})"
 
 
-def _biquad(name: str, coeffs: tuple[int, ...]) -> None:
-    hashed = " , ".join([*(f"({c})::HUGEINT" for c in coeffs), *(f"CAST(st[len(st)].{k} AS HUGEINT)" for k in ("x1", "x2", "y1", "y2"))])
+def sql_states(fold: str, coeffs: tuple[int, ...], state: tuple[str, ...]) -> str:
+    """A row for each chunk, from the states of a fold: its outputs, and the digest of coefficients and state after it."""
+    hashed = " , ".join([*(f"({c})::HUGEINT" for c in coeffs), *(f"CAST(z9.{k} AS HUGEINT)" for k in state)])
     data = f"flatten(list_transform([{hashed}], lambda z: {sql_bytes('z', 4)}))"
-    sql = f"""WITH {sql_series()}, f AS (SELECT user_id, {sql_biquad(coeffs)} AS st FROM ser)
-SELECT user_id, array_to_string(list_transform(st[2:], lambda z: z.y1), ',') AS y, {sql_hex(sql_fnv(data))} AS state_hash FROM f"""
+    return f"""WITH {sql_series()}, f AS (SELECT user_id, {fold} AS st FROM ser), k AS (SELECT user_id, st, unnest(range((len(st) - 2) // 64 + 1)) AS k FROM f),
+e AS (SELECT *, st[least((k + 1) * 64 + 1, len(st))] AS z9 FROM k)
+SELECT user_id, CAST(k AS INTEGER) AS chunk, array_to_string(list_transform(st[k * 64 + 2 : least((k + 1) * 64 + 1, len(st))], lambda z: z.y1), ',') AS y, {sql_hex(sql_fnv(data))} AS state_hash FROM e"""
 
+
+def _recursive(name: str, f, sql: str) -> None:
     @register(sql, name)
     def run(spark, sf_dir):
-        f = filters.Biquad(coeffs)
-        out = filters.process(series(spark, sf_dir), f)
-        state = filters.state_after(F.col("x"), f)
-        return out.select("user_id", text(F.col("y")).alias("y"), fixed.let(state, lambda s: fixed.hex64(filters.state_hash(s, f))).alias("state_hash"))
+        out = chunks.recurrence(series(spark, sf_dir), ["user_id"], [f])
+        state = F.struct(*(F.get("state0", F.lit(i)).alias(k) for i, k in enumerate(f.state)))
+        return out.select("user_id", "chunk", text(F.col("y0")).alias("y"), fixed.let(state, lambda s: fixed.hex64(filters.state_hash(s, f))).alias("state_hash"))
+
+
+# The designs as the SQL reads them, written out apart from the operators' table.
+SQL_DESIGNS = {
+    "filter_identity": (32768, 0, 0, 0, 0),
+    "notch50_250": (32257, -19936, 32257, -19936, 31745),
+    "notch50_500": (32450, -52505, 32450, -52505, 32132),
+    "notch50_1000": (32600, -62009, 32600, -62009, 32432),
+    "notch60_250": (32232, -4048, 32232, -4048, 31696),
+    "notch60_500": (32398, -47235, 32398, -47235, 32029),
+    "notch60_1000": (32568, -60562, 32568, -60562, 32368),
+    "bandpass_motor_intent_250": (6957, 0, -6957, -47759, 18854),
+    "bandpass_motor_intent_500": (3957, 0, -3957, -56533, 24853),
+    "bandpass_motor_intent_1000": (2115, 0, -2115, -61015, 28538),
+    "bandpass_attention_250": (2980, 0, -2980, -58676, 26809),
+    "bandpass_attention_500": (1566, 0, -1566, -62167, 29635),
+    "bandpass_attention_1000": (803, 0, -803, -63869, 31162),
+    "bandpass_safety_wide_250": (10747, 0, -10747, -43487, 11274),
+    "bandpass_safety_wide_500": (6444, 0, -6444, -52482, 19880),
+    "bandpass_safety_wide_1000": (3576, 0, -3576, -58338, 25616),
+}
+
+
+def _biquad(name: str, coeffs: tuple[int, ...]) -> None:
+    c = SQL_DESIGNS[name]
+    _recursive(name, filters.Biquad(coeffs), sql_states(sql_biquad(c), c, ("x1", "x2", "y1", "y2")))
 
 
 _biquad("filter_identity", filters.notch_coeffs("disabled", 333))
@@ -240,16 +295,9 @@ for _rate in (250, 500, 1000):
         _biquad(f"bandpass_{_preset}_{_rate}", filters.bandpass_coeffs(_preset, _rate))
 
 _DC = sql_sat("(((w[1].x1 - a[len(a)].x1) * 32768 + 32604 * a[len(a)].y1) + 16384) >> 15")
-
-
-@register(f"""WITH {sql_series()}, f AS (SELECT user_id, list_reduce(list_transform(x, lambda v: [{{'x1': v, 'y1': 0::BIGINT}}]),
-  lambda a, w: list_append(a, {{'x1': w[1].x1, 'y1': CAST({_DC} AS BIGINT)}}), [{{'x1': 0::BIGINT, 'y1': 0::BIGINT}}]) AS st FROM ser)
-SELECT user_id, array_to_string(list_transform(st[2:], lambda z: z.y1), ',') AS y,
-  {sql_hex(sql_fnv(f"flatten(list_transform([32604::HUGEINT, CAST(st[len(st)].x1 AS HUGEINT), CAST(st[len(st)].y1 AS HUGEINT)], lambda z: {sql_bytes('z', 4)}))"))} AS state_hash FROM f""")
-def dc_blocker(spark, sf_dir):
-    f = filters.DcBlocker()
-    out = series(spark, sf_dir).select("user_id", "x", filters.filtered(F.col("x"), f).alias("y"), filters.state_after(F.col("x"), f).alias("s"))
-    return out.select("user_id", text(F.col("y")).alias("y"), fixed.hex64(filters.state_hash(F.col("s"), f)).alias("state_hash"))
+_DC_FOLD = f"""list_reduce(list_transform(x, lambda v: [{{'x1': v, 'y1': 0::BIGINT}}]),
+  lambda a, w: list_append(a, {{'x1': w[1].x1, 'y1': CAST({_DC} AS BIGINT)}}), [{{'x1': 0::BIGINT, 'y1': 0::BIGINT}}])"""
+_recursive("dc_blocker", filters.DcBlocker(), sql_states(_DC_FOLD, (32604,), ("x1", "y1")))
 
 
 # --- across channels -----------------------------------------------------------------------------
@@ -293,7 +341,7 @@ _filter("spatial_2x8", [[65536, -65536, 32768, -32768, 16384, -16384, 8192, -819
 @register(f"""WITH {sql_series(0)} SELECT user_id, CASE WHEN list_max(x) >= 8388607 OR list_min(x) <= -8388608 THEN 'saturated'
   WHEN list_max(x) > 200000 OR list_min(x) < -200000 THEN 'amplitude_exceeded' ELSE 'clean' END AS flag FROM ser""")
 def artifact_scan(spark, sf_dir):
-    return series(spark, sf_dir, 0).select("user_id", artifact.artifact_scan(F.col("x"), 200_000).alias("flag"))
+    return chunks.artifact_scan(series(spark, sf_dir, offset=0), ["user_id"], 200_000)
 
 
 def sql_screen(x: str, t: str, keys: str, limits: artifact.ScreenLimits) -> str:
@@ -314,7 +362,7 @@ _BLOCK_LIMITS = artifact.ScreenLimits(260_000, 300_000, 120_000, 90_000)
 b AS (SELECT user_id, {sql_screen('x', 't', 'user_id', _SERIES_LIMITS)} AS bits FROM p GROUP BY user_id)
 SELECT user_id, bits, bits & 13 <> 0 AS disqualifying FROM b""")
 def artifact_screen(spark, sf_dir):
-    df = series(spark, sf_dir).withColumn("bits", artifact.artifact_screen(F.col("x"), _SERIES_LIMITS))
+    df = chunks.artifact_screen(series(spark, sf_dir, 1), ["user_id"], _SERIES_LIMITS)
     return df.select("user_id", "bits", artifact.disqualifying(F.col("bits")).alias("disqualifying"))
 
 
@@ -348,37 +396,47 @@ _ISQRT = "CAST(floor(sqrt(CAST(v AS DOUBLE))) AS HUGEINT)"
 SELECT user_id, CAST(v AS BIGINT) AS variance, {sql_log2('v')} AS log_variance_q16,
   CAST(CASE WHEN g * g > v THEN g - 1 WHEN (g + 1) * (g + 1) <= v THEN g + 1 ELSE g END AS BIGINT) AS rms, abs_mean, zero_crossings FROM g""", "features")
 def feature_columns(spark, sf_dir):
-    x = F.col("x")
-    return series(spark, sf_dir).select(
-        "user_id", features.variance(x).cast("long").alias("variance"), features.log_variance_q16(x).alias("log_variance_q16"), features.rms(x).alias("rms"), features.abs_mean(x).alias("abs_mean"), features.zero_crossings(x).alias("zero_crossings")
-    )
+    return chunks.features(series(spark, sf_dir, 1), ["user_id"])
+
+
+@register(f"""WITH {sql_series()}, {SQL_ROWS}, {_VARIANCE}
+SELECT user_id, CAST(CAST(v AS FLOAT) AS BIGINT) AS variance, CAST(CAST(abs_mean AS FLOAT) AS BIGINT) AS abs_mean, CAST(2 AS INTEGER) AS n FROM v""")
+def feature_vectors(spark, sf_dir):
+    """Floats are read back as whole numbers, as the two engines write them differently."""
+    v = chunks.features(series(spark, sf_dir, 1), ["user_id"]).select("user_id", features.feature_vector(F.col("variance"), F.col("abs_mean")).alias("f"))
+    return v.select("user_id", F.get("f", F.lit(0)).cast("long").alias("variance"), F.get("f", F.lit(1)).cast("long").alias("abs_mean"), F.size("f").alias("n"))
 
 
-_NUMBER = "CAST(floor(l_extendedprice * 100) AS HUGEINT) * (1 + l_orderkey) * (1 + l_partkey)"
+_NUMBER = "least(CAST(floor(l_extendedprice * 100) AS HUGEINT) * (1 + l_orderkey) * (1 + l_partkey), 9223372036854775807::HUGEINT)"
 
 
-@register(f"""WITH n AS (SELECT DISTINCT CAST({_NUMBER} AS HUGEINT) AS v FROM lineitem WHERE l_linenumber = 1), g AS (SELECT v, {_ISQRT} AS g FROM n)
+@register(f"""WITH n AS (SELECT DISTINCT {_NUMBER} AS v FROM lineitem), g AS (SELECT v, {_ISQRT} AS g FROM n)
 SELECT CAST(v AS BIGINT) AS v, CAST(CASE WHEN g * g > v THEN g - 1 WHEN (g + 1) * (g + 1) <= v THEN g + 1 ELSE g END AS BIGINT) AS root, {sql_log2('v')} AS log2_q16 FROM g""")
 def isqrt_log2(spark, sf_dir):
-    v = F.floor(F.col("l_extendedprice") * 100).cast("long") * (1 + F.col("l_orderkey")) * (1 + F.col("l_partkey"))
-    n = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(v.cast("long").alias("v")).distinct()
+    """Of a product of each row of lineitem, which saturates at 2**63 - 1."""
+    v = fixed.dec(F.floor(F.col("l_extendedprice") * 100)) * fixed.dec(1 + F.col("l_orderkey")) * fixed.dec(1 + F.col("l_partkey"))
+    n = table(spark, sf_dir, "lineitem").select(F.least(fixed.dec(v), fixed.num(2**63 - 1)).cast("long").alias("v")).distinct()
     return n.select("v", fixed.isqrt(fixed.dec(F.col("v"))).cast("long").alias("root"), fixed.log2_q16(fixed.dec(F.col("v"))).alias("log2_q16"))
 
 
-@register()
-def isqrt_log2_all(spark, sf_dir):
-    """``isqrt_log2``, whose SQL reads one row in seven, over all rows of lineitem.
+# --- narrowband power ----------------------------------------------------------------------------
 
-    The product is DECIMAL, as it nears 2**63 on larger tables; from 2**64 on it saturates.
-    """
-    v = fixed.dec(F.floor(F.col("l_extendedprice") * 100)) * fixed.dec(1 + F.col("l_orderkey")) * fixed.dec(1 + F.col("l_partkey"))
-    n = table(spark, sf_dir, "lineitem").select(F.least(fixed.dec(v), fixed.num(2**64 - 1)).alias("v")).distinct()
-    return n.select("v", fixed.isqrt(F.col("v")).cast("long").alias("root"), fixed.log2_q16(F.col("v")).alias("log2_q16"))
+_BINS = [spectral.goertzel_coeff_q14(f * 1000, 250) for f in (8, 10, 13, 31)]
+# The same, as the SQL reads them.
+SQL_BINS = (32108, 31738, 31036, 23316)
 
+#: The cosine of a quarter turn, for a phase of 0 to 65536, as the SQL computes it.
+_SQL_QUARTER = "(65536 - ((80849 * x2) >> 16) + ((16625 * x4) >> 16) - ((1363 * ((x4 * x2) >> 16)) >> 16)) >> 2"
+_SQL_COEFFS = f"""w AS (SELECT f, (f * 1000 << 16) // 250000 AS turns FROM fs), q AS (SELECT *, turns // 16384 % 4 AS q, turns % 16384 * 4 AS p FROM w),
+x1 AS (SELECT *, CASE WHEN q % 2 = 1 THEN 65536 - p ELSE p END AS x FROM q), x2 AS (SELECT *, (x * x) >> 16 AS x2 FROM x1), x4 AS (SELECT *, (x2 * x2) >> 16 AS x4 FROM x2),
+cs AS (SELECT f, CASE WHEN f = 0 OR f >= 125 THEN NULL ELSE CAST(greatest(least(2 * CASE WHEN q IN (1, 2) THEN -({_SQL_QUARTER}) ELSE {_SQL_QUARTER} END, 32768), -32768) AS INTEGER) END AS c FROM x4)"""
 
-# --- narrowband power ----------------------------------------------------------------------------
 
-_BINS = [spectral.goertzel_coeff_q14(f * 1000, 250) for f in (8, 10, 13, 31)]
+@register(f"""WITH fs AS (SELECT DISTINCT CAST(event_id % 130 AS BIGINT) AS f FROM events), {_SQL_COEFFS} SELECT f AS hz, c AS coeff_q14 FROM cs""")
+def goertzel_coeffs(spark, sf_dir):
+    known = F.create_map(*(v for f in range(1, 125) for v in (F.lit(f).cast("long"), F.lit(spectral.goertzel_coeff_q14(f * 1000, 250)))))
+    hz = table(spark, sf_dir, "events").select((F.col("event_id") % 130).cast("long").alias("hz")).distinct()
+    return hz.select("hz", F.try_element_at(known, F.col("hz")).alias("coeff_q14"))
 
 
 def sql_goertzel(c: int, shift: int) -> str:
@@ -389,12 +447,12 @@ def sql_goertzel(c: int, shift: int) -> str:
 
 
 @register(
-    f"""WITH {sql_series()}, b AS (SELECT user_id, {', '.join(f'{sql_goertzel(c, 4)} AS p{k}' for k, c in enumerate(_BINS))} FROM ser)
+    f"""WITH {sql_series()}, b AS (SELECT user_id, {', '.join(f'{sql_goertzel(c, 4)} AS p{k}' for k, c in enumerate(SQL_BINS))} FROM ser)
 SELECT user_id, {', '.join(f'CAST(p{k} AS VARCHAR) AS power_{k}' for k in range(4))},
   CASE WHEN p1 <> 0 THEN CAST(least(least(p0 * 1000, 18446744073709551615::HUGEINT) // p1, 4294967295) AS BIGINT) END AS ratio_permille FROM b"""
 )
 def goertzel_bank(spark, sf_dir):
-    b = series(spark, sf_dir).select("user_id", spectral.goertzel_bank(F.col("x"), _BINS, 4).alias("p"))
+    b = chunks.goertzel_bank(series(spark, sf_dir), ["user_id"], _BINS, 4).withColumnRenamed("powers", "p")
     p = [F.get("p", F.lit(k)) for k in range(4)]
     return b.select("user_id", *(v.cast("string").alias(f"power_{k}") for k, v in enumerate(p)), spectral.power_ratio_permille(p[0], p[1]).alias("ratio_permille"))
 
@@ -430,6 +488,22 @@ def lda(spark, sf_dir):
     return d.select("vec_id", "score", "d.kind", "d.class", "d.confidence_permille")
 
 
+@register(f"""WITH {SQL_BLOCKS}, l AS (SELECT vec_id, CAST(list_sum(list_transform(list_zip(s, {_WEIGHTS}), lambda p: CAST(p[1] AS HUGEINT) * p[2])) AS HUGEINT) + 12345 AS sc FROM blk),
+c AS (SELECT vec_id, sc, abs(sc) * 1000 // (abs(sc) + 2000000) AS conf FROM l)
+SELECT vec_id, abs(sc) < 2000000 AS abstains, CASE WHEN abs(sc) < 2000000 THEN 'NoIntent' ELSE 'Intent(class=' || CASE WHEN sc >= 0 THEN '1' ELSE '0' END || ', confidence_permille=' || CAST(conf AS VARCHAR) || ')' END AS decision FROM c""")
+def decision_texts(spark, sf_dir):
+    d = blocks(spark, sf_dir).select("vec_id", classify.classify_lda_binary(F.col("samples"), _WEIGHTS, 12345, 2_000_000).alias("d"))
+    return d.select("vec_id", classify.is_abstain(F.col("d")).alias("abstains"), classify.decision_text(F.col("d")).alias("decision"))
+
+
+@register("""WITH b AS (SELECT event_id, CAST(event_id % 256 AS INTEGER) & 31 AS bits FROM events)
+SELECT event_id, bits, bits = 0 AS is_clean, bits | 4 AS with_slew, bits & 8 <> 0 AS has_flatline, bits & 13 <> 0 AS disqualifying FROM b""")
+def report_bits(spark, sf_dir):
+    df = table(spark, sf_dir, "events").select("event_id", artifact.from_bits((F.col("event_id") % 256).cast("int")).alias("bits"))
+    b = F.col("bits")
+    return df.select("event_id", "bits", artifact.is_clean(b).alias("is_clean"), artifact.with_flag(b, artifact.SLEW).alias("with_slew"), artifact.has(b, artifact.FLATLINE).alias("has_flatline"), artifact.disqualifying(b).alias("disqualifying"))
+
+
 # --- calibration ---------------------------------------------------------------------------------
 
 
@@ -446,46 +520,22 @@ def sql_cov(scale: int = 1) -> str:
 cv AS (SELECT a.vec_id, any_value(a.label) AS label, a.c AS i, b.c AS j, CAST(CAST(sum(CAST(a.d AS HUGEINT) * b.d) AS HUGEINT) // 8 AS BIGINT) AS v FROM dv a JOIN dv b ON a.vec_id = b.vec_id AND a.t = b.t GROUP BY a.vec_id, a.c, b.c)"""
 
 
-@register(f"WITH {sql_cov()} SELECT vec_id, {sql_text('v', 'i, j')} AS cov FROM cv WHERE i < 3 AND j < 3 GROUP BY vec_id")
+@register(f"WITH {sql_cov()} SELECT vec_id, {sql_text('v', 'i, j')} AS cov FROM cv GROUP BY vec_id")
 def covariance(spark, sf_dir):
-    return covariances(spark, sf_dir, 3).select("vec_id", text(F.flatten("cov")).alias("cov"))
+    return covariances(spark, sf_dir, 8).select("vec_id", text(F.flatten("cov")).alias("cov"))
 
 
-@register(f"""WITH {sql_cov()}, sm AS (SELECT label, i, j, CAST(sum(v) AS BIGINT) // count(*) AS m, count(*) AS n FROM cv WHERE i < 3 AND j < 3 GROUP BY label, i, j)
+@register(f"""WITH {sql_cov()}, sm AS (SELECT label, i, j, CAST(sum(v) AS BIGINT) // count(*) AS m, count(*) AS n FROM cv GROUP BY label, i, j)
 SELECT label, {sql_text('m', 'i, j')} AS mean, any_value(n) AS n FROM sm GROUP BY label""")
 def session_mean(spark, sf_dir):
-    return calibrate.session_mean(covariances(spark, sf_dir, 3), ["label"]).select("label", text(F.flatten("mean")).alias("mean"), "n")
+    return calibrate.session_mean(covariances(spark, sf_dir, 8), ["label"]).select("label", text(F.flatten("mean")).alias("mean"), "n")
 
 
-@register(f"""WITH {sql_cov()}, o AS (SELECT label, i, j, list(v ORDER BY vec_id) AS vs FROM cv WHERE i < 2 AND j < 2 GROUP BY label, i, j),
+@register(f"""WITH {sql_cov()}, o AS (SELECT label, i, j, list(v ORDER BY vec_id) AS vs FROM cv GROUP BY label, i, j),
 f AS (SELECT label, i, j, list_reduce(vs[2:], lambda a, b: a + ((3277 * (b - a)) >> 15), vs[1]) AS r FROM o)
 SELECT label, {sql_text('r', 'i, j')} AS reference FROM f GROUP BY label""")
 def drift_update(spark, sf_dir):
-    return drifted(covariances(spark, sf_dir, 2))
-
-
-def drifted(covs: DataFrame) -> DataFrame:
-    c = covs.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "cov"))), lambda s: s["cov"]).alias("all"))
-    r = calibrate.drift_replay(F.slice("all", 2, F.greatest(F.size("all"), F.lit(1))), F.get("all", F.lit(0)), 3277)
-    return c.select("label", text(F.flatten(r)).alias("reference"))
-
-
-# The SQL of the three above reads 3, 3 and 2 of 8 channels; these read all.
-
-
-@register()
-def covariance_all(spark, sf_dir):
-    return covariances(spark, sf_dir, 8).select("vec_id", text(F.flatten("cov")).alias("cov"))
-
-
-@register()
-def session_mean_all(spark, sf_dir):
-    return calibrate.session_mean(covariances(spark, sf_dir, 8), ["label"]).select("label", text(F.flatten("mean")).alias("mean"), "n")
-
-
-@register()
-def drift_update_all(spark, sf_dir):
-    return drifted(covariances(spark, sf_dir, 8))
+    return calibrate.drift_stream(covariances(spark, sf_dir, 8), "label", "vec_id", 3277).select("label", text(F.flatten("reference")).alias("reference"))
 
 
 #: Two channels of samples scaled so that variances stay far below 2**31.
@@ -583,4 +633,5 @@ b2 AS (SELECT user_id, k, max(CASE WHEN r = 1 THEN i END) AS best, max(CASE WHEN
 c2 AS (SELECT *, CASE WHEN d1 + d2 = 0 THEN 0 ELSE (d2 - d1) * 1000 // (d1 + d2) END AS conf FROM b2)
 SELECT user_id, CAST(k AS INTEGER) AS epoch_index, {sql_decide('best', 'conf', 'conf < 100')} FROM c2""")
 def pipeline_decision(spark, sf_dir):
-    return decide(series(spark, sf_dir), ["user_id"], _DECISION_MEANS, 16, 8, _DECISION_LIMITS, 100)
+    e = chunks.epochs(series(spark, sf_dir, 15), ["user_id"], 16, 8)
+    return decide_epochs(e, ["user_id"], _DECISION_MEANS, _DECISION_LIMITS, 100)

@@ -113,8 +113,3 @@ def to_long(df: DataFrame, keys: list[str], samples: str = "samples") -> DataFra
     n = enabled_count(F.col("channel_mask"))
     return df.select(*keys, n.alias("n"), F.posexplode(samples).alias("pos", "x")).select(*keys, F.floor(F.col("pos") / F.col("n")).cast("int").alias("t"), (F.col("pos") % F.col("n")).alias("col"), "x")
 
-
-def collect_series(df: DataFrame, keys: list[str], order: list[str], x: str) -> DataFrame:
-    """A series of rows' values in a total order; one shuffle by key."""
-    rows = F.sort_array(F.collect_list(F.struct(*order, F.col(x).alias("__x"))))
-    return df.groupBy(*keys).agg(F.transform(rows, lambda r: r["__x"]).alias("x"))

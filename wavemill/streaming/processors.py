@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.calibrate import MATRIX, OnlineAligner, ZeroCalib
@@ -40,7 +41,9 @@ class FilterProcessor(StatefulProcessor):
         new, late = _ordered(rows, held[0])
         state = {k: np.array([v], np.int64) for k, v in zip(self.filter.state, held[2:])}
         out, last, dropped = [], held[0], held[1] + late
-        for seq, x in zip(new["seq"], new["x"]):
+        for seq, x, reset in zip(new["seq"], new["x"], new["reset"]):
+            if reset:  # coefficients stay, the state is as at the start
+                state = {k: np.zeros(1, np.int64) for k in self.filter.state}
             xs = np.asarray(x, np.int64)[None, :]
             y = run(self.filter, xs, np.array([xs.shape[1]]), state)[0]
             out.append((*key, int(seq), y.astype(np.int32).tolist(), dropped))
@@ -54,9 +57,13 @@ class FilterProcessor(StatefulProcessor):
 
 
 def filter_stream(df: DataFrame, f: Biquad | DcBlocker) -> DataFrame:
-    """session_id, col, seq, y, dropped from session_id, col, seq, x."""
+    """session_id, col, seq, y, dropped from session_id, col, seq, x.
+
+    A true value in a column ``reset``, if there is one, resets the filter before that row.
+    """
+    reset = F.coalesce("reset", F.lit(False)) if "reset" in df.columns else F.lit(False)
     schema = "session_id string, col int, seq bigint, y array<int>, dropped bigint"
-    return df.select("session_id", "col", "seq", "x").groupBy("session_id", "col").transformWithStateInPandas(FilterProcessor(f), schema, "Update", "None")
+    return df.select("session_id", "col", "seq", "x", reset.alias("reset")).groupBy("session_id", "col").transformWithStateInPandas(FilterProcessor(f), schema, "Update", "None")
 
 
 class AlignerProcessor(StatefulProcessor):
