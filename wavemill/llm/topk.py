@@ -4,15 +4,22 @@ Vectors are dealt into shards. A shard keeps, for each dimension and sign, posti
 the rows whose component falls into one level of impact, with the level's bounds. A query takes
 the segments of all dimensions in descending order of the most they can add to a score, and adds
 each segment's lower bound to its rows' accumulators. After every few segments it sums up what
-the segments still to come can add at most; it stops as soon as that proves that no further
-segment is needed to tell the possible members: rows whose upper bound reaches the k-th best
-lower bound. These alone are scored exactly, from their whole vectors.
+the segments still to come can add at most; it stops as soon as that proves that few rows remain
+possible: those whose upper bound reaches the bar, the k-th best score that is proven. These alone
+are scored exactly, from their whole vectors.
 
-All scores are integers, so results are exact, ties included.
+All shards of a query share a bar: the k-th best of exact scores against one shard, found first.
+
+Components are whole numbers in doubles, and so are scores while all sums stay below 2**53, which
+is looked at for each shard. A shard with larger ones is scored in Python's integers, which have
+no bound. So results are exact, ties included; a score beyond 64 bits is ranked by its value and
+written as the nearest 64-bit one.
 """
 
 from __future__ import annotations
 
+from math import floor, isfinite
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -22,71 +29,114 @@ from pyspark.sql import functions as F
 #: tables are repeated as often as the other has pieces.
 SHARD, BLOCK = 8192, 4096
 #: Levels of impact of a dimension's positive and of its negative components.
-LEVELS = 2
+LEVELS = 8
 #: Segments between two tries to stop, and the share of rows that may remain possible.
-STEP, ENOUGH = 16, 0.25
+STEP, ENOUGH = 32, 0.05
 SCALE = 256
+#: Sums below this are exact in doubles.
+_EXACT = 2.0**53
+_LONG = 2**63
 
 
-def quantised(vectors: DataFrame, vector_id: str = "vec_id", column: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """vec_id, v: floor(scale * x) of each component; rows with null or non-finite parts go."""
+def quantised(vectors: DataFrame, vector_id: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """vec_id, x (doubles): rows with null or non-finite parts go."""
     x = F.transform(F.col(column), lambda e: e.cast("double"))
     whole = F.col(vector_id).isNotNull() & F.col(column).isNotNull() & ~F.exists(x, lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    return vectors.filter(F.coalesce(whole, F.lit(False))).select(F.col(vector_id).cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e * scale).cast("long")).alias("v"))
+    return vectors.filter(F.coalesce(whole, F.lit(False))).select(F.col(vector_id).cast("long").alias("vec_id"), x.alias("x"))
+
+
+def whole_numbers(x: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """floor(scale * x) as doubles, or as Python's integers where a double times the scale may be none."""
+    if not x.size or np.abs(x).max() < _EXACT / scale:
+        return np.floor(x * scale)
+    return np.array([[floor(v * scale) if isfinite(v * scale) else int(v) * scale for v in row] for row in x.tolist()], object)
+
+
+def products(rows: np.ndarray, q: np.ndarray) -> list[int]:
+    """Exact inner products."""
+    if rows.dtype == object or q.dtype == object or (len(rows) and np.abs(rows).max() * np.abs(q).max() * len(q) >= _EXACT):
+        ints = [int(v) for v in q.tolist()]
+        return [sum(int(a) * b for a, b in zip(row, ints)) for row in rows.tolist()]
+    return (rows @ q).astype(np.int64).tolist()
 
 
 class ImpactIndex:
     """The posting segments of one shard: arrays of rows with the bounds of their components."""
 
     def __init__(self, ids: np.ndarray, rows: np.ndarray, levels: int = LEVELS):
-        self.ids, self.rows = ids, rows
+        self.ids, self.rows, self.rescored = ids, rows, 0
         self.postings: list[np.ndarray] = []
         dims, low, high = [], [], []
-        for d in range(rows.shape[1]):
+        self.large = float(np.abs(rows).max()) if rows.dtype != object and rows.size else float("inf") if rows.size else 0.0
+        for d in range(rows.shape[1] if isfinite(self.large) else 0):
             c = rows[:, d]
             for part in (np.flatnonzero(c > 0), np.flatnonzero(c < 0)):
-                part = part[np.argsort(-np.abs(c[part]), kind="stable")]
-                for seg in np.array_split(part, levels):
+                size = np.abs(c[part])
+                level = np.floor(size * levels / (size.max(initial=0) + 1))
+                for v in range(levels - 1, -1, -1):
+                    seg = part[level == v]
                     if len(seg):
                         dims.append(d)
                         low.append(c[seg].min())
                         high.append(c[seg].max())
                         self.postings.append(seg)
-        self.dims, self.low, self.high = (np.array(x, np.int64) for x in (dims, low, high))
+        self.dims, self.low, self.high = np.array(dims, np.int64), np.array(low, float), np.array(high, float)
 
-    def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but the query's own; ties to the smaller id."""
-        n = len(self.ids)
+    def possible(self, query_id: int, q: np.ndarray, k: int, bar: float) -> np.ndarray:
+        """The rows that can be among the k best, of which the k-th scores ``bar`` at least."""
+        n, others = len(self.ids), self.ids != query_id
+        if q.dtype == object or self.large * np.abs(q).max(initial=0) * len(q) >= _EXACT:
+            return np.flatnonzero(others)
         w = q[self.dims]
         least = np.where(w >= 0, w * self.low, w * self.high)
         most = np.where(w >= 0, w * self.high, w * self.low)
         order = np.argsort(-np.maximum(np.abs(least), np.abs(most)), kind="stable")
         order = order[w[order] != 0]
-        acc, slack = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        possible = np.arange(n)
-        others = self.ids != query_id
-        # What each dimension's segments to come can still add to one row, at least and at most.
-        for at in range(0, len(order), STEP):
+        acc, slack = np.zeros(n), np.zeros(n)
+        for at in range(0, len(order) + 1, STEP):
             for s in order[at : at + STEP]:
                 rows = self.postings[s]
                 acc[rows] += least[s]
                 slack[rows] += most[s] - least[s]
+            # What each dimension's segments to come can still add to one row, at least and at most.
             rest = order[at + STEP :]
-            up, down = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+            up, down = np.zeros(len(q)), np.zeros(len(q))
             np.maximum.at(up, self.dims[rest], most[rest])
             np.minimum.at(down, self.dims[rest], least[rest])
-            if (at // STEP) % 4 == 3 or not len(rest):
-                floor_, ceiling = acc + down.sum(), acc + slack + up.sum()
-                known = floor_[others]
-                bar = np.partition(known, len(known) - k)[len(known) - k] if len(known) > k else np.iinfo(np.int64).min
-                possible = np.flatnonzero(others & (ceiling >= bar))
-                if len(possible) <= max(8 * k, ENOUGH * n):
-                    break
-        else:
-            possible = possible[others[possible]]
-        scores = self.rows[possible] @ q
-        best = np.lexsort((self.ids[possible], -scores))[:k]
-        return self.ids[possible][best], scores[best]
+            if (at // STEP) % 2 and len(rest):
+                continue
+            known = acc[others]
+            if len(known) > k:
+                bar = max(bar, np.partition(known, len(known) - k)[len(known) - k] + down.sum())
+            found = np.flatnonzero(others & (acc + slack + up.sum() >= bar))
+            if len(found) <= max(8 * k, ENOUGH * n):
+                break
+        return found
+
+    def top(self, query_id: int, q: np.ndarray, k: int, bar: float = -float("inf")) -> tuple[list[int], list[int]]:
+        """Ids and scores of the k best rows but the query's own; ties to the smaller id. Rows that
+        score less than the bar may be left out."""
+        rows = self.possible(query_id, q, k, bar)
+        self.rescored += len(rows)
+        scores, ids = products(self.rows[rows], q), self.ids[rows].tolist()
+        best = sorted(zip([-s for s in scores], ids))[:k]
+        return [i for _, i in best], [-s for s in [b for b, _ in best]]
+
+
+_FOUND = "query_id long, vec_id long, score long, beyond int, wide binary"
+
+
+def _searched(queries: pd.DataFrame, held: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of a shard for each query; where a score is beyond 64 bits, on which side, and its order there."""
+    out = []
+    if len(queries) and len(held):
+        index = ImpactIndex(held["vec_id"].to_numpy(), whole_numbers(np.stack(held["x"].to_numpy())))
+        for query_id, x, bar in zip(queries["vec_id"], queries["x"], queries["bar"]):
+            ids, scores = index.top(int(query_id), whole_numbers(np.asarray(x)[None])[0], k, -float("inf") if pd.isna(bar) else float(bar))
+            for i, s in zip(ids, scores):
+                beyond = 0 if -_LONG <= s < _LONG else 1 if s > 0 else -1
+                out.append((query_id, i, min(max(s, -_LONG), _LONG - 1), beyond, (s + (1 << 2175)).to_bytes(272, "big") if beyond else None))
+    return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "beyond", "wide"])
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector_id: str = "vec_id", column: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
@@ -96,27 +146,31 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector_id: str = "vec
     or non-finite components take no part, nor do rows without an id; vectors of another length
     than the query's are no candidates. Fewer than k candidates are all returned; an empty table
     gives an empty result. Rows that repeat an id are candidates each, but never of their own id.
+    Components of any size are exact; a score beyond 64 bits is written as the nearest such one.
 
     Query blocks meet row shards in tasks of bounded size; each yields k rows a query.
     """
-    rows = quantised(vectors, vector_id, column).withColumn("dim", F.size("v")).filter("dim > 0")
+    rows = quantised(vectors, vector_id, column).withColumn("dim", F.size("x")).filter("dim > 0")
     n = rows.count()
     shards, blocks = max(1, -(-n // shard)), max(1, -(-n // (every * block)))
-    place = lambda count, c: F.pmod(F.xxhash64(c), F.lit(count)).cast("int")
-    data = rows.withColumn("shard", place(shards, "vec_id")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asked = rows.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0).dropDuplicates(["vec_id", "v"])
-    asked = asked.withColumn("block", place(blocks, "vec_id")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def search(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(queries) and len(held):
-            index = ImpactIndex(held["vec_id"].to_numpy(), np.stack(held["v"].to_numpy()))
-            for query_id, v in zip(queries["vec_id"], queries["v"]):
-                ids, scores = index.top(int(query_id), np.asarray(v), k)
-                out += [(query_id, int(i), int(s)) for i, s in zip(ids, scores)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
+    place = lambda count, *c: F.pmod(F.xxhash64(*c), F.lit(count)).cast("int")
+    held = rows.withColumn("shard", place(shards, "vec_id", "x"))
+    data = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    asked = rows.filter(F.pmod(F.col("vec_id"), F.lit(every)) == 0).dropDuplicates(["vec_id", "x"]).withColumn("block", place(blocks, "vec_id"))
     keys = ["dim", "shard", "block"]
-    found = asked.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def search(queries: DataFrame, among: DataFrame) -> DataFrame:
+        own = lambda df: df.toDF(*df.columns)  # both come from one table: names alone must tell them apart
+        return own(queries).groupBy(*keys).cogroup(own(among).groupBy(*keys)).applyInPandas(lambda q, d: _searched(q, d, k), _FOUND)
+
+    every_shard = F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))
+    if shards > 1:  # the bar: the k-th best in the first shard, where k rows of it were found
+        first = search(asked.withColumn("shard", F.lit(0)).withColumn("bar", F.lit(None).cast("double")), data.filter("shard = 0"))
+        bars = first.groupBy("query_id").agg(F.min("score").cast("double").alias("bar"), F.count("*").alias("n"), F.max(F.abs("beyond")).alias("wide"))
+        bars = bars.filter((F.col("n") == k) & (F.col("wide") == 0) & (F.abs("bar") < _EXACT)).select("query_id", "bar")
+        asked = asked.join(bars.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+    else:
+        asked = asked.withColumn("bar", F.lit(None).cast("double"))
+    found = search(asked.withColumn("shard", every_shard), data)
+    w = Window.partitionBy("query_id").orderBy(F.desc("beyond"), F.desc("wide"), F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
