@@ -75,3 +75,42 @@ def test_nulls_empty_and_columns(spark, nothing, docs):
     kept = toxicity.without_toxic(train, labelled)
     assert kept.columns == train.columns and {None, 9000, 9001} <= {r.doc_id for r in kept.collect()}
     assert toxicity.toxicity(nothing, labelled).collect() == []
+
+
+def plainly(chain, text):
+    """Probabilities of one text from the chain's weights, feature by feature."""
+    import math
+    import re
+
+    words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+    present = {f"={w}" for w in words} | {w[:n] for w in words for n in toxicity.PREFIXES if len(w) >= n}
+    out = []
+    for w, chained, bias in chain.models:
+        z = bias + sum(float(w[c]) for f, c in chain.columns.items() if f in present) + sum(a * b for a, b in zip(chained, out))
+        out.append(1 / (1 + math.exp(-z)))
+    return out
+
+
+def test_scores_against_the_weights_read_plainly(spark):
+    docs, labels = planted(300, 4)
+    rows = [*docs, (9000, None), (9001, ""), (9002, "idiot " * 200_000), (9002, "Schmutzbal"), (None, "MORON")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    chain = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    key = lambda r: (r[0], round(r[1], 6), round(r[2], 6))
+    got = sorted(((str(r.doc_id), *r[1:]) for r in toxicity.score(df, chain).collect()), key=key)
+    want = sorted(((str(i), *plainly(chain, t)) for i, t in rows), key=key)
+    assert np.allclose([g[1:] for g in got], [w[1:] for w in want], atol=1e-9) and [g[0] for g in got] == [w[0] for w in want]
+    assert len({g[2] for g in got}) > 5
+
+
+def test_threshold_is_the_middle_of_the_best():
+    p, y = np.array([0.95, 0.9, 0.8, 0.3, 0.2, 0.1]), np.array([1, 1, 1, 0, 0, 0])
+    assert abs(toxicity.best_threshold(p, y) - 0.55) < 1e-12
+    assert toxicity.best_threshold(np.array([0.9, 0.9, 0.1]), np.array([1, 0, 0])) <= 0.9
+
+
+def test_which_of_several_texts_trains_is_stated(spark):
+    labels = spark.createDataFrame([(1, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = [(1, f"text number {w}") for w in ("one", "two", "three", "four")]
+    seen = {tuple(r.words) for k in range(3) for r in toxicity.training_rows(spark.createDataFrame(rows[k:] + rows[:k], "doc_id long, text string").repartition(k + 1), labels).collect()}
+    assert len(seen) == 1

@@ -30,8 +30,9 @@ FEATURES = 200
 EVIDENCE = 15.0
 FOLDS = 5
 PENALTY = 0.5
-#: The threshold is the one of best F1 on out-of-fold predictions, within these bounds.
-THRESHOLDS = (0.35, 0.6)
+#: Thresholds whose F1 on out-of-fold predictions is less than the best one by at most this share
+#: are as good as it; the middle of them is taken.
+PLATEAU = 0.005
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -135,7 +136,7 @@ def fit_chain(n: int, doc: np.ndarray, word: np.ndarray, vocabulary: list[str],
         if len(np.unique(y)) < 2 or min(y.sum(), n - y.sum()) < folds:
             models.append((full, chained, float(np.log(prior / (1 - prior)))))
             before = np.hstack([before, np.full((n, 1), prior)])
-            thresholds.append(THRESHOLDS[1])
+            thresholds.append(0.5)
             continue
         z = np.hstack([x[:, cols], before]).astype(np.float64)
         out, w = np.empty(n), fit_linear(z, y)
@@ -149,14 +150,14 @@ def fit_chain(n: int, doc: np.ndarray, word: np.ndarray, vocabulary: list[str],
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The threshold of best F1; between two predictions, and the higher of equally good ones."""
+    """The middle of the thresholds of best F1, or nearly so."""
     order = np.argsort(-p, kind="stable")
     hits, said = np.cumsum(y[order]), np.arange(1, len(p) + 1)
     f1 = 2 * hits / (said + y.sum())
     f1[:-1][p[order][:-1] == p[order][1:]] = 0
-    k = int(f1.argmax())
-    after = p[order][k + 1] if k + 1 < len(p) else 0.0
-    return float(np.clip((p[order][k] + after) / 2, *THRESHOLDS))
+    good = np.flatnonzero(f1 >= (1 - PLATEAU) * f1.max())
+    after = p[order][good[-1] + 1] if good[-1] + 1 < len(p) else 0.0
+    return float((p[order][good[0]] + after) / 2)
 
 
 def _informative(doc: np.ndarray, feature: np.ndarray, n_features: int, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,7 +183,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     """
     one = labels.select("doc_id", "quality", "toxic").dropna().groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # at most SAMPLE rows: safe to broadcast
-    rows = docs.select("doc_id", "text").dropna().join(F.broadcast(one), "doc_id").dropDuplicates(["doc_id"])
+    rows = docs.select("doc_id", "text").dropna().join(F.broadcast(one), "doc_id")
+    # Of several texts under one doc_id the one of smallest hash trains, whatever the order of rows.
+    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
     def make():
         return lambda doc_id, quality, toxic, text: (doc_id, sorted(words(text)), quality, toxic)
@@ -237,9 +240,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
     """doc_id, p_low_quality, p_toxic, p_toxic_low_quality, toxic: a row for each input row.
 
     A document is toxic if its p_toxic reaches the threshold (by default the one of best F1 out
-    of fold). Null and empty texts have no
-    features and are not toxic unless most labelled documents are. Rows that repeat are scored
-    alike. An empty table gives an empty result; without labels all probabilities are one half
+    of fold). Null and empty texts have no features and are not toxic unless most labelled
+    documents are. Rows that repeat are scored alike; where one doc_id has several texts, each is
+    scored and one of them trains. Very long texts are read whole. An empty table gives an empty result; without labels all probabilities are one half
     and nothing is toxic.
     """
     out = score(docs, chain := fit(docs, labels, sample))
