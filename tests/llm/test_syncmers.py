@@ -26,7 +26,10 @@ def hash_longs(values):
 def sketch(text):
     if not text:
         return {}
-    h = [hash_text(w) for w in re.findall(r"\S{1,32}", text, re.ASCII)]
+    runs = re.findall(r"\S{1,32}", text, re.ASCII)
+    if len(runs) < S.FEW or len(text) > S.LONG * len(runs):
+        runs = re.findall(r"\S", text, re.ASCII)
+    h = [hash_text(w) for w in runs]
     m = [hash_longs(h[i : i + 2]) for i in range(len(h) - 1)]
     out = {}
     for i in range(len(h) - S.K + 1):
@@ -41,7 +44,9 @@ def likeness(a, b):
     if not a or not b:
         return float(a == b)
     u = sorted(a.keys() | b.keys())[: S.SIZE]
-    return len([x for x in u if x in a and x in b]) / len(u)
+    both = sorted((a[x], b[x]) for x in u if x in a and x in b)
+    kept = sum(q[1] > p[1] for p, q in zip(both, both[1:]))
+    return len(both) / len(u) * (kept / (len(both) - 1) if len(both) > 1 else 1)
 
 
 def test_against_plain_version(spark, docs, corpus):
@@ -75,6 +80,23 @@ def test_context_free(spark):
     assert whole <= set(a) and whole <= set(b)
 
 
+def test_order_matters(spark):
+    """Halves that change places share most anchors, but not their order."""
+    half = [" ".join(f"{c}{k}" for k in range(80)) for c in "ab"]
+    df = spark.createDataFrame([(1, " ".join(half)), (2, " ".join(half[::-1])), (3, " ".join(half) + " c d e f"), (4, " ".join(half))], "doc_id long, text string")
+    one, two, three, _ = (r.s for r in df.select("doc_id", S.sketch(df["text"]).alias("s")).orderBy("doc_id").collect())
+    pairs = spark.createDataFrame([(1, one, two), (2, one, three), (3, one, one)], "k int, a array<long>, b array<long>")
+    swapped, longer, same = (r.v for r in pairs.select("k", S.likeness(pairs["a"], pairs["b"]).alias("v")).orderBy("k").collect())
+    assert same == 1.0 and longer > 0.9 and swapped < longer and swapped < 1.0
+
+
+def test_short_and_unspaced_texts_share_anchors(spark):
+    texts = ["a short text here", "日本語の長い文章です" * 30, "x" * 10 + "abcdefghijklmnop" * 20]
+    df = spark.createDataFrame([(2 * k, t) for k, t in enumerate(texts)] + [(2 * k + 1, t + "!") for k, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted(S.fingerprints(df).collect())
+    assert all(r.near_next > 0.7 for r in got[::2]) and all(0 < r.near_edited < 1 for r in got if len(texts[r.doc_id // 2]) < 30)
+
+
 def test_empty_single_and_repeats(spark, nothing):
     assert S.fingerprints(nothing).collect() == []
     (r,) = S.fingerprints(spark.createDataFrame([(5, "abcdefgh")], "doc_id long, text string")).collect()

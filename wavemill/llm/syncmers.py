@@ -1,12 +1,13 @@
 """Document fingerprints of closed syncmers.
 
-A text is a row of tokens (runs of up to 32 signs without white space). A window of ``K`` tokens
-is a closed syncmer if, of the hashes of its ``K - S + 1`` inner windows of ``S`` tokens, the
+A text is a row of tokens: runs of up to 32 signs without white space or, for texts of few or of
+very long runs, single signs. A window of ``K`` tokens is a closed syncmer if, of the hashes of its ``K - S + 1`` inner windows of ``S`` tokens, the
 smallest stands first or last. That depends on the window alone, so both texts that share a
 passage choose the same anchors in it, whatever stands around. About two windows in five are
 chosen. The fingerprint is the ``SIZE`` smallest distinct anchor hashes with the token position
-at which each first occurs, which allows to align texts by position; the likeness of two
-fingerprints estimates the Jaccard similarity of their anchor sets. Only SQL functions are used.
+at which each first occurs. The likeness of two fingerprints matches anchors by position: it is
+the estimated Jaccard similarity of the anchor sets, times the share of neighbouring common
+anchors that stand in the same order in both texts. Only SQL functions are used.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 K = 6
 S = 2
 SIZE = 64
-#: Rows of a stretch of neighbouring doc_ids, about, and the most stretches.
+#: Rows of a stretch of neighbouring doc_ids, about, and the most stretches; beyond that many rows a
+#: stretch grows, but its task streams it, sorted on disk, and looks one row ahead.
 STRETCH, STRETCHES = 1000, 20_000
-_POSITION_BITS = 24
+#: Texts of fewer runs, or of more signs a run on average, are read sign by sign.
+FEW, LONG = 12, 24
+_POSITION_BITS = 31
 
 
 def _let(value: Column, f) -> Column:
@@ -45,10 +49,13 @@ def sketch(text: Column) -> Column:
 
     def of_anchors(a: Column, at: Column) -> Column:
         least = F.slice(F.sort_array(F.array_distinct(a)), 1, SIZE)
-        position = lambda x: F.least(F.get(at, F.array_position(a, x).cast("int") - 1), F.lit(2**_POSITION_BITS - 1))
+        position = lambda x: F.get(at, F.array_position(a, x).cast("int") - 1)
         return F.transform(least, lambda x: F.shiftleft(x, _POSITION_BITS) + position(x))
 
-    hashes = F.transform(F.regexp_extract_all(text, F.lit(r"\S{1,32}"), F.lit(0)), lambda w: F.xxhash64(w))
+    runs = F.regexp_extract_all(text, F.lit(r"\S{1,32}"), F.lit(0))
+    signs = F.regexp_extract_all(text, F.lit(r"\S"), F.lit(0))
+    tokens = _let(runs, lambda r: F.when((F.size(r) >= FEW) & (F.char_length(text) <= LONG * F.size(r)), r).otherwise(signs))
+    hashes = F.transform(tokens, lambda w: F.xxhash64(w))
     own = F.array(F.shiftleft(F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)), _POSITION_BITS))
     empty = F.array().cast("array<long>")
     found = _let(hashes, lambda h: F.when(F.size(h) >= K, of_hashes(h)).otherwise(empty))
@@ -62,12 +69,20 @@ def written(s: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of the smallest hashes of either sketch, the share that both have; 1 if both are empty."""
+    """Of the smallest hashes of either sketch, the share that both have, times the share of those
+    next to each other that keep their order; 1 if both are empty."""
     hashes = lambda s: F.transform(s, lambda x: F.shiftright(x, _POSITION_BITS))
+    places = lambda s: F.transform(s, lambda x: x.bitwiseAND(F.lit(2**_POSITION_BITS - 1)))
 
     def of(x: Column, y: Column) -> Column:
         least = F.slice(F.sort_array(F.array_union(x, y)), 1, SIZE)
-        return _let(least, lambda u: F.size(F.array_intersect(u, F.array_intersect(x, y))) / F.size(u))
+        return _let(least, lambda u: _let(F.array_intersect(u, F.array_intersect(x, y)), lambda both: F.size(both) / F.size(u) * in_order(both, x, y)))
+
+    def in_order(both: Column, x: Column, y: Column) -> Column:
+        at = lambda s, of, h: F.get(places(s), F.array_position(of, h).cast("int") - 1)
+        pairs = F.sort_array(F.transform(both, lambda h: F.struct(at(a, x, h).alias("a"), at(b, y, h).alias("b"))))
+        kept = lambda p: F.size(F.filter(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.get(p, i)["b"] > F.get(p, i - 1)["b"]))
+        return F.when(F.size(both) < 2, 1.0).otherwise(_let(pairs, lambda p: kept(p) / (F.size(p) - 1)))
 
     same = _let(hashes(a), lambda x: _let(hashes(b), lambda y: of(x, y)))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(same)
