@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, documents, in_row, split_words, text_chunks, tidy
 
 CAPACITY = 2048
+#: Bytes of text whose words are coded at once.
+TEXT_BYTES = 2_000_000
 #: Pieces of a shard, about.
 SHARD = 16_384
 #: Sequences with a larger gap are opened again and packed with other shards' ones.
@@ -136,7 +138,7 @@ class WordIds:
     All other words go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, limit: int = 150_000):
+    def __init__(self, path: str, limit: int = 80_000):
         import json
 
         from tokenizers import Tokenizer
@@ -205,7 +207,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids, step = WordIds(tokenizer), 4 * capacity
         for t in batches:
-            for begin, end in text_chunks(t["text"]):
+            for begin, end in text_chunks(t["text"], TEXT_BYTES):
                 got, starts = document_ids(t["text"][begin:end], ids, end_id)
                 data, rows = got.tobytes(), []
                 for doc_id, a, b in zip(t["doc_id"][begin:end].to_pylist(), (4 * starts[:-1]).tolist(), (4 * starts[1:]).tolist()):
