@@ -604,7 +604,24 @@ def online_aligner_replay(spark, sf_dir):
     return out.select("label", "vec_id", "observations", "staleness", "refresh_due", "refreshes")
 
 
-@register()
+def _sql_times(a: str, b: str) -> str:
+    """The product of two 8 x 8 matrices of Q24 numbers, as lists by rows."""
+    return f"list_transform(range(64), lambda k: list_reduce(list_transform(range(8), lambda m: {a}[(k // 8) * 8 + m + 1] * {b}[m * 8 + k % 8 + 1]), lambda p, q: p + q) >> 24)"
+
+
+_EYE = f"list_transform(range(64), lambda k: CASE WHEN k // 8 = k % 8 THEN {_U} ELSE 0::HUGEINT END)"
+_HALF = f"list_transform(list_zip({_EYE}, {_sql_times('z', 'y')}), lambda p: (3 * p[1] - p[2]) // 2)"
+
+
+@register(f"""WITH RECURSIVE {sql_cov(_SCALE)}, run AS (SELECT label, vec_id, i, j, row_number() OVER o AS k, sum(CAST(v AS HUGEINT)) OVER o AS s FROM cv WINDOW o AS (PARTITION BY label, i, j ORDER BY vec_id)),
+mean AS (SELECT label, vec_id, list(CAST(s AS HUGEINT) // k ORDER BY i, j) AS r, CAST(sum(CASE WHEN i = j THEN CAST(s AS HUGEINT) // k ELSE 0 END) AS HUGEINT) AS trace FROM run WHERE k % 12 = 1 GROUP BY label, vec_id),
+reg AS (SELECT label, vec_id, list_transform(list_zip(r, range(64)), lambda p: p[1] + CASE WHEN p[2] // 8 = p[2] % 8 THEN (trace * 2000) // 8000000 ELSE 0 END) AS r, trace + 8 * ((trace * 2000) // 8000000) AS s FROM mean),
+ns AS (
+  SELECT label, vec_id, s, 0 AS k, list_transform(r, lambda v: (v * {_U}) // s) AS y, {_EYE} AS z FROM reg
+  UNION ALL
+  SELECT label, vec_id, s, k + 1, {_sql_times('y', 't')}, {_sql_times('t', 'z')} FROM (SELECT *, {_HALF} AS t FROM ns WHERE k < 14)
+), f AS (SELECT *, {1 << 48}::HUGEINT // {sql_isqrt(f'(s * {1 << 48}::HUGEINT)')} AS inv FROM ns WHERE k = 14)
+SELECT label, vec_id, array_to_string(list_transform(z, lambda v: (v * inv) >> 32), ',') AS whitener FROM f""")
 def online_aligner_whiteners(spark, sf_dir):
     out = calibrate.online_aligner(covariances(spark, sf_dir, 8, _SCALE), "label", "vec_id", refresh_every=12)
     return out.filter("refresh_due").select("label", "vec_id", text(F.flatten("whitener")).alias("whitener"))
