@@ -80,6 +80,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    # Every pair of texts that share a shingle; components by following links to ever smaller ids.
+    "op10_minhash_dedup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS s FROM w
+), sets AS (
+  SELECT s, min(doc_id) AS rep, any_value(len(s)) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM s) GROUP BY s
+), one AS (
+  SELECT rep, n, unnest(s) AS x FROM sets
+), links AS (
+  SELECT a.rep AS a, b.rep AS b FROM one a JOIN one b ON a.x = b.x AND a.rep <> b.rep GROUP BY a.rep, b.rep HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))
+), reach AS (
+  SELECT rep AS a, rep AS b FROM sets WHERE n > 0
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+  SELECT a, min(b) AS component FROM reach GROUP BY a
+)
+SELECT d.doc_id, CAST(len(d.s) AS BIGINT) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept
+FROM s d JOIN sets ON list_sort(d.s) = sets.s LEFT JOIN least ON sets.rep = least.a AND len(d.s) > 0""",
     "op6_exact_top_k": """
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
