@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,10 +20,13 @@ from pyspark.sql.types import StructType
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names; a folder of our own only where none is named."""
+    """The folder that the cluster names. A temporary one of our own is made only in local mode, where
+    driver and executors are one; a cluster has to name a shared one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='wavemill-')}"
         sc.setCheckpointDir(named)
     return named
@@ -31,24 +35,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written to the shared checkpoint folder: they cut lineage, and outlive lost executors.
 
-    ``save`` writes and rereads a table, ``drop`` deletes one that is no longer read. What is
-    left goes when the driver's Python ends.
+    ``save`` writes and rereads a table, ``drop`` deletes those that are no longer read, ``keep``
+    all but some. What is left goes when the driver's Python ends.
     """
 
     def __init__(self, spark: SparkSession):
-        self.spark = spark
+        self.spark, self.names = spark, set()
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/wavemill-{uuid.uuid4().hex}"
         atexit.register(self._delete, self.root)
 
     def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").option("compression", compression).parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
+            self.names.discard(name)
             self._delete(f"{self.root}/{name}")
 
+    def keep(self, *names: str) -> None:
+        self.drop(*(self.names - set(names)))
+
     def _delete(self, path: str) -> None:
         try:
             sc = self.spark.sparkContext

@@ -343,11 +343,11 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: tup
         tested = tested.union(new)
         if found.limit(1).count():
             labels = merged(labels, found, scratch, f"labels-{k}")
-    scratch.drop("texts", "members", "shared", "labelled", "mixed")
 
     linked = classes.select("sid", "rep", "n").join(labels, "sid")
     least = linked.groupBy("label").agg(F.min("rep").alias("component"), F.sum("n").alias("n")).filter("n > 1")
     of_class = scratch.save(linked.select("sid", "label").join(least, "label").select(F.col("sid").alias("class"), "component"), "of-class")
+    scratch.keep("of-class", *(n for n in scratch.names if n.startswith("sig")))
     out = sig.select("doc_id", "n_shingles", "sid").join(of_class, F.col("sid") == F.col("class"), "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
