@@ -4,6 +4,7 @@ import math
 import os
 import zlib
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -118,16 +119,25 @@ def test_units_sum_to_one(model_file):
     assert abs(total - 1) < 1e-3 and np.allclose(in_unit[in_unit > 0], 1)
 
 
-def test_beats_the_base_line_on_held_out(spark, model_file):
+def test_beats_the_base_line_on_held_out(spark, model_file, monkeypatch):
     """The base line gives every unknown word the same share, whatever their number, so a proper
     model needs some text to pass it."""
     path = "/root/testdata/sf0.1/documents.parquet"
     if not os.path.exists(path):
         pytest.skip("no test tables")
-    got = L.score(spark.read.parquet(path), model_file).toPandas()
+    docs = spark.read.parquet(path)
+    got = L.score(docs, model_file).toPandas()
     held = got[got["held_out"]]
     assert len(got) == 10_000 and held["score"].sum() > held["base_score"].sum() + 0.05 * held["n_tokens"].sum()
     assert got["score"].sum() > got["base_score"].sum()
+    # Without attention, what follows what by count alone, most of the gain is gone.
+    counted = L.counted_model
+    monkeypatch.setattr(L, "counted_model", lambda *a: replace(counted(*a), mix=1.0))
+    monkeypatch.setattr(L, "fit_on_all", lambda *a: L.initial())
+    alone = L.score(docs, model_file).toPandas()
+    alone = alone[alone["held_out"]]["score"].sum()
+    print("held-out gain, log10 a token:", (held["score"].sum() - held["base_score"].sum()) / held["n_tokens"].sum(), "counts alone:", (alone - held["base_score"].sum()) / held["n_tokens"].sum())
+    assert held["score"].sum() - alone > 0.5 * (held["score"].sum() - held["base_score"].sum())
 
 
 def test_units_come_from_all_documents(spark, model_file, monkeypatch):
