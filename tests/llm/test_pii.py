@@ -51,9 +51,14 @@ def one(spark, text, key="k"):
     return spark.createDataFrame([(text,)], "text string").select(pii.replaced(F.col("text"), key).alias("r")).first().r
 
 
-def many(spark, texts):
+def each(spark, texts):
+    """The results of several texts, by one plan."""
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").coalesce(1).select("k", pii.replaced(F.col("text"), "k").alias("r")).collect()
-    return [r.r.text for r in sorted(rows)]
+    return [r.r for r in sorted(rows)]
+
+
+def many(spark, texts):
+    return [r.text for r in each(spark, texts)]
 
 
 def test_values_against_plain_feistel(spark):
@@ -71,12 +76,9 @@ def test_values_against_plain_feistel(spark):
     assert datetime.date.fromisoformat(day) == first + datetime.timedelta(number((datetime.date(1984, 2, 29) - first).days, 270, 271, "k|date"))
 
 
-@pytest.mark.parametrize(
-    "text",
-    ["1234567890123456 4111111111111112", "999.1.1.1 1.2.3.4.5 v10.2.3.4", "1985-02-29 31/02/1999 1899-12-31", "666-12-1234 000-11-1111 078-00-1120", "GB29 NWBK 6016 1331 9268 20", "deadbeefdeadbeefdeadbeefdeadbeef"[:31], "00000000000000000000000000000000000000000", "a@b user@host", "Version 2.0, section 9.9. 12345", "", "plain"],
-)
-def test_what_no_rule_validates_stays(spark, text):
-    assert tuple(one(spark, text)) == (text, 0)
+def test_what_no_rule_validates_stays(spark):
+    texts = ["1234567890123456 4111111111111112", "999.1.1.1 1.2.3.4.5 v10.2.3.4", "1985-02-29 31/02/1999 1899-12-31", "666-12-1234 000-11-1111 078-00-1120", "GB29 NWBK 6016 1331 9268 20", "deadbeefdeadbeefdeadbeefdeadbeef"[:31], "00000000000000000000000000000000000000000", "a@b user@host", "Version 2.0, section 9.9. 12345", "", "plain"]
+    assert [tuple(r) for r in each(spark, texts)] == [(t, 0) for t in texts]
 
 
 def test_valid_kinds_stay_valid(spark):
@@ -90,38 +92,39 @@ def test_valid_kinds_stay_valid(spark):
     assert re.fullmatch(r"\d\d\.\d\d\.\d{4}", date) and re.fullmatch(r"\+49 \d\d \d{4} \d{4}", phone) and re.fullmatch("[0-9a-f]{40}", secret)
 
 
-@pytest.mark.parametrize("phone", ["+33 1 23 45 67 89", "+33123456789", "+33 (0)1 23 45 67 89", "+49 30 1234567", "+49 (30) 12 34 56 78", "+34 912 34 56 78", "+44 20 7946 0958", "+49-171-123-45-67"])
-@pytest.mark.parametrize("after", ["", " 2024-02-30", " 300.2.3.4", ", 5 times"])
-def test_phones_of_all_groups(spark, phone, after):
-    r = one(spark, f"call {phone}{after}")
-    assert r.n_values == 1 and r.text.startswith("call " + phone[:3]) and r.text.endswith(after)
-    got = r.text[5 : len(r.text) - len(after)]
-    assert re.sub("[0-9]", "0", got) == re.sub("[0-9]", "0", phone)
-    bare = lambda t: re.sub("[^0-9]", "", t.replace("(0)", ""))[2:]
-    assert bare(got) == string(bare(phone), "k|phone") and bare(got) != bare(phone) and ("(0)" in got) == ("(0)" in phone)
-
-
-@pytest.mark.parametrize(
-    "forms",
-    [
-        ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"],
-        ["378282246310005", "3782 822463 10005", "3782-822463-10005"],
-        ["+1 974 555 3436", "+1-974-555-3436", "+19745553436", "+1 (974) 555-3436", "(974) 555-3436", "974.555.3436"],
-        ["+49 30 1234567", "+49301234567", "+49 (30) 1234567"],
-        ["+33 1 23 45 67 89", "+33 (0)1 23 45 67 89", "+33123456789"],
-        ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"],
-        ["1999-05-31", "31.05.1999", "31/05/1999"],
-    ],
-)
-def test_values_are_linked_across_formats(spark, forms):
-    got = [t[2:-2] for t in many(spark, [f"x {f} y" for f in forms])]
-    if "-05-" in forms[0]:
-        y, m, d = got[0].split("-")
-        assert got == [f"{y}-{m}-{d}", f"{d}.{m}.{y}", f"{d}/{m}/{y}"] and got != forms
-        return
-    bare = [re.sub("[^0-9A-Z]", "", g.replace("(0)", "")) for g in got]
-    assert len({b[-9:] for b in bare}) == 1 and all(g != f for g, f in zip(got, forms))
-    assert [re.sub("[0-9]", "", g) for g in got] == [re.sub("[0-9]", "", f) for f in forms]
+def test_phones_of_all_groups(spark):
+    phones = ["+33 1 23 45 67 89", "+33123456789", "+33 (0)1 23 45 67 89", "+49 30 1234567", "+49 (30) 12 34 56 78", "+34 912 34 56 78", "+44 20 7946 0958", "+49-171-123-45-67"]
+    cases = [(p, a) for p in phones for a in ("", " 2024-02-30", " 300.2.3.4", ", 5 times")]
+    for (phone, after), r in zip(cases, each(spark, [f"call {p}{a}" for p, a in cases])):
+        assert r.n_values == 1 and r.text.startswith("call " + phone[:3]) and r.text.endswith(after)
+        got = r.text[5 : len(r.text) - len(after)]
+        assert re.sub("[0-9]", "0", got) == re.sub("[0-9]", "0", phone)
+        bare = lambda t: re.sub("[^0-9]", "", t.replace("(0)", ""))[2:]
+        assert bare(got) == string(bare(phone), "k|phone") and bare(got) != bare(phone) and ("(0)" in got) == ("(0)" in phone)
+
+
+FORMS = [
+    ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"],
+    ["378282246310005", "3782 822463 10005", "3782-822463-10005"],
+    ["+1 974 555 3436", "+1-974-555-3436", "+19745553436", "+1 (974) 555-3436", "(974) 555-3436", "974.555.3436"],
+    ["+49 30 1234567", "+49301234567", "+49 (30) 1234567"],
+    ["+33 1 23 45 67 89", "+33 (0)1 23 45 67 89", "+33123456789"],
+    ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000"],
+    ["1999-05-31", "31.05.1999", "31/05/1999"],
+]
+
+
+def test_values_are_linked_across_formats(spark):
+    results = iter(many(spark, [f"x {f} y" for forms in FORMS for f in forms]))
+    for forms in FORMS:
+        got = [next(results)[2:-2] for _ in forms]
+        if "-05-" in forms[0]:
+            y, m, d = got[0].split("-")
+            assert got == [f"{y}-{m}-{d}", f"{d}.{m}.{y}", f"{d}/{m}/{y}"] and got != forms
+            continue
+        bare = [re.sub("[^0-9A-Z]", "", g.replace("(0)", "")) for g in got]
+        assert len({b[-9:] for b in bare}) == 1 and all(g != f for g, f in zip(got, forms))
+        assert [re.sub("[0-9]", "", g) for g in got] == [re.sub("[0-9]", "", f) for f in forms]
 
 
 def test_zeros_before_octets_are_kept_apart(spark):
@@ -148,14 +151,14 @@ def test_phones_of_one_length_end(spark):
     assert one(spark, "+33 1 23 45 67 89 12 francs").text.endswith(" 12 francs")
 
 
-@pytest.mark.parametrize("iban", ["ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "FR1420041010050500013M02606", "NO9386011117947"])
-@pytest.mark.parametrize("after", [" EUR", " 2024", " IBAN 12", " 4111 1111 1111 1112", ""])
-def test_account_numbers_before_words(spark, iban, after):
-    r = one(spark, iban + after)
-    got = r.text[: len(iban)]
-    flat = got.replace(" ", "")
-    assert r.n_values == 1 and r.text == got + after and got != iban and got[:2] == iban[:2]
-    assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+def test_account_numbers_before_words(spark):
+    ibans = ["ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00", "FR1420041010050500013M02606", "NO9386011117947"]
+    cases = [(i, a) for i in ibans for a in (" EUR", " 2024", " IBAN 12", " 4111 1111 1111 1112", "")]
+    for (iban, after), r in zip(cases, each(spark, [i + a for i, a in cases])):
+        got = r.text[: len(iban)]
+        flat = got.replace(" ", "")
+        assert r.n_values == 1 and r.text == got + after and got != iban and got[:2] == iban[:2]
+        assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
 
 def test_slashed_dates(spark):
