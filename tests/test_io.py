@@ -28,3 +28,19 @@ def test_stream_validates(spark, tmp_path):
     q = io.stream_frames(spark, str(tmp_path / "in")).select("seq", "error").writeStream.format("memory").queryName("frames_in").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.seq, r.error) for r in spark.table("frames_in").select("seq", F.col("error")).collect()) == [(1, None), (2, "EmptyChannelMask")]
+
+
+def test_fixtures_of_json(spark, tmp_path):
+    import json
+
+    from wavemill.functions import fixed
+    from wavemill.sources.synthetic import lcg_samples
+
+    x = lcg_samples(128)
+    frame = {"seq": 7, "timestamp_us": 1711540800000000, "sample_rate_hz": 250, "channel_mask": 255, "samples_per_channel": 16, "unit": "counts", "samples": x}
+    (tmp_path / "a.json").write_text(json.dumps({"_meta": {"title": "t"}, "frame": frame}, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps({"frame": frame | {"samples": x[:3]}}))
+    df = io.read_fixtures(spark, str(tmp_path))
+    rows = df.select("*", fixed.hex64(frames.checksum(F.col("seq"), F.col("timestamp_us"), F.col("rate_hz"), F.col("channel_mask"), F.col("samples_per_channel"), F.col("samples"))).alias("h")).orderBy(F.size("samples")).collect()
+    assert [r.error for r in rows] == ["SampleLengthMismatch", None] and rows[1].samples == x and rows[1].samples_per_channel == 16
+    assert rows[1].h == "0x875af1b082c94a2d"

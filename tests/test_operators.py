@@ -1,6 +1,7 @@
 """Literal cases and properties of operators without pinned vectors, and refusals."""
 
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -78,9 +79,9 @@ def test_screen(spark):
 
 
 def test_goertzel(spark):
-    wanted = {13000: 31031, 8000: 32104}
-    for f, c in wanted.items():
-        assert abs(spectral.goertzel_coeff_q14(f, 250) - round(2 * math.cos(2 * math.pi * f / 250_000) * 16384)) <= 3, (f, c)
+    for hz in range(1, 125):
+        assert abs(spectral.goertzel_coeff_q14(hz * 1000, 250) - round(2 * math.cos(2 * math.pi * hz / 250) * 16384)) <= 16, hz
+    assert [spectral.goertzel_coeff_q14(f * 1000, 250) for f in (8, 10, 13, 31)] == [32108, 31738, 31036, 23316]
     assert spectral.goertzel_coeff_q14(0, 250) is None and spectral.goertzel_coeff_q14(125_000, 250) is None
     tone = [round(1000 * math.sin(2 * math.pi * 13 * t / 250)) for t in range(250)]
     p = one(spark, spectral.goertzel_bank(ints(tone), [spectral.goertzel_coeff_q14(f * 1000, 250) for f in (8, 10, 13, 15)], 4))
@@ -205,3 +206,43 @@ def test_roots_of_any_u64(spark, x):
     assert int(got.r) == math.isqrt(x)
     if x:
         assert abs(got.l / 65536 - math.log2(x)) < 1e-3
+
+
+def random_spd(c, seed, scale):
+    """A covariance of c mixed channels, rounded; symmetric and far from singular."""
+    rng = random.Random(seed)
+    mix = [[rng.gauss(0, 1) for _ in range(c)] for _ in range(c)]
+    return [[round(scale * (sum(a * b for a, b in zip(mix[i], mix[j])) + 2 * (i == j))) for j in range(c)] for i in range(c)]
+
+
+@pytest.mark.parametrize("c", [2, 3, 5, 8])
+@pytest.mark.parametrize("seed", range(3))
+def test_whiteners_of_any_size_whiten(spark, c, seed):
+    """W R W' is the identity in Q16, up to the rounding of both kernels; a kernel frame gives the same."""
+    r = random_spd(c, seed, 40_000)
+    eye = [[65536 * (i == j) for j in range(c)] for i in range(c)]
+    for w, most in ((calibrate.whiten_cholesky(r), 2500), (calibrate.inverse_sqrt_spd(r, 0), 2500)):
+        got = calibrate.align(w, r)
+        assert max(abs(a - b) for x, y in zip(got, eye) for a, b in zip(x, y)) <= most
+    if not seed:
+        df = spark.createDataFrame([(r,), (None,)], "r array<array<bigint>>")
+        df = calibrate.with_matrix(calibrate.with_matrix(df, calibrate.whiten_cholesky, ["r"], "w"), calibrate.align, ["w", "r"], "a")
+        assert [(x.w, x.a) for x in df.collect()] == [(calibrate.whiten_cholesky(r), calibrate.align(calibrate.whiten_cholesky(r), r)), (None, None)]
+
+
+def test_matrices_out_of_range(spark):
+    assert calibrate.whiten_cholesky([[1 << 31]]) is None and calibrate.whiten_cholesky([[(1 << 31) - 1]]) is not None
+    df = spark.createDataFrame([([[2**62]], [[2**62]])], "w array<array<bigint>>, r array<array<bigint>>")
+    assert calibrate.with_matrix(df, calibrate.align, ["w", "r"], "a").first().a is None
+
+
+def test_reports_and_codes(spark):
+    bits = F.lit(0b11100101)
+    row = spark.range(1).select(artifact.from_bits(bits).alias("a"), artifact.with_flag(artifact.clean(), artifact.DRIFT).alias("b"), artifact.is_clean(artifact.clean()).alias("c"), artifact.has(bits, artifact.SLEW).alias("d")).first()
+    assert tuple(row) == (0b00101, 16, True, True)
+    empty, odd = ints([]), ints([1, 2, 3])
+    assert one(spark, dsp.input_error(empty)) == "EmptyInput" and one(spark, dsp.input_error(odd)) is None
+    for error in (rate.decimate_error, lambda s, n: spatial.baseline_error(s, n, 1), artifact.block_screen_error):
+        assert [one(spark, error(s, n)) for s, n in ((odd, 0), (empty, 2), (odd, 2), (odd, 3))] == ["EmptyChannelMask", "SampleLengthMismatch", "SampleLengthMismatch", None]
+    assert one(spark, spatial.baseline_error(odd, 1, 4)) == one(spark, artifact.block_screen_error(odd, 1, 2)) == "WindowTooLarge"
+    assert one(spark, F.array(rate.valid_rate(F.lit(0)), rate.valid_rate(F.lit(250)))) == [None, 250]
