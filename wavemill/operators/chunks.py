@@ -37,21 +37,24 @@ def _rising(c: Column, kind: str) -> Column | None:
     return None if kind in ("string", "binary") or "<" in kind else c.cast("double")
 
 
+def _key(keys: list[str]) -> Column:
+    """The keys as one value that joins and windows are made on: nulls in it are equal."""
+    return F.struct(*keys)
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], x: str, buckets: int = BUCKETS) -> DataFrame:
     """keys, t, x: each sample's place in its series, in a total order."""
     first = _rising(F.col(order[0]), dict(df.dtypes)[order[0]])
     shares = F.array(*(F.lit(k / buckets) for k in range(1, buckets)))
     bounds = sorted(set(df.select(F.percentile_approx(first, shares, 1000)).first()[0] or [])) if buckets > 1 and first is not None else []
     bucket = sum((F.when(first >= b, 1).otherwise(0) for b in bounds), F.lit(0)) if bounds else F.lit(0)
-    rows = df.select(*keys, *order, F.col(x).alias("x"), bucket.alias("__bucket"))
-    seen = rows.groupBy(*keys, "__bucket").agg(F.count("*").alias("__n"))
-    earlier = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = seen.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("__bucket").alias("__at"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    nth = F.row_number().over(Window.partitionBy(*keys, "__bucket").orderBy(*order))
-    same = F.col("__bucket") == F.col("__at")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return rows.withColumn("__nth", nth).join(offsets, same).select(*keys, (F.col("__before") + F.col("__nth") - 1).alias("t"), "x")
+    rows = df.select(_key(keys).alias("__key"), *order, F.col(x).alias("x"), bucket.alias("__bucket"))
+    seen = rows.groupBy("__key", "__bucket").agg(F.count("*").alias("__n"))
+    earlier = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = seen.select("__key", "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__key", "__bucket").orderBy(*order))
+    out = rows.withColumn("__nth", nth).join(offsets, ["__key", "__bucket"])
+    return out.select("__key.*", (F.col("__before") + F.col("__nth") - 1).alias("t"), "x")
 
 
 def chunked(df: DataFrame, keys: list[str], order: list[str], x: str, halo: int = 0, size: int = CHUNK) -> DataFrame:
@@ -124,11 +127,8 @@ def sums(chunks: DataFrame, keys: list[str]) -> DataFrame:
 
 def _joined(chunks: DataFrame, keys: list[str], other: DataFrame) -> DataFrame:
     """The chunks with what is known of their series; a long series' rows can be dealt to many tasks."""
-    renamed = other.select(*(F.col(k).alias(f"__{k}") for k in keys), *(c for c in other.columns if c not in keys))
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
-    return chunks.join(renamed, same).drop(*(f"__{k}" for k in keys))
+    known = other.select(_key(keys).alias("__key"), *(c for c in other.columns if c not in keys))
+    return chunks.withColumn("__key", _key(keys)).join(known, "__key").drop("__key")
 
 
 def remove_mean(chunks: DataFrame, keys: list[str]) -> DataFrame:
