@@ -31,7 +31,7 @@ SHARD, BLOCK = 8192, 4096
 #: Levels of impact of a dimension's positive and of its negative components.
 LEVELS = 8
 #: Segments between two tries to stop, and the share of rows that may remain possible.
-STEP, ENOUGH = 32, 0.05
+STEP, ENOUGH = 64, 0.05
 SCALE = 256
 #: Sums below this are exact in doubles.
 _EXACT = 2.0**53
@@ -80,6 +80,7 @@ class ImpactIndex:
                         low.append(c[seg].min())
                         high.append(c[seg].max())
                         self.postings.append(seg)
+        self.sizes = np.array([len(p) for p in self.postings], np.int64)
         self.dims, self.low, self.high = np.array(dims, np.int64), np.array(low, float), np.array(high, float)
 
     def possible(self, query_id: int, q: np.ndarray, k: int, bar: float) -> np.ndarray:
@@ -92,23 +93,21 @@ class ImpactIndex:
         most = np.where(w >= 0, w * self.high, w * self.low)
         order = np.argsort(-np.maximum(np.abs(least), np.abs(most)), kind="stable")
         order = order[w[order] != 0]
-        acc, slack = np.zeros(n), np.zeros(n)
+        acc, loose = np.zeros(n), np.zeros(len(q))
         for at in range(0, len(order) + 1, STEP):
-            for s in order[at : at + STEP]:
-                rows = self.postings[s]
-                acc[rows] += least[s]
-                slack[rows] += most[s] - least[s]
+            some, rest = order[at : at + STEP], order[at + STEP :]
+            if len(some):
+                acc += np.bincount(np.concatenate([self.postings[s] for s in some]), np.repeat(least[some], self.sizes[some]), n)
+            # A row has one segment of a dimension, so it scores at most so much more than its bounds.
+            np.maximum.at(loose, self.dims[some], most[some] - least[some])
             # What each dimension's segments to come can still add to one row, at least and at most.
-            rest = order[at + STEP :]
             up, down = np.zeros(len(q)), np.zeros(len(q))
             np.maximum.at(up, self.dims[rest], most[rest])
             np.minimum.at(down, self.dims[rest], least[rest])
-            if (at // STEP) % 2 and len(rest):
-                continue
-            known = acc[others]
-            if len(known) > k:
-                bar = max(bar, np.partition(known, len(known) - k)[len(known) - k] + down.sum())
-            found = np.flatnonzero(others & (acc + slack + up.sum() >= bar))
+            if n > k + 1 and (bar == -float("inf") or not len(rest)):
+                known = acc[others]
+                bar = max(bar, np.partition(known, len(known) - k)[len(known) - k] + down.sum()) if len(known) > k else bar
+            found = np.flatnonzero(others & (acc >= bar - loose.sum() - up.sum()))
             if len(found) <= max(8 * k, ENOUGH * n):
                 break
         return found
