@@ -246,3 +246,15 @@ def test_reports_and_codes(spark):
         assert [one(spark, error(s, n)) for s, n in ((odd, 0), (empty, 2), (odd, 2), (odd, 3))] == ["EmptyChannelMask", "SampleLengthMismatch", "SampleLengthMismatch", None]
     assert one(spark, spatial.baseline_error(odd, 1, 4)) == one(spark, artifact.block_screen_error(odd, 1, 2)) == "WindowTooLarge"
     assert one(spark, F.array(rate.valid_rate(F.lit(0)), rate.valid_rate(F.lit(250)))) == [None, 250]
+
+
+def test_drift_of_a_stream_is_the_replay(spark):
+    """The ordered stream of a session gives what the fold over its array gives; null matrices are skipped."""
+    rng = random.Random(6)
+    rows = [(k % 3 or None, k, None if k == 7 else [[rng.randrange(-(10**9), 10**9) for _ in range(2)] for _ in range(2)]) for k in range(40)]
+    df = spark.createDataFrame(rows, "s int, t int, cov array<array<bigint>>").repartition(4)
+    got = {r.s: r.reference for r in calibrate.drift_stream(df, "s", "t", 3277).collect()}
+    for s in {r[0] for r in rows}:
+        mine = [c for k, t, c in rows if k == s and c]
+        one_row = spark.createDataFrame([(mine[1:], mine[0])], "a array<array<array<bigint>>>, b array<array<bigint>>")
+        assert got[s] == one_row.select(calibrate.drift_replay(F.col("a"), F.col("b"), 3277).alias("r")).first().r
