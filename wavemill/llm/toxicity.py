@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, Shipped, map_rows, tidy
+from .common import Memo, Shipped, map_rows, release, tidy
 
 #: Labelled rows that train the chain, at most.
 SAMPLE = 6000
@@ -209,8 +209,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     coded = lists.flatten().dictionary_encode()
     n, doc = len(lists), np.repeat(np.arange(len(lists), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
     word, vocabulary = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-    del rows, lists
-    return fit_chain(n, doc, word, vocabulary, y, tuple(CATEGORIES))
+    del rows, lists, coded
+    chain = fit_chain(n, doc, word, vocabulary, y, tuple(CATEGORIES))
+    del doc, word, vocabulary
+    release()  # the driver goes on with much less
+    return chain
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
