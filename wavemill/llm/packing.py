@@ -27,7 +27,7 @@ from .common import Scratch, documents, in_row, split_words, text_chunks, tidy
 
 CAPACITY = 2048
 #: Bytes of text whose words are coded at once.
-TEXT_BYTES = 2_000_000
+TEXT_BYTES = 4_000_000
 #: Pieces of a shard, about.
 SHARD = 16_384
 #: Sequences with a larger gap are opened again and packed with other shards' ones.
