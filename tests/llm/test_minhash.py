@@ -79,6 +79,68 @@ def test_second_round_links_what_stars_miss(spark, monkeypatch):
     assert got == sorted(brute([(int(i), t) for i, t in rows]), key=key)
 
 
+def just_below(size, rng):
+    """A group of which most pairs look similar and are not, with three copies of one member that are."""
+    base, rows = [f"t{k}" for k in range(1000)], []
+    for k in range(size):
+        copy = list(base)
+        for at in rng.integers(0, len(copy), 18):
+            copy[at] = f"e{k}x{at}"
+        rows.append((k, " ".join(copy)))
+    return rows + [(size + k, f"{rows[7 * k][1]} end") for k in range(3)]
+
+
+def test_a_group_below_the_threshold_makes_no_row_for_each_pair(spark, monkeypatch):
+    """Rows that are made of pairs grow with the members, not with their square."""
+    monkeypatch.setattr(minhash, "GROUP", 64, raising=False)  # several blocks
+    made, saved = {}, minhash.Scratch.save
+
+    def save(self, df, name, *more):
+        out = saved(self, df, name, *more)
+        if name.startswith(("tested", "groups-edges", "edges")):
+            made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(minhash.Scratch, "save", save)
+    rows = just_below(200, np.random.default_rng(8))
+    got, key = rows_of(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == sorted(brute(rows), key=key) and len({c for _, _, c in got}) > 100
+    assert max(made.values()) < 20 * len(rows) < len(rows) ** 2 / 8, made
+
+
+@pytest.mark.parametrize("group, size", [(2, 10**9), (10**9, 900), (10**9, 10**9)])
+def test_blocks_of_a_group_join_all_components(spark, monkeypatch, group, size):
+    """Nothing but the groups' blocks links, whatever their size, also those of a large component."""
+    monkeypatch.setattr(minhash, "GROUP", group)
+    monkeypatch.setattr(minhash, "GROUP_SHINGLES", size)
+    rng = np.random.default_rng(5)
+    rows = just_below(30, rng)
+    near = rows[0][1].split()
+    for k in range(12):
+        near[30 * k] = f"n{k}"
+        rows.append((100 + k, " ".join(near)))  # a chain from one member
+    texts = spark.createDataFrame(rows, "sid long, text string")
+    for labels in ({i: i for i, _ in rows}, {i: 100 if 100 <= i < 108 else i for i, _ in rows}):
+        groups = spark.createDataFrame([(1, i, labels[i], len(shingles(t))) for i, t in rows], "group long, sid long, label long, n_shingles long")
+        found = [(r.a, r.b) for r in minhash._joined(groups, texts, 5, 75, 100).collect()]
+        parent = {i: i for i in set(labels.values())}
+
+        def find(k):
+            while parent[k] != k:
+                k = parent[k]
+            return k
+
+        for a, b in found:
+            parent[find(labels[a])] = find(labels[b])
+        by_root = {}
+        for i, _ in rows:
+            by_root.setdefault(find(labels[i]), set()).add(i)
+        want = {}
+        for i, _, c in brute(rows):
+            want.setdefault(c, set()).add(i)
+        assert sorted(map(sorted, by_root.values())) == sorted(map(sorted, want.values()))
+
+
 def test_repeats_nulls_and_empty(spark, nothing):
     text = "one two three four five six seven"
     df = spark.createDataFrame([(None, text), (7, text), (7, text), (9, text.upper()), (None, "else"), (3, None), (None, None)], "doc_id long, text string")

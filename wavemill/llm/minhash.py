@@ -15,8 +15,10 @@ more rarely.
 No group is ever expanded into its pairs. Equal sets are one class from the start. Then a set is
 tested against the smallest members of its buckets, two at most (linear); after components are
 known, only buckets that still hold several components are looked at again: their members' signatures
-are compared block by block, and just members that look similar to another component are
-confirmed: the best few pairs first, then whatever pairs are left between components.
+are compared block by block. First each member is confirmed against the few in other components
+that look most similar. What still looks similar across components then meets in groups, whose
+texts are dealt in blocks: all pairs across components are confirmed where two blocks meet, and no
+row is made of a pair but of one that joins components.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, documents, split_words, text_chunks, tidy
+from .common import Scratch, documents, in_row, split_words, text_chunks, tidy
 
 SHINGLE_WORDS = 5
 BANDS = 40
@@ -43,8 +45,10 @@ FINE, FINE_MARGIN = 384, 0.085
 #: Of the smallest members of its buckets, a set is first tested against those it meets most often,
 #: and at least so often.
 STARS, MEETINGS = 2, 4
-#: The partners in another component that a set is first tested against.
+#: The partners in other components that a set is first tested against, for each of its buckets.
 FIRST = 4
+#: Members, and about the shingles, of a block of a group whose texts are compared in one piece.
+GROUP, GROUP_SHINGLES = 512, 2_000_000
 #: Members of a bucket that are compared in one piece.
 BLOCK = 2048
 #: A representative's text goes to up to so many tasks, each with part of its candidates.
@@ -251,9 +255,10 @@ def _across(members: DataFrame, most: int | None, values: int, ratio: float) ->
     """Pairs (a, b) of different components in one bucket whose sizes and signatures agree.
 
     members: key, band, sid, label, n_shingles, sig, fine, blocks (of the bucket). Of two components in
-    a bucket, each member of the smaller one proposes its ``most`` best partners in the other (None: all). Of
-    the buckets that a pair shares only the first band's proposes it. Blocks of a large bucket
-    meet pairwise, each pair of blocks in a task of its own.
+    a bucket, the members of the smaller one look for partners in the other. Each proposes its
+    ``most`` best ones. None: as many pairs as connect whatever has any such pair here, so fewer
+    than members. Of the buckets that a pair shares only the first band's looks at it. Blocks of a
+    large bucket meet pairwise, each pair of blocks in a task of its own.
     """
     block = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("sid"), F.col("blocks"))).otherwise(F.lit(0))
     dealt = (
@@ -269,17 +274,19 @@ def _across(members: DataFrame, most: int | None, values: int, ratio: float) ->
         fine = np.frombuffer(b"".join(fines), np.uint8).reshape(len(fines), -1)
         _, of, count = np.unique(label, return_inverse=True, return_counts=True)
         rank = np.lexsort((np.arange(len(count)), count)).argsort()[of]  # of a component, by its members here
+        tree = np.arange(len(sid))  # what the pairs so far connect
         for x in np.flatnonzero(rank < rank.max()):
             near = np.flatnonzero((rank > rank[x]) & (np.minimum(n, n[x]) >= ratio * np.maximum(n, n[x])))
+            near = near[tree[near] != tree[x]] if most is None else near
             near = near[(keys[near] == keys[x]).argmax(axis=1) == band] if len(near) else near
             near = near[estimate(sig[x], sig[near]) >= ratio - MARGIN]
             est = estimate(fine[x], fine[near])
             near, est = near[est >= ratio - FINE_MARGIN], est[est >= ratio - FINE_MARGIN]
-            seen: dict[int, int] = {}
-            for y in near[np.lexsort((sid[near], -est))]:
-                seen[label[y]] = seen.get(label[y], 0) + 1
-                if most is None or seen[label[y]] <= most:
-                    found.add((min(sid[x], sid[y]), max(sid[x], sid[y])))
+            for y in near[np.lexsort((sid[near], -est))][:most]:
+                if most is None and tree[y] == tree[x]:
+                    continue
+                found.add((min(sid[x], sid[y]), max(sid[x], sid[y])))
+                tree[tree == tree[y]] = tree[x]
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,6 +312,69 @@ def _across(members: DataFrame, most: int | None, values: int, ratio: float) ->
     return dealt.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
+def _joined(groups: DataFrame, texts: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
+    """Pairs (a, b) that join all components of a group which have a similar enough pair in it.
+
+    groups: group, sid, label (component), n_shingles. The members of a group's largest component need
+    not meet each other: they are dealt into blocks of their own, which only meet the others' blocks.
+    """
+    by_label = groups.groupBy("group", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    of = by_label.groupBy("group").agg(F.max(F.struct("n", "label", "size")).alias("most"), F.sum("n").alias("n"), F.sum("size").alias("size"))
+    blocks = lambda n, size: F.greatest(F.lit(1).cast("long"), F.ceil(n / GROUP), F.ceil(size / GROUP_SHINGLES))
+    of = of.select("group", F.col("most.label").alias("largest"), blocks(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size")).alias("few"), blocks(F.col("most.n"), F.col("most.size")).alias("many"))
+    hashed = F.xxhash64("sid")
+    block = F.when(F.col("label") == F.col("largest"), F.col("few") + F.pmod(hashed, F.col("many"))).otherwise(F.pmod(hashed, F.col("few")))
+    last = F.when(F.col("block") < F.col("few"), F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1)
+    dealt = (
+        groups.join(of, "group")
+        .withColumn("block", block)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+        .select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sid", "label")
+        .join(texts, "sid")
+        .repartition("group", "i", "j")
+        .sortWithinPartitions("group", "i", "j")
+    )
+
+    def pairs(i: int, j: int, rows: list) -> list[tuple[int, int]]:
+        block, sid, label, sets = zip(*rows)
+        block, sizes, found = np.array(block), np.array([len(s) for s in sets]), []
+        tree = np.unique(label, return_inverse=True)[1]  # a number for what is one component by now
+        ours, theirs = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(theirs) or (tree == tree[0]).all():
+            return found
+        # The holders of each distinct shingle of theirs.
+        shingles, which = np.unique(np.concatenate([sets[y] for y in theirs]), return_inverse=True)
+        holders = np.repeat(theirs, sizes[theirs])[np.argsort(which, kind="stable")]
+        starts = np.concatenate(([0], np.cumsum(np.bincount(which, minlength=len(shingles)))))
+        for x in ours:
+            if (tree[theirs] == tree[x]).all():
+                continue
+            at = np.minimum(np.searchsorted(shingles, sets[x]), len(shingles) - 1)
+            both = np.bincount(in_row(at[shingles[at] == sets[x]], holders, starts)[0], minlength=len(sizes))
+            for y in np.flatnonzero((both > 0) & (denominator * both >= numerator * (sizes + sizes[x] - both)) & (tree != tree[x])):
+                if tree[y] != tree[x]:
+                    found.append((sid[x], sid[y]))
+                    tree[tree == tree[y]] = tree[x]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, out = None, [], []
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], schema=schema)
+        for t in batches:
+            group, i, j, *rest = (t[c].to_pylist() for c in ("group", "i", "j", "block", "sid", "label"))
+            for key, *row in zip(zip(group, i, j), *rest, sets_of(t["text"], words)):
+                if key != now:
+                    out += pairs(*now[1:], rows) if rows else []
+                    now, rows = key, []
+                rows.append(row)
+            yield made(out)
+            out = []
+        yield made(pairs(*now[1:], rows) if rows else [])
+
+    return dealt.mapInArrow(tidy(run), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: tuple[int, int] = (75, 100), bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept; one row per input row.
 
@@ -332,18 +402,22 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, similarity: tup
     tested = scratch.save(often.select(F.col("sid").alias("b"), stars.alias("star")).select(F.col("star.least").alias("a"), "b"), "tested-0")
     edges = scratch.save(_confirmed(tested, texts, words, *similarity), "edges-0")
     labels = merged(classes.select("sid", F.col("sid").alias("label")), edges, scratch, "labels-0")
-    # The best few partners first; then, where components still meet in a bucket, all the rest.
+    # The best few partners first; then, where components still look similar in a bucket, all the rest.
     for k, most in enumerate((FIRST, None), 1):
         labelled = scratch.save(members.join(labels, "sid").select("key", "band", "sid", "label", "n"), "labelled")
         mixed = scratch.save(labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"), "mixed")
         again = labelled.join(mixed, "key").join(sigs, "sid").withColumn("blocks", F.ceil(F.col("n") / BLOCK))
-        new = _across(again, most, bands * rows, similarity[0] / similarity[1]).join(tested, ["a", "b"], "left_anti")
-        new = scratch.save(new, f"tested-{k}")
-        found = scratch.save(_confirmed(new, texts, words, *similarity), f"edges-{k}")
-        tested = tested.union(new)
+        alike = _across(again, most, bands * rows, similarity[0] / similarity[1])
+        if most:
+            alike = scratch.save(alike.join(tested, ["a", "b"], "left_anti"), "tested-1")
+            found = _confirmed(alike, texts, words, *similarity)
+        else:
+            groups = components(alike, scratch, "groups").withColumnRenamed("label", "group")
+            found = _joined(scratch.save(groups.join(labels, "sid").join(sigs.select("sid", "n_shingles"), "sid"), "groups"), texts, words, *similarity)
+        found = scratch.save(found, f"edges-{k}")
         if found.limit(1).count():
             labels = merged(labels, found, scratch, f"labels-{k}")
-    scratch.drop("texts", "members", "shared", "labelled", "mixed")
+    scratch.drop("texts", "members", "shared", "labelled", "mixed", "groups")
 
     linked = classes.select("sid", "rep", "n").join(labels, "sid")
     least = linked.groupBy("label").agg(F.min("rep").alias("component"), F.sum("n").alias("n")).filter("n > 1")
