@@ -8,6 +8,7 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from wavemill.llm import attention_lm as L
@@ -263,3 +264,29 @@ def test_empty_and_single(spark, nothing, model_file, monkeypatch):
     df = spark.createDataFrame([(None, None), (None, "A a"), (None, "A a")], "doc_id long, text string")
     got = sorted(tuple(r)[1:5] for r in L.score(df, model_file).collect())
     assert got == [(False, 1, 1, 7), (False, 3, 3, 7), (False, 3, 3, 7)]
+
+
+@pytest.mark.parametrize("most", [0, 1, 255, 256, 70_000, 2**32 - 1])
+def test_planes_are_as_many_as_numbers_need(most):
+    x = np.array([0, most, most // 2])
+    for numbers in (x, x[:0]):
+        assert np.array_equal(L._from_planes(L._planes(numbers)), numbers)
+    assert len(L._planes(x)) == 1 + len(x) * max(1, -(-most.bit_length() // 8))
+
+
+def test_a_task_never_holds_all_its_parts(spark, model_file, monkeypatch):
+    """Parts are rows of megabytes: those of one task are written out, and read, a few at a time."""
+    monkeypatch.setattr(L, "STEPS", 2)
+    monkeypatch.setattr(L, "LARGE_ROWS", {**getattr(L, "LARGE_ROWS", {}), "parquet.block.size": 20_000}, raising=False)
+    paths, saved = {}, L.Scratch.save
+
+    def save(self, df, name, *more, **options):
+        paths[name] = f"{self.root}/{name}".removeprefix("file://")
+        return saved(self, df, name, *more, **options)
+
+    monkeypatch.setattr(L.Scratch, "save", save)
+    rows = [(i, " ".join(f"w{(i * k) % 997}" for k in range(1, 400))) for i in range(1, 60)]
+    L.score(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), model_file, part_bytes=2000).count()
+    files = [pq.ParquetFile(f"{paths['parts']}/{f}") for f in os.listdir(paths["parts"]) if f.endswith(".parquet")]
+    groups = [f.metadata.row_group(k) for f in files for k in range(f.num_row_groups)]
+    assert sum(g.num_rows for g in groups) > 50 and max(g.num_rows for g in groups) < 20

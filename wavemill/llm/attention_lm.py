@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import Scratch, Shipped, in_row, release, runs, split_words, text_chunks, tidy
+from .common import LARGE_ROWS, Scratch, Shipped, in_row, release, runs, split_words, text_chunks, tidy
 
 UNITS, SHARED_UNITS, CLASSES, SHARED_CLASSES = 512, 8, 64, 16
 WINDOW, STRIDE, WIDTH = 32, 16, 16
@@ -350,12 +350,16 @@ _PART = "part long, doc_id array<long>, held binary, n_words binary, places bina
 
 
 def _planes(x: np.ndarray) -> bytes:
-    """Non-negative numbers below 2**32 as four planes of bytes, the upper ones of which compress to little."""
-    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Non-negative numbers below 2**32 as planes of bytes, as many as the largest needs; first how many."""
+    width = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + x.astype("<u4").view(np.uint8).reshape(-1, 4).T[:width].tobytes()
 
 
 def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    whole = np.zeros((planes.shape[1], 4), np.uint8)
+    whole[:, : len(planes)] = planes.T
+    return whole.view("<u4").ravel().astype(np.int64)
 
 
 @dataclass
@@ -559,7 +563,7 @@ def score(docs: DataFrame, tokenizer: str, part_bytes: int = PART_BYTES, first:
     apart by a 64-bit hash.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    table = scratch.save(parts(docs, tokenizer, part_bytes), "parts", "zstd")  # whose buffers stay small for long values
+    table = scratch.save(parts(docs, tokenizer, part_bytes), "parts", "zstd", **LARGE_ROWS)  # zstd's buffers stay small for long values
     n_parts, ends, windows = (int(v or 0) for v in table.select(F.count("*"), F.sum("ends"), F.sum("windows")).first())
     words = word_rows(table)
     totals = scratch.save(words.groupBy("key").agg(F.sum("n").alias("total"), F.min("first").alias("first"), F.count("*").alias("parts")), "totals")

@@ -32,6 +32,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+#: For tables whose rows take megabytes: pages and groups of rows end by their bytes after each row,
+#: while Parquet would else look after a hundred rows, and a task hold that many.
+LARGE_ROWS = {"parquet.block.size": 16 << 20} | {f"parquet.{kind}.size.row.check.{end}": 1 for kind in ("page", "block") for end in ("min", "max")}
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder: they cut lineage, and outlive lost executors.
 
@@ -44,9 +49,9 @@ class Scratch:
         self.root = f"{checkpoint_dir(spark).rstrip('/')}/wavemill-{uuid.uuid4().hex}"
         atexit.register(self._delete, self.root)
 
-    def save(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    def save(self, df: DataFrame, name: str, compression: str = "snappy", **options) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", compression).parquet(path)
+        df.write.mode("overwrite").option("compression", compression).options(**options).parquet(path)
         self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
