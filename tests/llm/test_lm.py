@@ -235,6 +235,26 @@ def test_gradient_by_finite_differences():
             assert abs((loss(up) - loss(down)) / 2e-4 - g[k][i]) < 1e-4 + 0.01 * abs(g[k][i]), (k, i)
 
 
+@pytest.mark.parametrize("times", [1, 30, 1000])
+def test_gradient_of_any_logits(times):
+    """Weights of e**60 and more are held, and their gradient is that of a plain softmax."""
+    rng, classes = np.random.default_rng(6), 7
+    x, y = rng.integers(0, classes, (6, L.WINDOW)), rng.integers(-1, classes, (6, L.STRIDE))
+    m = random_layer(classes)
+    m["out"] = (m["out"] * times).astype(np.float32)
+    *_, h, logits = L.forward(m, x)
+    logits, target = logits.astype(float), y.ravel()
+    assert np.allclose(logits, np.clip(h.reshape(-1, L.WIDTH) @ m["out"] + m["bias"], -60, 60), atol=1e-3)
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    p[np.arange(len(p)), target] -= 1
+    p[target < 0] = 0
+    g = L.gradient(m, x, y)
+    n = (target >= 0).sum()
+    assert np.allclose(g["bias"], p.sum(axis=0) / n, atol=1e-5) and np.allclose(g["out"], h.reshape(-1, L.WIDTH).T @ p / n, atol=1e-5)
+    assert all(np.isfinite(v).all() for v in g.values())
+
+
 def test_score_is_the_model_on_every_document(spark, docs, corpus, model_file, monkeypatch):
     """The parts' scores equal those of one model fed with each text alone, its words counted plainly."""
     monkeypatch.setattr(L, "STEPS", 20)

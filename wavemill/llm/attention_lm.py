@@ -89,7 +89,7 @@ def forward(m: dict[str, np.ndarray], x: np.ndarray, tables: tuple | None = None
     pad = len(m["bias"])
     meet, near = tables or _tables(m)
     ask = x[:, WINDOW - STRIDE :]
-    pair = (ask.astype(np.int32) * np.int32(pad + 1))[:, :, None] + x[:, None, :]
+    pair = (ask.astype(np.intp) * (pad + 1))[:, :, None] + x[:, None, :]
     a = meet.take(pair, mode="clip")
     a *= near
     a *= (1 / (np.einsum("bqk->bq", a) + np.float32(1e-30)))[..., None]
@@ -99,7 +99,8 @@ def forward(m: dict[str, np.ndarray], x: np.ndarray, tables: tuple | None = None
     np.tanh(h, out=h)
     logits = h.reshape(-1, WIDTH) @ m["out"]
     logits += m["bias"]
-    np.clip(logits, -60, 60, out=logits)
+    if (np.abs(m["out"]).sum(axis=0) + np.abs(m["bias"])).max() > 60:  # else none can be beyond
+        np.clip(logits, -60, 60, out=logits)
     return pair, a, v, h, logits
 
 
@@ -109,13 +110,15 @@ def gradient(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str
     n, target = len(m["bias"]) + 1, y.ravel()
     at = np.flatnonzero(target >= 0)
     share = np.float32(1 / max(1, len(at)))
-    p = np.exp(logits, out=logits)
-    norm = share / np.einsum("ij->i", p)
+    p = np.exp(logits, out=logits)  # weights, and below what they lack of their sum at the target
+    total = np.einsum("ij->i", p)
+    norm = share / total
     norm[target < 0] = 0
-    p *= norm[:, None]
-    p[at, target[at]] -= share
-    g = {"out": h.reshape(-1, WIDTH).T @ p, "bias": p.sum(axis=0)}
-    dz = (p @ m["out"].T).reshape(h.shape)
+    p[at, target[at]] -= total[at]
+    g = {"out": (h.reshape(-1, WIDTH) * norm[:, None]).T @ p, "bias": norm @ p}
+    dz = p @ m["out"].T
+    dz *= norm[:, None]
+    dz = dz.reshape(h.shape)
     dz *= 1 - h * h
     ds = np.matmul(dz, v.transpose(0, 2, 1))
     ds -= np.einsum("bqk,bqk->bq", a, ds)[..., None]
