@@ -38,6 +38,25 @@ def test_base_line(spark, docs, corpus, model_file, monkeypatch):
         assert abs(r.base_score - base) < 1e-6 * max(1, abs(base)) and r.score < 0
 
 
+@pytest.mark.parametrize("bucket", [7, 100_000])
+def test_words_are_summed_in_buckets(spark, docs, corpus, model_file, monkeypatch, bucket):
+    """A row is a part's words in a bucket, not a word; sums are the same for any size of buckets."""
+    monkeypatch.setattr(L, "STEPS", 2)
+    monkeypatch.setattr(L, "BUCKET_WORDS", bucket, raising=False)
+    n, want = base_line(corpus)
+    got = {r.doc_id: r for r in L.score(docs, model_file, part_bytes=5000).collect()}
+    for i, held, tokens, known, base in want:
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, tokens, known, n) and abs(r.base_score - base) < 1e-6 * max(1, abs(base))
+    table = spark.createDataFrame(L.parts(docs, model_file, 5000).toPandas(), L._PART)
+    n_words, n_parts = table.selectExpr("sum(octet_length(keys) DIV 8) AS n", "count(*) AS parts").first()
+    assert n_parts > 1 and L.word_blocks(table, 1).count() == n_parts < n_words / 10
+    buckets = -(-n_words // bucket)
+    totals = L.word_totals(L.word_blocks(table, buckets), buckets).collect()
+    c = Counter(w for i, t in corpus if not zlib.crc32(str(i).encode()) % 10 == 0 for w in (t or "").encode().lower().split())
+    assert sum(np.frombuffer(r["sums"], np.int64).sum() for r in totals) == sum(c.values()) and sum(np.frombuffer(r["kinds"], np.int64).sum() for r in totals) == len(c)
+
+
 def test_gradient_lowers_the_loss():
     rng = np.random.default_rng(0)
     units = rng.integers(1, 6, 4000)
@@ -255,6 +274,75 @@ def test_gradient_of_any_logits(times):
     assert all(np.isfinite(v).all() for v in g.values())
 
 
+def test_gradient_and_weights_of_large_biases():
+    """Biases are left out of the weights as factors; those and the gradient are a plain softmax's all the same."""
+    rng, classes = np.random.default_rng(8), 7
+    x, y = rng.integers(0, classes, (11, L.WINDOW)), rng.integers(-1, classes, (11, L.STRIDE))
+    m = random_layer(classes)
+    for bias in ([-30, 25, 0, 3, -8, 30, 1], [-50, 45, 0, 3, -8, 50, 1]):
+        m["bias"] = np.array(bias, np.float32)
+        h, logits = L.forward(m, x)
+        assert np.allclose(logits, h.reshape(-1, L.WIDTH) @ m["out"] + m["bias"], atol=1e-4)
+        p, target = np.exp(logits.astype(float)), y.ravel()
+        p /= p.sum(axis=1, keepdims=True)
+        p[np.arange(len(p)), target] -= 1
+        p[target < 0] = 0
+        n, g = (target >= 0).sum(), L.gradient(m, x, y)
+        assert np.allclose(g["bias"], p.sum(axis=0) / n, atol=1e-5) and np.allclose(g["out"], h.reshape(-1, L.WIDTH).T @ p / n, atol=1e-5)
+        assert all(np.isfinite(v).all() for v in g.values())
+
+
+def test_scores_are_the_plain_formula(model_file):
+    """A unit's share of its class and what follows its predecessor, position by position."""
+    m, _ = small_model(model_file)
+    m.layer = random_layer(L.CLASSES)
+    m.layer["bias"] = np.random.default_rng(9).normal(0, 4, L.CLASSES).astype(np.float32)
+    lengths = np.array([1, 40, 16, 17, 33])
+    units = np.random.default_rng(3).integers(1, L.UNITS, lengths.sum())
+    units[np.cumsum(lengths) - 1] = L.END
+    single, begun = m.score(units, lengths, chunk=3)
+    at = 0
+    for n in lengths:
+        u, before = units[at : at + n], np.concatenate(([L.END], units[at : at + n - 1]))
+        for i in range(n):
+            first = i // L.STRIDE * L.STRIDE - L.STRIDE
+            x = np.array([[m.groups.klass[before[j]] if 0 <= j < n else L.CLASSES for j in range(first, first + L.WINDOW)]])
+            p = np.exp(dense(m.layer, x)[i % L.STRIDE].astype(float))
+            p = (1 - m.mix) * (p / p.sum())[m.groups.klass] * m.in_class + m.mix * m.follows[before[i]]
+            assert abs(single[at + i] - np.log10(p[u[i]])) < 1e-4 and abs(begun[at + i] - np.log10(p @ m.starts)) < 1e-4
+        at += n
+
+
+def test_only_documents_that_a_window_is_drawn_from_are_cut(model_file, monkeypatch):
+    """The start's windows are those of a draw over all windows, without making all of them."""
+    groups, *_ = fitted([b"one two three four five six seven eight nine ten " * 30] * 4, model_file)
+    part = made([b"one two three four five " * n for n in [0, 1, 3, 4, 200, 9] * 40], model_file)
+    part.held[::7] = True
+    docs = [d for run in part.training_ids() for d in run]
+    x, y = L.examples(docs, groups)
+    assert part.windows()[~part.held].tolist() == [-(-(len(d) + 1) // L.STRIDE) for d in docs]
+    chance = np.random.default_rng(5).random(len(x))
+    cut, plain = [], L.examples
+    monkeypatch.setattr(L, "examples", lambda some, g: (cut.append(len(some)), plain(some, g))[1])
+    for share in (0.0, 0.004, 1.0):
+        cut.clear()
+        got = list(L.drawn(part, groups, np.random.default_rng(5), share))
+        assert sum(cut) in {0.0: [0], 0.004: range(1, len(docs) // 2), 1.0: [len(docs)]}[share]
+        for k, want in enumerate((chance, x, y)):
+            assert np.array_equal(np.concatenate([want[:0], *(g[k] for g in got)]), want[chance < share])
+
+
+def test_sums_of_any_size(spark):
+    """Blocks of sums are exact below 2**53, and hold beyond 64 bits and below zero."""
+    size = 2 * L.SENT + 5
+
+    def add(sums, r):
+        sums[[0, 1, L.SENT, size - 1]] += [2**62, -(2**40) - 1, r["part"], -1]
+
+    got = L.summed(spark.range(0, 9, 1, 9).selectExpr("id AS part"), size, ["part"], add)
+    assert got[[0, 1, L.SENT, size - 1]].tolist() == [9 * 2.0**62, -9 * (2**40 + 1), 36, -9] and np.count_nonzero(got) == 4
+
+
 def test_score_is_the_model_on_every_document(spark, docs, corpus, model_file, monkeypatch):
     """The parts' scores equal those of one model fed with each text alone, its words counted plainly."""
     monkeypatch.setattr(L, "STEPS", 20)

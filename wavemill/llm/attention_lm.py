@@ -18,8 +18,8 @@ scored once and attends to at least half a window before it.
 
 Documents are cut into parts of bounded size where they lie, and coded once: a part's row has its
 distinct words, their ids and counts, and its documents as places among them. Each later pass
-reads these rows. Words are summed over parts, and the sums of words that several parts have go
-back to those parts.
+reads these rows. Words are summed over parts in buckets by their hash, and the sums of words that
+several parts have go back to those parts; a row is a part's words in a bucket, not a word.
 """
 
 from __future__ import annotations
@@ -49,6 +49,10 @@ LATER_RATE, LATER_BATCH, PIECE = 0.004, 256, 400_000
 FINE = 1 << 20
 #: Bytes of text of a part, about.
 PART_BYTES = 8_000_000
+#: Words of a bucket, over all parts, about.
+BUCKET_WORDS = 500_000
+#: Numbers of a block of sums that tasks send.
+SENT = 512
 #: Prior observations of a unit after each other one.
 PRIOR = 20.0
 #: What a counted word gives up for words that were never counted.
@@ -67,6 +71,7 @@ def initial(classes: int = CLASSES, seed: int = 7) -> dict[str, np.ndarray]:
 
 #: Distance of each of a window's inputs from each scored position; below 0 are later ones.
 _AT = np.arange(WINDOW - STRIDE, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+_BACK, _SEEN = np.maximum(_AT, 0), (_AT >= 0).astype(np.float32)
 _SCALE = np.float32(1 / np.sqrt(WIDTH))
 #: The type of a class in windows.
 _CLASS = np.uint8
@@ -77,60 +82,82 @@ def _tables(m: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
     An input has no position of its own, so all attention before its norm is a product of the two.
     """
-    meet = np.exp(np.clip(m["query"] @ m["key"].T * _SCALE, -30, 30))
+    meet = m["query"] @ m["key"].T
+    meet *= _SCALE
+    np.exp(np.clip(meet, -30, 30, out=meet), out=meet)
     meet[:, -1] = 0
-    near = np.where(_AT >= 0, np.exp(np.clip(m["near"], -30, 30))[np.maximum(_AT, 0)], 0)
-    return meet.astype(np.float32).ravel(), near.astype(np.float32)
+    return meet.ravel(), np.exp(np.clip(m["near"], -30, 30)).take(_BACK) * _SEEN
 
 
-def forward(m: dict[str, np.ndarray], x: np.ndarray, tables: tuple | None = None) -> tuple[np.ndarray, ...]:
+def attend(m: dict[str, np.ndarray], x: np.ndarray, tables: tuple | None = None) -> tuple[np.ndarray, ...]:
     """x: classes of windows, the last class for padding. Gives the places of pairs of classes, the
-    attention, the values, hidden states and, a row for each scored position, log-weights of classes."""
-    pad = len(m["bias"])
+    attention, the values and the hidden states."""
     meet, near = tables or _tables(m)
-    ask = x[:, WINDOW - STRIDE :]
-    pair = (ask.astype(np.intp) * (pad + 1))[:, :, None] + x[:, None, :]
+    ask, n = x[:, WINDOW - STRIDE :], len(m["own"])
+    left, right = np.ones((len(x), STRIDE, 2), np.float32), np.ones((len(x), 2, WINDOW), np.float32)
+    left[:, :, 0], right[:, 1] = ask, x
+    left[:, :, 0] *= n
+    pair = np.matmul(left, right).astype(np.intp)  # sums of each two as a product, whole numbers far below 2**24
     a = meet.take(pair, mode="clip")
     a *= near
     a *= (1 / (np.einsum("bqk->bq", a) + np.float32(1e-30)))[..., None]
     v = m["value"].take(x, axis=0)
     h = np.matmul(a, v)
     h += m["own"].take(ask, axis=0)
-    np.tanh(h, out=h)
-    logits = h.reshape(-1, WIDTH) @ m["out"]
-    logits += m["bias"]
-    if (np.abs(m["out"]).sum(axis=0) + np.abs(m["bias"])).max() > 60:  # else none can be beyond
-        np.clip(logits, -60, 60, out=logits)
-    return pair, a, v, h, logits
+    return pair, a, v, np.tanh(h, out=h)
+
+
+def weights(m: dict[str, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of classes, a row for each hidden state, and a factor of each class that they lack."""
+    w = np.matmul(h, m["out"])  # window by window, as are all such products: small ones need no packing
+    if (np.abs(m["out"]).sum(axis=0) + np.abs(m["bias"])).max() <= 40:  # no weight over another's factor is beyond a float
+        return np.exp(w, out=w), np.exp(m["bias"])
+    w += m["bias"]
+    return np.exp(np.clip(w, -60, 60, out=w), out=w), np.ones_like(m["bias"])
+
+
+def forward(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hidden states of windows and, a row for each scored position, log-weights of classes."""
+    h = attend(m, x)[-1]
+    w, lift = weights(m, h)
+    return h, (np.log(w) + np.log(lift)).reshape(-1, len(lift))
 
 
 def gradient(m: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean of -log p over the scored positions, those whose target in y isn't -1."""
-    pair, a, v, h, logits = forward(m, x)
-    n, target = len(m["bias"]) + 1, y.ravel()
-    at = np.flatnonzero(target >= 0)
-    share = np.float32(1 / max(1, len(at)))
-    p = np.exp(logits, out=logits)  # weights, and below what they lack of their sum at the target
-    total = np.einsum("ij->i", p)
-    norm = share / total
+    pair, a, v, h = attend(m, x)
+    n, classes, target = len(m["own"]), len(m["bias"]), y.ravel()
+    p, lift = weights(m, h)  # weights, and below what they lack of their sum at the target
+    total = np.matmul(p, lift).ravel()
+    norm = np.float32(1 / max(1, np.count_nonzero(target >= 0))) / total
     norm[target < 0] = 0
-    p[at, target[at]] -= total[at]
-    g = {"out": (h.reshape(-1, WIDTH) * norm[:, None]).T @ p, "bias": norm @ p}
-    dz = p @ m["out"].T
-    dz *= norm[:, None]
-    dz = dz.reshape(h.shape)
-    dz *= 1 - h * h
+    hit = np.maximum(target, 0)
+    p.reshape(-1)[np.arange(0, p.size, classes) + hit] -= total / lift[hit]  # what isn't scored has no norm
+    norm = norm.reshape(-1, STRIDE, 1)
+    rows = np.empty((len(x), STRIDE, WIDTH + 1), np.float32)  # hidden states and a one, by the norm
+    np.multiply(h, norm, out=rows[:, :, :WIDTH])
+    rows[:, :, WIDTH:] = norm
+    out = np.einsum("bij->ij", np.matmul(_blocks(rows).transpose(0, 2, 1), _blocks(p))) * lift
+    dz = np.matmul(p, np.ascontiguousarray((m["out"] * lift).T))
+    dz *= norm
+    h *= h
+    dz *= np.subtract(1, h, out=h)
     ds = np.matmul(dz, v.transpose(0, 2, 1))
     ds -= np.einsum("bqk,bqk->bq", a, ds)[..., None]
     ds *= a
     meet = np.bincount(pair.ravel(), ds.ravel(), n * n).reshape(n, n).astype(np.float32) * _SCALE
-    g["query"], g["key"] = meet @ m["key"], meet.T @ m["query"]
+    g = {"query": meet @ m["key"], "key": meet.T @ m["query"], "out": out[:WIDTH], "bias": out[WIDTH]}
     g["own"] = _scatter(x[:, WINDOW - STRIDE :].ravel(), dz.reshape(-1, WIDTH), n)
     g["value"] = _scatter(x.ravel(), np.matmul(a.transpose(0, 2, 1), dz).reshape(-1, WIDTH), n)
-    g["near"] = np.bincount(np.maximum(_AT, 0).ravel(), (ds.sum(axis=0) * (_AT >= 0)).ravel(), WINDOW).astype(np.float32)
+    g["near"] = np.bincount(_BACK.ravel(), (np.einsum("bqk->qk", ds) * _SEEN).ravel(), WINDOW).astype(np.float32)
     return g
 
 
+def _blocks(rows: np.ndarray) -> np.ndarray:
+    """Windows' rows in blocks of eight windows, if they come to that."""
+    return rows.reshape(-1, 8 * STRIDE if len(rows) % 8 == 0 else STRIDE, rows.shape[-1])
+
+
 def _scatter(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sums of rows by index."""
     order, counts = np.argsort(index, kind="stable"), np.bincount(index, minlength=n)
@@ -141,19 +168,20 @@ def _scatter(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
 
 
 class Fit:
-    """A layer's parameters and the state of Adam."""
+    """A layer's parameters, all in a row and by name, and the state of Adam."""
 
     def __init__(self, m: dict[str, np.ndarray]):
-        self.m, self.steps = dict(m), 0
-        self.first, self.second = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
+        self.row, self.steps = np.concatenate([v.ravel() for v in m.values()]), 0
+        self.m = {k: v.reshape(m[k].shape) for k, v in zip(m, np.split(self.row, np.cumsum([v.size for v in m.values()])))}
+        self.first, self.second = np.zeros_like(self.row), np.zeros_like(self.row)
 
     def step(self, x: np.ndarray, y: np.ndarray, rate: float) -> None:
-        m, g = self.m, gradient(self.m, x, y)
+        g = gradient(self.m, x, y)
+        g = np.concatenate([g[k].ravel() for k in self.m])
         self.steps += 1
-        for k in m:
-            self.first[k] = 0.9 * self.first[k] + 0.1 * g[k]
-            self.second[k] = 0.99 * self.second[k] + 0.01 * g[k] ** 2
-            m[k] = (m[k] - rate * (self.first[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[k] / (1 - 0.99**self.steps)) + 1e-8)).astype(np.float32)
+        self.first = 0.9 * self.first + 0.1 * g
+        self.second = 0.99 * self.second + 0.01 * g**2
+        self.row -= rate * (self.first / (1 - 0.9**self.steps)) / (np.sqrt(self.second / (1 - 0.99**self.steps)) + 1e-8)
 
 
 def train(windows: np.ndarray, targets: np.ndarray, classes: int = CLASSES, steps: int = STEPS, seed: int = 7) -> dict[str, np.ndarray]:
@@ -182,19 +210,22 @@ def train_on_all(docs: list[np.ndarray], groups: Grouping, start: dict[str, np.n
     return fit_.m, windows
 
 
-def windowed(units: np.ndarray, lengths: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+def windowed(units: np.ndarray, lengths: np.ndarray, pad: int, end: int = END) -> tuple[np.ndarray, np.ndarray]:
     """Windows over each document's inputs (the end, then all but the last) and the place in
-    ``units`` of each scored position, -1 beyond a document."""
-    counts = -(-lengths // STRIDE)
-    doc = np.repeat(np.arange(len(lengths)), counts)
-    starts = np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(np.int64)
-    nth = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = (nth * STRIDE)[:, None] + np.arange(STRIDE - WINDOW, STRIDE)[None, :]  # input positions
-    inputs = units[np.clip(starts[doc][:, None] + at - 1, 0, max(len(units) - 1, 0))]
-    inputs[(at < 0) | (at >= lengths[doc][:, None])] = pad
-    inputs[at == 0] = END
-    scored = at[:, WINDOW - STRIDE :]
-    return inputs, np.where(scored < lengths[doc][:, None], starts[doc][:, None] + scored, -1)
+    ``units`` of each scored position, -1 beyond a document.
+
+    Inputs are laid out in rows of a stride, a row of padding before each document; a window is two.
+    """
+    counts = 1 - (-lengths // STRIDE)
+    first = np.cumsum(counts) - counts + 1  # row of each document
+    at = np.arange(len(units)) + np.repeat(first * STRIDE - (np.cumsum(lengths) - lengths), lengths)
+    inputs, place = np.full(int(counts.sum()) * STRIDE, pad, units.dtype), np.full(int(counts.sum()) * STRIDE, -1)
+    inputs[at[1:]] = units[:-1]
+    inputs[first[lengths > 0] * STRIDE] = end
+    place[at] = np.arange(len(units))
+    inputs, place = inputs.reshape(-1, STRIDE), place.reshape(-1, STRIDE)
+    rows = np.delete(np.arange(len(inputs)), first - 1)
+    return np.concatenate([inputs[rows - 1], inputs[rows]], axis=1), place[rows]
 
 
 # --- words, ids and units ------------------------------------------------------------------------
@@ -268,22 +299,24 @@ class Model:
     def score(self, units: np.ndarray, lengths: np.ndarray, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """log10 probability of each unit, given those before it in its document, and that of any
         unit that begins a word (or of the end) at its place."""
-        total, begun = np.zeros(len(units)), np.zeros(len(units))
+        total, begun = np.zeros(len(units), np.float32), np.zeros(len(units), np.float32)
         start_class = np.bincount(self.groups.klass, self.in_class * self.starts, CLASSES).astype(np.float32)
-        start_after = self.follows @ self.starts.astype(np.float32)
-        x, place = windowed(units, lengths, -1)
-        klass, tables = np.append(self.groups.klass, CLASSES).astype(_CLASS), _tables(self.layer)  # the padding, -1, is the last one
+        start_after = self.mix * (self.follows @ self.starts.astype(np.float32))
+        klass, tables = self.groups.klass.astype(_CLASS), _tables(self.layer)
+        of = klass[units]
+        x, place = windowed(of, lengths, CLASSES, klass[END])
+        before = np.concatenate(([END], units[:-1]))
+        before[np.cumsum(lengths)[:-1]] = END
+        now_after, any_after = self.mix * self.follows[before, units], start_after[before]
         for at in range(0, len(x), chunk):
-            inputs, p = x[at : at + chunk], place[at : at + chunk].ravel()
-            weights = forward(self.layer, klass[inputs], tables)[-1]
-            np.exp(weights, out=weights)
-            u, b = units[np.maximum(p, 0)], np.maximum(inputs[:, WINDOW - STRIDE :].ravel(), 0)
-            share = (1 - self.mix) / np.einsum("ij->i", weights)
-            now = weights[np.arange(len(u)), self.groups.klass[u]] * share * self.in_class[u] + self.mix * self.follows[b, u]
-            any_ = (weights @ start_class) * share + self.mix * start_after[b]
-            own = p >= 0
-            total[p[own]], begun[p[own]] = np.log10(now[own]), np.log10(any_[own])
-        return total, begun
+            own = np.flatnonzero(place[at : at + chunk].ravel() >= 0)
+            here = slice(int(place[at, 0]), int(place[at, 0]) + len(own))  # windows follow one another
+            w, lift = weights(self.layer, attend(self.layer, x[at : at + chunk], tables)[-1])
+            sums = w.reshape(-1, CLASSES) @ np.stack([lift, lift * start_class], axis=1)
+            share = (1 - self.mix) / sums[own, 0]
+            total[here] = w.reshape(-1).take(own * CLASSES + of[here]) * share * (lift[of[here]] * self.in_class[units[here]]) + now_after[here]
+            begun[here] = sums[own, 1] * share + any_after[here]
+        return np.log10(total).astype(float), np.log10(begun).astype(float)
 
     def text_scores(self, ids: np.ndarray, per_word: np.ndarray, words: np.ndarray, count: np.ndarray) -> np.ndarray:
         """log10 probability of documents: their words' ids in a row, how many ids each word and
@@ -321,11 +354,10 @@ def examples(docs: list[np.ndarray], groups: Grouping) -> tuple[np.ndarray, np.n
     """The classes of documents' windows and of what is scored in them."""
     lengths = np.array([len(d) + 1 for d in docs], np.int64)
     ends = np.cumsum(lengths - 1)
-    units = np.insert(groups.unit[np.concatenate(docs) if docs else np.zeros(0, np.int32)], ends, END)
-    x, place = windowed(units, lengths, -1)
-    klass = np.append(groups.klass, CLASSES).astype(_CLASS)  # the padding, -1, is the last one
-    y = np.where(place >= 0, klass[units[np.maximum(place, 0)]].astype(np.int16), np.int16(-1)) if len(units) else place.astype(np.int16)
-    return klass[x], y
+    klass = groups.klass.astype(_CLASS)
+    units = np.insert(klass[groups.unit[np.concatenate(docs) if docs else np.zeros(0, np.int32)]], ends, klass[END])
+    x, place = windowed(units, lengths, CLASSES, klass[END])
+    return x, np.where(place >= 0, units.astype(np.int16).take(place, mode="clip"), np.int16(-1)) if len(units) else place.astype(np.int16)
 
 
 def beginnings(tokenizer: str) -> np.ndarray:
@@ -349,7 +381,7 @@ def counted_model(groups: Grouping, layer: dict[str, np.ndarray], of_id: np.ndar
 # --- the corpus ----------------------------------------------------------------------------------
 
 
-_PART = "part long, doc_id array<long>, held binary, n_words binary, places binary, ids binary, n_ids binary, keys binary, counts binary, ends long, windows long"
+_PART = "part long, doc_id array<long>, held binary, n_words binary, places binary, ids binary, n_ids binary, keys binary, counts binary, ends long, windows long, words long"
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -381,20 +413,26 @@ class Part:
         held = np.frombuffer(row["held"], np.uint8).astype(bool)
         return Part(held, _from_planes(row["n_words"]), _from_planes(row["places"]), flat, np.concatenate(([0], np.cumsum(counts))))
 
-    def documents(self, most: int = 100_000, training: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def documents(self, most: int = 100_000, training: bool = True, which: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """Runs of documents (of at most so many words, or one): their words' places, how many words
         each has, all their ids, and how many ids each word has."""
         ends = np.cumsum(self.n_words)
-        which = np.flatnonzero(~self.held) if training else np.arange(len(ends))
+        if which is None:
+            which = np.flatnonzero(~self.held) if training else np.arange(len(ends))
         for a, b in runs(self.n_words[which], most):
             some = which[a:b]
             n = self.n_words[some]
             places = np.concatenate([self.places[e - k : e] for e, k in zip(ends[some], n)])
             yield places, n, *in_row(places, self.flat, self.starts)
 
-    def training_ids(self, most: int = 100_000) -> Iterator[list[np.ndarray]]:
-        """Runs of training documents' ids."""
-        for _, n, ids, per_word in self.documents(most):
+    def windows(self) -> np.ndarray:
+        """How many windows each document has."""
+        run, ends = np.concatenate(([0], np.cumsum(np.diff(self.starts)[self.places]))), np.cumsum(self.n_words)
+        return -(-(run[ends] - run[ends - self.n_words] + 1) // STRIDE)
+
+    def training_ids(self, most: int = 100_000, which: np.ndarray | None = None) -> Iterator[list[np.ndarray]]:
+        """Runs of training documents' ids, or those of some documents."""
+        for _, n, ids, per_word in self.documents(most, which=which):
             yield np.split(ids, np.concatenate(([0], np.cumsum(per_word)))[np.cumsum(n)][:-1])
 
 
@@ -403,9 +441,9 @@ def made_part(part: int, doc_id: pa.Array, held: pa.Array, text: pa.Array, encod
     import xxhash
 
     n_words, places, words = split_words(pc.ascii_lower(text))
-    flat, n_ids = [], []
+    flat, n_ids, words = [], [], words.to_numpy(zero_copy_only=False).tolist()
     for at in range(0, len(words), 10_000):
-        some = [ids or [encoder.unk_id()] for ids in encoder.encode(words[at : at + 10_000].to_pylist(), num_threads=1)]
+        some = [ids or [encoder.unk_id()] for ids in encoder.encode(words[at : at + 10_000], num_threads=1)]
         n_ids.append(np.fromiter(map(len, some), np.int64, len(some)))
         flat.append(np.fromiter(chain.from_iterable(some), np.int64, int(n_ids[-1].sum())))
     n_ids, flat = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (n_ids, flat))
@@ -414,10 +452,10 @@ def made_part(part: int, doc_id: pa.Array, held: pa.Array, text: pa.Array, encod
     run = np.concatenate(([0], np.cumsum(n_ids[places])))
     ends = np.cumsum(n_words)
     lengths = run[ends] - run[ends - n_words] + 1
-    keys = np.fromiter(map(xxhash.xxh64_intdigest, words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     return {
         "part": part, "doc_id": doc_id.to_pylist(), "held": out.astype(np.uint8).tobytes(), "n_words": _planes(n_words), "places": _planes(places), "ids": _planes(flat), "n_ids": _planes(n_ids),
-        "keys": keys.tobytes(), "counts": _planes(counts), "ends": int((~out).sum()), "windows": int((-(-lengths[~out] // STRIDE)).sum()),
+        "keys": keys.tobytes(), "counts": _planes(counts), "ends": int((~out).sum()), "windows": int((-(-lengths[~out] // STRIDE)).sum()), "words": len(words),
     }
 
 
@@ -460,36 +498,116 @@ def each_part(table: DataFrame, schema: str, f: Callable[[Iterator[dict]], Itera
     return table.mapInArrow(tidy(run), schema)
 
 
-def word_rows(table: DataFrame) -> DataFrame:
-    """part, place, key, first, n: the distinct words of each part, their first ids and training counts."""
+def word_blocks(table: DataFrame, buckets: int) -> DataFrame:
+    """A row for each part's distinct words in each bucket (by ranges of their keys): the keys in
+    order, their places in the part, first ids and training counts."""
+    edges = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
 
     def run(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         for r in rows:
-            keys, counts, starts = np.frombuffer(r["keys"], np.int64), _from_planes(r["counts"]), np.cumsum(_from_planes(r["n_ids"]))
+            keys, counts, starts = np.frombuffer(r["keys"], np.uint64), _from_planes(r["counts"]), np.cumsum(_from_planes(r["n_ids"]))
             first = _from_planes(r["ids"])[np.concatenate(([0], starts[:-1]))] if len(keys) else counts
-            for at in range(0, len(keys), 50_000):
-                k = slice(at, min(at + 50_000, len(keys)))
-                n = k.stop - at
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["part"])), pa.array(np.arange(at, k.stop, dtype=np.int32)), pa.array(keys[k]), pa.array(first[k].astype(np.int32)), pa.array(counts[k])], names=["part", "place", "key", "first", "n"])
+            order = np.argsort(keys)
+            keys, first, counts = keys[order], first[order], counts[order]
+            cuts = np.append(np.searchsorted(keys, edges), len(keys))
+            some = np.flatnonzero(np.diff(cuts))
+            planes = [pa.array([f(x[a:b]) for a, b in zip(cuts[some], cuts[some + 1])], pa.binary()) for x, f in ((keys, np.ndarray.tobytes), (order, _planes), (first, _planes), (counts, _planes))]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(np.full(len(some), r["part"])), *planes], names=["bucket", "part", "keys", "places", "firsts", "counts"])
+
+    return each_part(table.select("part", "ids", "n_ids", "keys", "counts"), "bucket long, part long, keys binary, places binary, firsts binary, counts binary", run)
 
-    return each_part(table.select("part", "ids", "n_ids", "keys", "counts"), "part long, place int, key long, first int, n long", run)
+
+def _merged(keys: np.ndarray, first: np.ndarray, n: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each key once, in order, with its first id and the sums of its counts and parts."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[at], first[order][at], np.add.reduceat(n[order], at), np.add.reduceat(parts[order], at)
+
+
+def word_totals(blocks: DataFrame, buckets: int) -> DataFrame:
+    """A row for each bucket: the keys of training words that several parts hold, in order, and their
+    counts in all; and the first ids of all its training words, with their counts and how many they are.
+
+    A task holds a bucket's distinct words, and of those that are yet to be added at most as many or
+    ``BUCKET_WORDS``.
+    """
+
+    def row(bucket: int, waiting: list) -> pa.RecordBatch:
+        keys, first, n, parts = _merged(*map(np.concatenate, zip(*waiting)))
+        several, known = (n > 0) & (parts > 1), n > 0
+        ids, which = np.unique(first[known], return_inverse=True)
+        sums = np.zeros(len(ids), np.int64)
+        np.add.at(sums, which, n[known])
+        values = [keys[several], n[several], ids, sums, np.bincount(which, minlength=len(ids))]
+        return pa.RecordBatch.from_arrays([pa.array([bucket]), *(pa.array([v.tobytes()], pa.binary()) for v in values)], names=["bucket", "keys", "totals", "firsts", "sums", "kinds"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, waiting, size, most = None, [], 0, BUCKET_WORDS
+        for t in batches:
+            for b, keys, first, n in zip(*(t[c].to_pylist() for c in ("bucket", "keys", "firsts", "counts"))):
+                if waiting and b != bucket:
+                    yield row(bucket, waiting)
+                    waiting, size, most = [], 0, BUCKET_WORDS
+                keys = np.frombuffer(keys, np.uint64)
+                waiting.append((keys, _from_planes(first), _from_planes(n), np.ones(len(keys), np.int64)))
+                bucket, size = b, size + len(keys)
+                if size > 2 * most:
+                    waiting = [_merged(*map(np.concatenate, zip(*waiting)))]
+                    size = len(waiting[0][0])
+                    most = max(BUCKET_WORDS, size)
+        if waiting:
+            yield row(bucket, waiting)
+
+    dealt = blocks.select("bucket", "keys", "firsts", "counts").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(tidy(run), "bucket long, keys binary, totals binary, firsts binary, sums binary, kinds binary")
+
+
+def words_back(blocks: DataFrame, totals: DataFrame, buckets: int) -> DataFrame:
+    """part, places, totals: words that several parts hold, for each of those and each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = sums = None
+        for t in batches:
+            for part, mine, places, told in zip(*(t[c].to_pylist() for c in ("part", "keys", "places", "totals"))):
+                mine = np.frombuffer(mine, np.uint64)
+                if part is None:  # the bucket's sums come before its parts
+                    keys, sums = mine, np.frombuffer(told, np.int64)
+                elif len(keys):
+                    at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                    found = keys[at] == mine
+                    yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([_planes(_from_planes(places)[found])], pa.binary()), pa.array([sums[at[found]].tobytes()], pa.binary())], names=["part", "places", "totals"])
+
+    both = blocks.select("bucket", "part", "keys", "places").unionByName(totals.select("bucket", "keys", "totals"), allowMissingColumns=True)
+    return both.repartition(buckets, "bucket").sortWithinPartitions("bucket", F.asc_nulls_first("part")).mapInArrow(tidy(run), "part long, places binary, totals binary")
 
 
 def summed(table: DataFrame, size: int, columns: list[str], add: Callable[[np.ndarray, dict], None]) -> np.ndarray:
-    """Whole numbers that ``add`` sums up over all parts: tasks send only what is not zero, at most
-    ``size`` numbers, whatever the corpus."""
+    """Whole numbers that ``add`` sums up over all parts: tasks send them in blocks, those that are
+    not all zero, at most ``size`` numbers, whatever the corpus."""
 
     def run(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(size, np.int64)
         for r in rows:
             add(sums, r)
-        key = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(sums[key])], names=["key", "n"])
+        some = [k for k in range(0, size, SENT) if sums[k : k + SENT].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([sums[k : k + SENT].tobytes() for k in some], pa.binary())], names=["at", "n"])
 
-    got = each_part(table.select(*columns), "key long, n long", run).groupBy("key").agg(F.sum(F.col("n").cast("decimal(38,0)")).alias("n"))
-    got = got.select("key", F.col("n").cast("string")).toPandas()  # whole numbers of any size
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {}  # of the upper and lower halves, so that whole numbers may be of any size
+        for t in batches:
+            for k, n in zip(t["at"].to_pylist(), t["n"].to_pylist()):
+                n = np.frombuffer(n, np.int64)
+                upper, lower = sums.setdefault(k, np.zeros((2, len(n)), np.int64))
+                upper += n >> 32
+                lower += n & 0xFFFFFFFF
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["at", "n"])
+
+    got = each_part(table.select(*columns), "at long, n binary", run).repartition("at").mapInArrow(tidy(total), "at long, n binary").toPandas()
     sums = np.zeros(size)
-    sums[got["key"].to_numpy(np.int64)] = [float(n) for n in got["n"]]
+    for k, n in zip(got["at"], got["n"]):
+        upper, lower = np.frombuffer(n, np.int64).reshape(2, -1).astype(float)
+        sums[k : k + len(upper)] = upper * 2.0**32 + lower
     return sums
 
 
@@ -506,17 +624,44 @@ def id_counts(table: DataFrame, size: int) -> np.ndarray:
     return summed(table, size, ["counts", "ids", "n_ids"], add)
 
 
+def first_counts(totals: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often training words begin with each id, and how many distinct ones do."""
+
+    def add(sums: np.ndarray, r: dict) -> None:
+        ids, n, kinds = (np.frombuffer(r[c], np.int64) for c in ("firsts", "sums", "kinds"))
+        sums[ids] += n
+        sums[size + ids] += kinds
+
+    return tuple(summed(totals, 2 * size, ["firsts", "sums", "kinds"], add).reshape(2, size))
+
+
 def neighbour_counts(table: DataFrame, unit: Shipped) -> tuple[np.ndarray, np.ndarray]:
     """``neighbours`` of all training documents."""
 
     def add(sums: np.ndarray, r: dict) -> None:
-        u = unit.value
-        for docs in Part.read(r).training_ids():
-            sums += np.stack(neighbours(docs, u)).ravel()
+        u = unit.value.astype(np.int32)
+        for docs in Part.read(r).training_ids(400_000):
+            for at, n in enumerate(neighbours(docs, u)):
+                sums[at * UNITS * UNITS : (at + 1) * UNITS * UNITS] += n.ravel()
 
     return tuple(summed(table, 2 * UNITS * UNITS, _TEXTS, add).reshape(2, UNITS, UNITS))
 
 
+def drawn(part: Part, groups: Grouping, draw: np.random.Generator, share: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """About a share of the training documents' windows and targets, and the chance of each;
+    documents that none is drawn from are not put together."""
+    train = np.flatnonzero(~part.held)
+    doc = np.repeat(train, part.windows()[train])
+    chance = draw.random(len(doc))
+    some = np.unique(doc[chance < share])
+    chance, at = chance[np.isin(doc, some)], 0
+    for docs in part.training_ids(which=some):
+        x, y = examples(docs, groups)
+        take = np.flatnonzero(chance[at : at + len(x)] < share)
+        yield chance[at + take], x[take], y[take]
+        at += len(x)
+
+
 def first_windows(table: DataFrame, groups: Shipped, total: int, wanted: int) -> tuple[np.ndarray, np.ndarray]:
     """About ``wanted`` windows and targets drawn evenly from all parts, at most so many."""
     share = min(1.0, 3 * wanted / max(1, total))
@@ -525,11 +670,8 @@ def first_windows(table: DataFrame, groups: Shipped, total: int, wanted: int) ->
         g = groups.value
         for r in rows:
             draw = np.random.default_rng(r["part"])
-            for docs in Part.read(r).training_ids():
-                x, y = examples(docs, g)
-                chance = draw.random(len(x))
-                take = np.flatnonzero(chance < share)
-                yield pa.RecordBatch.from_arrays([pa.array(chance[take]), pa.array([v.tobytes() for v in x[take].astype(np.int16)], pa.binary()), pa.array([v.tobytes() for v in y[take].astype(np.int16)], pa.binary())], names=["chance", "x", "y"])
+            for chance, x, y in drawn(Part.read(r), g, draw, share):
+                yield pa.RecordBatch.from_arrays([pa.array(chance), pa.array([v.tobytes() for v in x.astype(np.int16)], pa.binary()), pa.array([v.tobytes() for v in y.astype(np.int16)], pa.binary())], names=["chance", "x", "y"])
 
     got = each_part(table.select(*_TEXTS), "chance double, x binary, y binary", run).orderBy("chance", "x", "y").limit(wanted).toPandas()
     read = lambda c, width: np.frombuffer(b"".join(got[c]), np.int16).reshape(-1, width)
@@ -567,22 +709,21 @@ def score(docs: DataFrame, tokenizer: str, part_bytes: int = PART_BYTES, first:
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     table = scratch.save(parts(docs, tokenizer, part_bytes), "parts", "zstd", **LARGE_ROWS)  # zstd's buffers stay small for long values
-    n_parts, ends, windows = (int(v or 0) for v in table.select(F.count("*"), F.sum("ends"), F.sum("windows")).first())
-    words = word_rows(table)
-    totals = scratch.save(words.groupBy("key").agg(F.sum("n").alias("total"), F.min("first").alias("first"), F.count("*").alias("parts")), "totals")
-    known = totals.filter("total > 0")
-    kinds, tokens = (int(v or 0) for v in known.select(F.count("*"), F.sum("total")).first())
-    n_train, vocabulary = tokens + ends, kinds + (ends > 0)
+    n_parts, ends, windows, n_words = (int(v or 0) for v in table.select(F.count("*"), F.sum("ends"), F.sum("windows"), F.sum("words")).first())
+    buckets = max(1, -(-n_words // BUCKET_WORDS))
+    blocks = word_blocks(table, buckets)
+    totals = scratch.save(word_totals(blocks, buckets), "totals", **LARGE_ROWS)
 
     begins = beginnings(tokenizer)
+    by_first = first_counts(totals, len(begins))
+    kinds, tokens = (int(v.sum()) for v in by_first[::-1])
+    n_train, vocabulary = tokens + ends, kinds + (ends > 0)
     of_id = id_counts(table, len(begins))
     unit = by_frequency(of_id)
     pairs, company = neighbour_counts(table, Shipped(spark, unit))
     groups = Grouping(unit, by_company(pairs.sum(axis=0), company), begins)
     layer = fit_on_all(table, groups, windows, first)
-    # At most as many rows as the tokenizer has ids: bounded whatever the corpus.
-    firsts = known.groupBy("first").agg(F.sum("total").alias("n"), F.count("*").alias("v")).toPandas()
-    words_by, kinds_by = (np.bincount(unit[firsts["first"].to_numpy(np.int64)], firsts[c].to_numpy(float), UNITS) for c in ("n", "v"))
+    words_by, kinds_by = (np.bincount(unit, v, UNITS) for v in by_first)
     model = Shipped(spark, counted_model(groups, layer, of_id + 0.5, pairs, words_by, kinds_by))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
@@ -590,7 +731,8 @@ def score(docs: DataFrame, tokenizer: str, part_bytes: int = PART_BYTES, first:
         out = []
         for r in texts.drop_columns(["doc_id"]).to_pylist():
             m, part, c = model.value, Part.read(r), _from_planes(r["counts"])
-            c[others["place"].to_numpy()] = others["total"].to_numpy()  # words of this part alone have its own counts
+            for places, sums in zip(others["places"].to_pylist(), others["totals"].to_pylist()):  # words of this part alone have its own counts
+                c[_from_planes(places)] = np.frombuffer(sums, np.int64)
             bottom = np.log10(n_train + 0.1 * (vocabulary + 1))
             logs, end_log = np.log10(c + 0.1) - bottom, np.log10(ends + 0.1) - bottom
             for places, n, ids, per_word in part.documents(training=False):
@@ -605,6 +747,6 @@ def score(docs: DataFrame, tokenizer: str, part_bytes: int = PART_BYTES, first:
         return pa.table([doc_ids, pa.array(held), *whole, pa.array(np.full(len(held), n_train)), pa.array(got[2]), pa.array(got[3])], schema=schema)
 
     # A word goes back to the parts that hold it, unless it is in one alone.
-    back = words.select("part", "place", "key").join(known.filter("parts > 1").select("key", "total"), "key").select("part", "place", "total")
+    back = words_back(blocks, totals.select("bucket", "keys", "totals"), buckets)
     dealt = table.select(*_TEXTS, "doc_id", "counts").repartition(max(1, n_parts), "part")
     return dealt.groupBy("part").cogroup(back.repartition(max(1, n_parts), "part").groupBy("part")).applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
