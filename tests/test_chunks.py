@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wavemill.errors import PipelineError
 from wavemill.functions import fixed
 from wavemill.operators import artifact, chunks, dsp, features, filters, spectral, windows
+from wavemill.plans.decision import decide_epochs
 
 KEYS = ["k", "c"]
 
@@ -61,6 +62,36 @@ def test_chunks_hold_the_series(rows, series, size):
         assert 0 < len(r.x) <= size and r.start_t == r.chunk * size and r.before == x[max(0, r.start_t - 7) : r.start_t]
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("short, buckets", [(50, 64), (50, 3), (250, 64), (0, 2)])
+def test_long_series_are_numbered_in_buckets(monkeypatch, rows, series, short, buckets):
+    monkeypatch.setattr(chunks, "SHORT", short)
+    df = chunks.numbered(rows, KEYS, ["ts", "id"], "v", buckets)
+    assert "__bucket" in plan(df)
+    got = {}
+    for r in sorted(df.collect(), key=lambda r: r.t):
+        got.setdefault((r.k, r.c), []).append((r.t, r.x))
+    assert got == {k: list(enumerate(x)) for k, x in series.items()}
+    df = chunks.chunked(rows, KEYS, ["ts", "id"], "v", 7, 5)
+    assert by_series(df, "x") == series
+
+
+def test_short_series_are_shuffled_once(rows):
+    df = chunks.epochs(chunks.chunked(rows, KEYS, ["ts", "id"], "v", 15), KEYS, 16, 8)
+    assert plan(df).count("Exchange hashpartitioning") == 1
+
+
+def test_a_window_is_cut_once_for_all_that_reads_it(spark, rows):
+    epochs = chunks.epochs(chunks.chunked(rows, KEYS, ["ts", "id"], "v", 15), KEYS, 16, 8)
+    df = decide_epochs(epochs, KEYS, [[1, 2, 3], [4, 5, 6]], artifact.ScreenLimits())
+    assert plan(df).count("concat(before") == 1
+    for f in (lambda x: dsp.fir(x, [1, 2, 1], 2), artifact.artifact_screen):
+        assert plan(spark.range(3).select(f(F.transform(F.array("id"), lambda v: v + 7)).alias("f"))).count("+ 7)") == 1
+
+
 def test_conditioning(spark, rows, series, size):
     df = chunks.chunked(rows, KEYS, ["ts", "id"], "v", 7, size).cache()
     flat = whole(spark, series)

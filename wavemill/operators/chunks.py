@@ -2,8 +2,9 @@
 
 A chunk holds up to ``size`` neighbouring samples of a series (``x``), and before them up to
 ``halo`` samples of the chunks before it (``before``), so that operators that look back a little
-read one row alone. No array grows with a series. Samples are numbered in buckets of the first
-order column, so that a long series is numbered, chunked and measured in many tasks. Recursive
+read one row alone. No array grows with a series. Samples of a long series are numbered in buckets
+of the first order column, so that it is numbered, chunked and measured in many tasks; where all
+series are short, one shuffle brings each to a task that numbers and chunks it. Recursive
 filters alone take a series in one task, chunk by chunk, with the state carried on.
 
 A chunked series has the keys, ``chunk`` (from 0), ``start_t``, ``x`` and ``before``.
@@ -24,8 +25,8 @@ from ..errors import refuse
 from ..functions.fixed import dec, dec_fdiv, isqrt, let, log2_q16, longs, num, sat32, tdiv, total
 from . import artifact, dsp, filters, spectral, windows
 
-#: Samples of a chunk, and buckets in which samples are numbered.
-CHUNK, BUCKETS = 64, 64
+#: Samples of a chunk, buckets in which a long series' samples are numbered, and samples of the longest short one.
+CHUNK, BUCKETS, SHORT = 64, 64, 1 << 16
 
 
 def _rising(c: Column, kind: str) -> Column | None:
@@ -42,19 +43,41 @@ def _key(keys: list[str]) -> Column:
     return F.struct(*keys)
 
 
+def _bucket(first: Column, bounds: list[float]) -> Column:
+    """How many of the rising bounds a value reaches, by halving; 0 for null."""
+
+    def of(low: int, high: int) -> Column:
+        mid = (low + high + 1) // 2
+        return F.lit(low) if low == high else F.when(first >= bounds[mid - 1], of(mid, high)).otherwise(of(low, mid - 1))
+
+    return of(0, len(bounds))
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], x: str, buckets: int = BUCKETS) -> DataFrame:
     """keys, t, x: each sample's place in its series, in a total order."""
     first = _rising(F.col(order[0]), dict(df.dtypes)[order[0]])
-    shares = F.array(*(F.lit(k / buckets) for k in range(1, buckets)))
-    bounds = sorted(set(df.select(F.percentile_approx(first, shares, 1000)).first()[0] or [])) if buckets > 1 and first is not None else []
-    bucket = sum((F.when(first >= b, 1).otherwise(0) for b in bounds), F.lit(0)) if bounds else F.lit(0)
-    rows = df.select(_key(keys).alias("__key"), *order, F.col(x).alias("x"), bucket.alias("__bucket"))
-    seen = rows.groupBy("__key", "__bucket").agg(F.count("*").alias("__n"))
+    bounds = []
+    if buckets > 1 and first is not None:
+        # A row in SHORT at most is a long series, so that these are few.
+        long = df.groupBy(_key(keys).alias("__key")).agg(F.count("*").alias("__n")).filter(F.col("__n") > SHORT).select("__key", F.lit(True).alias("__long"))
+        rows = df.select(_key(keys).alias("__key"), *order, F.col(x).alias("x"), first.alias("__first"))
+        if not long.isEmpty():
+            shares = F.array(*(F.lit(k / buckets) for k in range(1, buckets)))
+            of_long = rows.join(F.broadcast(long), "__key")
+            bounds = sorted(set(of_long.select(F.percentile_approx("__first", shares, 1000)).first()[0] or []))
+    if not bounds:
+        # What follows costs far more than the few bytes shuffled tell, so that small shuffles aren't made into a few tasks.
+        dealt = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        return dealt.select(*keys, (nth.cast("long") - 1).alias("t"), F.col(x).alias("x"))
+    rows = rows.join(F.broadcast(long), "__key", "left")
+    rows = rows.withColumn("__bucket", F.when(F.col("__long"), _bucket(F.col("__first"), bounds)).otherwise(0)).drop("__first")
+    seen = rows.filter("__long").groupBy("__key", "__bucket").agg(F.count("*").alias("__n"))
     earlier = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = seen.select("__key", "__bucket", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     nth = F.row_number().over(Window.partitionBy("__key", "__bucket").orderBy(*order))
-    out = rows.withColumn("__nth", nth).join(offsets, ["__key", "__bucket"])
-    return out.select("__key.*", (F.col("__before") + F.col("__nth") - 1).alias("t"), "x")
+    out = rows.withColumn("__nth", nth).join(offsets, ["__key", "__bucket"], "left")
+    return out.select("__key.*", (F.coalesce("__before", F.lit(0)) + F.col("__nth") - 1).alias("t"), "x")
 
 
 def chunked(df: DataFrame, keys: list[str], order: list[str], x: str, halo: int = 0, size: int = CHUNK) -> DataFrame:
@@ -91,11 +114,15 @@ def epochs(chunks: DataFrame, keys: list[str], window: int, hop: int) -> DataFra
     start, n = F.col("start_t"), F.size("x")
     least = F.greatest(F.ceil((start - window + 1) / hop), F.lit(0)).cast("int")
     most = F.floor((start + n - window) / hop).cast("int")
-    index = F.explode(F.when(most >= least, F.sequence(least, most)).otherwise(F.array().cast("array<int>")))
-    rows = chunks.select(*keys, _both().alias("__all"), (start - F.size("before")).alias("__from"), index.alias("epoch_index"))
-    first = (F.col("epoch_index").cast("long") * hop - F.col("__from")).cast("int")
-    samples = F.transform(F.sequence(first, first + window - 1), lambda i: F.get("__all", i))
-    return rows.select(*keys, "epoch_index", (F.col("epoch_index") * hop).alias("start_t"), F.lit(window).alias("len_t"), samples.alias("x"))
+    indices = F.when(most >= least, F.sequence(least, most)).otherwise(F.array().cast("array<int>"))
+
+    def cut(both: Column) -> Column:
+        first = lambda k: (k.cast("long") * hop - (start - F.size("before"))).cast("int")
+        return F.transform(indices, lambda k: F.struct(k.alias("k"), F.slice(both, first(k) + 1, F.lit(window)).alias("x")))
+
+    # The windows leave the generator as values: cut above it, they'd be cut again at each mention of x.
+    rows = chunks.select(*keys, F.explode(let(_both(), cut)).alias("__w")).select(*keys, F.col("__w.k").alias("epoch_index"), F.col("__w.x").alias("x"))
+    return rows.select(*keys, "epoch_index", (F.col("epoch_index") * hop).alias("start_t"), F.lit(window).alias("len_t"), "x")
 
 
 def refused(df: DataFrame, keys: list[str], window: int, hop: int) -> DataFrame:

@@ -31,10 +31,13 @@ def fir(x: Column, coeffs: list[int], shift: int) -> Column:
     refuse(not coeffs, "EmptyKernel")
     refuse(not 0 <= shift <= MAX_SHIFT, "InvalidShift")
 
-    def at(v: Column, i: Column) -> Column:
-        acc = v.cast("long") * F.lit(coeffs[0]).cast("long")
-        for k, c in enumerate(coeffs[1:], 1):
-            acc = acc + F.when(i >= k, F.get(x, i - k).cast("long")).otherwise(F.lit(0).cast("long")) * F.lit(c).cast("long")
-        return sat32(half_up(acc, shift))
+    def of(xs: Column) -> Column:  # a look back at each sample must not compute the series again
+        def at(v: Column, i: Column) -> Column:
+            acc = v.cast("long") * F.lit(coeffs[0]).cast("long")
+            for k, c in enumerate(coeffs[1:], 1):
+                acc = acc + F.when(i >= k, F.get(xs, i - k).cast("long")).otherwise(F.lit(0).cast("long")) * F.lit(c).cast("long")
+            return sat32(half_up(acc, shift))
 
-    return F.when(F.size(x) > 0, F.transform(x, at))
+        return F.when(F.size(xs) > 0, F.transform(xs, at))
+
+    return let(x, of)

@@ -14,7 +14,7 @@ def variance(x: Column) -> Column:
 
     def around(m: Column) -> Column:
         squares = F.transform(x, lambda v: dec(dec(v.cast("long") - m) * dec(v.cast("long") - m)))
-        return dec_fdiv(total(squares, num(0)), dec(F.size(x)))
+        return let(total(squares, num(0)), lambda s: dec_fdiv(s, dec(F.size(x))))
 
     return F.when(F.size(x) > 0, let(mean(x), around))
 
